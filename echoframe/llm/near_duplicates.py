@@ -12,8 +12,10 @@ candidates: at a similarity of 0.8 all 32 bands miss with probability 5e-8.
 3. Candidates are confirmed on full shingle sets.
 4. Buckets whose members already share one component need no more work.  In the
    others the members outside the largest component are compared with all
-   members of other components, in blocks of bounded size, by the
-   collision-corrected estimate; what passes is confirmed on full sets.
+   members of other components, in blocks of bounded size: by the
+   collision-corrected estimate, then by the 512 smallest 32-bit hashes of the sets
+   (smaller sets whole).  Of links into the same component one per member and block
+   is enough; it is confirmed on full sets.
 5. Components of the confirmed links.
 
 Defined results: null or wordless texts have an empty set and link with nothing;
@@ -35,10 +37,12 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 #: Two different minima of equally large sets share a leading-zero count with probability about 1/3, and then the mantissa.
 COLLISION = 2.0**-MANTISSA / 3
-#: Sets below this size are always confirmed on full sets: their densified registers repeat, so the estimate is loose.
-LOOSE = 256
+#: Standard deviations below the threshold at which an estimate excludes a pair; sets below LOOSE are never excluded so.
+SIGMAS, LOOSE = 5, 32
 BITMAP_BITS = 1 << 23
-BLOCK_FEW, BLOCK_MANY = 512, 8192
+BLOCK_FEW, BLOCK_MANY = 256, 1024
+#: Hashes (32 bits, the smallest) of a set that blocks compare; sets up to this size are compared whole.
+MINI = 512
 
 _rng = np.random.default_rng(20260101)
 #: where an empty register looks for a filled one, in this order
@@ -144,7 +148,7 @@ def _bucket_members(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_b), pa.array(out_l.astype(np.int64)), pa.array(out_r)], ["band", "leader", "rep"])
 
 
-def _set_maker(size: int, bitmap):
+def _set_maker(size: int, bitmap, mini: bool):
     def run(batches):
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
         for batch in batches:
@@ -152,6 +156,8 @@ def _set_maker(size: int, bitmap):
             batch = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7)) & 1 == 1))
             if batch.num_rows:
                 sets = distinct_shingles(*buffers(batch.column("text")), size)
+                if mini:
+                    sets = [np.unique((mix64(s) >> U64(32)).astype(np.uint32))[:MINI] for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
     return run
@@ -175,42 +181,67 @@ def _confirmer(percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union.
+def sets_of(docs: DataFrame, ids: DataFrame, size: int, mini: bool = False) -> DataFrame:
+    """(doc_id, shingles): sorted 64-bit hashes of the documents in ids, or their MINI smallest 32-bit hashes.
 
-    Sets are made again from the texts, for documents in pairs only: a bitmap of
-    1 MB marks them (false marks cost time, not correctness).
+    Sets are made again from the texts, for these documents only: a bitmap of 1 MB
+    marks them (false marks cost time, not correctness).
     """
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP_BITS))
     marked = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
     bitmap = bytearray(BITMAP_BITS // 8 + 8192)
     for part, bits in marked.collect():  # at most 257 rows of 4 KB
-        # bucket numbers are 1-based for positive numbers: bit 0 of bucket 1 is the number 1
-        at = (part - 1) * 4096
-        if at < 0:
-            bitmap[-8192:-4096] = bits
-        else:
-            bitmap[at : at + len(bits)] = bits
-    shared = spark.sparkContext.broadcast(bytes(bitmap))
-    shifted = F.when(spot == 0, F.lit(BITMAP_BITS)).otherwise(spot - 1)  # where the bitmap functions put that number
-    sets = written(docs.select("doc_id", "text", F.coalesce(shifted, F.lit(0)).cast("int").alias("spot")).mapInArrow(_set_maker(size, shared), "doc_id long, shingles binary").join(ids, "doc_id", "left_semi"), "sets")
+        # these functions number bits of positive numbers from 1; bucket 0 holds the number 0, which goes last here
+        at = (part - 1) * 4096 if part > 0 else len(bitmap) - 8192
+        bitmap[at : at + len(bits)] = bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    place = F.when(spot == 0, F.lit(BITMAP_BITS)).otherwise(spot - 1)
+    made = docs.filter("doc_id is not null").select("doc_id", "text", place.cast("int").alias("spot")).mapInArrow(_set_maker(size, shared, mini), "doc_id long, shingles binary")
+    return written(made.join(ids, "doc_id", "left_semi"), "sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
     out = written(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "confirmed")
     forget(sets)
     return out
 
 
+def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of mini sets: intersection sizes, and whether the similarity may reach percent.
+
+    Exact but for collisions of 32-bit hashes, which only add, where both sets are
+    whole; else from the smallest hashes of the union, with the same margin as for registers.
+    """
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    pair = np.repeat(np.concatenate([np.arange(len(a))] * 2), np.concatenate([na, nb])).astype(U64)
+    key = np.sort((pair << U64(32)) | np.concatenate([*a, *b]).astype(U64))
+    again = np.append(key[1:] == key[:-1], False)
+    first = np.append(True, key[1:] != key[:-1])
+    owner = (key >> U64(32)).astype(np.int64)
+    shared = np.bincount(owner[again], minlength=len(a))
+    union = na + nb - shared
+    ok = 100 * shared >= percent * union
+    part = (na == MINI) | (nb == MINI)
+    if part.any():
+        rank = np.cumsum(first) - 1
+        start = np.searchsorted(owner, np.arange(len(a)))
+        low = rank - rank[start][owner] < MINI
+        ratio = np.bincount(owner[again & low], minlength=len(a)) / MINI
+        share = percent / 100
+        ok = np.where(part, ratio >= share - SIGMAS * np.sqrt(share * (1 - share) / MINI), ok)
+    return shared, ok
+
+
 def _block_pairs(percent: int):
-    """From rows sorted by (band, few, many): pairs of a few-row and a many-row of different components whose estimate may reach the threshold and of which this band is the first they share."""
+    """From rows sorted by (band, few, many): links of few-rows to many-rows of other components, for pairs of which this band is the first they share."""
     share = percent / 100
-    least = share - 5 * np.sqrt(share * (1 - share) / REGISTERS)
 
-    def pairs(rows):
-        key, role, rep, comp, n, straggler, reg = rows
+    def candidates(rows):
+        key, role, rep, comp, n, straggler, reg, _ = rows
         few, many = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        out = []
         for lo in range(0, len(few), 64):
             for hi in range(0, len(many), 512):
                 f, m = few[lo : lo + 64], many[hi : hi + 512]
@@ -218,31 +249,54 @@ def _block_pairs(percent: int):
                 ok &= (rep[f][:, None] < rep[m][None, :]) | ~straggler[m][None, :]
                 ok &= 100 * np.minimum(n[f][:, None], n[m][None, :]) >= percent * np.maximum(n[f][:, None], n[m][None, :])
                 i, j = np.nonzero(ok)
-                for cut in range(0, len(i), 20000):
-                    a, b = f[i[cut : cut + 20000]], m[j[cut : cut + 20000]]
+                for cut in range(0, len(i), 8000):
+                    a, b = f[i[cut : cut + 8000]], m[j[cut : cut + 8000]]
                     equal = reg[a] == reg[b]
-                    good = (estimate(equal.sum(axis=1)) >= least) | (np.minimum(n[a], n[b]) < LOOSE)
+                    least = np.minimum(n[a], n[b])
+                    # registers of small sets repeat each other: as many count as are filled
+                    sigma = np.sqrt(share * (1 - share) / (REGISTERS * (1 - np.exp(-least / REGISTERS))))
+                    good = (estimate(equal.sum(axis=1)) >= share - SIGMAS * sigma) | (least < LOOSE)
                     a, b, equal = a[good], b[good], equal[good]
                     band = equal[:, _SPREAD].reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
                     first = band_keys(reg[a])[np.arange(len(a)), band] == key[0]
-                    out.append((np.minimum(rep[a], rep[b])[first], np.maximum(rep[a], rep[b])[first]))
-        return out
+                    yield a[first], b[first]
+
+    def pairs(rows):
+        key, role, rep, comp, n, straggler, reg, mini = rows
+        out = []
+        for a, b in candidates(rows):
+            for cut in range(0, len(a), 256):
+                x, y = a[cut : cut + 256], b[cut : cut + 256]
+                shared, ok = _similar([np.frombuffer(mini[k], dtype=np.uint32) for k in x], [np.frombuffer(mini[k], dtype=np.uint32) for k in y], percent)
+                whole = (n[x] < MINI) & (n[y] < MINI)
+                out.append(np.stack([x, y, shared, whole])[:, ok])
+        if not out:
+            return
+        x, y, shared, whole = np.concatenate(out, axis=1)
+        order = np.lexsort((-shared, comp[y], rep[x]))
+        x, y, whole = x[order], y[order], whole[order].astype(bool)
+        best = np.ones(len(x), dtype=bool)
+        best[1:] = (rep[x][1:] != rep[x][:-1]) | (comp[y][1:] != comp[y][:-1])
+        keep = best | ~whole
+        yield np.minimum(rep[x], rep[y])[keep], np.maximum(rep[x], rep[y])[keep]
+
+    columns = ("band", "few", "many", "role", "rep", "comp", "n", "straggler")
 
     def run(batches):
         held = None
-        for batch in [*_with_end(batches)]:
+        for batch in _with_end(batches):
             if batch is None:
-                rows, groups = held, None
+                rows = held
             else:
-                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("band", "few", "many", "role", "rep", "comp", "n", "straggler")] + [_matrix(batch.column("reg")) if batch.num_rows else np.zeros((0, REGISTERS), np.uint16)]
+                mini = np.empty(batch.num_rows, dtype=object)
+                mini[:] = batch.column("mini").to_pylist()
+                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in columns] + [_matrix(batch.column("reg")), mini]
                 rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if rows is None or not len(rows[0]):
                 continue
             change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
             bounds = [0, *change.tolist()] + ([len(rows[0])] if batch is None else [])
-            out = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                out += pairs([rows[0][a:b], *(x[a:b] for x in rows[3:])])
+            out = [p for a, b in zip(bounds[:-1], bounds[1:]) for p in pairs([rows[0][a:b], *(x[a:b] for x in rows[3:])])]
             held = None if batch is None else [x[bounds[-1] :] for x in rows]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out]).astype(np.int64)), pa.array(np.concatenate([y for _, y in out]).astype(np.int64))], ["a", "b"])
@@ -275,13 +329,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     in_comp = members.join(label.toDF("rep", "comp"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
     held = in_comp.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("total"), F.count("*").alias("comps"))
     open_ = written(held.filter("comps > 1").select("band", F.col("most.comp").alias("main"), (F.floor((F.col("total") - F.col("most.k") - 1) / BLOCK_FEW) + 1).alias("fews"), (F.floor((F.col("total") - 1) / BLOCK_MANY) + 1).alias("manys")), "open")
+    minis = sets_of(docs, in_comp.join(open_, "band").select(F.col("rep").alias("doc_id")).distinct(), shingle, mini=True).toDF("rep", "mini")
     rows = in_comp.join(open_, "band").withColumn("straggler", F.col("comp") != F.col("main"))
     salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     few = rows.filter("straggler").select("band", salt("fews").alias("few"), steps("manys").alias("many"), F.lit(0).alias("role"), "rep", "comp", "straggler")
     many = rows.select("band", steps("fews").alias("few"), salt("manys").alias("many"), F.lit(1).alias("role"), "rep", "comp", "straggler")
     pairs = (
-        few.unionByName(many).join(reps.select("rep", "n", "reg"), "rep")
+        few.unionByName(many).join(reps.select("rep", "n", "reg"), "rep").join(minis, "rep")
         .repartition(F.col("band"), F.col("few"), F.col("many")).sortWithinPartitions("band", "few", "many")
         .mapInArrow(_block_pairs(percent), "a long, b long")
     )
