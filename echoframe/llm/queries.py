@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_duplicates
+from . import decontaminate, mixing, near_duplicates, quality, toxicity
 from .shared import table
 
 
@@ -18,8 +19,25 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def _scored(scores: DataFrame, mod: int, rest: int) -> DataFrame:
+    return scores.select("doc_id", quality.held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0), 5, 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 4, 2), 4, 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_benchmark_decontamination, op7_minhash_near_dedup)
+    f.__name__: f for f in (op2_mixing, op6_benchmark_decontamination, op7_minhash_near_dedup, op9_quality_classifier, op10_toxicity)
 }
 
 SQL: dict[str, str] = {}
