@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_duplicates, quality, toxicity
+from . import decontaminate, mixing, near_duplicates, quality, token_files, toxicity
 from .shared import table
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -37,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op6_benchmark_decontamination, op7_minhash_near_dedup, op9_quality_classifier, op10_toxicity)
+    f.__name__: f for f in (op2_mixing, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op9_quality_classifier, op10_toxicity)
 }
 
 SQL: dict[str, str] = {}
