@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_duplicates, quality, token_files, toxicity
+from . import decontaminate, fingerprints, mixing, near_duplicates, quality, token_counts, token_files, toxicity
 from .shared import table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0)
 
@@ -32,6 +36,10 @@ def _scored(scores: DataFrame, mod: int, rest: int) -> DataFrame:
     return scores.select("doc_id", quality.held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0), 5, 0)
 
@@ -41,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op9_quality_classifier, op10_toxicity)
+    f.__name__: f for f in (op2_mixing, op3_token_counts, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_fingerprints, op9_quality_classifier, op10_toxicity)
 }
 
 SQL: dict[str, str] = {}
