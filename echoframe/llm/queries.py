@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_duplicates, quality, token_counts, token_files, toxicity
+from . import decontaminate, fingerprints, mixing, near_duplicates, personal_data, quality, token_counts, token_files, toxicity
 from .shared import table
 
 
@@ -15,6 +15,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_all(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0)
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_token_counts, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_fingerprints, op9_quality_classifier, op10_toxicity)
+    f.__name__: f for f in (op2_mixing, op3_token_counts, op4_personal_data, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_fingerprints, op9_quality_classifier, op10_toxicity)
 }
 
 SQL: dict[str, str] = {}
