@@ -61,9 +61,9 @@ def tracks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(packed.alias("s")).select("user_id", F.col("s.x").alias("x"))
 
 
-def spread(df: DataFrame, key: str, column: str, name: str, digits: int = 6) -> DataFrame:
+def spread(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     """One row an element."""
-    return df.select(key, F.posexplode(column).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), rounded(F.col("v"), digits).alias(name))
+    return df.select(key, F.posexplode(column).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), rounded(F.col("v")).alias(name))
 
 
 _E = "e AS (SELECT vec_id, UNNEST(range(0, len(embedding))) AS i, UNNEST(embedding)::DOUBLE AS s, len(embedding) AS n FROM embeddings)"
@@ -164,15 +164,15 @@ def contrast_boost(spark, sf_dir):
     return spread(spectra(spark, sf_dir).withColumn("b", C.contrast_boost(F.col("x"), 0.5)), "vec_id", "b", "x")
 
 
-def _fold(start: str, step: str, put: str, name: str, digits: int = 6) -> str:
+def _fold(start: str, step: str, put: str, name: str) -> str:
     """SQL of a recurrence over a series: columns at i = 0, at later i (r: before, s: now), and what is put out."""
     return f"""WITH RECURSIVE {_S}, r AS (SELECT user_id, i, x, {start} FROM s WHERE i = 0 UNION ALL
-SELECT s.user_id, s.i, s.x, {step} FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) SELECT user_id, i::BIGINT AS i, round({put}, {digits}) + 0.0 AS {name} FROM r"""
+SELECT s.user_id, s.i, s.x, {step} FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) SELECT user_id, i::BIGINT AS i, round({put}, 6) + 0.0 AS {name} FROM r"""
 
 
-@query(_fold("0.0::DOUBLE AS m, x AS y", "r.m + (s.x - 0.9 * r.m - r.m) / s.i, greatest(s.x - 0.9 * r.m, 0)", "y", "x", 4))
+@query(_fold("0.0::DOUBLE AS m, x AS y", f"r.m + (s.x - {1 / 3!r}::DOUBLE * r.m - r.m) / s.i, greatest(s.x - {1 / 3!r}::DOUBLE * r.m, 0)", "y", "x"))
 def background_subtract(spark, sf_dir):
-    return spread(tracks(spark, sf_dir).withColumn("b", C.background_subtract(F.col("x"), 0.9)), "user_id", "b", "x", 4)
+    return spread(tracks(spark, sf_dir).withColumn("b", C.background_subtract(F.col("x"), 1 / 3)), "user_id", "b", "x")
 
 
 @query(_fold("greatest(x, (1 - 0.9) * x) AS t", "greatest(s.x, 0.9 * r.t + (1 - 0.9) * s.x)", "CASE WHEN 2 * x < t THEN 0 ELSE x END", "x"))
