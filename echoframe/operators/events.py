@@ -61,7 +61,8 @@ def _run(recordings: DataFrame, which: str, work, schema: str, columns: list[str
             for i, name, rate, samples in zip(batch.recording_id, batch.filename, batch.sample_rate, batch.samples):
                 for e in work(np.asarray([] if samples is None else samples, dtype=np.int64), int(rate)):
                     rows.append({"recording_id": i, "filename": name, **e})
-            yield pd.DataFrame(rows, columns=columns) if rows else pd.DataFrame({c: [] for c in columns})
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return recordings.select("recording_id", "filename", "sample_rate", channel(which).alias("samples")).mapInPandas(run, schema)
 
