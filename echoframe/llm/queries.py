@@ -60,4 +60,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_model, op2_mixing, op3_token_counts, op4_personal_data, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_fingerprints, op9_quality_classifier, op10_toxicity)
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Whole tables in plain SQL; the other operators are trained, random or need a library, and are tested against brute force.
+SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS n, UNNEST(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM s),
+places AS (SELECT doc_id, n, w, UNNEST(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.k, p.n, v.item_id FROM places p JOIN windows v ON v.n = p.n AND v.g = array_to_string(p.w[p.k : p.k + p.n - 1], ' ')),
+hit_words AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, UNNEST(range(k, k + n)) AS pos FROM hits)),
+runs AS (SELECT doc_id, count(*) AS length FROM (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hit_words) GROUP BY doc_id, run),
+items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS i FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce((SELECT count(*) FROM hit_words h WHERE h.doc_id = d.doc_id), 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+sha256(coalesce(items.i, '')) AS items_sha256, items.n IS NOT NULL AS contaminated, coalesce((SELECT max(length) FROM runs r WHERE r.doc_id = d.doc_id), 0)::BIGINT AS longest_match
+FROM d LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op7_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[k : k + 3], ' ') AS g FROM (SELECT doc_id, w, UNNEST(range(1, greatest(len(w) - 2, 2))) AS k FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS m FROM d UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, g.m AS component_id, g.m = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(m) AS m FROM r GROUP BY v) g ON g.v = d.doc_id""",
+}
