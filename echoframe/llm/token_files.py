@@ -66,7 +66,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
             ids = id_arrays(batch, tokenizer, end_id)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(f"<u{width}").tobytes()[: SAMPLE_BYTES // 64] for x in ids], pa.binary())], ["ids"])
 
-    keys = docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    # hashes are even: about twice the sample lies below this bound, however many documents there are
+    share = min(1.0, 2 * SAMPLE_DOCS / max(docs.count(), 1))
+    keys = docs.select("doc_id", "text").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))).filter(F.col("h") <= int(share * (1 << 31)))
     sample = keys.orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id", "text").mapInArrow(run, "ids binary")
     parts, total = [], 0
     for row in sample.toLocalIterator():
