@@ -380,6 +380,15 @@ def below_mean_sd(spark, sf_dir):
     return p.join(F.broadcast(limit)).groupBy("vec_id").agg(F.count_if(F.col("x") < F.col("t")).alias("low"))
 
 
+@query(f"""WITH {_S}, t AS (SELECT user_id, i, (sum(greatest(floor(x * 3), 0)) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS time_us FROM s),
+g AS (SELECT *, time_us - lag(time_us, 2) OVER (PARTITION BY user_id ORDER BY i) AS gap FROM t)
+SELECT user_id::VARCHAR AS path, i::BIGINT AS idx, time_us, CASE WHEN gap BETWEEN greatest(48, 4 * 8) AND least(12859, 250 * 8) THEN floor(8 * 1000000 / gap)::DOUBLE END AS freq_hz FROM g""")
+def zc_frequency(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("i")
+    dots = series(spark, sf_dir).withColumn("time_us", F.sum(F.greatest(F.floor(F.col("x") * 3), F.lit(0))).over(w).cast("long"))
+    return S.zc_frequency(dots.select(F.col("user_id").cast("string").alias("path"), F.col("i").cast("long").alias("idx"), "time_us"), F.lit(8))
+
+
 def recordings(spark, sf_dir) -> DataFrame:
     """A recording for each label: its embeddings one after the other, as 16-bit samples at 16 kHz."""
     samples = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"])), lambda v: F.round(v * 1000).cast("int"))
