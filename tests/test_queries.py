@@ -29,7 +29,7 @@ def duck():
 
 
 def plain(rows):
-    return sorted(tuple((k, round(v, 5) + 0.0 if isinstance(v, float) else v) for k, v in sorted(r.items())) for r in rows)
+    return sorted((tuple((k, round(v, 5) + 0.0 if isinstance(v, float) else v) for k, v in sorted(r.items())) for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
