@@ -29,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝкмтвнАВЕКМНОРСТУХІЈЅαονρτυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwkmtbhABEKMHOPCTYXIJSaovptukABEZHIKMNOPTYX"))
+# Dashes and blanks that stand for the plain ones.
+LOOKALIKES |= dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-") | dict.fromkeys("\u00a0\u2007\u2009\u202f", " ")
 # Digits as words in four languages.
 DIGIT_WORDS = {
     w: str(d)
@@ -43,7 +45,7 @@ DIGIT_WORDS = {
 # Last labels that make an address of bare words.
 TLDS = frozenset("com org net edu gov mil info biz io co uk us de fr es it nl eu ch at be ca au jp cn ru br in mx ar dev app ai me tv".split())
 DOT_WORDS = "dot|punkt|punto|point"
-_HIDDEN = "­​‌‍⁠﻿"
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,13 +123,15 @@ def fold_lookalikes(tape: Tape) -> None:
     """Look-alike, full-width and styled letters and digits to ASCII; hidden characters vanish."""
     edits = []
     for k, c in enumerate(tape.text):
-        if c < "­":
+        if c < "\u0080":
             continue
         if c in _HIDDEN:
             edits.append((k, k + 1, []))
         elif c in LOOKALIKES:
             edits.append((k, k + 1, [(LOOKALIKES[c], k, k + 1)]))
-        elif c > " " and (plain := unicodedata.normalize("NFKC", c)) != c and len(plain) == 1 and plain.isascii():
+        elif c.isdecimal():
+            edits.append((k, k + 1, [(str(unicodedata.decimal(c)), k, k + 1)]))
+        elif (plain := unicodedata.normalize("NFKC", c)) != c and len(plain) == 1 and plain.isascii():
             edits.append((k, k + 1, [(plain, k, k + 1)]))
     if edits:
         tape.rewrite(edits)
@@ -136,8 +140,9 @@ def fold_lookalikes(tape: Tape) -> None:
 _WORD_DIGITS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+|\+\s*)?(?:(?:{_WORD_DIGITS}|[0-9]+)(?:[\s,-]+|(?!\w))|(?:{DOT_WORDS})\s+(?=(?:{_WORD_DIGITS})(?!\w))){{3,}}", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|\+|{_WORD_DIGITS}|[0-9]+|{DOT_WORDS}", re.IGNORECASE)
-_DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9])\s+(?:{DOT_WORDS})\s+(?=[A-Za-z0-9])", re.IGNORECASE)
+_DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9])\s+(?:{DOT_WORDS}|\.)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 _AT_BRACKETS = re.compile(r"\s*[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]\s*", re.IGNORECASE)
+_AT_APART = re.compile(r"(?<=[A-Za-z0-9])(?:\s+@\s*|@\s+)(?=[A-Za-z0-9])")
 _AT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 
 
@@ -162,14 +167,14 @@ def read_at_and_dot(tape: Tape) -> None:
     """Bracketed at and dot; bare words only where both occur in one address (name at host dot com)."""
     dots = [(m.start(), m.end(), "." , m[0].strip()[:1] in "([{<") for m in _DOT.finditer(tape.text)]
     ats = [(m.start(), m.end(), "@", True) for m in _AT_BRACKETS.finditer(tape.text)]
-    bare = [(m.start(), m.end(), "@", False) for m in _AT_WORD.finditer(tape.text)]
+    bare = [(m.start(), m.end(), "@", False) for p in (_AT_WORD, _AT_APART) for m in p.finditer(tape.text)]
     ends = {}
     for a, b, _, _ in dots:
         ends[a] = b
 
     def host_follows(at: int) -> bool:
         m = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*").match(tape.text, at)
-        return bool(m) and m.end() in ends
+        return bool(m) and (m.end() in ends or tape.text[at - 1 : at].isspace() and "@" in tape.text[max(0, at - 3) : at] and "." in m[0])
 
     ats += [x for x in bare if host_follows(x[1])]
     signs = {a for _, a, _, _ in ats}
@@ -217,9 +222,9 @@ _DOT_HASHES = np.sort(np.concatenate(hash_words(DOT_WORDS.split("|"), ALNUM)))
 _DIGIT_HASHES = np.sort(np.concatenate(hash_words([*DIGIT_WORDS, *"0123456789"], ALNUM)))
 _PLAIN = np.zeros(256, dtype=bool)
 _PLAIN[[0x40, *range(0x30, 0x3A)]] = True
-#: Lead bytes of look-alikes: Greek, Cyrillic, general punctuation and styled or full-width signs, soft hyphen.
+#: Lead bytes of look-alikes: Greek, Cyrillic, other digits, general punctuation and styled or full-width signs, soft hyphen.
 _ODD = np.zeros(256, dtype=bool)
-_ODD[[0xC2, *range(0xCD, 0xD5), 0xE2, 0xEF, 0xF0]] = True
+_ODD[[0xC2, *range(0xCD, 0xD5), 0xD9, 0xDB, 0xE0, 0xE2, 0xEF, 0xF0]] = True
 
 
 def _any_by_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -240,6 +245,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     odd = _any_by_text(_ODD[data], offsets)
     brackets = _any_by_text((data == 0x28) | (data == 0x5B) | (data == 0x7B) | (data == 0x3C), offsets)
     at_or_dot = _any_by_text(member(_SIGN_HASHES), w.first)
+    apart = np.zeros(len(data), dtype=bool)
+    if len(data) > 2:
+        sign, before, after = data[1:-1], data[:-2], data[2:]
+        apart[1:-1] = (sign == 0x40) & ((before <= 0x20) | (after <= 0x20)) | ((sign == 0x2E) | (sign == 0x40)) & np.isin(before, np.frombuffer(b"([{<", dtype=np.uint8))
+    odd |= _any_by_text(apart, offsets)
     return plain, odd | _any_by_text(run, w.first) | _any_by_text(member(_DOT_HASHES), w.first) | (brackets & at_or_dot)
 
 

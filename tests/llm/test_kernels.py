@@ -128,7 +128,8 @@ def test_base_spans():
         ("mail john (at) example (dot) com now", "email", "john (at) example (dot) com"), ("say john dot smith at example dot org please", "email", "say john dot smith at example dot org"[4:]),
         ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"), ("call plus four nine one seven zero five five five one two three", "phone", "plus four nine one seven zero five five five one two three"),
         ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"), ("x vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins x", "card", None),
-        ("a​b@x​.com", "email", "a​b@x​.com"),
+        ("a​b@x​.com", "email", "a​b@x​.com"), ("write john @ mail . com today", "email", "john @ mail . com"), ("write john @ mail.com today", "email", "john @ mail.com"),
+        ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"), ("card 4111\u20131111\u20131111\u20131111 ok", "card", "4111\u20131111\u20131111\u20131111"), ("tel +٤٩ ١٧٠ ٥٥٥١٢٣", "phone", "+٤٩ ١٧٠ ٥٥٥١٢٣"),
     ],
 )
 def test_disguises(text, kind, part):
