@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import detector, regions
 
 _EVENTS = ", ".join(f"`{k}` {'string' if k == 'starting_time' else 'double'}" for k in detector.FEATURES)
-THRESHOLD = f"recording_id string, filename string, {_EVENTS}, event_start bigint, event_end bigint, amp_track array<double>, freq_track array<double>"
+THRESHOLD = f"recording_id string, filename string, {_EVENTS}, event_start bigint, event_end bigint, amp_track array<double>, freq_track array<double>, _from double, _to double"
 _REGIONS = ", ".join(f"`{k}` {'string' if k == 'starting_time' else 'double'}" for k in regions.FEATURES)
 REGION = f"recording_id string, filename string, {_REGIONS}, first double, last double"
 
@@ -81,14 +81,11 @@ def threshold_detection(recordings: DataFrame, channel: str = "left", acoustic_f
             f = detector.extract(e, rate, own)
             reference = 2.0 ** 15
             f["amp_track"] = [float(v) for v in np.maximum(20 * np.log10(np.maximum(np.array(f["amp_track"]), 1e-300) / reference), -6000)]
-            yield f
+            yield f | {"_from": f["event_start"] * 1000 / rate, "_to": f["event_end"] * 1000 / rate}
 
-    columns = ["recording_id", "filename", *detector.FEATURES, "event_start", "event_end", "amp_track", "freq_track"]
+    columns = ["recording_id", "filename", *detector.FEATURES, "event_start", "event_end", "amp_track", "freq_track", "_from", "_to"]
     found = _run(recordings, channel, work, THRESHOLD, columns)
-    rates = recordings.select("recording_id", F.col("sample_rate").alias("_rate"))
-    found = found.join(rates, "recording_id")
-    ms = lambda c: F.col(c) * 1000 / F.col("_rate")
-    kept = spacing_filter(found, ms("event_start"), ms("event_end"), s.min_TBE, s.max_TBE, ["recording_id"], [F.col("event_start"), F.col("event_end")]).drop("_rate")
+    kept = spacing_filter(found, F.col("_from"), F.col("_to"), s.min_TBE, s.max_TBE, ["recording_id"], [F.col("event_start"), F.col("event_end")]).drop("_from", "_to")
     if not acoustic_feat:
         kept = kept.select("recording_id", "filename", "starting_time", "duration", "event_start", "event_end")
     return _attach(kept, recordings, s if settings else None, metadata)
