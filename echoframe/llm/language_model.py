@@ -200,13 +200,18 @@ assert SLOTS == 1 << (64 - 45)
 
 def train_counts(stream: Stream, vocabulary: Vocabulary, counts: np.ndarray) -> None:
     """Add the bits of training documents to counts (slot, bit)."""
-    np.add.at(counts, (AT[4] + stream.run[stream.open], stream.hit[stream.open].astype(np.int64)), 1)
     flat = counts.reshape(-1)
+
+    def add(table: int, slot: np.ndarray, bit: np.ndarray) -> None:
+        low, high = 2 * int(AT[table]), 2 * int(AT[table + 1])
+        flat[low:high] += np.bincount(slot * 2 + bit - low, minlength=high - low).astype(flat.dtype)
+
+    add(4, AT[4] + stream.run[stream.open], stream.hit[stream.open].astype(np.int64))
     coded = np.flatnonzero(~stream.hit)
-    for a in range(0, len(coded), BLOCK_TOKENS):
-        _, _, bit, slots = stream.expand(coded[a : a + BLOCK_TOKENS], vocabulary)
-        for s in slots:
-            np.add.at(flat, s * 2 + bit, 1)
+    for a in range(0, len(coded), 10 * BLOCK_TOKENS):
+        _, _, bit, slots = stream.expand(coded[a : a + 10 * BLOCK_TOKENS], vocabulary)
+        for table, slot in enumerate(slots):
+            add(table, slot, bit)
 
 
 class Tables:
@@ -215,7 +220,7 @@ class Tables:
     def __init__(self, counts: np.ndarray):
         n0, n1 = counts[:, 0].astype(np.float64), counts[:, 1].astype(np.float64)
         n = n0 + n1
-        self.stretch = np.where(n < 3, 0, np.log((n1 + 0.3) / (n0 + 0.3)) * n / (n + 1.5)).astype(np.float16)
+        self.stretch = np.where(n < 3, 0, np.log((n1 + 0.3) / (n0 + 0.3)) * n / (n + 1.5)).astype(np.float32)
         self.seen = ((n >= 3).astype(np.int8) + (n >= 40)).astype(np.int8)
         follow = counts[AT[4] :].astype(np.float64)
         self.follow = (follow[:, 1] + 0.5) / (follow.sum(axis=1) + 1.0)
@@ -236,7 +241,7 @@ class Mixer:
         coded = ~stream.hit
         inner = coded & (stream.distinct >= 0)
         np.add.at(out, stream.doc[inner], within[stream.distinct[inner]])
-        own = np.zeros((docs * NODES, 2), dtype=np.float32)
+        own = np.zeros(docs * NODES * 2, dtype=np.float32)
         delta = np.zeros((docs, INPUTS), dtype=np.float32)
         step, low = FIRST_STEP, 0
         longest = int(stream.length.max()) if docs else 0
@@ -260,29 +265,37 @@ class Mixer:
             return
         token, node, bit, slots = stream.expand(which, vocabulary)
         doc = stream.doc[token]
+        one = np.float32(1)
         x = np.empty((INPUTS, len(token)), dtype=np.float32)
         for k, s in enumerate(slots):
-            x[k] = tables.stretch[s]
-        place = doc * NODES + node
-        seen = own[place]
-        total = seen[:, 0] + seen[:, 1]
-        x[4] = np.log((seen[:, 1] + 0.4) / (seen[:, 0] + 0.4)) * (total / (total + 2))
+            np.take(tables.stretch, s, out=x[k])
+        place = (doc * NODES + node) * 2
+        zeros, ones = own[place], own[place + 1]
+        total = zeros + ones
+        x[4] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))) * (total / (total + 2 * one))
         gate = tables.seen[slots[2]].astype(np.int64) * 2 + (tables.seen[slots[3]] > 1)
-        weights = self.weights.T[:, gate]
-        odds = np.einsum("kn,kn->n", weights + delta.T[:, doc], x)
-        p = 1 / (1 + np.exp(-np.clip(odds, -11, 11)))
-        p = np.clip(p, 1e-4, 1 - 1e-4)
-        out += np.bincount(doc, weights=-np.log2(np.where(bit == 1, p, 1 - p)), minlength=len(out))
-        error, spread = bit - p, p * (1 - p)
+        odds = np.zeros(len(token), dtype=np.float32)
+        for k in range(INPUTS):
+            odds += (self.weights[gate, k] + delta[doc, k]) * x[k]
+        p = np.clip(one / (one + np.exp(-np.clip(odds, -9, 9))), np.float32(1e-4), np.float32(1 - 1e-4))
+        bits = bit.astype(np.float32)
+        cost = -np.log2(np.abs(one - bits - p))
+        # tokens come document by document
+        edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        here = doc[edge]
+        out[here] += np.add.reduceat(cost, edge, dtype=np.float64)
+        error, spread = bits - p, p * (one - p)
         teach = training[doc]
+        every = bool(teach.all())
         for k in range(INPUTS):
             push, curve = error * x[k], spread * x[k] * x[k]
-            up = np.bincount(gate[teach], weights=push[teach], minlength=GATES)
-            down = np.bincount(gate[teach], weights=curve[teach], minlength=GATES)
-            self.weights[:, k] += (0.25 * up / (down + 200)).astype(np.float32)
-            up, down = np.bincount(doc, weights=push, minlength=len(out)), np.bincount(doc, weights=curve, minlength=len(out))
-            delta[:, k] = 0.98 * delta[:, k] + (0.1 * up / (down + 30)).astype(np.float32)
-        np.add.at(own, (place, bit), 1)
+            if every or teach.any():
+                g, a, b = (gate, push, curve) if every else (gate[teach], push[teach], curve[teach])
+                up, down = np.bincount(g, weights=a, minlength=GATES), np.bincount(g, weights=b, minlength=GATES)
+                self.weights[:, k] += (0.25 * up / (down + 200)).astype(np.float32)
+            up, down = np.add.reduceat(push, edge, dtype=np.float64), np.add.reduceat(curve, edge, dtype=np.float64)
+            delta[here, k] = 0.98 * delta[here, k] + (0.1 * up / (down + 30)).astype(np.float32)
+        np.add.at(own, place + bit, one)
 
 
 _COLUMNS = "kind int, group int, bucket int, hashes binary, counts binary"
