@@ -156,6 +156,11 @@ class Labeller:
                 self.visit(at, self.label[at - 1])
         return sorted(self.regions.values(), key=lambda r: r.first)
 
+    def pixels_of(self, r: Region) -> int:
+        """Pixels with a region's label."""
+        a, b = r.first // self.height, r.last // self.height + 1
+        return self.label[a * self.height : b * self.height].count(r.number)
+
     def segment(self, r: Region) -> np.ndarray:
         """The columns of a region with its own pixels only."""
         a, b = r.first // self.height, r.last // self.height + 1
@@ -186,8 +191,13 @@ def quantile_bins(x: np.ndarray, shares=(0.025, 0.25, 0.5, 0.75, 0.975)) -> list
     return [int(np.argmax(run >= q * run[-1])) for q in shares]
 
 
-def features(segment: np.ndarray, sample_rate: int, size: int) -> dict[str, float]:
-    """Shape features of a segment (row 0 is the highest frequency)."""
+def features(segment: np.ndarray, sample_rate: int, size: int, compat: str = "reference", low: int = 0) -> dict[str, float]:
+    """Shape features of a segment (row 0 is the highest frequency).
+
+    compat='reference' counts frequencies from the lowest row, starting at 1, and scales
+    skewness and kurtosis, too, by the Hz of a bin; 'textbook' adds the lowest bin `low`
+    and leaves those two without a unit.
+    """
     low_first = segment[::-1]
     h, w = low_first.shape
     envelope = low_first.sum(axis=0)
@@ -220,7 +230,12 @@ def features(segment: np.ndarray, sample_rate: int, size: int) -> dict[str, floa
     out["q"] = out["freq_centroid"] / max(out["freq_bandwith"] / scale, 1.0)
     bins = [b * scale for b in quantile_bins(power)]
     out |= dict(zip(("quant_2.5", "quant_25", "quant_50", "quant_75", "quant_97.5"), bins))
-    return out | {"freq_bw_95_ci": bins[4] - bins[0], "freq_bw_75_ci": bins[3] - bins[1]}
+    out |= {"freq_bw_95_ci": bins[4] - bins[0], "freq_bw_75_ci": bins[3] - bins[1]}
+    if compat == "textbook":
+        out |= {k: v / scale for k, v in out.items() if k.endswith(("_skew", "_kurtosis"))}
+        out |= {k: v + low * scale for k, v in out.items() if k.startswith("quant_")}
+        out["freq_centroid"] += (low - 1) * scale
+    return out
 
 
 def detect(samples: np.ndarray, sample_rate: int, s: Settings) -> list[dict]:
@@ -235,11 +250,11 @@ def detect(samples: np.ndarray, sample_rate: int, s: Settings) -> list[dict]:
     labels = Labeller(p, s.compat)
     out = []
     for r in labels.run():
-        if r.visits <= s.min_area:
+        if (r.visits if s.compat == "reference" else labels.pixels_of(r)) <= s.min_area:
             continue
         segment = labels.segment(r)
         duration = segment.shape[1] * step / sample_rate * 1000
         if s.min_dur <= duration <= s.max_dur:
             at = step / (len(p) * sample_rate)
-            out.append({"starting_time": clock(r.first * at), "duration": duration, "first": r.first * at, "last": r.last * at, **features(segment, sample_rate, size)})
+            out.append({"starting_time": clock(r.first * at), "duration": duration, "first": r.first * at, "last": r.last * at, **features(segment, sample_rate, size, s.compat, low)})
     return out

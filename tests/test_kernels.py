@@ -189,3 +189,14 @@ def test_noise_floor_is_a_moving_mean():
     for k, v in enumerate(values):
         floor.add(v)
         assert np.allclose(floor.mean, values[max(0, k - 4) : k + 1].mean(axis=0))
+
+
+def test_region_features_in_both_readings():
+    x, rate = chirps(count=2)
+    a = regions.detect(x, rate, regions.Settings(LPF=rate / 2))
+    b = regions.detect(x, rate, regions.Settings(LPF=rate / 2, compat="textbook"))
+    assert all(35000 < f["quant_50"] < 65000 for f in b) and all(abs(f["freq_skew"]) < 20 for f in b)
+    assert max(abs(f["freq_kurtosis"]) for f in a) > 20
+    solid = np.pad(np.ones((5, 5)), 2)
+    labels = regions.Labeller(solid)
+    assert [(r.visits, labels.pixels_of(r)) for r in labels.run()] == [(26, 25)]
