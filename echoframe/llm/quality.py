@@ -94,9 +94,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 5, rest: int = 0) -> DataFrame:
-    """docs, with all their columns, without those that score below the threshold."""
+    """docs, with all their columns, without those that score below the threshold.
+
+    Texts aren't shuffled: statistics are made of all of them to train on those with a
+    label, and again where the texts lie to filter them.
+    """
     small_batches(docs.sparkSession)
-    features = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<float>")
+    # written: else a small table of labels would put two Python workers side by side in each task
+    features = written(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<float>"), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(features, labels, "quality", mod, rest))
 
     def run(batches):
