@@ -160,7 +160,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     plan = mix(docs, weights, cap).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").groupBy(key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     plan = written(plan, "plan")
     inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    a, b = inside.alias("a"), plan.alias("b")
+    # the plan has a row a document, so it is never a table to broadcast
+    a, b = inside.alias("a"), plan.alias("b").hint("merge")
     joined = a.join(b, [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._source").eqNullSafe(F.col("b._source")), F.col("a._size") == F.col("b._size")]).select("_row", "a._id", "a._source", "a._size", "_copies", "_rows")
     take = F.col("_copies")
     if plan.filter("_rows > 1").limit(1).count():

@@ -204,7 +204,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     """Those pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    out = written(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "confirmed")
+    out = written(pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "confirmed")
     forget(sets)
     return out
 
@@ -359,7 +359,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     found = written(near_duplicates(docs, shingle, percent), "groups")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    # as many rows as documents, in the worst case: never a table to broadcast
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     if not repeated.limit(1).count():
         return left.select(docs.columns)
     return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
