@@ -111,7 +111,7 @@ class Ragged:
 class Cache:
     """Values of distinct spans by hash; forgets all when it holds `most`."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self.clear()
 

@@ -47,9 +47,9 @@ def forget(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows and about 8 MB, so that Python workers hold little at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of at most 1,000 rows and about 4 MB, so that Python workers hold little at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

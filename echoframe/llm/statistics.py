@@ -62,12 +62,13 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mark = np.zeros(256, dtype=bool)
     mark[list(b"#$%&*!|~^_=+<>\\{}[]@")] = True
     out["marked_words"] = _squash(_sum_by(mark[last], w.first) / n)
-    upper = np.zeros(256, dtype=np.int64)
+    upper = np.zeros(256, dtype=np.int8)
     upper[65:91] = 1
-    lower = np.zeros(256, dtype=np.int64)
+    lower = np.zeros(256, dtype=np.int8)
     lower[97:123] = 1
-    ups = np.concatenate([[0], np.cumsum(upper[data])])
-    lows = np.concatenate([[0], np.cumsum(lower[data])])
+    ups, lows = np.zeros(len(data) + 1, dtype=np.int32), np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(upper[data], dtype=np.int32, out=ups[1:])
+    np.cumsum(lower[data], dtype=np.int32, out=lows[1:])
     shout = (ups[w.end] - ups[w.start] > 1) & (lows[w.end] == lows[w.start])
     out["upper_words"] = _squash(_sum_by(shout, w.first) / n)
     chain = np.concatenate([[np.uint64(0)], np.cumsum(mix64(w.hash), dtype=np.uint64)]) if len(w.hash) else np.zeros(1, np.uint64)
