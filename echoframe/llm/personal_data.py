@@ -7,9 +7,10 @@ that it stands for; the same detectors run on the rewritten text, and what they
 through a rewritten character maps back to source spans.  Base spans always stay;
 a span that would overlap a base span of its kind isn't added.
 
-Only texts that hold a digit, an @ or a sign of disguise are looked at character by
-character; array operations over whole buffers find them.  Offsets are code points,
-ends exclusive.  A null text is an empty one.
+Array operations over whole buffers leave out the texts in which neither a base
+detector nor a transducer can find anything; that filter lets through every text that
+a transducer would rewrite into a span.  Offsets are code points, ends exclusive.  A
+null text is an empty one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +97,13 @@ class Tape:
     """A rewritten text that knows, for each of its characters, the source span and whether it was rewritten."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        self.text, self.rewritten = text, False
 
     def rewrite(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> None:
         """Replace [a, b) by characters, each standing for [from, to) of this text; edits are in order and apart."""
+        if not self.rewritten:  # most texts never are
+            n, self.rewritten = len(self.text), True
+            self.start, self.end, self.new = list(range(n)), list(range(1, n + 1)), [False] * n
         text, start, end, new, done = [], [], [], [], 0
         gaps = []
         for a, b, characters in [*edits, (len(self.text), len(self.text), [])]:
@@ -119,29 +125,36 @@ class Tape:
         self.text, self.start, self.end, self.new = "".join(text), start, end, new
 
 
+@lru_cache(maxsize=1 << 16)
+def _stands_for(c: str) -> str | None:
+    """The ASCII character that a character stands for; nothing for a hidden one, None for any other."""
+    if c < "\u0080":
+        return None
+    if c in _HIDDEN:
+        return ""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
+    plain = unicodedata.normalize("NFKC", c)
+    return plain if plain != c and len(plain) == 1 and plain.isascii() else None
+
+
 def fold_lookalikes(tape: Tape) -> None:
     """Look-alike, full-width and styled letters and digits to ASCII; hidden characters vanish."""
-    edits = []
-    for k, c in enumerate(tape.text):
-        if c < "\u0080":
-            continue
-        if c in _HIDDEN:
-            edits.append((k, k + 1, []))
-        elif c in LOOKALIKES:
-            edits.append((k, k + 1, [(LOOKALIKES[c], k, k + 1)]))
-        elif c.isdecimal():
-            edits.append((k, k + 1, [(str(unicodedata.decimal(c)), k, k + 1)]))
-        elif (plain := unicodedata.normalize("NFKC", c)) != c and len(plain) == 1 and plain.isascii():
-            edits.append((k, k + 1, [(plain, k, k + 1)]))
-    if edits:
-        tape.rewrite(edits)
+    if tape.text.isascii():
+        return
+    plain = {c: p for c in set(tape.text) if (p := _stands_for(c)) is not None}
+    if plain:
+        tape.rewrite([(k, k + 1, [(plain[c], k, k + 1)] if plain[c] else []) for k, c in enumerate(tape.text) if c in plain])
 
 
 _WORD_DIGITS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+|\+\s*)?(?:(?:{_WORD_DIGITS}|[0-9]+)(?:[\s,-]+|(?!\w))|(?:{DOT_WORDS})\s+(?=(?:{_WORD_DIGITS})(?!\w))){{3,}}", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|\+|{_WORD_DIGITS}|[0-9]+|{DOT_WORDS}", re.IGNORECASE)
-_DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9])\s+(?:{DOT_WORDS}|\.)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
-_AT_BRACKETS = re.compile(r"\s*[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]\s*", re.IGNORECASE)
+#: Blanks before a bracket are tried from the first one only, so that long runs of them cost linear time.
+_DOT = re.compile(rf"(?:(?<!\s)\s+)?[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9])\s+(?:{DOT_WORDS}|\.)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
+_AT_BRACKETS = re.compile(r"(?:(?<!\s)\s+)?[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]\s*", re.IGNORECASE)
 _AT_APART = re.compile(r"(?<=[A-Za-z0-9])(?:\s+@\s*|@\s+)(?=[A-Za-z0-9])")
 _AT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 
@@ -177,10 +190,11 @@ def read_at_and_dot(tape: Tape) -> None:
         return bool(m) and (m.end() in ends or tape.text[at - 1 : at].isspace() and "@" in tape.text[max(0, at - 3) : at] and "." in m[0])
 
     ats += [x for x in bare if host_follows(x[1])]
-    signs = {a for _, a, _, _ in ats}
+    signs = sorted({b for _, b, _, _ in ats})
     edits, busy = [], -1
     for a, b, sign, sure in sorted([*dots, *ats]):
-        near = any(x <= a and a - x < 80 for x in signs) or any(0 <= x - b < 80 for x in signs) or "@" in tape.text[max(0, a - 80) : a]
+        before, after = bisect_right(signs, a), bisect_left(signs, b)
+        near = before and a - signs[before - 1] < 80 or after < len(signs) and signs[after] - b < 80 or "@" in tape.text[max(0, a - 80) : a]
         if a >= busy and (sign == "@" or sure or near):
             edits.append((a, b, [(sign, a, b)]))
             busy = b
@@ -194,7 +208,7 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     fold_lookalikes(tape)
     read_spelled_digits(tape)
     read_at_and_dot(tape)
-    if not any(tape.new):
+    if not tape.rewritten:
         return []
     out = []
     for kind, a, b in base_spans(tape.text):
@@ -217,14 +231,20 @@ def join_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-_SIGN_HASHES = np.sort(np.concatenate([np.zeros(0, np.uint64), *hash_words([*DIGIT_WORDS, *DOT_WORDS.split("|"), "at", "arroba", "plus"], ALNUM)]))
-_DOT_HASHES = np.sort(np.concatenate(hash_words(DOT_WORDS.split("|"), ALNUM)))
-_DIGIT_HASHES = np.sort(np.concatenate(hash_words([*DIGIT_WORDS, *"0123456789"], ALNUM)))
-_PLAIN = np.zeros(256, dtype=bool)
-_PLAIN[[0x40, *range(0x30, 0x3A)]] = True
-#: Lead bytes of look-alikes: Greek, Cyrillic, other digits, general punctuation and styled or full-width signs, soft hyphen.
-_ODD = np.zeros(256, dtype=bool)
-_ODD[[0xC2, *range(0xCD, 0xD5), 0xD9, 0xDB, 0xE0, 0xE2, 0xEF, 0xF0]] = True
+def _hashes(texts: list[str]) -> np.ndarray:
+    return np.sort(np.concatenate(hash_words(texts, ALNUM)))
+
+
+#: Words fold A-Z only, the transducers' patterns any letter.
+_DIGIT_HASHES = _hashes([*DIGIT_WORDS, *(w.upper() for w in DIGIT_WORDS if not w.isascii())])
+_DOT_HASHES = _hashes(DOT_WORDS.split("|"))
+_AT_HASHES = _hashes(["at", "arroba"])
+_FIGURE = np.zeros(256, dtype=bool)
+_FIGURE[range(0x30, 0x3A)] = True
+_PLAIN = _FIGURE.copy()
+_PLAIN[0x40] = True
+_BRACKET = np.zeros(256, dtype=bool)
+_BRACKET[list(b"([{<")] = True
 
 
 def _any_by_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -232,25 +252,43 @@ def _any_by_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] > total[bounds[:-1]]
 
 
+def _strange(data: np.ndarray) -> np.ndarray:
+    """Bytes of characters other than ASCII and the letters from U+00C0 to U+00FF; only such characters are folded, and only they part words in ways that ALNUM doesn't know."""
+    out = data >= 0x80
+    if len(data) > 1:
+        lead, rest = data[:-1], data[1:]
+        letter = np.flatnonzero((lead == 0xC3) & (rest != 0x97) & (rest != 0xB7))
+        out[letter] = out[letter + 1] = False
+    return out
+
+
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that may hold base spans, and texts that may hold disguised ones."""
-    plain = _any_by_text(_PLAIN[data], offsets)
+    """Texts that may hold base spans, and texts that may hold disguised ones.
+
+    Without a strange character, a text is rewritten only if it has three digit words,
+    dot words or numbers of any length in a row with a digit word among them; a bracket
+    with an at or dot behind it; an @ beside a blank; or a dot word or a dot between
+    blanks together with an at or @.
+    """
     w = words(data, offsets, ALNUM)
+    in_texts = lambda flags: _any_by_text(flags, offsets)
     member = lambda keys: keys[np.minimum(np.searchsorted(keys, w.hash), len(keys) - 1)] == w.hash
-    digit = member(_DIGIT_HASHES)
-    run = digit.copy()
-    for k in range(1, 3):
-        run[:-k] &= digit[k:]
-        run[len(run) - k :] = False
-    odd = _any_by_text(_ODD[data], offsets)
-    brackets = _any_by_text((data == 0x28) | (data == 0x5B) | (data == 0x7B) | (data == 0x3C), offsets)
-    at_or_dot = _any_by_text(member(_SIGN_HASHES), w.first)
-    apart = np.zeros(len(data), dtype=bool)
-    if len(data) > 2:
-        sign, before, after = data[1:-1], data[:-2], data[2:]
-        apart[1:-1] = (sign == 0x40) & ((before <= 0x20) | (after <= 0x20)) | ((sign == 0x2E) | (sign == 0x40)) & np.isin(before, np.frombuffer(b"([{<", dtype=np.uint8))
-    odd |= _any_by_text(apart, offsets)
-    return plain, odd | _any_by_text(run, w.first) | _any_by_text(member(_DOT_HASHES), w.first) | (brackets & at_or_dot)
+    figures = np.concatenate([[0], np.cumsum(_FIGURE[data])])
+    spelled, dot_word = member(_DIGIT_HASHES), member(_DOT_HASHES)
+    part = spelled | dot_word | (figures[w.end] - figures[w.start] == w.end - w.start)
+    run = np.zeros(len(part), dtype=bool)
+    if len(part) > 2:
+        run[:-2] = part[:-2] & part[1:-1] & part[2:] & (spelled[:-2] | spelled[1:-1] | spelled[2:])
+    blank = data <= 0x20
+    before, after = np.append(True, blank[:-1])[: len(data)], np.append(blank[1:], True)[: len(data)]
+    behind = np.append(False, _BRACKET[data[:-1]])[: len(data)]
+    sign, dot = data == 0x40, data == 0x2E
+    at = in_texts(sign) | _any_by_text(member(_AT_HASHES), w.first)
+    dots = _any_by_text(dot_word, w.first)
+    disguised = in_texts(_strange(data)) | _any_by_text(run, w.first) | in_texts(sign & (before | after))
+    disguised |= in_texts(_BRACKET[data]) & (at | dots | in_texts(dot & (before | behind)))
+    disguised |= at & (dots | in_texts(dot & before & after))
+    return in_texts(_PLAIN[data]), disguised
 
 
 def find_all(docs: DataFrame) -> DataFrame:

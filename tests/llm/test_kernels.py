@@ -139,6 +139,45 @@ def test_disguises(text, kind, part):
     assert personal_data.suspects(*buffers(pa.array([text])))[1][0]
 
 
+MIXED = [
+    "call +1 202 555 five zero 12 now", "+49 170 555 null eins 23", "card 4111 1111 1111 one one 11", "john@example . com", "john at example . com", "john ( @ ) example ( . ) com",
+    "host 192 ( . ) 168 ( . ) 0 ( . ) 1 up", "tel +49 170 FÜNF 555 ZÉRO 123", "tel +49\x85170\x85fünf\x85555\x85123", "card 4111 ×four×1 1 1111 1111 1111", "tel +៤៩ ១៧០ ៥៥៥១២៣", "jᵒhn@exam​ple.com", "jᴼhn＠example.com", "write\u3000john\u3000@ mail.com",
+]
+
+
+@pytest.mark.parametrize("text", MIXED)
+def test_mixed_disguises_pass_the_filter(text):
+    plain, disguised = personal_data.suspects(*buffers(pa.array([text])))
+    base, added = personal_data.find_personal_data(text)
+    assert (plain[0] or not base) and (disguised[0] or not added)
+
+
+def test_the_filter_lets_through_whatever_is_rewritten():
+    rng = random.Random(8)
+    parts = [*personal_data.DIGIT_WORDS, "FÜNF", "Zéro", *"0123456789", "12", "4111", " ", " ", " ", " ", "-", ", ", "+", "plus ", ".", " . ", "@", " @ ", " at ", "arroba", " dot ", "punkt", "(", "[", ")", "]", "< ", "ab", "x.com", "é", "×", "_", "\x1c", "\x85", "ｊ", "ᵒ", "٤", "¹", "。", "“"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(30000)] + MIXED + [None, ""]
+    plain, disguised = personal_data.suspects(*buffers(pa.array(texts, pa.large_string())))
+    found = 0
+    for text, p, d in zip(texts, plain, disguised):
+        base, added = personal_data.find_personal_data(text or "")
+        found += len(added)
+        assert (p or not base) and (d or not added), text
+        if not d:
+            tape = personal_data.Tape(text or "")
+            for step in (personal_data.fold_lookalikes, personal_data.read_spelled_digits, personal_data.read_at_and_dot):
+                step(tape)
+            assert not getattr(tape, "rewritten", any(getattr(tape, "new", ()))), text
+    assert found > 100
+    for c in range(0xC0, 0x100):  # letters that the filter takes as plain
+        tape = personal_data.Tape(chr(c))
+        personal_data.fold_lookalikes(tape)
+        assert tape.text == chr(c)
+
+
+def test_long_runs_of_blanks_and_dots_cost_linear_time():
+    assert personal_data.find_personal_data("a" + " " * 300000 + "x [at] y" + " ." * 50000)[0] == []
+
+
 def test_plain_text_is_left_alone():
     for text in ("we met at noon on the dot at the point of no return", "un deux trois", "look at example.com dot", "a (b) at [c]"):
         assert personal_data.find_personal_data(text) == ([], [])

@@ -15,6 +15,7 @@ import __spark_entry__ as entry
 from echoframe.llm import decontaminate, fingerprints, language_model, mixing, near_duplicates, personal_data, quality, token_counts, token_files, toxicity
 
 from .conftest import SF, lower, text_of
+from .test_kernels import MIXED
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,6 +110,18 @@ def test_personal_data(docs, empty):
     assert personal_data.find_all(empty).count() == 0
 
 
+def test_personal_data_finds_all_of_every_row(spark, docs):
+    mixed = [(k, t, "en", "src0", 0) for k, t in enumerate(MIXED, 20000)]
+    rows = docs.unionByName(spark.createDataFrame(mixed, docs.schema))
+    got = Counter((r.doc_id, r.spans, r.n_added) for r in personal_data.find_all(rows).collect())
+    want = Counter()
+    for i, t in text_of(rows):
+        b, added = personal_data.find_personal_data(t or "")
+        want[i, personal_data.join_spans(b + added), len(added)] += 1
+    assert got == want
+    assert sum(n for i, _, n in got if i in range(20000, 20003)) == 3
+
+
 # 5
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
