@@ -6,7 +6,7 @@ whether its follower comes again.  If not, the bits of a Huffman code of the tok
 symbol: the most frequent words and the end have symbols of their own, other words
 share one by the octave of their training count, unseen words another one.  Within an
 octave a word has its share of the octave's tokens, so no bits are spent on what no
-context predicts.  Unseen words are one type, as in the unigram base score.
+symbol predicts.  Unseen words are one type, as in the unigram base score.
 
 Every code bit is predicted by several contexts: none, the symbol before (exact), two
 hashed ones (two symbols before; the last two frequent words, which tell the
@@ -15,18 +15,30 @@ them: weights are chosen by how often the hashed contexts were seen, learned onl
 from the training documents of the group at hand, and refined by each document's own
 past.  Total bits per byte follow from the bits of all decisions.
 
-Counts cover all training documents.  Words are counted exactly, in buckets by hash,
-and each group of documents gets back the counts of its own words, so nothing that
-grows with the vocabulary is broadcast; the context tables have a fixed size.
+What the mixer says of a token is the prior of two contexts that hold the real words
+before it, whatever their rank: the preceding word, then the two preceding words.
+With n tokens of the training documents in a context, c of them the token itself,
+P = (c + s P') / (n + s), s = A n ** B, where P' is the shorter context's; s follows n as the
+number of different followers does, and as it depends on the context alone, P stays
+a distribution.
+
+Counts cover all training documents.  Words, pairs and triples are counted exactly, in
+buckets by hash, all of them, and each group of documents gets back the counts of its
+own, so they grow with the training tokens and nothing that grows with the vocabulary is
+broadcast.  Only the tables of the symbols' bits, the prior of the words' contexts, have a
+fixed size.
 
 Learned counts leave the word itself out (a training word seen c times is trained as
-one seen c - 1 times), so unseen words have their fair share.
+one seen c - 1 times), so unseen words have their fair share; so do pairs and triples
+when a training document is scored.
 Defined results: a null text is empty and consists of the end alone; without training
 documents every known count is zero.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import heapq
 import uuid
 
@@ -57,6 +69,13 @@ BLOCK_DOCS, BLOCK_TOKENS, FIRST_STEP, LAST_STEP = 1500, 30_000, 32, 2048
 INPUTS, GATES = 5, 6
 START = np.array([0.1, 0.35, 0.3, 0.25, 0.1], dtype=np.float32)
 _BUCKET_SALT = U64(0x2545F4914F6CDD1D)
+#: Hashes of the end and of what stands before a document; what parts pairs from triples; bits of the hash of a pair or triple.
+_END, _BEFORE, _PAIR, _TRIPLE = (mix64(np.array([k], dtype=U64))[0] for k in (0xE17D, 0xBEF0, 0x2, 0x3))
+GRAM_BITS = 52
+#: Pairs and triples that a bucket adds up at once.
+ANSWERED = 200_000
+#: A and B of the two contexts of real words (fixed).
+FOLLOWERS = ((8.0, 0.75), (3.0, 0.8))
 
 
 class Tokens:
@@ -71,8 +90,83 @@ class Tokens:
         self.hash = w.hash
         self.distinct, self.index = np.unique(w.hash, return_inverse=True)
 
-    def buckets(self, count: int) -> np.ndarray:
-        return (mix64(self.distinct ^ _BUCKET_SALT) % U64(count)).astype(np.int64)
+
+class Grams:
+    """Pairs and triples of words that end at each token (a document's end included) of a group, and their distinct hashes."""
+
+    def __init__(self, tokens: Tokens):
+        self.length = tokens.length + 1
+        self.at = np.concatenate([[0], np.cumsum(self.length)])
+        total = int(self.at[-1])
+        self.first, self.last = self.at[:-1], self.at[1:] - 1
+        self.inner = np.ones(total, dtype=bool)
+        self.inner[self.last] = False
+        word = np.full(total, _END, dtype=U64)
+        word[self.inner] = tokens.hash
+        one = np.append(_BEFORE, word[:-1])[:total]
+        one[self.first] = _BEFORE
+        two = np.append(_BEFORE, one[:-1])[:total]
+        self.later = np.ones(total, dtype=bool)  # tokens with a triple
+        self.later[self.first] = False
+        self.keys = np.concatenate([mix64(word ^ mix64(one ^ _PAIR)), mix64(word ^ mix64(one ^ mix64(two ^ _TRIPLE)))[self.later]]) >> U64(64 - GRAM_BITS)
+
+    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs and triples in order, and how often the documents marked hold each."""
+        train = np.repeat(train, self.length)
+        keys = self.keys * U64(2) + np.concatenate([train, train[self.later]])
+        keys.sort()
+        mark, keys = (keys & U64(1)).astype(np.uint32), keys >> U64(1)
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[start], np.add.reduceat(mark, start) if len(start) else mark
+
+    def index(self) -> int:
+        """Sets the place of each token's pair and triple among the distinct ones; their number."""
+        total = len(self.inner)
+        distinct, index = np.unique(self.keys, return_inverse=True)
+        self.distinct, self.keys = distinct, None
+        self.pair, self.triple = index[:total].astype(np.int32), index[total:].astype(np.int32)
+        return len(distinct)
+
+    def contexts(self, tokens: Tokens, word: np.ndarray, gram: np.ndarray, documents: int, held: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(n, c) of each token's contexts from the counts of distinct words and grams; a training document's own token is left out."""
+        total = len(self.inner)
+        pair, triple = gram[self.pair].astype(np.int64), np.zeros(total, dtype=np.int64)
+        triple[self.later] = gram[self.triple]
+        own = np.zeros(total, dtype=np.int64)
+        own[self.inner] = word[tokens.index]
+        one = np.append(0, own[:-1])[:total]
+        one[self.first] = documents
+        two = np.append(0, pair[:-1])[:total]
+        two[self.first] = 0
+        out = np.repeat(~held, self.length).astype(np.int64)
+        return [(one - out, pair - out), (np.where(self.later, two - out, 0), np.where(self.later, triple - out, 0))]
+
+    def places(self, docs: np.ndarray) -> np.ndarray:
+        """The tokens of some documents, one document after the other."""
+        n = self.length[docs]
+        return np.repeat(self.at[docs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def with_contexts(bits: np.ndarray, contexts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Bits of tokens given the real words before them; `bits` are those of the mixer alone."""
+    p = np.exp2(-bits)
+    for (a, b), (n, c) in zip(FOLLOWERS, contexts):
+        s = a * np.maximum(n, 1) ** b
+        p = np.where(n > 0, (c + s * p) / (np.maximum(n, 1) + s), p)
+    return -np.log2(p)
+
+
+def _gram_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of pairs and triples, a range of their hashes, starts among sorted keys."""
+    width = (1 << GRAM_BITS) // buckets + 1
+    return np.searchsorted(keys, np.arange(buckets + 1, dtype=U64) * U64(width))
+
+
+def _by_bucket(distinct: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of hashes by bucket, and where each bucket starts."""
+    bucket = (mix64(distinct ^ _BUCKET_SALT) % U64(count)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(count + 1))
 
 
 def _octave(count: np.ndarray) -> np.ndarray:
@@ -233,14 +327,13 @@ class Mixer:
         self.weights = np.tile(START, (GATES, 1)).astype(np.float32)
 
     def score(self, stream: Stream, vocabulary: Vocabulary, tables: Tables, within: np.ndarray, training: np.ndarray) -> np.ndarray:
-        """Bits of each document; `within` are bits of words given their symbols, `training` marks documents that teach the shared weights."""
+        """Bits of each token; `within` are bits of words given their symbols, `training` marks documents that teach the shared weights."""
         docs = len(stream.length)
-        out = np.zeros(docs)
         p = tables.follow[stream.run]
-        np.add.at(out, stream.doc[stream.open], -np.log2(np.where(stream.hit, p, 1 - p))[stream.open])
+        out = np.where(stream.open, -np.log2(np.where(stream.hit, p, 1 - p)), 0.0)
         coded = ~stream.hit
         inner = coded & (stream.distinct >= 0)
-        np.add.at(out, stream.doc[inner], within[stream.distinct[inner]])
+        out[inner] += within[stream.distinct[inner]]
         own = np.zeros(docs * NODES * 2, dtype=np.float32)
         delta = np.zeros((docs, INPUTS), dtype=np.float32)
         step, low = FIRST_STEP, 0
@@ -280,10 +373,11 @@ class Mixer:
         p = np.clip(one / (one + np.exp(-np.clip(odds, -9, 9))), np.float32(1e-4), np.float32(1 - 1e-4))
         bits = bit.astype(np.float32)
         cost = -np.log2(np.abs(one - bits - p))
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        out[token[start]] += np.add.reduceat(cost, start, dtype=np.float64)
         # tokens come document by document
         edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         here = doc[edge]
-        out[here] += np.add.reduceat(cost, edge, dtype=np.float64)
         error, spread = bits - p, p * (one - p)
         teach = training[doc]
         every = bool(teach.all())
@@ -310,24 +404,83 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], ["kind", "group", "bucket", "hashes", "counts"])
 
 
+def _pressed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint32).tobytes())
+
+
+def _unpressed(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint32)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane."""
+    planes = np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=U64)
+
+
 def _asker(buckets: int):
-    """For a group: its distinct words by bucket with their training counts (kind 0); its training documents (kind 1)."""
+    """For a group: its distinct words by bucket, and pairs and triples by further buckets, with their training counts (kind 0); its training documents (kind 1)."""
     def run(docs: pa.Table) -> pa.Table:
         tokens = Tokens(docs.column("text"))
         group = docs.column("group")[0].as_py()
         held = docs.column("held").to_numpy()
         train = np.repeat(~held, tokens.length)
         counts = np.bincount(tokens.index[train], minlength=len(tokens.distinct)).astype(np.uint32)
-        bucket = tokens.buckets(buckets)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order, at = _by_bucket(tokens.distinct, buckets)
         rows = [_row(0, group, b, tokens.distinct[order[x:y]].tobytes(), counts[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
+        grams = Grams(tokens)
+        keys, counts = grams.counted(~held)
+        at = _gram_bounds(keys, buckets)
+        rows += [_row(0, group, buckets + b, _packed(keys[x:y]), _pressed(counts[x:y])) for b, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
         return _table(rows + [_row(1, group, -1 - group % 64, b"", np.array([(~held).sum()], dtype=np.int64).tobytes())])
 
     return run
 
 
-def _answerer(blocks: pa.Table) -> pa.Table:
+def _gram_answers(blocks: pa.Table) -> pa.Table:
+    """For a bucket of pairs and triples: the totals of each asking group's (kind 2)."""
+    keys = [_unpacked(raw) for raw in blocks.column("hashes").to_pylist()]
+    counts = [_unpressed(raw) for raw in blocks.column("counts").to_pylist()]
+    total = [np.zeros(len(k), dtype=np.uint32) for k in keys]
+    # keys are in order: range by range, which holds little at once
+    low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+    ranges = 1 + sum(map(len, keys)) // ANSWERED
+    edges = np.arange(ranges + 1, dtype=U64) * U64((high - low) // ranges + 1) + U64(low)
+    cuts = [np.searchsorted(k, edges) for k in keys]
+    for r in range(ranges):
+        distinct, index = np.unique(np.concatenate([k[c[r] : c[r + 1]] for k, c in zip(keys, cuts)]), return_inverse=True)
+        found = np.bincount(index, weights=np.concatenate([n[c[r] : c[r + 1]] for n, c in zip(counts, cuts)]), minlength=len(distinct)).astype(np.uint32)[index]
+        a = 0
+        for t, c in zip(total, cuts):
+            t[c[r] : c[r + 1]] = found[a : a + c[r + 1] - c[r]]
+            a += c[r + 1] - c[r]
+    rows = [_row(2, group, bucket, b"", _pressed(t)) for group, bucket, t in zip(blocks.column("group").to_pylist(), blocks.column("bucket").to_pylist(), total)]
+    return _table(rows)
+
+
+def _answerer(buckets: int):
+    return lambda blocks: _gram_answers(blocks) if blocks.column("bucket")[0].as_py() >= buckets else _word_answers(blocks)
+
+
+def _tidy(run):
+    """run, after which a worker's free memory goes back to the system."""
+    def tidy(*tables):
+        out = run(*tables)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        return out
+
+    return (lambda docs: tidy(docs)) if run.__code__.co_argcount == 1 else (lambda docs, answers: tidy(docs, answers))
+
+
+def _word_answers(blocks: pa.Table) -> pa.Table:
     """For a bucket: the totals of each asking group's words (kind 2), and sums over the bucket (kind 3) with its most frequent words."""
     bucket = blocks.column("bucket")[0].as_py()
     if bucket < 0:
@@ -353,12 +506,21 @@ def _answerer(blocks: pa.Table) -> pa.Table:
 
 def _counts_of(tokens: Tokens, answers: pa.Table, buckets: int) -> np.ndarray:
     """Training counts of a group's distinct words from the answers of the buckets."""
-    bucket = tokens.buckets(buckets)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order, at = _by_bucket(tokens.distinct, buckets)
     out = np.zeros(len(tokens.distinct), dtype=np.int64)
-    for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()):
-        out[order[at[b] : at[b + 1]]] = np.frombuffer(c, dtype=np.uint32)
+    for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts")):
+        if b < buckets:
+            out[order[at[b] : at[b + 1]]] = np.frombuffer(c.as_py(), dtype=np.uint32)
+    return out
+
+
+def _gram_counts_of(grams: Grams, answers: pa.Table, buckets: int) -> np.ndarray:
+    """Training counts of a group's distinct pairs and triples from the answers of the buckets."""
+    out = np.zeros(grams.index(), dtype=np.uint32)
+    at = _gram_bounds(grams.distinct, buckets)
+    for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts")):
+        if b >= buckets:
+            out[at[b - buckets] : at[b - buckets + 1]] = _unpressed(c.as_py())
     return out
 
 
@@ -420,10 +582,15 @@ def _scorer(shared, buckets: int):
         shared_symbol = (symbol >= TOP) & (symbol < UNSEEN)
         within = np.zeros(len(symbol))
         within[shared_symbol] = np.log2(np.maximum(vocabulary.octave_tokens[symbol[shared_symbol] - TOP], counts[shared_symbol]) / counts[shared_symbol])
+        grams = Grams(tokens)
+        contexts = grams.contexts(tokens, counts, _gram_counts_of(grams, answers, buckets), vocabulary.documents, held)
+        del grams.pair, grams.triple, grams.distinct
         mixer, bits = Mixer(), np.zeros(docs.num_rows)
         # training documents first: what they teach serves all others of the group
         for some in _blocks(tokens, np.argsort(held, kind="stable")):
-            bits[some] = mixer.score(Stream(tokens, some, symbol), vocabulary, tables, within, ~held[some])
+            stream, places = Stream(tokens, some, symbol), grams.places(some)
+            spent = with_contexts(mixer.score(stream, vocabulary, tables, within, ~held[some]), [(n[places], c[places]) for n, c in contexts])
+            bits[some] = np.add.reduceat(spent, stream.at[:-1])
         n = docs.num_rows
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": pa.array(tokens.length + 1), "n_known": pa.array(n_known.astype(np.int64)),
@@ -433,6 +600,12 @@ def _scorer(shared, buckets: int):
     return run
 
 
+def _drop_shuffles(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte) for every row of docs.
 
@@ -447,9 +620,13 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     # bucketed by group: the three passes below read it without another shuffle of texts
     rows.repartition(groups, "group").write.option("compression", "zstd").bucketBy(groups, "group").saveAsTable(name)
+    del rows
+    _drop_shuffles(spark)
     grouped = spark.table(name)
-    asked = grouped.groupBy("group").applyInArrow(_asker(buckets), _COLUMNS)
-    answers = written(asked.groupBy("bucket").applyInArrow(_answerer, _COLUMNS), "answers")
+    asked = grouped.groupBy("group").applyInArrow(_tidy(_asker(buckets)), _COLUMNS)
+    answers = written(asked.groupBy("bucket").applyInArrow(_tidy(_answerer(buckets)), _COLUMNS), "answers")
+    del asked
+    _drop_shuffles(spark)
 
     sums = np.zeros(2 + 2 * (OCTAVES + 1), dtype=np.int64)
     parts = answers.filter("kind = 3").select("hashes", "counts")
@@ -463,15 +640,17 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
 
     answer = answers.filter("kind = 2").select("group", "bucket", "counts")
     known = spark.sparkContext.broadcast(vocabulary)
-    slices = grouped.groupBy("group").cogroup(answer.groupBy("group")).applyInArrow(_trainer(known, buckets), "slice int, counts binary")
+    slices = grouped.groupBy("group").cogroup(answer.filter(F.col("bucket") < buckets).groupBy("group")).applyInArrow(_tidy(_trainer(known, buckets)), "slice int, counts binary")
     schema = "slice int, part int, counts binary"
     slices = slices.mapInArrow(_add_slices, schema).groupBy("slice", "part").applyInArrow(_sum_slices, schema).groupBy("slice").applyInArrow(_sum_slices, schema)
     counts = np.zeros((-(-int(AT[-1]) // SLICE) * SLICE, 2), dtype=np.int64)
     for r in slices.toLocalIterator():  # a table of fixed size
         part = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), dtype=np.int64).reshape(-1, 2)
         counts[r.slice * SLICE : r.slice * SLICE + len(part)] = part
+    del slices
+    _drop_shuffles(spark)
     model = spark.sparkContext.broadcast((vocabulary, Tables(counts[: AT[-1]])))
-    scores = written(grouped.groupBy("group").cogroup(answer.groupBy("group")).applyInArrow(_scorer(model, buckets), _SCORES), "scores")
+    scores = written(grouped.groupBy("group").cogroup(answer.groupBy("group")).applyInArrow(_tidy(_scorer(model, buckets)), _SCORES), "scores")
     forget(answers)
     spark.sql(f"DROP TABLE {name}")
     return scores

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,57 @@ def test_language_model_is_a_distribution():
     assert sum(2.0 ** -n for n in np.diff(nodes.at)) == pytest.approx(1)
 
 
+def test_language_model_knows_rare_words_by_the_words_before_them(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP_BYTES", 40_000)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 50_000)
+    rng = np.random.default_rng(4)
+    pairs = [(f"a{k}", f"b{k}") for k in range(1500)]  # each word is far from the most frequent ones, and as frequent as the others
+    text = lambda ks, shift: " ".join(f"{pairs[k][0]} {pairs[(k + shift) % 1500][1]}" for k in ks)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    drawn = [rng.choice(1500, 40, replace=False) for _ in range(400)]
+    rows = [(i, text(drawn[i], 0)) for i in range(400)] + [(i, text(drawn[i], 7)) for i in held]
+    scored = language_model.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    bits = defaultdict(list)
+    for r in scored:
+        if r.held_out:
+            bits[r.doc_id].append(r.bits)
+    assert len(scored) == len(rows) and all(len(b) == 2 for b in bits.values())
+    assert all(min(b) < 0.85 * max(b) for b in bits.values())
+
+
+def test_language_model_counts_pairs_and_triples_of_words():
+    texts, held = ["a b a b c", "", "b a b", "a b d"], np.array([False, False, False, True])
+    docs = pa.table({"text": texts, "held": held, "group": pa.array([3] * 4, pa.int32())})
+    for buckets in (1, 5):
+        rows = language_model._asker(buckets)(docs)
+        rows = [r for r in rows.to_pylist() if r["kind"] == 0]
+        blocks = [language_model._table([tuple(r.values()) for r in rows if r["bucket"] == b]) for b in {r["bucket"] for r in rows}]
+        answers = pa.concat_tables([language_model._answerer(buckets)(b) for b in blocks])
+        answers = answers.filter(pa.array([k == 2 for k in answers["kind"].to_pylist()]))
+        tokens = language_model.Tokens(docs["text"])
+        grams = language_model.Grams(tokens)
+        word, gram = language_model._counts_of(tokens, answers, buckets), language_model._gram_counts_of(grams, answers, buckets)
+        got = grams.contexts(tokens, word, gram, 3, held)
+        lines = [["^", *t.split(), "$"] for t in texts]
+        count = Counter(tuple(w[k : k + n]) for w, h in zip(lines, held) if not h for n in (1, 2, 3) for k in range(len(w) - n + 1))
+        k = 0
+        for w, h in zip(lines, held):
+            for at in range(1, len(w)):
+                out = 0 if h else 1
+                want = [(count[w[at - 1],] - out, count[tuple(w[at - 1 : at + 1])] - out), (0, 0) if at == 1 else (count[tuple(w[at - 2 : at])] - out, count[tuple(w[at - 2 : at + 1])] - out)]
+                assert [(n[k], c[k]) for n, c in got] == want
+                k += 1
+
+
+def test_language_model_contexts_are_distributions():
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.ones(50))
+    pair, triple = rng.integers(0, 9, 50), rng.integers(0, 3, 50)
+    for a, b in ((pair, triple), (pair, triple * 0), (pair * 0, triple * 0)):
+        bits = language_model.with_contexts(-np.log2(p), [(np.full(50, a.sum()), a), (np.full(50, b.sum()), b)])
+        assert (2.0 ** -bits).sum() == pytest.approx(1)
+
+
 # 2
 def test_mixing(spark, docs, edges, empty):
     got = mixing.mix(docs).collect()
