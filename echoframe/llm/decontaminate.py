@@ -5,7 +5,8 @@ benchmark's vocabulary, the suffixes that start with words found at the start
 of some benchmark window are sorted by their leading words (a sparse suffix
 array: other suffixes cannot match a window), and every benchmark suffix is
 looked up by binary search.  Matching suffixes give the places of verbatim
-matches, adjacent ones the longest match.  No shuffle is needed and the
+matches; `longest` is the longest run of words that matches cover, as in the SQL
+twin, whether or not one item holds the whole run.  No shuffle is needed and the
 benchmark is sent out in blocks of bounded size.
 
 Defined results: null or wordless texts are clean; null item ids count as the
