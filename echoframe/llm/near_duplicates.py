@@ -4,7 +4,9 @@ One 64-bit hash per word shingle picks one of 128 registers; a register keeps
 the largest leading-zero count and, beside it, ten mantissa bits.  Empty
 registers borrow from a fixed sequence of others (densification), so that short
 documents have 128 comparable registers too.  Bands of four registers give
-candidates: at a similarity of 0.8 all 32 bands miss with probability 5e-8.
+candidates: at a similarity of 0.8 all 32 bands miss with probability 5e-8 if
+registers are independent.  Those of very small sets are not, as borrowed registers
+repeat: pairs of 4 and 5 shingles were missed more often (3.5e-4 in a review).
 
 1. Equal shingle sets form classes, represented by the smallest doc_id.
 2. Sorted bands: each bucket links its members to its first member only, so
