@@ -22,17 +22,25 @@ P = (c + s P') / (n + s), s = A n ** B, where P' is the shorter context's; s fol
 number of different followers does, and as it depends on the context alone, P stays
 a distribution.
 
-Counts cover all training documents.  Words, pairs and triples are counted exactly, in
-buckets by hash, all of them, and each group of documents gets back the counts of its
-own, so they grow with the training tokens and nothing that grows with the vocabulary is
-broadcast.  Only the tables of the symbols' bits, the prior of the words' contexts, have a
+Counts cover all training documents.  Words, pairs and triples are counted exactly, by
+hash and all of them, and each group of documents gets back the counts of its own
+(word_counts), so they grow with the training tokens and nothing that grows with the
+vocabulary is broadcast.  Only the tables of the symbols' and the spelling's bits have a
 fixed size.
 
+Unseen words are one type in `score`, as in the base score.  `bits` adds what it costs to
+spell them: the bits of their bytes, predicted from one, two and three bytes before
+and mixed in the same way, learned from the training words that occur once.
+`bits_per_byte` is that total for the lower-cased words, with one blank between them,
+against the bytes of the text.
+
 Learned counts leave the word itself out (a training word seen c times is trained as
 one seen c - 1 times), so unseen words have their fair share; so do pairs and triples
 when a training document is scored.
 Defined results: a null text is empty and consists of the end alone; without training
-documents every known count is zero.
+documents every known count is zero; an empty table gives an empty result; repeated
+rows are documents of their own, each counted and scored; further columns of docs are
+not read.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import heapq
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -49,31 +57,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import word_counts
 from .pieces import Ragged
 from .quality import held_out
 from .shared import forget, small_batches, written
-from .text import U64, buffers, mix64, words
+from .text import LOWER, U64, buffers, mix64, words
+from .word_counts import GRAMS, WORDS, Ranges
 
 #: Words with a symbol of their own; octaves of counts; slots of each hashed table.
 TOP, OCTAVES, SLOTS = 500, 40, 1 << 19
 UNSEEN, END = TOP + OCTAVES, TOP + OCTAVES + 1
 SYMBOLS = TOP + OCTAVES + 2
 NODES = SYMBOLS - 1
-#: The tables one after the other: no context, one symbol, two symbols, two frequent words, repeated followers.
-FOLLOW = 16
-AT = np.cumsum([0, NODES, SYMBOLS * NODES, SLOTS, SLOTS, FOLLOW])
+#: The tables one after the other: no context, one symbol, two symbols, two frequent words, repeated followers; spelling by one byte before, two, three.
+FOLLOW, LETTERS = 16, 1 << 18
+AT = np.cumsum([0, NODES, SYMBOLS * NODES, SLOTS, SLOTS, FOLLOW, 1 << 16, LETTERS, LETTERS])
+SPELLED = 5
 SLICE = 1 << 15
-GROUP_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+#: Bytes of text in a group, in a range of words' or grams' hashes, and in a partition of groups.
+GROUP_BYTES, BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 4 << 20, 24 << 20
 #: Documents and tokens that are mixed side by side, and tokens of a document between refinements (doubling).
 BLOCK_DOCS, BLOCK_TOKENS, FIRST_STEP, LAST_STEP = 1500, 30_000, 32, 2048
 INPUTS, GATES = 5, 6
 START = np.array([0.1, 0.35, 0.3, 0.25, 0.1], dtype=np.float32)
-_BUCKET_SALT = U64(0x2545F4914F6CDD1D)
-#: Hashes of the end and of what stands before a document; what parts pairs from triples; bits of the hash of a pair or triple.
+#: Weights with which the bytes of a group's first unseen words are mixed, and words that are spelled side by side.
+SPELL_START, SPELL_WORDS = np.array([0.2, 0.3, 0.5]), 2000
+#: Hashes of the end and of what stands before a document; what parts pairs from triples.
 _END, _BEFORE, _PAIR, _TRIPLE = (mix64(np.array([k], dtype=U64))[0] for k in (0xE17D, 0xBEF0, 0x2, 0x3))
-GRAM_BITS = 52
-#: Pairs and triples that a bucket adds up at once.
-ANSWERED = 200_000
+#: Bits that the hash of a pair or triple has beyond those that number the corpus's: it meets another one with probability 2**-SPARE_BITS at most.
+SPARE_BITS = 13
 #: A and B of the two contexts of real words (fixed).
 FOLLOWERS = ((8.0, 0.75), (3.0, 0.8))
 
@@ -88,14 +100,15 @@ class Tokens:
         self.length = np.diff(w.first)
         self.first = w.first
         self.hash = w.hash
-        self.distinct, self.index = np.unique(w.hash, return_inverse=True)
+        self.data, self.start, self.end = data, w.start, w.end
+        self.distinct, self.place, self.index = np.unique(w.hash, return_index=True, return_inverse=True)
 
 
 class Grams:
     """Pairs and triples of words that end at each token (a document's end included) of a group, and their distinct hashes."""
 
-    def __init__(self, tokens: Tokens):
-        self.length = tokens.length + 1
+    def __init__(self, tokens: Tokens, bits: int = 52):
+        self.length, self.bits = tokens.length + 1, bits
         self.at = np.concatenate([[0], np.cumsum(self.length)])
         total = int(self.at[-1])
         self.first, self.last = self.at[:-1], self.at[1:] - 1
@@ -108,7 +121,7 @@ class Grams:
         two = np.append(_BEFORE, one[:-1])[:total]
         self.later = np.ones(total, dtype=bool)  # tokens with a triple
         self.later[self.first] = False
-        self.keys = np.concatenate([mix64(word ^ mix64(one ^ _PAIR)), mix64(word ^ mix64(one ^ mix64(two ^ _TRIPLE)))[self.later]]) >> U64(64 - GRAM_BITS)
+        self.keys = np.concatenate([mix64(word ^ mix64(one ^ _PAIR)), mix64(word ^ mix64(one ^ mix64(two ^ _TRIPLE)))[self.later]]) >> U64(64 - bits)
 
     def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs and triples in order, and how often the documents marked hold each."""
@@ -119,13 +132,12 @@ class Grams:
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         return keys[start], np.add.reduceat(mark, start) if len(start) else mark
 
-    def index(self) -> int:
-        """Sets the place of each token's pair and triple among the distinct ones; their number."""
+    def index(self) -> None:
+        """Sets the place of each token's pair and triple among the distinct ones."""
         total = len(self.inner)
         distinct, index = np.unique(self.keys, return_inverse=True)
         self.distinct, self.keys = distinct, None
         self.pair, self.triple = index[:total].astype(np.int32), index[total:].astype(np.int32)
-        return len(distinct)
 
     def contexts(self, tokens: Tokens, word: np.ndarray, gram: np.ndarray, documents: int, held: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(n, c) of each token's contexts from the counts of distinct words and grams; a training document's own token is left out."""
@@ -156,19 +168,6 @@ def with_contexts(bits: np.ndarray, contexts: list[tuple[np.ndarray, np.ndarray]
     return -np.log2(p)
 
 
-def _gram_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of pairs and triples, a range of their hashes, starts among sorted keys."""
-    width = (1 << GRAM_BITS) // buckets + 1
-    return np.searchsorted(keys, np.arange(buckets + 1, dtype=U64) * U64(width))
-
-
-def _by_bucket(distinct: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of hashes by bucket, and where each bucket starts."""
-    bucket = (mix64(distinct ^ _BUCKET_SALT) % U64(count)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(count + 1))
-
-
 def _octave(count: np.ndarray) -> np.ndarray:
     """Symbols of words outside the top by their counts."""
     return np.where(count > 0, TOP + np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), OCTAVES - 1), UNSEEN)
@@ -292,20 +291,20 @@ def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
 assert SLOTS == 1 << (64 - 45)
 
 
-def train_counts(stream: Stream, vocabulary: Vocabulary, counts: np.ndarray) -> None:
-    """Add the bits of training documents to counts (slot, bit)."""
-    flat = counts.reshape(-1)
+def add_bits(counts: np.ndarray, table: int, slot: np.ndarray, bit: np.ndarray) -> None:
+    """Add bits to the counts (slot, bit) of one table."""
+    low, high = 2 * int(AT[table]), 2 * int(AT[table + 1])
+    counts.reshape(-1)[low:high] += np.bincount(slot * 2 + bit - low, minlength=high - low).astype(counts.dtype)
 
-    def add(table: int, slot: np.ndarray, bit: np.ndarray) -> None:
-        low, high = 2 * int(AT[table]), 2 * int(AT[table + 1])
-        flat[low:high] += np.bincount(slot * 2 + bit - low, minlength=high - low).astype(flat.dtype)
 
-    add(4, AT[4] + stream.run[stream.open], stream.hit[stream.open].astype(np.int64))
+def train_counts(stream: Stream, vocabulary: Vocabulary, counts: np.ndarray) -> None:
+    """Add the bits of training documents to counts (slot, bit)."""
+    add_bits(counts, 4, AT[4] + stream.run[stream.open], stream.hit[stream.open].astype(np.int64))
     coded = np.flatnonzero(~stream.hit)
     for a in range(0, len(coded), 10 * BLOCK_TOKENS):
         _, _, bit, slots = stream.expand(coded[a : a + 10 * BLOCK_TOKENS], vocabulary)
         for table, slot in enumerate(slots):
-            add(table, slot, bit)
+            add_bits(counts, table, slot, bit)
 
 
 class Tables:
@@ -316,10 +315,52 @@ class Tables:
         n = n0 + n1
         self.stretch = np.where(n < 3, 0, np.log((n1 + 0.3) / (n0 + 0.3)) * n / (n + 1.5)).astype(np.float32)
         self.seen = ((n >= 3).astype(np.int8) + (n >= 40)).astype(np.int8)
-        follow = counts[AT[4] :].astype(np.float64)
+        follow = counts[AT[4] : AT[5]].astype(np.float64)
         self.follow = (follow[:, 1] + 0.5) / (follow.sum(axis=1) + 1.0)
 
 
+class Spelling:
+    """Code bits of the bytes of some distinct words, each closed by a blank: eight a byte, in order of the words."""
+
+    def __init__(self, tokens: Tokens, which: np.ndarray):
+        begin, size = tokens.start[tokens.place[which]], (tokens.end - tokens.start)[tokens.place[which]] + 1
+        self.first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(self.first, size)
+        closing = place == np.repeat(size - 1, size)
+        at = np.minimum(np.repeat(begin, size) + place, max(len(tokens.data) - 1, 0))
+        byte = np.where(closing, 0x20, LOWER[tokens.data[at]] if len(tokens.data) else 0x20).astype(np.int64)
+        before = [byte]
+        for k in (1, 2, 3):
+            before.append(np.where(place >= k, np.roll(byte, k), 0x20))
+        step = np.arange(8)
+        node = ((1 << step) | (byte[:, None] >> (8 - step))).reshape(-1)
+        self.bit = ((byte[:, None] >> (7 - step)) & 1).reshape(-1)
+        one, two, three = (np.repeat(b, 8) for b in before[1:])
+        two = two << 8 | one
+        fold = lambda context: ((((context << 8 | node).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(46))).astype(np.int64)
+        self.slots = (AT[SPELLED] + (one << 8 | node), AT[SPELLED + 1] + fold(two), AT[SPELLED + 2] + fold(three << 16 | two | 1 << 24))
+
+    def cost(self, tables: Tables) -> np.ndarray:
+        """Bits of each word; weights by how often the longer contexts were seen, learned online over the words."""
+        out = np.zeros(len(self.first))
+        weights = np.tile(SPELL_START, (9, 1))
+        for a in range(0, len(self.first), SPELL_WORDS):
+            low = 8 * self.first[a]
+            high = 8 * self.first[a + SPELL_WORDS] if a + SPELL_WORDS < len(self.first) else len(self.bit)
+            slots, bit = [s[low:high] for s in self.slots], self.bit[low:high]
+            x = np.stack([tables.stretch[s] for s in slots]).astype(np.float64)
+            gate = tables.seen[slots[1]].astype(np.int64) * 3 + tables.seen[slots[2]]
+            p = np.clip(1 / (1 + np.exp(-np.clip((weights[gate].T * x).sum(axis=0), -9, 9))), 1e-4, 1 - 1e-4)
+            out[a : a + SPELL_WORDS] = np.add.reduceat(-np.log2(np.abs(1 - bit - p)), 8 * self.first[a : a + SPELL_WORDS] - low)
+            for k in range(len(x)):
+                up, down = np.bincount(gate, weights=(bit - p) * x[k], minlength=9), np.bincount(gate, weights=p * (1 - p) * x[k] ** 2, minlength=9)
+                weights[:, k] += 0.25 * up / (down + 200)
+        return out
+
+
+assert LETTERS == 1 << (64 - 46)
+
+
 class Mixer:
     """Gated weights, learned online over the documents of a group."""
 
@@ -392,81 +433,6 @@ class Mixer:
         np.add.at(own, place + bit, one)
 
 
-_COLUMNS = "kind int, group int, bucket int, hashes binary, counts binary"
-
-
-def _row(kind, group, bucket, hashes=b"", counts=b""):
-    return (kind, group, bucket, hashes, counts)
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], ["kind", "group", "bucket", "hashes", "counts"])
-
-
-def _pressed(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint32).tobytes())
-
-
-def _unpressed(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint32)
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane."""
-    planes = np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=U64)
-
-
-def _asker(buckets: int):
-    """For a group: its distinct words by bucket, and pairs and triples by further buckets, with their training counts (kind 0); its training documents (kind 1)."""
-    def run(docs: pa.Table) -> pa.Table:
-        tokens = Tokens(docs.column("text"))
-        group = docs.column("group")[0].as_py()
-        held = docs.column("held").to_numpy()
-        train = np.repeat(~held, tokens.length)
-        counts = np.bincount(tokens.index[train], minlength=len(tokens.distinct)).astype(np.uint32)
-        order, at = _by_bucket(tokens.distinct, buckets)
-        rows = [_row(0, group, b, tokens.distinct[order[x:y]].tobytes(), counts[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
-        grams = Grams(tokens)
-        keys, counts = grams.counted(~held)
-        at = _gram_bounds(keys, buckets)
-        rows += [_row(0, group, buckets + b, _packed(keys[x:y]), _pressed(counts[x:y])) for b, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
-        return _table(rows + [_row(1, group, -1 - group % 64, b"", np.array([(~held).sum()], dtype=np.int64).tobytes())])
-
-    return run
-
-
-def _gram_answers(blocks: pa.Table) -> pa.Table:
-    """For a bucket of pairs and triples: the totals of each asking group's (kind 2)."""
-    keys = [_unpacked(raw) for raw in blocks.column("hashes").to_pylist()]
-    counts = [_unpressed(raw) for raw in blocks.column("counts").to_pylist()]
-    total = [np.zeros(len(k), dtype=np.uint32) for k in keys]
-    # keys are in order: range by range, which holds little at once
-    low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
-    ranges = 1 + sum(map(len, keys)) // ANSWERED
-    edges = np.arange(ranges + 1, dtype=U64) * U64((high - low) // ranges + 1) + U64(low)
-    cuts = [np.searchsorted(k, edges) for k in keys]
-    for r in range(ranges):
-        distinct, index = np.unique(np.concatenate([k[c[r] : c[r + 1]] for k, c in zip(keys, cuts)]), return_inverse=True)
-        found = np.bincount(index, weights=np.concatenate([n[c[r] : c[r + 1]] for n, c in zip(counts, cuts)]), minlength=len(distinct)).astype(np.uint32)[index]
-        a = 0
-        for t, c in zip(total, cuts):
-            t[c[r] : c[r + 1]] = found[a : a + c[r + 1] - c[r]]
-            a += c[r + 1] - c[r]
-    rows = [_row(2, group, bucket, b"", _pressed(t)) for group, bucket, t in zip(blocks.column("group").to_pylist(), blocks.column("bucket").to_pylist(), total)]
-    return _table(rows)
-
-
-def _answerer(buckets: int):
-    return lambda blocks: _gram_answers(blocks) if blocks.column("bucket")[0].as_py() >= buckets else _word_answers(blocks)
-
-
 def _tidy(run):
     """run, after which a worker's free memory goes back to the system."""
     def tidy(*tables):
@@ -480,64 +446,56 @@ def _tidy(run):
     return (lambda docs: tidy(docs)) if run.__code__.co_argcount == 1 else (lambda docs, answers: tidy(docs, answers))
 
 
-def _word_answers(blocks: pa.Table) -> pa.Table:
-    """For a bucket: the totals of each asking group's words (kind 2), and sums over the bucket (kind 3) with its most frequent words."""
-    bucket = blocks.column("bucket")[0].as_py()
-    if bucket < 0:
-        docs = sum(int(np.frombuffer(c, dtype=np.int64)[0]) for c in blocks.column("counts").to_pylist())
-        return _table([_row(4, 0, bucket, b"", np.array([docs], dtype=np.int64).tobytes())])
-    hashes = [np.frombuffer(h, dtype=U64) for h in blocks.column("hashes").to_pylist()]
-    counts = [np.frombuffer(c, dtype=np.uint32) for c in blocks.column("counts").to_pylist()]
-    keys, index = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(index, weights=np.concatenate(counts)).astype(np.int64)
-    rows, a = [], 0
-    for group, h in zip(blocks.column("group").to_pylist(), hashes):
-        rows.append(_row(2, group, bucket, b"", total[index[a : a + len(h)]].astype(np.uint32).tobytes()))
-        a += len(h)
+def _asker(ranges: dict[int, Ranges], bits: int):
+    """For a group: its distinct words, pairs and triples, with their training counts."""
+    def run(docs: pa.Table) -> pa.Table:
+        tokens = Tokens(docs.column("text"))
+        group = docs.column("group")[0].as_py()
+        held = docs.column("held").to_numpy()
+        train = np.repeat(~held, tokens.length)
+        counts = np.bincount(tokens.index[train], minlength=len(tokens.distinct))
+        rows = word_counts.asks(WORDS, group, tokens.distinct, counts, ranges[WORDS])
+        keys, counts = Grams(tokens, bits).counted(~held)
+        return word_counts.table(rows + word_counts.asks(GRAMS, group, keys, counts, ranges[GRAMS]))
+
+    return run
+
+
+def _sums_of_words(keys: np.ndarray, total: np.ndarray) -> tuple[bytes, bytes]:
+    """Of a range of words: the most frequent ones; tokens, known words, tokens by octave of the count and of the count less one, and the frequent words' counts."""
     known = total > 0
     octave = np.bincount(_octave(total[known]) - TOP, weights=total[known], minlength=OCTAVES + 1)
     trained = np.bincount(_octave(total[known] - 1) - TOP, weights=total[known], minlength=OCTAVES + 1)
     sums = np.concatenate([[total.sum(), known.sum()], octave, trained]).astype(np.int64)
     best = np.lexsort((keys, -total))[:TOP]
     best = best[total[best] > 1]
-    rows.append(_row(3, 0, bucket, keys[best].tobytes(), sums.tobytes() + total[best].tobytes()))
-    return _table(rows)
-
-
-def _counts_of(tokens: Tokens, answers: pa.Table, buckets: int) -> np.ndarray:
-    """Training counts of a group's distinct words from the answers of the buckets."""
-    order, at = _by_bucket(tokens.distinct, buckets)
-    out = np.zeros(len(tokens.distinct), dtype=np.int64)
-    for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts")):
-        if b < buckets:
-            out[order[at[b] : at[b + 1]]] = np.frombuffer(c.as_py(), dtype=np.uint32)
-    return out
+    return keys[best].tobytes(), sums.tobytes() + total[best].astype(np.int64).tobytes()
 
 
-def _gram_counts_of(grams: Grams, answers: pa.Table, buckets: int) -> np.ndarray:
-    """Training counts of a group's distinct pairs and triples from the answers of the buckets."""
-    out = np.zeros(grams.index(), dtype=np.uint32)
-    at = _gram_bounds(grams.distinct, buckets)
-    for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts")):
-        if b >= buckets:
-            out[at[b - buckets] : at[b - buckets + 1]] = _unpressed(c.as_py())
-    return out
-
-
-def _blocks(tokens: Tokens, docs: np.ndarray):
+def _blocks(docs: np.ndarray):
     for a in range(0, len(docs), BLOCK_DOCS):
         yield docs[a : a + BLOCK_DOCS]
 
 
-def _trainer(shared, buckets: int):
+def _trainer(shared, ranges: dict[int, Ranges]):
     """For a group: its counts of all table slots, in slices (only those with counts)."""
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({"slice": pa.array([], pa.int32()), "counts": pa.array([], pa.binary())})
         vocabulary = shared.value
         tokens = Tokens(docs.column("text"))
-        symbol = vocabulary.code(tokens.distinct, _counts_of(tokens, answers, buckets), True)
+        total = word_counts.answered(answers, WORDS, tokens.distinct, ranges[WORDS]).astype(np.int64)
+        symbol = vocabulary.code(tokens.distinct, total, True)
         counts = np.zeros((AT[-1], 2), dtype=np.uint32)
-        for some in _blocks(tokens, np.flatnonzero(~docs.column("held").to_numpy())):
+        train = ~docs.column("held").to_numpy()
+        for some in _blocks(np.flatnonzero(train)):
             train_counts(Stream(tokens, some, symbol), vocabulary, counts)
+        # a training word that occurs once is what an unseen word will be
+        once = np.flatnonzero((total == 1) & (np.bincount(tokens.index[np.repeat(train, tokens.length)], minlength=len(total)) > 0))
+        for a in range(0, len(once), 5 * SPELL_WORDS):
+            spelling = Spelling(tokens, once[a : a + 5 * SPELL_WORDS])
+            for table, slot in enumerate(spelling.slots, SPELLED):
+                add_bits(counts, table, slot, spelling.bit)
         parts = [counts[a : a + SLICE] for a in range(0, len(counts), SLICE)]
         return pa.table({"slice": pa.array([k for k, p in enumerate(parts) if p.any()], pa.int32()), "counts": pa.array([p.tobytes() for p in parts if p.any()], pa.binary())})
 
@@ -565,36 +523,41 @@ def _sum_slices(rows: pa.Table) -> pa.Table:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits double, bits_per_byte double"
 
 
-def _scorer(shared, buckets: int):
+def _scorer(shared, ranges: dict[int, Ranges], gram_bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in zip((c.split()[0] for c in _SCORES.split(", ")), (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 4))})
         vocabulary, tables = shared.value
         tokens = Tokens(docs.column("text"))
         held = docs.column("held").to_numpy()
-        counts = _counts_of(tokens, answers, buckets)
+        counts = word_counts.answered(answers, WORDS, tokens.distinct, ranges[WORDS]).astype(np.int64)
         symbol = vocabulary.code(tokens.distinct, counts, False)
         space = np.log10(vocabulary.total + vocabulary.distinct + 1.0)
         end = np.log10(vocabulary.documents + 1.0) - space
         at = tokens.first
-        running = np.concatenate([[0.0], np.cumsum(np.log10(counts + 1.0)[tokens.index] - space)]) if len(tokens.hash) else np.zeros(1)
-        base = running[at[1:]] - running[at[:-1]] + end
-        known = np.concatenate([[0], np.cumsum((counts > 0)[tokens.index])]) if len(tokens.hash) else np.zeros(1, np.int64)
-        n_known = known[at[1:]] - known[at[:-1]] + (vocabulary.documents > 0)
+        by_document = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[tokens.index])])[at]) if len(tokens.hash) else np.zeros(len(at) - 1, dtype=x.dtype)
+        base = by_document(np.log10(counts + 1.0) - space) + end
+        n_known = by_document((counts > 0).astype(np.int64)) + (vocabulary.documents > 0)
         shared_symbol = (symbol >= TOP) & (symbol < UNSEEN)
         within = np.zeros(len(symbol))
         within[shared_symbol] = np.log2(np.maximum(vocabulary.octave_tokens[symbol[shared_symbol] - TOP], counts[shared_symbol]) / counts[shared_symbol])
-        grams = Grams(tokens)
-        contexts = grams.contexts(tokens, counts, _gram_counts_of(grams, answers, buckets), vocabulary.documents, held)
+        unseen = np.flatnonzero(counts == 0)
+        spelled = np.zeros(len(symbol))
+        spelled[unseen] = Spelling(tokens, unseen).cost(tables)
+        grams = Grams(tokens, gram_bits)
+        grams.index()
+        contexts = grams.contexts(tokens, counts, word_counts.answered(answers, GRAMS, grams.distinct, ranges[GRAMS]), vocabulary.documents, held)
         del grams.pair, grams.triple, grams.distinct
         mixer, bits = Mixer(), np.zeros(docs.num_rows)
         # training documents first: what they teach serves all others of the group
-        for some in _blocks(tokens, np.argsort(held, kind="stable")):
+        for some in _blocks(np.argsort(held, kind="stable")):
             stream, places = Stream(tokens, some, symbol), grams.places(some)
             spent = with_contexts(mixer.score(stream, vocabulary, tables, within, ~held[some]), [(n[places], c[places]) for n, c in contexts])
             bits[some] = np.add.reduceat(spent, stream.at[:-1])
-        n = docs.num_rows
+        n, total = docs.num_rows, bits + by_document(spelled)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": pa.array(tokens.length + 1), "n_known": pa.array(n_known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, vocabulary.total, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(-bits * np.log10(2)), "bits": pa.array(bits), "bits_per_byte": pa.array(bits / np.maximum(tokens.bytes, 1)),
+            "train_tokens": pa.array(np.full(n, vocabulary.total, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(-bits * np.log10(2)), "bits": pa.array(total), "bits_per_byte": pa.array(total / np.maximum(tokens.bytes, 1)),
         })
 
     return run
@@ -609,38 +572,39 @@ def _drop_shuffles(spark) -> None:
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte) for every row of docs.
 
-    Documents with crc32(doc_id as text) mod `mod` equal to `rest` are held out.
+    doc_id is an integer column.  Documents with crc32(doc_id as text) mod `mod` equal to
+    `rest` are held out.  Documents are dealt to groups by their place in the table, so
+    repeated rows spread like others.
     """
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    name = f"lm_documents_{uuid.uuid4().hex}"
+    bits = min(60, SPARE_BITS + math.ceil(math.log2(total + 2)))
+    ranges = {WORDS: Ranges(64, max(1, buckets // 4)), GRAMS: Ranges(bits, buckets)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), mod, rest).alias("held"))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    # bucketed by group: the three passes below read it without another shuffle of texts
-    rows.repartition(groups, "group").write.option("compression", "zstd").bucketBy(groups, "group").saveAsTable(name)
-    del rows
-    _drop_shuffles(spark)
-    grouped = spark.table(name)
-    asked = grouped.groupBy("group").applyInArrow(_tidy(_asker(buckets)), _COLUMNS)
-    answers = written(asked.groupBy("bucket").applyInArrow(_tidy(_answerer(buckets)), _COLUMNS), "answers")
+    # written with their groups, so that every pass and every repeated task sees the same ones
+    texts = written(rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")), "texts")
+    parts = max(1, min(groups, max(2 * spark.sparkContext.defaultParallelism, total // PARTITION_BYTES)))
+    grouped = lambda: texts.repartition(parts, "group").groupBy("group")
+    asked = grouped().applyInArrow(_tidy(_asker(ranges, bits)), word_counts.COLUMNS)
+    answers = written(word_counts.totals(asked, ranges, _sums_of_words), "answers")
     del asked
     _drop_shuffles(spark)
 
     sums = np.zeros(2 + 2 * (OCTAVES + 1), dtype=np.int64)
-    parts = answers.filter("kind = 3").select("hashes", "counts")
+    found = answers.filter(F.col("kind") == word_counts.SUMS).select("keys", "counts")
     head = 8 * len(sums)
-    folded = parts.mapInArrow(_head_sums(head), "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    for i, x in folded:
+    for i, x in found.mapInArrow(_head_sums(head), "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect():
         sums[i] = x
-    top = parts.mapInArrow(_top_words(head), "hash long, count long").orderBy(F.desc("count"), "hash").limit(TOP).collect()
-    documents = sum(int(np.frombuffer(c, dtype=np.int64)[0]) for (c,) in answers.filter("kind = 4").select("counts").collect())  # at most 64 rows
+    top = found.mapInArrow(_top_words(head), "hash long, count long").orderBy(F.desc("count"), "hash").limit(TOP).collect()
+    documents = texts.filter(~F.col("held")).count()
     vocabulary = Vocabulary(int(sums[0]), int(sums[1]), documents, sums[2 : 3 + OCTAVES], sums[3 + OCTAVES :], [(r["hash"], r["count"]) for r in top])
 
-    answer = answers.filter("kind = 2").select("group", "bucket", "counts")
+    answer = answers.filter(F.col("kind") != word_counts.SUMS).select(F.col("owner").alias("group"), "kind", "bucket", "counts")
+    back = lambda rows: rows.repartition(parts, "group").groupBy("group")
     known = spark.sparkContext.broadcast(vocabulary)
-    slices = grouped.groupBy("group").cogroup(answer.filter(F.col("bucket") < buckets).groupBy("group")).applyInArrow(_tidy(_trainer(known, buckets)), "slice int, counts binary")
+    slices = grouped().cogroup(back(answer.filter(F.col("kind") == WORDS))).applyInArrow(_tidy(_trainer(known, ranges)), "slice int, counts binary")
     schema = "slice int, part int, counts binary"
     slices = slices.mapInArrow(_add_slices, schema).groupBy("slice", "part").applyInArrow(_sum_slices, schema).groupBy("slice").applyInArrow(_sum_slices, schema)
     counts = np.zeros((-(-int(AT[-1]) // SLICE) * SLICE, 2), dtype=np.int64)
@@ -650,9 +614,8 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     del slices
     _drop_shuffles(spark)
     model = spark.sparkContext.broadcast((vocabulary, Tables(counts[: AT[-1]])))
-    scores = written(grouped.groupBy("group").cogroup(answer.groupBy("group")).applyInArrow(_tidy(_scorer(model, buckets)), _SCORES), "scores")
-    forget(answers)
-    spark.sql(f"DROP TABLE {name}")
+    scores = written(grouped().cogroup(back(answer)).applyInArrow(_tidy(_scorer(model, ranges, bits)), _SCORES), "scores")
+    forget(answers, texts)
     return scores
 
 
@@ -669,7 +632,7 @@ def _head_sums(head: int):
 def _top_words(head: int):
     def run(batches):
         for batch in batches:
-            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
+            for h, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, dtype=np.int64)), pa.array(np.frombuffer(c[head:], dtype=np.int64))], ["hash", "count"])
 
     return run

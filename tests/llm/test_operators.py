@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from echoframe.llm import decontaminate, fingerprints, language_model, mixing, near_duplicates, personal_data, quality, token_counts, token_files, toxicity
+from echoframe.llm import decontaminate, fingerprints, language_model, mixing, near_duplicates, personal_data, quality, token_counts, token_files, toxicity, word_counts
 
 from .conftest import SF, lower, text_of
 from .test_kernels import MIXED
@@ -50,6 +50,13 @@ def test_language_model(spark, docs, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_language_model_keeps_edge_rows(spark, edges):
+    """Clashing columns, nulls, repeated rows, empty and very long texts."""
+    got = language_model.score_documents(edges).collect()
+    assert len(got) == edges.count() and sum(r.doc_id == 9003 for r in got) == 2 and len({(r.score, r.bits) for r in got if r.doc_id == 9003}) == 1
+    assert all(r.n_tokens == 1 for r in got if r.doc_id in (9000, 9001, 9002)) and all(math.isfinite(r.score) and r.bits >= 0 for r in got)
+
+
 def test_language_model_is_a_distribution():
     frequency = np.ones(language_model.SYMBOLS, dtype=int)
     nodes, bits = language_model.huffman(frequency)
@@ -76,16 +83,17 @@ def test_language_model_knows_rare_words_by_the_words_before_them(spark, monkeyp
 
 def test_language_model_counts_pairs_and_triples_of_words():
     texts, held = ["a b a b c", "", "b a b", "a b d"], np.array([False, False, False, True])
-    docs = pa.table({"text": texts, "held": held, "group": pa.array([3] * 4, pa.int32())})
-    for buckets in (1, 5):
-        rows = language_model._asker(buckets)(docs)
-        rows = [r for r in rows.to_pylist() if r["kind"] == 0]
-        blocks = [language_model._table([tuple(r.values()) for r in rows if r["bucket"] == b]) for b in {r["bucket"] for r in rows}]
-        answers = pa.concat_tables([language_model._answerer(buckets)(b) for b in blocks])
-        answers = answers.filter(pa.array([k == 2 for k in answers["kind"].to_pylist()]))
+    docs = pa.table({"text": texts, "held": held, "group": pa.array([3] * 4, pa.int64())})
+    for fine in (1, 5):
+        ranges = {k: word_counts.Ranges(b, fine) for k, b in ((word_counts.WORDS, 64), (word_counts.GRAMS, 40))}
+        rows = language_model._asker(ranges, 40)(docs).to_pylist()
+        blocks = [word_counts.table([tuple(r.values()) for r in rows if (r["kind"], r["bucket"]) == b]) for b in {(r["kind"], r["bucket"]) for r in rows}]
+        answers = pa.concat_tables([word_counts._adder(language_model._sums_of_words)(b) for b in blocks])
         tokens = language_model.Tokens(docs["text"])
-        grams = language_model.Grams(tokens)
-        word, gram = language_model._counts_of(tokens, answers, buckets), language_model._gram_counts_of(grams, answers, buckets)
+        grams = language_model.Grams(tokens, 40)
+        grams.index()
+        word = word_counts.answered(answers, word_counts.WORDS, tokens.distinct, ranges[word_counts.WORDS])
+        gram = word_counts.answered(answers, word_counts.GRAMS, grams.distinct, ranges[word_counts.GRAMS])
         got = grams.contexts(tokens, word, gram, 3, held)
         lines = [["^", *t.split(), "$"] for t in texts]
         count = Counter(tuple(w[k : k + n]) for w, h in zip(lines, held) if not h for n in (1, 2, 3) for k in range(len(w) - n + 1))
@@ -98,6 +106,174 @@ def test_language_model_counts_pairs_and_triples_of_words():
                 k += 1
 
 
+@pytest.mark.parametrize("fan", [8, 4096])
+def test_word_counts_through_teams_of_groups(spark, fan):
+    """1,000 groups with at most 8 ranges of their own: more than one level of merging."""
+    rng = np.random.default_rng(3)
+    ranges = {k: word_counts.Ranges(b, 50, fan) for k, b in ((word_counts.WORDS, 64), (word_counts.GRAMS, 30))}
+    rows, want, held = [], defaultdict(Counter), []
+    for group in range(1000):
+        for kind, bits in ((word_counts.WORDS, 64), (word_counts.GRAMS, 30)):
+            keys = np.unique(rng.integers(0, 60, 12).astype(np.uint64) * np.uint64((1 << bits) // 61))
+            counts = rng.integers(0, 3, len(keys))
+            held.append((kind, group, keys))
+            rows += word_counts.asks(kind, group, keys, counts, ranges[kind])
+            for k, c in zip(keys.tolist(), counts.tolist()):
+                want[kind][k] += c
+    asked = spark.createDataFrame(word_counts.table(rows).to_pandas(), word_counts.COLUMNS)
+    assert asked.groupBy("kind", "owner").count().agg(F.max("count")).first()[0] <= min(fan, 12)
+    found = word_counts.totals(asked, ranges, language_model._sums_of_words).toPandas()
+    assert sum(np.frombuffer(c, dtype=np.int64)[0] for c in found[found.kind == word_counts.SUMS].counts) == want[word_counts.WORDS].total()
+    by = {k: pa.Table.from_pandas(v, preserve_index=False) for k, v in found.groupby("owner")}
+    for kind, group, keys in held:
+        assert word_counts.answered(by[group], kind, keys, ranges[kind]).tolist() == [want[kind][k] for k in keys.tolist()]
+
+
+def slow_mixer(texts, held):
+    """log10 probability of each text by plain loops: one group, one block."""
+    L = language_model
+    lines = [WORD.findall(lower(t)) + [None] for t in texts]
+    train = [w for w, h in zip(lines, held) if not h]
+    count = Counter(x for w in train for x in w[:-1])
+    hashed = {x: int(L.Tokens(pa.array([x])).hash.view(np.int64)[0]) for w in lines for x in w[:-1]}
+    octave = lambda c: int(L._octave(np.array([c]))[0])
+    tops = sorted(((c, x) for x, c in count.items() if c > 1), key=lambda p: (-p[0], hashed[p[1]]))[: L.TOP]
+    octaves, trained = np.zeros(L.OCTAVES + 1, dtype=np.int64), np.zeros(L.OCTAVES + 1, dtype=np.int64)
+    for c in count.values():
+        octaves[octave(c) - L.TOP] += c
+        trained[octave(c - 1) - L.TOP] += c
+    v = L.Vocabulary(sum(count.values()), len(count), len(train), octaves.copy(), trained.copy(), [(hashed[x], c) for c, x in tops])
+    rank = {x: k for k, (_, x) in enumerate(tops)}
+    sign = lambda x, out: L.END if x is None else rank[x] if x in rank else octave(count[x] - out)
+
+    def plan(w, out):
+        """(token, symbol, hit, run, open, contexts) of a line."""
+        symbols, rows, run = [sign(x, out) for x in w], [], 0
+        for k, x in enumerate(w):
+            one = symbols[k - 1] if k else L.END
+            two = symbols[k - 2] if k > 1 else L.END
+            often = [s for s in symbols[:k] if s < L.TOP]
+            far = (often[-1] if often else L.END) * L.SYMBOLS + (often[-2] if len(often) > 1 else L.END)
+            past = [j for j in range(1, k) if w[j - 1] == w[k - 1]] if k else []
+            open_ = bool(past)
+            hit = open_ and w[past[-1]] == x
+            rows.append((x, symbols[k], hit, min(run, L.FOLLOW - 1), open_, (one, two, far)))
+            run = run + 1 if hit else 0
+        return rows
+
+    def bits(symbol, context):
+        a, b = v.nodes.at[symbol], v.nodes.at[symbol + 1]
+        one, two, far = context
+        for node, bit in zip(v.nodes.flat[a:b].tolist(), v.bits.flat[a:b].tolist()):
+            hashed_slot = lambda c: int(L._slot(np.array([c]), np.array([node]))[0])
+            yield node, bit, (("0", node), ("1", one, node), ("2", hashed_slot(two * L.SYMBOLS + one)), ("3", hashed_slot(far + (1 << 40))))
+
+    table, follow = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for w in train:
+        for _, symbol, hit, run, open_, context in plan(w, 1):
+            if open_:
+                follow[run][hit] += 1
+            if not hit:
+                for _, bit, slots in bits(symbol, context):
+                    for s in slots:
+                        table[s][bit] += 1
+
+    def stretch(s):
+        n0, n1 = table[s] if s in table else (0, 0)
+        return 0.0 if n0 + n1 < 3 else math.log((n1 + 0.3) / (n0 + 0.3)) * (n0 + n1) / (n0 + n1 + 1.5)
+
+    seen = lambda s: 0 if s not in table else (sum(table[s]) >= 3) + (sum(table[s]) >= 40)
+    order = sorted(range(len(lines)), key=lambda i: held[i])
+    plans = {i: plan(lines[i], 0) for i in order}
+    cost = {i: [0.0] * len(lines[i]) for i in order}
+    weights, delta, own = np.tile(L.START.astype(float), (L.GATES, 1)), np.zeros((len(lines), L.INPUTS)), defaultdict(lambda: [0, 0])
+    low, step = 0, L.FIRST_STEP
+    while low < max(map(len, lines)):
+        push = [np.zeros((L.GATES, L.INPUTS)), np.zeros((L.GATES, L.INPUTS))]
+        mine, fresh = defaultdict(lambda: np.zeros((2, L.INPUTS))), []
+        for i in order:
+            for k, (x, symbol, hit, run, open_, context) in enumerate(plans[i][low : low + step], low):
+                if open_:
+                    yes = (follow[run][1] + 0.5) / (sum(follow[run]) + 1)
+                    cost[i][k] -= math.log2(yes if hit else 1 - yes)
+                if hit:
+                    continue
+                if x is not None and L.TOP <= symbol < L.UNSEEN:
+                    cost[i][k] += math.log2(max(v.octave_tokens[symbol - L.TOP], count[x]) / count[x])
+                for node, bit, slots in bits(symbol, context):
+                    n0, n1 = own[i, node]
+                    inputs = np.array([*map(stretch, slots), math.log((n1 + 0.4) / (n0 + 0.4)) * (n0 + n1) / (n0 + n1 + 2)])
+                    gate = seen(slots[2]) * 2 + (seen(slots[3]) > 1)
+                    p = min(max(1 / (1 + math.exp(-min(max(((weights[gate] + delta[i]) * inputs).sum(), -9), 9))), 1e-4), 1 - 1e-4)
+                    cost[i][k] -= math.log2(p if bit else 1 - p)
+                    e, s = (bit - p) * inputs, p * (1 - p) * inputs**2
+                    if not held[i]:
+                        push[0][gate] += e
+                        push[1][gate] += s
+                    mine[i] += [e, s]
+                    fresh.append((i, node, bit))
+        weights += 0.25 * push[0] / (push[1] + 200)
+        for i, (e, s) in mine.items():
+            delta[i] = 0.98 * delta[i] + 0.1 * e / (s + 30)
+        for i, node, bit in fresh:
+            own[i, node][bit] += 1
+        low, step = low + step, min(2 * step, L.LAST_STEP)
+    grams = Counter()
+    for w in train:
+        padded = ["^", *w]
+        for n in (1, 2, 3):
+            grams.update(tuple(padded[k : k + n]) for k in range(len(padded) - n + 1))
+    out = []
+    for i, w in enumerate(lines):
+        padded, total = ["^", *w], 0.0
+        for k, bits_ in enumerate(cost[i]):
+            p, left = 2.0**-bits_, 0 if held[i] else 1
+            for (a, b), size in zip(L.FOLLOWERS, (1, 2)):
+                if k + 1 >= size:
+                    n = grams[tuple(padded[k + 1 - size : k + 1])] - left
+                    c = grams[tuple(padded[k + 1 - size : k + 2])] - left
+                    if n > 0:
+                        s = a * n**b
+                        p = (c + s * p) / (n + s)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def test_language_model_equals_slow_loops(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{k}" for k in range(60)]
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(vocabulary, n, p=share / share.sum())) for n in (0, 1, 5, 80, 300, 120, 33, 64, 90, 200)]
+    texts[7] += " never seen words here never seen"
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(10)]
+    if not any(held):
+        held[7] = True
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in language_model.score_documents(rows).collect()}
+    for i, expected in enumerate(slow_mixer(texts, [got[i].held_out for i in range(10)])):
+        assert got[i].score == pytest.approx(expected, rel=2e-3, abs=1e-3)
+
+
+def test_language_model_does_not_learn_from_held_out_texts(spark, small):
+    held = quality.held_out(F.col("doc_id"), 7, 2)
+    other = small.withColumn("text", F.when(held, F.concat(F.lit("foreign words "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    # with one group of documents: groups are cut by size, and what they learn on the way stays in them
+    a, b = ({r.doc_id: r.score for r in language_model.score_documents(x).filter(~F.col("held_out")).collect()} for x in (small, other))
+    assert a == b
+
+
+def test_language_model_spells_unseen_words(spark):
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(i, " ".join(word() for _ in range(30))) for i in range(300) if i not in held]
+    rows += [(held[0], "abcfgh " * 3 + "hgfe"), (held[1], "zqxjkv " * 3 + "vkjx")]
+    got = {r.doc_id: r for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert a.bits < b.bits and a.bits > -a.score / math.log10(2) and a.bits_per_byte == pytest.approx(a.bits / 25)
+
+
 def test_language_model_contexts_are_distributions():
     rng = np.random.default_rng(5)
     p = rng.dirichlet(np.ones(50))
