@@ -46,12 +46,12 @@ not read.
 from __future__ import annotations
 
 import ctypes
-import gc
 import heapq
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -74,8 +74,8 @@ FOLLOW, LETTERS = 16, 1 << 18
 AT = np.cumsum([0, NODES, SYMBOLS * NODES, SLOTS, SLOTS, FOLLOW, 1 << 16, LETTERS, LETTERS])
 SPELLED = 5
 SLICE = 1 << 15
-#: Bytes of text in a group, in a range of words' or grams' hashes, and in a partition of groups.
-GROUP_BYTES, BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 4 << 20, 24 << 20
+#: Bytes of text in a group (about), in a range of words' or grams' hashes, and in a partition of groups.
+GROUP_BYTES, BUCKET_BYTES, PARTITION_BYTES = 5 << 20, 4 << 20, 24 << 20
 #: Documents and tokens that are mixed side by side, and tokens of a document between refinements (doubling).
 BLOCK_DOCS, BLOCK_TOKENS, FIRST_STEP, LAST_STEP = 1500, 30_000, 32, 2048
 INPUTS, GATES = 5, 6
@@ -85,7 +85,7 @@ SPELL_START, SPELL_WORDS = np.array([0.2, 0.3, 0.5]), 2000
 #: Hashes of the end and of what stands before a document; what parts pairs from triples.
 _END, _BEFORE, _PAIR, _TRIPLE = (mix64(np.array([k], dtype=U64))[0] for k in (0xE17D, 0xBEF0, 0x2, 0x3))
 #: Bits that the hash of a pair or triple has beyond those that number the corpus's: it meets another one with probability 2**-SPARE_BITS at most.
-SPARE_BITS = 13
+SPARE_BITS = 8
 #: A and B of the two contexts of real words (fixed).
 FOLLOWERS = ((8.0, 0.75), (3.0, 0.8))
 
@@ -446,21 +446,61 @@ def _tidy(run):
     return (lambda docs: tidy(docs)) if run.__code__.co_argcount == 1 else (lambda docs, answers: tidy(docs, answers))
 
 
+def _box(rows: list[pa.RecordBatch]) -> bytes:
+    """The documents of a group as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for r in rows:
+            out.write_batch(r)
+    return sink.getvalue().to_pybytes()
+
+
+def _unbox(box: bytes) -> pa.Table:
+    return pa.ipc.open_stream(box).read_all()
+
+
+def _boxer(batches):
+    """Groups of about GROUP_BYTES of text, one row each, in the order in which a partition holds its documents; train: how many train."""
+    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def group():
+        nonlocal seq, held, size
+        train = sum(r.num_rows - pc.sum(r.column("held").cast(pa.int64())).as_py() for r in held)
+        row = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([train], pa.int64()), pa.array([_box(held)], pa.binary())], ["group", "train", "box"])
+        seq, held, size = seq + 1, [], 0
+        return row
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GROUP_BYTES:
+                yield group()
+    if held:
+        yield group()
+
+
 def _asker(ranges: dict[int, Ranges], bits: int):
-    """For a group: its distinct words, pairs and triples, with their training counts."""
-    def run(docs: pa.Table) -> pa.Table:
-        tokens = Tokens(docs.column("text"))
-        group = docs.column("group")[0].as_py()
-        held = docs.column("held").to_numpy()
-        train = np.repeat(~held, tokens.length)
-        counts = np.bincount(tokens.index[train], minlength=len(tokens.distinct))
-        rows = word_counts.asks(WORDS, group, tokens.distinct, counts, ranges[WORDS])
-        keys, counts = Grams(tokens, bits).counted(~held)
-        return word_counts.table(rows + word_counts.asks(GRAMS, group, keys, counts, ranges[GRAMS]))
+    """For groups: their distinct words, pairs and triples, with their training counts."""
+    def run(batches):
+        for batch in batches:
+            for group, box in zip(batch.column("group").to_pylist(), batch.column("box")):
+                rows = _asks_of(group, _unbox(box.as_py()), ranges, bits)
+                yield from word_counts.table(rows).to_batches(max_chunksize=256)
 
     return run
 
 
+def _asks_of(group: int, docs: pa.Table, ranges: dict[int, Ranges], bits: int) -> list[tuple]:
+    tokens = Tokens(docs.column("text"))
+    held = docs.column("held").to_numpy()
+    train = np.repeat(~held, tokens.length)
+    counts = np.bincount(tokens.index[train], minlength=len(tokens.distinct))
+    rows = word_counts.asks(WORDS, group, tokens.distinct, counts, ranges[WORDS])
+    keys, counts = Grams(tokens, bits).counted(~held)
+    return rows + word_counts.asks(GRAMS, group, keys, counts, ranges[GRAMS])
+
+
 def _sums_of_words(keys: np.ndarray, total: np.ndarray) -> tuple[bytes, bytes]:
     """Of a range of words: the most frequent ones; tokens, known words, tokens by octave of the count and of the count less one, and the frequent words' counts."""
     known = total > 0
@@ -479,9 +519,8 @@ def _blocks(docs: np.ndarray):
 
 def _trainer(shared, ranges: dict[int, Ranges]):
     """For a group: its counts of all table slots, in slices (only those with counts)."""
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({"slice": pa.array([], pa.int32()), "counts": pa.array([], pa.binary())})
+    def run(boxes: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unbox(boxes.column("box")[0].as_py())
         vocabulary = shared.value
         tokens = Tokens(docs.column("text"))
         total = word_counts.answered(answers, WORDS, tokens.distinct, ranges[WORDS]).astype(np.int64)
@@ -524,9 +563,8 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _scorer(shared, ranges: dict[int, Ranges], gram_bits: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip((c.split()[0] for c in _SCORES.split(", ")), (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 4))})
+    def run(boxes: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unbox(boxes.column("box")[0].as_py())
         vocabulary, tables = shared.value
         tokens = Tokens(docs.column("text"))
         held = docs.column("held").to_numpy()
@@ -563,34 +601,27 @@ def _scorer(shared, ranges: dict[int, Ranges], gram_bits: int):
     return run
 
 
-def _drop_shuffles(spark) -> None:
-    """Let Spark's cleaner delete the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte) for every row of docs.
 
     doc_id is an integer column.  Documents with crc32(doc_id as text) mod `mod` equal to
-    `rest` are held out.  Documents are dealt to groups by their place in the table, so
-    repeated rows spread like others.
+    `rest` are held out.  Documents that lie together make a group, so repeated rows
+    spread like others.
     """
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    buckets = max(1, -(-total // BUCKET_BYTES))
     bits = min(60, SPARE_BITS + math.ceil(math.log2(total + 2)))
     ranges = {WORDS: Ranges(64, max(1, buckets // 4)), GRAMS: Ranges(bits, buckets)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), mod, rest).alias("held"))
-    # written with their groups, so that every pass and every repeated task sees the same ones
-    texts = written(rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")), "texts")
-    parts = max(1, min(groups, max(2 * spark.sparkContext.defaultParallelism, total // PARTITION_BYTES)))
-    grouped = lambda: texts.repartition(parts, "group").groupBy("group")
-    asked = grouped().applyInArrow(_tidy(_asker(ranges, bits)), word_counts.COLUMNS)
-    answers = written(word_counts.totals(asked, ranges, _sums_of_words), "answers")
-    del asked
-    _drop_shuffles(spark)
+    # written as groups, so that every pass and every repeated task sees the same ones, and texts are never shuffled one by one
+    groups = written(rows.mapInArrow(_boxer, "group long, train long, box binary"), "groups")
+    number, documents = groups.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
+    parts = int(max(1, min(number, max(2 * spark.sparkContext.defaultParallelism, total // PARTITION_BYTES))))
+    boxes = groups.select("group", "box").repartition(parts, "group")
+    asked = boxes.mapInArrow(_asker(ranges, bits), word_counts.COLUMNS)
+    answers = written(word_counts.totals(asked, ranges, _sums_of_words, number), "answers")
 
     sums = np.zeros(2 + 2 * (OCTAVES + 1), dtype=np.int64)
     found = answers.filter(F.col("kind") == word_counts.SUMS).select("keys", "counts")
@@ -598,24 +629,21 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     for i, x in found.mapInArrow(_head_sums(head), "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect():
         sums[i] = x
     top = found.mapInArrow(_top_words(head), "hash long, count long").orderBy(F.desc("count"), "hash").limit(TOP).collect()
-    documents = texts.filter(~F.col("held")).count()
     vocabulary = Vocabulary(int(sums[0]), int(sums[1]), documents, sums[2 : 3 + OCTAVES], sums[3 + OCTAVES :], [(r["hash"], r["count"]) for r in top])
 
+    by_group = lambda rows: rows.repartition(parts, "group").groupBy("group")
     answer = answers.filter(F.col("kind") != word_counts.SUMS).select(F.col("owner").alias("group"), "kind", "bucket", "counts")
-    back = lambda rows: rows.repartition(parts, "group").groupBy("group")
     known = spark.sparkContext.broadcast(vocabulary)
-    slices = grouped().cogroup(back(answer.filter(F.col("kind") == WORDS))).applyInArrow(_tidy(_trainer(known, ranges)), "slice int, counts binary")
+    slices = boxes.groupBy("group").cogroup(by_group(answer.filter(F.col("kind") == WORDS))).applyInArrow(_tidy(_trainer(known, ranges)), "slice int, counts binary")
     schema = "slice int, part int, counts binary"
-    slices = slices.mapInArrow(_add_slices, schema).groupBy("slice", "part").applyInArrow(_sum_slices, schema).groupBy("slice").applyInArrow(_sum_slices, schema)
+    slices = written(slices.mapInArrow(_add_slices, schema).groupBy("slice", "part").applyInArrow(_sum_slices, schema).groupBy("slice").applyInArrow(_sum_slices, schema), "slices")
     counts = np.zeros((-(-int(AT[-1]) // SLICE) * SLICE, 2), dtype=np.int64)
     for r in slices.toLocalIterator():  # a table of fixed size
         part = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), dtype=np.int64).reshape(-1, 2)
         counts[r.slice * SLICE : r.slice * SLICE + len(part)] = part
-    del slices
-    _drop_shuffles(spark)
     model = spark.sparkContext.broadcast((vocabulary, Tables(counts[: AT[-1]])))
-    scores = written(grouped().cogroup(back(answer)).applyInArrow(_tidy(_scorer(model, ranges, bits)), _SCORES), "scores")
-    forget(answers, texts)
+    scores = written(boxes.groupBy("group").cogroup(by_group(answer)).applyInArrow(_tidy(_scorer(model, ranges, bits)), _SCORES), "scores")
+    forget(answers, groups, slices)
     return scores
 
 

@@ -6,7 +6,7 @@ each.  Keys are cut into ranges; whoever holds a range adds up what all groups s
 it and answers each with the totals of its keys, so nothing that grows with the
 vocabulary is broadcast or leaves the ranges.
 
-A group cuts its keys into at most FAN ranges.  Where the corpus needs more, FAN groups
+A group cuts its keys into at most FAN ranges.  Where the corpus needs more, about FAN groups
 first merge what they hold of a coarse range, only the merged keys are cut into fine
 ranges, and the totals come back the same way: blocks keep their size, and rows stay in
 proportion to the input, however many groups there are.
@@ -109,7 +109,7 @@ def _adder(sums_of):
 
 
 def _uniter(ranges: dict[int, Ranges]):
-    """For FAN groups and a coarse range: its merged keys, as asks to the fine ranges in it."""
+    """For a team of about FAN groups and a coarse range: its merged keys, as asks to the fine ranges in it."""
     def run(blocks: pa.Table) -> pa.Table:
         kind, bucket, team = (blocks.column(c)[0].as_py() for c in ("kind", "bucket", "team"))
         distinct, total = merged(*_held(blocks))
@@ -129,8 +129,8 @@ def _divider(blocks: pa.Table, totals: pa.Table) -> pa.Table:
     return table(_answers(blocks, distinct, np.concatenate([unpressed(parts[k]) for k in order]), keys))
 
 
-def totals(asked: DataFrame, ranges: dict[int, Ranges], sums_of) -> DataFrame:
-    """Answers (COLUMNS) to the rows of asks(): for each its kind, owner and bucket, and the totals of its keys in order; and rows of SUMS.
+def totals(asked: DataFrame, ranges: dict[int, Ranges], sums_of, owners: int) -> DataFrame:
+    """Answers (COLUMNS) to the rows of asks() of so many owners: for each its kind, owner and bucket, and the totals of its keys in order; and rows of SUMS.
 
     sums_of gives two byte strings from the distinct words of a range and their totals.
     """
@@ -141,7 +141,7 @@ def totals(asked: DataFrame, ranges: dict[int, Ranges], sums_of) -> DataFrame:
         parts.append(flat.groupBy("kind", "bucket").applyInArrow(_adder(sums_of), COLUMNS))
     if deep:
         fan = next(iter(ranges.values())).fan
-        teams = asked.filter(F.col("kind").isin(*deep)).withColumn("team", F.floor(F.col("owner") / fan).cast("long"))
+        teams = asked.filter(F.col("kind").isin(*deep)).withColumn("team", F.pmod(F.xxhash64("owner"), F.lit(-(-owners // fan))))
         united = teams.groupBy("kind", "team", "bucket").applyInArrow(_uniter(ranges), COLUMNS)
         found = written(united.groupBy("kind", "bucket").applyInArrow(_adder(sums_of), COLUMNS), "ranges")
         per = F.when(F.col("kind") == WORDS, F.lit(ranges[WORDS].per)).otherwise(F.lit(ranges[GRAMS].per))

@@ -83,10 +83,10 @@ def test_language_model_knows_rare_words_by_the_words_before_them(spark, monkeyp
 
 def test_language_model_counts_pairs_and_triples_of_words():
     texts, held = ["a b a b c", "", "b a b", "a b d"], np.array([False, False, False, True])
-    docs = pa.table({"text": texts, "held": held, "group": pa.array([3] * 4, pa.int64())})
+    docs = pa.table({"text": texts, "held": held})
     for fine in (1, 5):
         ranges = {k: word_counts.Ranges(b, fine) for k, b in ((word_counts.WORDS, 64), (word_counts.GRAMS, 40))}
-        rows = language_model._asker(ranges, 40)(docs).to_pylist()
+        rows = word_counts.table(language_model._asks_of(3, docs, ranges, 40)).to_pylist()
         blocks = [word_counts.table([tuple(r.values()) for r in rows if (r["kind"], r["bucket"]) == b]) for b in {(r["kind"], r["bucket"]) for r in rows}]
         answers = pa.concat_tables([word_counts._adder(language_model._sums_of_words)(b) for b in blocks])
         tokens = language_model.Tokens(docs["text"])
@@ -122,7 +122,7 @@ def test_word_counts_through_teams_of_groups(spark, fan):
                 want[kind][k] += c
     asked = spark.createDataFrame(word_counts.table(rows).to_pandas(), word_counts.COLUMNS)
     assert asked.groupBy("kind", "owner").count().agg(F.max("count")).first()[0] <= min(fan, 12)
-    found = word_counts.totals(asked, ranges, language_model._sums_of_words).toPandas()
+    found = word_counts.totals(asked, ranges, language_model._sums_of_words, 1000).toPandas()
     assert sum(np.frombuffer(c, dtype=np.int64)[0] for c in found[found.kind == word_counts.SUMS].counts) == want[word_counts.WORDS].total()
     by = {k: pa.Table.from_pandas(v, preserve_index=False) for k, v in found.groupby("owner")}
     for kind, group, keys in held:
