@@ -90,6 +90,22 @@ SPARE_BITS = 8
 FOLLOWERS = ((8.0, 0.75), (3.0, 0.8))
 
 
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with first places and inverse; faster, by one sort of keys and places in one number."""
+    size = max(len(keys), 1).bit_length()
+    places = np.arange(len(keys), dtype=U64)
+    whole = not len(keys) or int(keys.max()) >> (64 - size) == 0
+    order = np.sort((keys << U64(size) if whole else keys >> U64(size) << U64(size)) | places)
+    place = (order & U64((1 << size) - 1)).astype(np.int64)
+    order = keys[place]
+    new = np.append(True, order[1:] != order[:-1])[: len(keys)]
+    if not whole and (new[1:] & (order[1:] >> U64(size) == order[:-1] >> U64(size))).any():
+        return np.unique(keys, return_index=True, return_inverse=True)
+    index = np.empty(len(keys), dtype=np.int64)
+    index[place] = np.cumsum(new) - 1
+    return order[new], place[new], index
+
+
 class Tokens:
     """Words of the documents of a group and their distinct hashes."""
 
@@ -101,7 +117,7 @@ class Tokens:
         self.first = w.first
         self.hash = w.hash
         self.data, self.start, self.end = data, w.start, w.end
-        self.distinct, self.place, self.index = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.distinct, self.place, self.index = distinct_of(w.hash)
 
 
 class Grams:
@@ -135,8 +151,8 @@ class Grams:
     def index(self) -> None:
         """Sets the place of each token's pair and triple among the distinct ones."""
         total = len(self.inner)
-        distinct, index = np.unique(self.keys, return_inverse=True)
-        self.distinct, self.keys = distinct, None
+        self.distinct, _, index = distinct_of(self.keys)
+        self.keys = None
         self.pair, self.triple = index[:total].astype(np.int32), index[total:].astype(np.int32)
 
     def contexts(self, tokens: Tokens, word: np.ndarray, gram: np.ndarray, documents: int, held: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -258,9 +274,12 @@ class Stream:
         """hit: whether the token follows the preceding word as that word's last occurrence was followed; run: hits just before; open: whether there was one."""
         key = np.append(-1, self.distinct[:-1])
         key = np.where(self.place > 0, key, -1)
-        order = np.lexsort((np.arange(total), key, self.doc))
+        # by document, word and place: one number where it fits
+        wide = (int(key.max()) + 2) * len(docs) * (total + 1) >= 1 << 62 if total else False
+        owner = self.doc * (int(key.max()) + 2 if total else 1) + key + 1
+        order = np.argsort(owner, kind="stable") if wide else np.sort(owner * total + np.arange(total)) % max(total, 1)
         same = np.zeros(total, dtype=bool)
-        same[1:] = (key[order][1:] == key[order][:-1]) & (self.doc[order][1:] == self.doc[order][:-1])
+        same[1:] = owner[order][1:] == owner[order][:-1]
         earlier = np.full(total, -1)
         earlier[order[1:]] = np.where(same[1:], order[:-1], -1)
         self.open = (earlier >= 0) & (key >= 0)
@@ -291,20 +310,19 @@ def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
 assert SLOTS == 1 << (64 - 45)
 
 
-def add_bits(counts: np.ndarray, table: int, slot: np.ndarray, bit: np.ndarray) -> None:
-    """Add bits to the counts (slot, bit) of one table."""
-    low, high = 2 * int(AT[table]), 2 * int(AT[table + 1])
-    counts.reshape(-1)[low:high] += np.bincount(slot * 2 + bit - low, minlength=high - low).astype(counts.dtype)
+def add_bits(counts: np.ndarray, slot: np.ndarray, bit: np.ndarray, times=np.uint32(1)) -> None:
+    """Add bits to the counts (slot, bit)."""
+    np.add.at(counts.reshape(-1), slot * 2 + bit, times)
 
 
 def train_counts(stream: Stream, vocabulary: Vocabulary, counts: np.ndarray) -> None:
     """Add the bits of training documents to counts (slot, bit)."""
-    add_bits(counts, 4, AT[4] + stream.run[stream.open], stream.hit[stream.open].astype(np.int64))
+    add_bits(counts, AT[4] + stream.run[stream.open], stream.hit[stream.open].astype(np.int64))
     coded = np.flatnonzero(~stream.hit)
-    for a in range(0, len(coded), 10 * BLOCK_TOKENS):
-        _, _, bit, slots = stream.expand(coded[a : a + 10 * BLOCK_TOKENS], vocabulary)
-        for table, slot in enumerate(slots):
-            add_bits(counts, table, slot, bit)
+    for a in range(0, len(coded), BLOCK_TOKENS):
+        _, _, bit, slots = stream.expand(coded[a : a + BLOCK_TOKENS], vocabulary)
+        for slot in slots:
+            add_bits(counts, slot, bit)
 
 
 class Tables:
@@ -320,38 +338,46 @@ class Tables:
 
 
 class Spelling:
-    """Code bits of the bytes of some distinct words, each closed by a blank: eight a byte, in order of the words."""
+    """The bytes of some distinct words, each word closed by a blank, with the three bytes before each (blanks before the word)."""
 
     def __init__(self, tokens: Tokens, which: np.ndarray):
         begin, size = tokens.start[tokens.place[which]], (tokens.end - tokens.start)[tokens.place[which]] + 1
         self.first = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(self.first, size)
-        closing = place == np.repeat(size - 1, size)
         at = np.minimum(np.repeat(begin, size) + place, max(len(tokens.data) - 1, 0))
-        byte = np.where(closing, 0x20, LOWER[tokens.data[at]] if len(tokens.data) else 0x20).astype(np.int64)
-        before = [byte]
+        byte = np.where(place == np.repeat(size - 1, size), 0x20, LOWER[tokens.data[at]] if len(tokens.data) else 0x20).astype(np.uint32)
+        self.key = byte.copy()
         for k in (1, 2, 3):
-            before.append(np.where(place >= k, np.roll(byte, k), 0x20))
+            self.key |= np.where(place >= k, np.roll(byte, k), np.uint32(0x20)) << np.uint32(8 * k)
+
+    @staticmethod
+    def bits(key: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Eight code bits of each byte and their slots in the tables of one, two and three bytes before."""
         step = np.arange(8)
-        node = ((1 << step) | (byte[:, None] >> (8 - step))).reshape(-1)
-        self.bit = ((byte[:, None] >> (7 - step)) & 1).reshape(-1)
-        one, two, three = (np.repeat(b, 8) for b in before[1:])
-        two = two << 8 | one
-        fold = lambda context: ((((context << 8 | node).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(46))).astype(np.int64)
-        self.slots = (AT[SPELLED] + (one << 8 | node), AT[SPELLED + 1] + fold(two), AT[SPELLED + 2] + fold(three << 16 | two | 1 << 24))
+        byte = (key & 0xFF).astype(np.int64)[:, None]
+        node = ((1 << step) | (byte >> (8 - step))).reshape(-1)
+        before = np.repeat(key.astype(np.int64) >> 8, 8)
+        fold = lambda context: ((context << 8 | node).astype(U64) * U64(0x9E3779B97F4A7C15) >> U64(46)).astype(np.int64)
+        slots = (AT[SPELLED] + ((before & 0xFF) << 8 | node), AT[SPELLED + 1] + fold(before & 0xFFFF), AT[SPELLED + 2] + fold(before | 1 << 24))
+        return ((byte >> (7 - step)) & 1).reshape(-1), slots
+
+    def train(self, counts: np.ndarray) -> None:
+        key, times = np.unique(self.key, return_counts=True)
+        bit, slots = self.bits(key)
+        for slot in slots:
+            add_bits(counts, slot, bit, np.repeat(times.astype(np.uint32), 8))
 
     def cost(self, tables: Tables) -> np.ndarray:
         """Bits of each word; weights by how often the longer contexts were seen, learned online over the words."""
         out = np.zeros(len(self.first))
         weights = np.tile(SPELL_START, (9, 1))
         for a in range(0, len(self.first), SPELL_WORDS):
-            low = 8 * self.first[a]
-            high = 8 * self.first[a + SPELL_WORDS] if a + SPELL_WORDS < len(self.first) else len(self.bit)
-            slots, bit = [s[low:high] for s in self.slots], self.bit[low:high]
+            low, high = self.first[a], self.first[a + SPELL_WORDS] if a + SPELL_WORDS < len(self.first) else len(self.key)
+            bit, slots = self.bits(self.key[low:high])
             x = np.stack([tables.stretch[s] for s in slots]).astype(np.float64)
             gate = tables.seen[slots[1]].astype(np.int64) * 3 + tables.seen[slots[2]]
             p = np.clip(1 / (1 + np.exp(-np.clip((weights[gate].T * x).sum(axis=0), -9, 9))), 1e-4, 1 - 1e-4)
-            out[a : a + SPELL_WORDS] = np.add.reduceat(-np.log2(np.abs(1 - bit - p)), 8 * self.first[a : a + SPELL_WORDS] - low)
+            out[a : a + SPELL_WORDS] = np.add.reduceat(-np.log2(np.abs(1 - bit - p)), 8 * (self.first[a : a + SPELL_WORDS] - low))
             for k in range(len(x)):
                 up, down = np.bincount(gate, weights=(bit - p) * x[k], minlength=9), np.bincount(gate, weights=p * (1 - p) * x[k] ** 2, minlength=9)
                 weights[:, k] += 0.25 * up / (down + 200)
@@ -472,10 +498,10 @@ def _boxer(batches):
 
     for batch in batches:
         if batch.num_rows:
+            if held and size + batch.nbytes > GROUP_BYTES:
+                yield group()
             held.append(batch)
             size += batch.nbytes
-            if size >= GROUP_BYTES:
-                yield group()
     if held:
         yield group()
 
@@ -531,10 +557,7 @@ def _trainer(shared, ranges: dict[int, Ranges]):
             train_counts(Stream(tokens, some, symbol), vocabulary, counts)
         # a training word that occurs once is what an unseen word will be
         once = np.flatnonzero((total == 1) & (np.bincount(tokens.index[np.repeat(train, tokens.length)], minlength=len(total)) > 0))
-        for a in range(0, len(once), 5 * SPELL_WORDS):
-            spelling = Spelling(tokens, once[a : a + 5 * SPELL_WORDS])
-            for table, slot in enumerate(spelling.slots, SPELLED):
-                add_bits(counts, table, slot, spelling.bit)
+        Spelling(tokens, once).train(counts)
         parts = [counts[a : a + SLICE] for a in range(0, len(counts), SLICE)]
         return pa.table({"slice": pa.array([k for k, p in enumerate(parts) if p.any()], pa.int32()), "counts": pa.array([p.tobytes() for p in parts if p.any()], pa.binary())})
 
