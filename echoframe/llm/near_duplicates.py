@@ -9,19 +9,29 @@ registers are independent.  Those of very small sets are not, as borrowed regist
 repeat: pairs of 4 and 5 shingles were missed more often (3.5e-4 in a review).
 
 1. Equal shingle sets form classes, represented by the smallest doc_id.
-2. Sorted bands: each bucket links its members to its first member only, so
-   candidates stay linear in the input however large a bucket is.
-3. Candidates are confirmed on full shingle sets.
-4. Buckets whose members already share one component need no more work.  In the
-   others the members outside the largest component are compared with all
-   members of other components, in blocks of bounded size: by the
-   collision-corrected estimate, then by the 512 smallest 32-bit hashes of the sets
-   (smaller sets whole).  Of links into the same component one per member and block
-   is enough; it is confirmed on full sets.
-5. Components of the confirmed links.
+2. Each bucket has its smallest member as leader.  In rounds, every class is held
+   against one leader of its buckets that isn't in its component yet: by the
+   collision-corrected estimate, then on full shingle sets.  A round is linear in the
+   input however large buckets are; components of the confirmed links follow.
+3. Buckets whose members already share one component need no more work.  In any other
+   bucket of at most TINY members the pairs that are left are held against each other
+   in the same way; one of at most SMALL members is a block.  Larger ones overlap (texts of one
+   template meet in most bands), so those that share members form a team, and a
+   member is sent to its team once, not once a band; a team beyond BLOCK_BYTES is cut in
+   slices, and each pair of slices is a block.
+4. In a block, members of different components are compared: by the estimate, and those
+   that it doesn't exclude on their full sets.  What leaves it is which components are
+   one, at most a row a member.
+
+So no link is lost after banding, and none is followed before it is confirmed.  In a
+team of M texts that are alike but not linked, comparisons grow with the square of M
+and what is sent with M * M / 14,000 (for sets of 450): nothing is sent more than once
+below that.
 
 Defined results: null or wordless texts have an empty set and link with nothing;
-rows with a null doc_id are kept unlinked; rows that share a doc_id are one vertex.
+rows with a null doc_id are kept unlinked; rows that share a doc_id are one vertex; an
+empty table gives an empty result; doc_id is an integer column, and further columns are
+not read (drop_near_duplicates returns them as they are).
 """
 
 from __future__ import annotations
@@ -41,10 +51,11 @@ BANDS = REGISTERS // ROWS
 COLLISION = 2.0**-MANTISSA / 3
 #: Standard deviations below the threshold at which an estimate excludes a pair; sets below LOOSE are never excluded so.
 SIGMAS, LOOSE = 5, 32
-BITMAP_BITS = 1 << 23
-BLOCK_FEW, BLOCK_MANY = 256, 1024
-#: Hashes (32 bits, the smallest) of a set that blocks compare; sets up to this size are compared whole.
-MINI = 512
+#: Bits of the bitmap that marks documents, for each of them, and its bounds.
+BITMAP_SPREAD, BITMAP_LEAST, BITMAP_MOST = 8, 1 << 20, 1 << 27
+ROUNDS, TINY, SMALL = 3, 8, 256
+#: Bytes of shingle sets in a slice of a team; members compared at once; where counting by matrix products beats pair by pair.
+BLOCK_BYTES, TILE, DENSE = 48 << 20, 1024, 512
 
 _rng = np.random.default_rng(20260101)
 #: where an empty register looks for a filled one, in this order
@@ -126,31 +137,7 @@ def _bander(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], ["band", "rep"])
 
 
-def _bucket_members(batches):
-    """From rows sorted by (band, rep): the rows of buckets of two or more, each with the bucket's first member."""
-    band = leader = None
-    waiting = False
-    for batch in batches:
-        b, r = batch.column("band").to_numpy(), batch.column("rep").to_numpy()
-        if not len(b):
-            continue
-        new = np.ones(len(b), dtype=bool)
-        new[1:] = b[1:] != b[:-1]
-        carried = band is not None and b[0] == band
-        new[0] = not carried
-        start = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
-        first = np.where(start >= 0, r[np.maximum(start, 0)], leader if carried else 0)
-        followed = np.zeros(len(b), dtype=bool)
-        followed[:-1] = new[:-1] & ~new[1:]
-        keep = ~new | followed
-        out_b, out_l, out_r = b[keep], first[keep], r[keep]
-        if carried and waiting:
-            out_b, out_l, out_r = np.append(out_b, band), np.append(out_l, leader), np.append(out_r, leader)
-        band, leader, waiting = b[-1], first[-1], bool(new[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out_b), pa.array(out_l.astype(np.int64)), pa.array(out_r)], ["band", "leader", "rep"])
-
-
-def _set_maker(size: int, bitmap, mini: bool):
+def _set_maker(size: int, bitmap):
     def run(batches):
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
         for batch in batches:
@@ -158,13 +145,54 @@ def _set_maker(size: int, bitmap, mini: bool):
             batch = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7)) & 1 == 1))
             if batch.num_rows:
                 sets = distinct_shingles(*buffers(batch.column("text")), size)
-                if mini:
-                    sets = [np.unique((mix64(s) >> U64(32)).astype(np.uint32))[:MINI] for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
     return run
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles): sorted 64-bit hashes of the documents in ids.
+
+    Sets are made again from the texts, for these documents only: a bitmap of eight bits
+    a document, between 128 KB and 16 MB, marks them (false marks cost time, not
+    correctness).
+    """
+    total = BITMAP_LEAST
+    while total < min(ids.count() * BITMAP_SPREAD, BITMAP_MOST):
+        total *= 2
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(total))
+    marked = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    bitmap = bytearray(total // 8 + 8192)
+    for part, bits in marked.toLocalIterator():  # at most 4,097 rows of 4 KB
+        # these functions number bits of positive numbers from 1; bucket 0 holds the number 0, which goes last here
+        at = (part - 1) * 4096 if part > 0 else len(bitmap) - 8192
+        bitmap[at : at + len(bits)] = bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    place = F.when(spot == 0, F.lit(total)).otherwise(spot - 1)
+    made = docs.filter("doc_id is not null").select("doc_id", "text", place.cast("int").alias("spot")).mapInArrow(_set_maker(size, shared), "doc_id long, shingles binary")
+    return written(made.join(ids, "doc_id", "left_semi"), "sets")
+
+
+def maybe(equal: np.ndarray, least: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets, the smaller of `least` shingles, may reach the threshold as so many of their registers are equal."""
+    share = percent / 100
+    # registers of small sets repeat each other: as many count as are filled
+    sigma = np.sqrt(share * (1 - share) / (REGISTERS * (1 - np.exp(-np.maximum(least, 1) / REGISTERS))))
+    return (estimate(equal) >= share - SIGMAS * sigma) | (least < LOOSE)
+
+
+def _estimator(percent: int):
+    """Pairs that the estimate doesn't exclude."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                equal = (_matrix(batch.column("x")) == _matrix(batch.column("y"))).sum(axis=1)
+                low, high = np.sort(np.stack([batch.column("n").to_numpy(), batch.column("m").to_numpy()]), axis=0)
+                yield batch.filter(pa.array(maybe(equal, low, percent) & (100 * low >= percent * high))).select(["a", "b"])
+
+    return run
+
+
 def _confirmer(percent: int):
     def run(batches):
         for batch in batches:
@@ -183,132 +211,179 @@ def _confirmer(percent: int):
     return run
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, mini: bool = False) -> DataFrame:
-    """(doc_id, shingles): sorted 64-bit hashes of the documents in ids, or their MINI smallest 32-bit hashes.
-
-    Sets are made again from the texts, for these documents only: a bitmap of 1 MB
-    marks them (false marks cost time, not correctness).
-    """
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP_BITS))
-    marked = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    bitmap = bytearray(BITMAP_BITS // 8 + 8192)
-    for part, bits in marked.collect():  # at most 257 rows of 4 KB
-        # these functions number bits of positive numbers from 1; bucket 0 holds the number 0, which goes last here
-        at = (part - 1) * 4096 if part > 0 else len(bitmap) - 8192
-        bitmap[at : at + len(bits)] = bits
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
-    place = F.when(spot == 0, F.lit(BITMAP_BITS)).otherwise(spot - 1)
-    made = docs.filter("doc_id is not null").select("doc_id", "text", place.cast("int").alias("spot")).mapInArrow(_set_maker(size, shared, mini), "doc_id long, shingles binary")
-    return written(made.join(ids, "doc_id", "left_semi"), "sets")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose full shingle sets have 100 * intersection >= percent * union."""
+    x, y = reps.select(F.col("rep").alias("a"), F.col("n"), F.col("reg").alias("x")), reps.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("reg").alias("y"))
+    likely = written(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_estimator(percent), "a long, b long"), "likely")
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    out = written(pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "confirmed")
-    forget(sets)
+    out = written(likely.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_confirmer(percent), "a long, b long").distinct(), "confirmed")
+    forget(likely)
     return out
 
 
-def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of mini sets: intersection sizes, and whether the similarity may reach percent.
+class Tile:
+    """Up to TILE members of a block: components, sizes, registers, and their shingles as numbers of a sorted list."""
+
+    def __init__(self, comp: np.ndarray, reg: np.ndarray, sets: list[bytes]):
+        self.comp, self.reg = comp, reg
+        arrays = [np.frombuffer(x, dtype=U64) for x in sets]
+        self.n = np.array([len(x) for x in arrays])
+        self.row = np.repeat(np.arange(len(arrays), dtype=np.int32), self.n)
+        self.keys, key = np.unique(np.concatenate([np.zeros(0, U64), *arrays]), return_inverse=True)
+        self.key = key.astype(np.int32)
+
+
+def shared_shingles(a: Tile, b: Tile) -> np.ndarray:
+    """Sizes of the intersections of all members of a with all of b."""
+    out = np.zeros((len(a.n), len(b.n)), dtype=np.float32)
+    _, ia, ib = np.intersect1d(a.keys, b.keys, assume_unique=True, return_indices=True)
+
+    def held(tile, places):
+        """(row, column) of a tile's shingles that both have, by column, and how many each column has."""
+        column = np.full(len(tile.keys), -1)
+        column[places] = np.arange(len(places))
+        column = column[tile.key]
+        row, column = tile.row[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order], np.bincount(column, minlength=len(places))
+
+    (ra, ca, na), (rb, cb, nb) = held(a, ia), held(b, ib)
+    dense = na * nb >= DENSE
+    for low in range(0, int(dense.sum()), 2 * TILE):
+        chosen = np.flatnonzero(dense)[low : low + 2 * TILE]
+        place = np.full(len(na), -1)
+        place[chosen] = np.arange(len(chosen))
+        sides = []
+        for tile, r, c in ((a, ra, ca), (b, rb, cb)):
+            side = np.zeros((len(tile.n), len(chosen)), dtype=np.float32)
+            p = place[c]
+            side[r[p >= 0], p[p >= 0]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    start = np.cumsum(nb) - nb
+    few = np.flatnonzero(~dense[ca])
+    for low in range(0, len(few), 1 << 14):
+        some = few[low : low + (1 << 14)]
+        times = nb[ca[some]]
+        other = np.repeat(start[ca[some]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        np.add.at(out, (np.repeat(ra[some], times), rb[other]), 1)
+    return out
 
-    Exact but for collisions of 32-bit hashes, which only add, where both sets are
-    whole; else from the smallest hashes of the union, with the same margin as for registers.
-    """
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    pair = np.repeat(np.concatenate([np.arange(len(a))] * 2), np.concatenate([na, nb])).astype(U64)
-    key = np.sort((pair << U64(32)) | np.concatenate([*a, *b]).astype(U64))
-    again = np.append(key[1:] == key[:-1], False)
-    first = np.append(True, key[1:] != key[:-1])
-    owner = (key >> U64(32)).astype(np.int64)
-    shared = np.bincount(owner[again], minlength=len(a))
-    union = na + nb - shared
-    ok = 100 * shared >= percent * union
-    part = (na == MINI) | (nb == MINI)
-    if part.any():
-        rank = np.cumsum(first) - 1
-        start = np.searchsorted(owner, np.arange(len(a)))
-        low = rank - rank[start][owner] < MINI
-        ratio = np.bincount(owner[again & low], minlength=len(a)) / MINI
-        share = percent / 100
-        ok = np.where(part, ratio >= share - SIGMAS * np.sqrt(share * (1 - share) / MINI), ok)
-    return shared, ok
-
-
-def _block_pairs(percent: int):
-    """From rows sorted by (band, few, many): links of few-rows to many-rows of other components, for pairs of which this band is the first they share."""
-    share = percent / 100
 
-    def candidates(rows):
-        key, role, rep, comp, n, straggler, reg, _ = rows
-        few, many = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        for lo in range(0, len(few), 64):
-            for hi in range(0, len(many), 512):
-                f, m = few[lo : lo + 64], many[hi : hi + 512]
-                ok = comp[f][:, None] != comp[m][None, :]
-                ok &= (rep[f][:, None] < rep[m][None, :]) | ~straggler[m][None, :]
-                ok &= 100 * np.minimum(n[f][:, None], n[m][None, :]) >= percent * np.maximum(n[f][:, None], n[m][None, :])
-                i, j = np.nonzero(ok)
-                for cut in range(0, len(i), 8000):
-                    a, b = f[i[cut : cut + 8000]], m[j[cut : cut + 8000]]
-                    equal = reg[a] == reg[b]
-                    least = np.minimum(n[a], n[b])
-                    # registers of small sets repeat each other: as many count as are filled
-                    sigma = np.sqrt(share * (1 - share) / (REGISTERS * (1 - np.exp(-least / REGISTERS))))
-                    good = (estimate(equal.sum(axis=1)) >= share - SIGMAS * sigma) | (least < LOOSE)
-                    a, b, equal = a[good], b[good], equal[good]
-                    band = equal[:, _SPREAD].reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    first = band_keys(reg[a])[np.arange(len(a)), band] == key[0]
-                    yield a[first], b[first]
-
-    def pairs(rows):
-        key, role, rep, comp, n, straggler, reg, mini = rows
-        out = []
-        for a, b in candidates(rows):
-            for cut in range(0, len(a), 256):
-                x, y = a[cut : cut + 256], b[cut : cut + 256]
-                shared, ok = _similar([np.frombuffer(mini[k], dtype=np.uint32) for k in x], [np.frombuffer(mini[k], dtype=np.uint32) for k in y], percent)
-                whole = (n[x] < MINI) & (n[y] < MINI)
-                out.append(np.stack([x, y, shared, whole])[:, ok])
-        if not out:
-            return
-        x, y, shared, whole = np.concatenate(out, axis=1)
-        order = np.lexsort((-shared, comp[y], rep[x]))
-        x, y, whole = x[order], y[order], whole[order].astype(bool)
-        best = np.ones(len(x), dtype=bool)
-        best[1:] = (rep[x][1:] != rep[x][:-1]) | (comp[y][1:] != comp[y][:-1])
-        keep = best | ~whole
-        yield np.minimum(rep[x], rep[y])[keep], np.maximum(rep[x], rep[y])[keep]
-
-    columns = ("band", "few", "many", "role", "rep", "comp", "n", "straggler")
+def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest labels after joining the sets of a and b."""
+    while True:
+        x, y = parent[a], parent[b]
+        if (x == y).all():
+            return parent
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+
+
+def one_component(first: list[Tile], second: list[Tile] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components (with the smallest of the block that each is one with) that confirmed links join: links between members of first and second, or within first."""
+    every = first + (second or [])
+    names = np.unique(np.concatenate([t.comp for t in every]))
+    number = [np.searchsorted(names, t.comp) for t in every]
+    parent = np.arange(len(names))
+    pairs = [(i, j) for i in range(len(first)) for j in (range(len(first), len(every)) if second else range(i, len(first)))]
+    for i, j in pairs:
+        a, b = every[i], every[j]
+        open_ = parent[number[i]][:, None] != parent[number[j]][None, :]
+        least, most = np.minimum(a.n[:, None], b.n[None, :]), np.maximum(a.n[:, None], b.n[None, :])
+        open_ &= 100 * least >= percent * most
+        if not open_.any():
+            continue
+        equal = np.zeros(open_.shape, dtype=np.uint8)
+        for k in range(REGISTERS):
+            equal += a.reg[:, k][:, None] == b.reg[:, k][None, :]
+        open_ &= maybe(equal, least, percent)
+        if not open_.any():
+            continue
+        shared = shared_shingles(a, b)
+        x, y = np.nonzero(open_ & (100 * shared >= percent * (a.n[:, None] + b.n[None, :] - shared)))
+        parent = _merge(parent, number[i][x], number[j][y])
+    moved = parent != np.arange(len(names))
+    return names[moved], names[parent[moved]]
+
+
+def _block_links(percent: int):
+    """From rows sorted by block: pairs of components that are one."""
+    block = ("kind", "key", "i", "j")
+
+    def links(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        side, comp = rows.column("side").to_numpy(), rows.column("comp").to_numpy()
+        tiles: list[list[Tile]] = [[], []]
+        for which in (0, 1):
+            mine = np.flatnonzero(side == which)
+            mine = mine[np.argsort(comp[mine], kind="stable")]
+            for a in range(0, len(mine), TILE):
+                t = rows.take(pa.array(mine[a : a + TILE])).combine_chunks()
+                tiles[which].append(Tile(comp[mine[a : a + TILE]], _matrix(t.column("reg")), t.column("shingles").to_pylist()))
+        parts.clear()
+        del rows
+        a, b = one_component(tiles[0], tiles[1] or None, percent)
+        return pa.RecordBatch.from_arrays([pa.array(b.astype(np.int64)), pa.array(a.astype(np.int64))], ["a", "b"])
 
     def run(batches):
-        held = None
-        for batch in _with_end(batches):
-            if batch is None:
-                rows = held
-            else:
-                mini = np.empty(batch.num_rows, dtype=object)
-                mini[:] = batch.column("mini").to_pylist()
-                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in columns] + [_matrix(batch.column("reg")), mini]
-                rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if rows is None or not len(rows[0]):
-                continue
-            change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
-            bounds = [0, *change.tolist()] + ([len(rows[0])] if batch is None else [])
-            out = [p for a, b in zip(bounds[:-1], bounds[1:]) for p in pairs([rows[0][a:b], *(x[a:b] for x in rows[3:])])]
-            held = None if batch is None else [x[bounds[-1] :] for x in rows]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out]).astype(np.int64)), pa.array(np.concatenate([y for _, y in out]).astype(np.int64))], ["a", "b"])
+        held, name = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in block)))
+            a = 0
+            for b in range(1, len(keys) + 1):
+                if b == len(keys) or keys[b] != keys[a]:
+                    if held and name != keys[a]:
+                        yield links(held)
+                        held = []
+                    name = keys[a]
+                    held.append(batch.slice(a, b - a))
+                    a = b
+        if held:
+            yield links(held)
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def _stars(members: DataFrame, label: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """(a, b): for each class b the smallest leader a of its buckets that it wasn't held against and that is in another component."""
+    rows = members
+    if label is not None:
+        near = label.toDF("leader", "near")
+        rows = rows.join(label.toDF("rep", "comp"), "rep", "left").join(near, "leader", "left").filter(F.coalesce("comp", "rep") != F.coalesce("near", "leader"))
+    if tested is not None:
+        rows = rows.join(tested, "rep", "left").filter("last is null or leader > last")
+    return rows.groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b"))
+
+
+def _blocks(members: DataFrame, label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that members of unresolved buckets bring about."""
+    everyone = members.unionByName(members.select("band", "leader", F.col("leader").alias("rep")).distinct())
+    in_comp = written(everyone.join(label.toDF("rep", "comp"), "rep", "left").select("band", "leader", "rep", F.coalesce("comp", "rep").alias("comp")), "in_comp")
+    held = in_comp.groupBy("band").agg(F.count("*").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band", "total")
+    rows = written(in_comp.join(held, "band"), "unresolved")
+    tiny, size = rows.filter(F.col("total") <= TINY).select("band", "rep", "comp"), F.col("total")
+    # at most TINY members a band
+    pairs = tiny.toDF("band", "a", "near").join(tiny.toDF("band", "b", "far"), "band").filter("a < b and near != far").select("a", "b").distinct()
+    few = confirmed(written(pairs, "pairs"), reps, sets, percent)
+    member = reps.select("rep", "n", "reg")
+    zero = F.lit(0).cast("long")
+    blocks = rows.filter((size > TINY) & (size <= SMALL)).select(F.lit(0).alias("kind"), F.col("band").alias("key"), zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "comp", "rep")
+    edges = rows.filter(size > SMALL).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    teams = None
+    if edges.limit(1).count():
+        teams = components(edges)
+        sized = teams.toDF("rep", "team").join(member.select("rep", "n"), "rep")
+        slices = sized.groupBy("team").agg((F.floor(F.sum(8 * F.col("n") + 2 * REGISTERS) / BLOCK_BYTES) + 1).alias("slices"))
+        cut = sized.join(slices, "team").join(label.toDF("rep", "comp"), "rep", "left").select("rep", "team", "slices", F.coalesce("comp", "rep").alias("comp"), F.pmod(F.xxhash64("rep"), F.col("slices")).alias("s"))
+        cut = cut.withColumn("t", F.explode(F.sequence(zero, F.col("slices") - 1)))
+        blocks = blocks.unionByName(cut.select(F.lit(1).alias("kind"), F.col("team").alias("key"), F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), (F.col("s") > F.col("t")).cast("int").alias("side"), "comp", "rep"))
+    joined = blocks.join(member.select("rep", "reg"), "rep").join(sets.toDF("rep", "shingles").hint("merge"), "rep")
+    joined = joined.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j").select("kind", "key", "i", "j", "side", "comp", "reg", "shingles")
+    out = written(joined.mapInArrow(_block_links(percent), "a long, b long"), "more")
+    forget(in_comp, rows, *([teams] if teams is not None else []))
+    return few.unionByName(out)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -317,40 +392,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     doc_id is an integer column; documents link when 100 * intersection >= percent *
     union of their sets of word shingles.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(shingle), "doc_id long, n long, s1 long, s2 long, reg binary"), "sketch")
     usable = sketch.filter("n > 0 and doc_id is not null")
     reps = written(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("reg").alias("reg")), "classes")
-    members = written(
-        reps.mapInArrow(_bander, "band long, rep long").repartition(F.col("band")).sortWithinPartitions("band", "rep").mapInArrow(_bucket_members, "band long, leader long, rep long"), "members"
-    )
-    star = written(members.filter("leader != rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = confirmed(docs, star, shingle, percent)
-    label = components(links)
-    in_comp = members.join(label.toDF("rep", "comp"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    held = in_comp.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("total"), F.count("*").alias("comps"))
-    open_ = written(held.filter("comps > 1").select("band", F.col("most.comp").alias("main"), (F.floor((F.col("total") - F.col("most.k") - 1) / BLOCK_FEW) + 1).alias("fews"), (F.floor((F.col("total") - 1) / BLOCK_MANY) + 1).alias("manys")), "open")
-    minis = sets_of(docs, in_comp.join(open_, "band").select(F.col("rep").alias("doc_id")).distinct(), shingle, mini=True).toDF("rep", "mini")
-    rows = in_comp.join(open_, "band").withColumn("straggler", F.col("comp") != F.col("main"))
-    salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    few = rows.filter("straggler").select("band", salt("fews").alias("few"), steps("manys").alias("many"), F.lit(0).alias("role"), "rep", "comp", "straggler")
-    many = rows.select("band", steps("fews").alias("few"), salt("manys").alias("many"), F.lit(1).alias("role"), "rep", "comp", "straggler")
-    pairs = (
-        few.unionByName(many).join(reps.select("rep", "n", "reg"), "rep").join(minis, "rep")
-        .repartition(F.col("band"), F.col("few"), F.col("many")).sortWithinPartitions("band", "few", "many")
-        .mapInArrow(_block_pairs(percent), "a long, b long")
-    )
-    rest = written(pairs.join(star, ["a", "b"], "left_anti"), "rest")
-    more = confirmed(docs, rest, shingle, percent)
-    forget(members, star, open_, rest)
-    final = components(links.union(more))
-    forget(links, more, label)
-    known = usable.select("doc_id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep")
+    bands = reps.mapInArrow(_bander, "band long, rep long")
+    leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("k")).filter("k > 1").select("band", "leader")
+    members = written(bands.join(leaders, "band").filter("rep != leader"), "members")
+    sets = sets_of(docs, members.select(F.explode(F.array("leader", "rep")).alias("doc_id")).distinct(), shingle)
+    links, label, tested, old = None, None, None, []
+    for _ in range(ROUNDS):
+        stars = written(_stars(members, label, tested), "stars")
+        found = confirmed(stars, reps, sets, percent)
+        old.append(stars)
+        last = stars.select(F.col("b").alias("rep"), F.col("a").alias("last"))
+        tested = last if tested is None else tested.unionByName(last).groupBy("rep").agg(F.max("last").alias("last"))
+        old.append(found)
+        links = found if links is None else links.unionByName(found)
+        if label is not None:
+            forget(label)
+        label = components(links)
+    more = _blocks(members, label, reps, sets, percent)
+    forget(members, sets)
+    known = written(usable.select("doc_id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep"), "known")
+    # rows that share a doc_id join the classes of their texts
+    several = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a != most")
+    bridges = known.join(several, "doc_id").select("a", F.col("rep").alias("b"))
+    # every component is a vertex with its links, so that those found last join whole components
+    final = components(label.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionByName(more).unionByName(bridges))
     comp = known.join(final.toDF("rep", "comp"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     out = sketch.select("doc_id", "n").join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
+    forget(sketch, reps, label, final, known, *old)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -358,7 +432,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Of several equal rows with that doc_id one stays.
     """
-    found = written(near_duplicates(docs, shingle, percent), "groups")
+    found = near_duplicates(docs, shingle, percent)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     # as many rows as documents, in the worst case: never a table to broadcast

@@ -90,12 +90,39 @@ def test_registers_and_bands():
     assert abs(np.mean(hits) - 0.8) < 0.02
 
 
-def test_mini_sets():
+def test_blocks_find_all_links():
     rng = np.random.default_rng(1)
-    make = lambda x: np.unique(x)[: near_duplicates.MINI]
-    a = rng.integers(0, 2**32, 300).astype(np.uint32)
-    shared, ok = near_duplicates._similar([make(a), make(a)], [make(a[:270]), make(a[:200])], 80)
-    assert ok.tolist() == [True, False] and shared.tolist() == [270, 200]
+    common = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, rng.integers(20, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 8)).astype(np.uint64)])) for _ in range(300)]
+    sets += [np.unique(np.concatenate([s[2:], rng.integers(0, 2**63, 2).astype(np.uint64)])) for s in sets[:40]]
+    comp = rng.permutation(len(sets)).astype(np.int64)
+    comp[5] = comp[9]
+    regs = near_duplicates.registers(sets)
+
+    def tiles(rows):
+        return [near_duplicates.Tile(comp[rows[k : k + 70]], regs[rows[k : k + 70]], [sets[i].tobytes() for i in rows[k : k + 70]]) for k in range(0, len(rows), 70)]
+
+    def slow(pairs):
+        parent = {int(c): int(c) for c in comp}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in pairs:
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(int(comp[i])), find(int(comp[j]))))
+                parent[b] = a
+        return {c: find(c) for c in parent if find(c) != c}
+
+    every, half = np.arange(len(sets)), len(sets) // 2
+    got = near_duplicates.one_component(tiles(every), None, 80)
+    want = slow([(i, j) for i in every for j in every[:i]])
+    assert len(want) > 40 and dict(zip(*(x.tolist() for x in got))) == want
+    got = near_duplicates.one_component(tiles(every[:half]), tiles(every[half:]), 80)
+    assert dict(zip(*(x.tolist() for x in got))) == slow([(i, j) for i in every[:half] for j in every[half:]])
 
 
 def base(text):

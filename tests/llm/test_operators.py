@@ -453,9 +453,28 @@ def near_copies(spark, n=260):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-def test_near_duplicates(spark, docs, edges, empty):
-    table = docs.select("doc_id", "text").unionByName(near_copies(spark))
-    got = near_duplicates.near_duplicates(table).collect()
+def templates(spark, n=320):
+    """Texts of one template, alike but mostly not linked."""
+    import random
+
+    rng = random.Random(9)
+    one = [f"t{k}" for k in range(110)]
+    rows = []
+    for k in range(n):
+        w = list(one)
+        for place in rng.sample(range(110), rng.randint(1, 5)):
+            w[place] = f"o{k}x{place}"
+        rows.append((40000 + k, " ".join(w)))
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("sizes", [(8, 256, 48 << 20), (3, 20, 40_000), (2, 2, 10_000)])
+def test_near_duplicates(spark, docs, edges, empty, sizes, monkeypatch):
+    """Buckets of all kinds: held pair by pair, as one block, and as teams in one or several slices."""
+    for name, value in zip(("TINY", "SMALL", "BLOCK_BYTES"), sizes):
+        monkeypatch.setattr(near_duplicates, name, value)
+    table = docs.select("doc_id", "text").unionByName(near_copies(spark)).unionByName(templates(spark))
+    got = near_duplicates.near_duplicates(table.withColumn("n", F.lit("clash")).withColumn("rep", F.lit("clash"))).collect()
     expected = duplicate_groups(text_of(table))
     assert len(got) == table.count()
     for r in got:
@@ -463,11 +482,16 @@ def test_near_duplicates(spark, docs, edges, empty):
             assert r.component_id is None and r.kept
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (*expected[r.doc_id], expected[r.doc_id][1] == r.doc_id)
+    if sizes[0] > 2:
+        return
     kept = near_duplicates.drop_near_duplicates(edges)
     groups = duplicate_groups(text_of(edges), 5)
     assert kept.columns == edges.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([-1, *(i for i, (_, g) in groups.items() if i == g)])
     assert near_duplicates.near_duplicates(empty).count() == 0
+    # two texts under one doc_id are one vertex
+    two = spark.createDataFrame([(5, "a b c d e f"), (7, "a b c d e f"), (7, "p q r s t u"), (9, "p q r s t u")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(two).collect()} == {(5, 5), (7, 5), (9, 5)}
 
 
 # 8
