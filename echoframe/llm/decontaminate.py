@@ -1,17 +1,20 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Each Arrow batch of documents is a shard: its words are numbered by the
-benchmark's vocabulary, the suffixes that start with words found at the start
-of some benchmark window are sorted by their leading words (a sparse suffix
-array: other suffixes cannot match a window), and every benchmark suffix is
-looked up by binary search.  Matching suffixes give the places of verbatim
-matches; `longest` is the longest run of words that matches cover, as in the SQL
-twin, whether or not one item holds the whole run.  No shuffle is needed and the
-benchmark is sent out in blocks of bounded size.
+Each Arrow batch of documents is a shard: its words are numbered by the benchmark's
+vocabulary, the suffixes that start with words found at the start of some benchmark
+window are sorted by their leading words (a sparse suffix array: other suffixes cannot
+match a window), and every benchmark suffix of a window's length at least is looked up by
+binary search.  Each match is a place in a document and one in an item; matches that go
+on side by side are one longer match, so its length is that of the longest verbatim
+match along the item's suffix, however long.  Common runs shorter than a window aren't
+sought.  No shuffle is needed; the benchmark is sent out in blocks of bounded size, which
+one worker a task goes through, holding at most KEEP of them.
 
 Defined results: null or wordless texts are clean; null item ids count as the
 empty string; items without words have no window; repeated items count once by
-id; an empty benchmark leaves all documents clean.
+id; an empty benchmark leaves all documents clean; an empty table gives an empty result;
+repeated documents are each looked at; further columns aren't read (remove_contaminated
+returns them as they are).  A text is never split, so a very long one makes a large shard.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from .text import ALNUM, U64, buffers, hash_words, words
 
 #: Bytes of benchmark text in one block (the bound of what is sent to tasks).
 BLOCK_BYTES = 8 << 20
+#: Blocks that a worker keeps at once; beyond them each is loaded again when its turn comes.
+KEEP = 16
+#: Pairs of a document's place and an item's that are followed at once.
+PAIRS = 1 << 20
 
 
 class Windows:
@@ -37,25 +44,30 @@ class Windows:
     def __init__(self, items: list[tuple[str, str]], size: int):
         hashed = hash_words([t for _, t in items], ALNUM)
         self.size = size
-        self.ids = sorted({i for i, _ in items})
+        self.ids, self.names = sorted({i for i, _ in items}), [i for i, _ in items]
         at = {i: k for k, i in enumerate(self.ids)}
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, U64), *hashed]))
-        found: dict[bytes, set[int]] = {}
-        lengths: dict[bytes, int] = {}
-        self.stream = [np.zeros(0, np.int64)]
-        for (item, _), h in zip(items, hashed):
+        keys, lengths, owners, starts, begin = [np.zeros(0, f"S{3 * size}")], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.begin = []
+        for row, ((item, _), h) in enumerate(zip(items, hashed)):
             number = np.searchsorted(self.vocabulary, h) + 1
-            self.stream.append(number)
             length = min(size, len(h))
-            for a in range(len(h) - length + 1 if length else 0):
-                key = packed(number[a : a + length][None, :], size)[0]
-                found.setdefault(key, set()).add(at[item])
-                lengths[key] = length
-        self.keys = np.array(sorted(found), dtype=f"S{3 * size}")
-        self.lengths = np.array([lengths[k] for k in sorted(found)], dtype=np.int64)
-        owners = [sorted(found[k]) for k in sorted(found)]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owner = np.array([x for o in owners for x in o], dtype=np.int64)
+            if length:
+                place = np.arange(len(h) - length + 1)
+                keys.append(packed(number[place[:, None] + np.arange(length)], size))
+                lengths.append(np.full(len(place), length))
+                owners.append(np.full(len(place), at[item]))
+                starts.append(begin + place)
+            self.begin.append(begin)
+            begin += len(h) + 1
+        keys, lengths, owners, starts = (np.concatenate(x) for x in (keys, lengths, owners, starts))
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys, return_index=True)
+        self.lengths = lengths[first]
+        #: items and places (in all items, one after the other) of each window
+        self.owner_at = np.append(np.searchsorted(keys[order], self.keys), len(keys))
+        self.owner, self.start = owners[order], starts[order]
+        self.begin = np.array(self.begin, dtype=np.int64)
         #: every window starts with one of these runs of `lead` words
         self.lead = int(min(3, self.lengths.min())) if len(self.lengths) else 0
         self.lead_numbers = np.unique(_lead_number(np.array([[int.from_bytes(k.ljust(3 * size, b"\0")[3 * j : 3 * j + 3], "big") for j in range(self.lead)] for k in map(bytes, self.keys)], dtype=np.int64).reshape(len(self.keys), self.lead)))
@@ -76,38 +88,38 @@ def _lead_number(numbers: np.ndarray) -> np.ndarray:
     return out
 
 
-class Match:
-    """Hits of a batch: per document the number of words, hit words, longest run of hit words, its first word, and item ids."""
+class Shard:
+    """The words of a batch, and what of the benchmark's blocks is found in them."""
 
-    def __init__(self, column: pa.Array, block: Windows):
-        data, offsets = buffers(column)
-        w = words(data, offsets, ALNUM)
-        docs = len(offsets) - 1
+    def __init__(self, column: pa.Array, size: int):
+        self.words = w = words(*buffers(column), ALNUM)
+        self.docs = len(w.first) - 1
         self.n_words = np.diff(w.first)
         # one stop (0) after each document
-        number = np.zeros(len(w.hash) + docs + block.size, dtype=np.int64)
-        doc_of = np.repeat(np.arange(docs), self.n_words)
-        place = np.arange(len(w.hash)) + doc_of
-        first = w.first[:-1] + np.arange(docs)
-        if len(block.vocabulary):
-            at = np.minimum(np.searchsorted(block.vocabulary, w.hash), len(block.vocabulary) - 1)
-            number[place] = np.where(block.vocabulary[at] == w.hash, at + 1, 0)
-        self.items: dict[int, set[int]] = {}
-        edge = np.zeros(len(number) + 1, dtype=np.int64)
-        if len(block.keys):
-            candidate = np.flatnonzero(number)
-            for j in range(1, block.lead):
-                candidate = candidate[number[candidate + j] > 0]
-            lead = _lead_number(number[candidate[:, None] + np.arange(block.lead)])
-            candidate = candidate[np.isin(lead, block.lead_numbers)]
-            if len(candidate):
-                self._look_up(candidate, number, doc_of, place, block, edge)
-        self.hit = np.cumsum(edge[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(self.hit)])
-        self.n_hit = total[first + self.n_words] - total[first]
-        self.first = first
-
-    def _look_up(self, candidate, number, doc_of, place, block, edge):
+        self.doc_of = np.repeat(np.arange(self.docs), self.n_words)
+        self.place = np.arange(len(w.hash)) + self.doc_of
+        self.first = w.first[:-1] + np.arange(self.docs)
+        self.length = len(w.hash) + self.docs + size
+        self.hit = np.zeros(self.length, dtype=bool)
+        self.items: dict[int, set[str]] = {}
+        #: by document: length, first word, item and its first word of the longest match
+        self.longest: dict[int, tuple[int, int, str, int]] = {}
+
+    def look_up(self, block: Windows) -> None:
+        w, number = self.words, np.zeros(self.length, dtype=np.int64)
+        if not len(block.keys) or not len(w.hash):
+            return
+        at = np.minimum(np.searchsorted(block.vocabulary, w.hash), len(block.vocabulary) - 1)
+        number[self.place] = np.where(block.vocabulary[at] == w.hash, at + 1, 0)
+        candidate = np.flatnonzero(number)
+        for j in range(1, block.lead):
+            candidate = candidate[number[candidate + j] > 0]
+        lead = _lead_number(number[candidate[:, None] + np.arange(block.lead)])
+        candidate = candidate[np.isin(lead, block.lead_numbers)]
+        if len(candidate):
+            self._search(candidate, number, block)
+
+    def _search(self, candidate: np.ndarray, number: np.ndarray, block: Windows) -> None:
         live = np.ones(len(candidate), dtype=bool)
         rows = np.zeros((len(candidate), block.size), dtype=np.int64)
         for j in range(block.size):
@@ -118,27 +130,57 @@ class Match:
         suffix, candidate = suffix[order], candidate[order]
         low = np.searchsorted(suffix, block.keys, side="left")
         upper = np.array([bytes(k).ljust(3 * int(n), b"\0")[: 3 * int(n)].ljust(3 * block.size, b"\xff") for k, n in zip(block.keys, block.lengths)], dtype=f"S{3 * block.size}")
-        high = np.searchsorted(suffix, upper, side="right")
-        count = high - low
+        count = np.searchsorted(suffix, upper, side="right") - low
         window = np.repeat(np.arange(len(block.keys)), count)
-        rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        at = candidate[rank]
+        at = candidate[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+        if not len(at):
+            return
+        edge = np.zeros(self.length + 1, dtype=np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + block.lengths[window], -1)
-        owner_of = np.full(len(number), -1)
-        owner_of[place] = doc_of
+        self.hit |= np.cumsum(edge[:-1]) > 0
+        owner_of = np.full(self.length, -1)
+        owner_of[self.place] = self.doc_of
         pairs = np.unique(owner_of[at].astype(np.int64) * len(block.keys) + window)
-        for doc, k in zip(pairs // len(block.keys), pairs % len(block.keys)):
-            self.items.setdefault(int(doc), set()).update(block.owner[block.owner_at[k] : block.owner_at[k + 1]].tolist())
-
-    def longest(self) -> np.ndarray:
-        """Longest run of hit words in each document."""
-        out = np.zeros(len(self.n_words), dtype=np.int64)
-        for d in np.flatnonzero(self.n_hit):
-            h = self.hit[self.first[d] : self.first[d] + self.n_words[d]].astype(np.int8)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], h, [0]])))
-            out[d] = (edges[1::2] - edges[::2]).max()
-        return out
+        for doc, k in zip((pairs // len(block.keys)).tolist(), (pairs % len(block.keys)).tolist()):
+            self.items.setdefault(doc, set()).update(block.ids[x] for x in block.owner[block.owner_at[k] : block.owner_at[k + 1]].tolist())
+        # document by document, in parts of bounded size: matches that go on side by side
+        order = np.argsort(at, kind="stable")
+        at, window = at[order], window[order]
+        times = np.diff(block.owner_at)[window]
+        done = np.cumsum(times)
+        doc = owner_of[at]
+        edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+        a = 0
+        while a < len(edges) - 1:
+            base = done[edges[a]] - times[edges[a]]
+            b = max(a + 1, int(np.searchsorted(done[edges[1:] - 1], base + PAIRS, side="right")))
+            self._follow(slice(edges[a], edges[b]), at, window, times, block, owner_of)
+            a = b
+
+    def _follow(self, part: slice, at, window, times, block: Windows, owner_of) -> None:
+        """Longest matches of some documents from all places of their windows in items: those of equal distance, one after the other, are one match."""
+        at, window, times = at[part], window[part], times[part]
+        q = block.start[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(block.owner_at[window], times)]
+        p, size = np.repeat(at, times), np.repeat(block.lengths[window], times)
+        order = np.lexsort((p, p - q))
+        p, q, size = p[order], q[order], size[order]
+        new = np.append(True, (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1))
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(p))) - 1 + size[start]
+        row = np.searchsorted(block.begin, q[start], side="right") - 1
+        doc = owner_of[p[start]]
+        best = np.lexsort((q[start], p[start], -length, doc))
+        best = best[np.append(True, doc[best][1:] != doc[best][:-1])]
+        for k in best.tolist():
+            d = int(doc[k])
+            found = (int(length[k]), int(p[start[k]] - self.first[d]), block.names[row[k]], int(q[start[k]] - block.begin[row[k]]))
+            if d not in self.longest or (-found[0], found[1], found[2]) < (-self.longest[d][0], self.longest[d][1], self.longest[d][2]):
+                self.longest[d] = found
+
+    def n_hit(self) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(self.hit)])
+        return total[self.first + self.n_words] - total[self.first]
 
     def spans(self, d: int) -> list[int]:
         """Start and end (exclusive) word numbers of the hit runs of a document, flat."""
@@ -156,66 +198,54 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK
         yield Windows([(r.i, r.t) for r in part.collect()], window)
 
 
-_RESULT = "n_words long, n_hit long, longest long, spans array<long>, items array<string>"
+_RESULT = "n_words long, n_hit long, spans array<long>, items array<string>, longest long, longest_at long, longest_item string, longest_item_at long"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text and hits of every document (``n_words, n_hit, longest, spans, items``).
+def _search(shared: list, column: pa.Array, window: int) -> Shard:
+    """A batch held against all blocks."""
+    shard = Shard(column, window)
+    for block in shared:
+        shard.look_up(block.value)
+        if len(shared) > KEEP:
+            block.__dict__.pop("_value", None)  # a worker reads it again from the file that Spark keeps beside it
+    return shard
 
-    Several blocks are applied one after the other within the same tasks, each
-    pass adding its spans and items; there is no join.
-    """
-    small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    out = docs.select("doc_id", "text")
-    id_type = out.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text string, {_RESULT}"
-    for number, block in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
-        out = out.mapInArrow(_finder(sc.broadcast(block), number > 0), schema)
-    return out
 
+def _sent(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    return [benchmark.sparkSession.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, window, block_bytes)]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and hits of every document: words, hit words, hit spans and items; and of its longest match the length, first word, item and first word in it (0 and nulls without one)."""
+    small_batches(docs.sparkSession)
+    shared = _sent(benchmark, window, block_bytes)
 
-def _finder(shared, merge: bool):
     def run(batches):
-        block = shared.value
         for batch in batches:
-            m = Match(batch.column("text"), block)
-            longest, n_hit = m.longest(), m.n_hit.copy()
-            spans = [m.spans(d) if m.n_hit[d] else [] for d in range(batch.num_rows)]
-            items = [[block.ids[k] for k in m.items.get(d, ())] for d in range(batch.num_rows)]
-            if merge:
-                for d, (s, i) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
-                    items[d] = list({*items[d], *(i or ())})
-                    if s:
-                        hit = np.zeros(int(m.n_words[d]), dtype=np.int8)
-                        for a, b in [*zip(s[::2], s[1::2]), *zip(spans[d][::2], spans[d][1::2])]:
-                            hit[a:b] = 1
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                        spans[d], n_hit[d], longest[d] = edges.tolist(), hit.sum(), (edges[1::2] - edges[::2]).max()
+            m = _search(shared, batch.column("text"), window)
+            n_hit, n = m.n_hit(), batch.num_rows
+            spans = [m.spans(d) if n_hit[d] else [] for d in range(n)]
+            items = [list(m.items.get(d, ())) for d in range(n)]
+            longest = [m.longest.get(d, (0, None, None, None)) for d in range(n)]
+            columns = zip(("longest", "longest_at", "longest_item", "longest_item_at"), (pa.int64(), pa.int64(), pa.string(), pa.int64()), range(4))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text").cast(pa.string()), pa.array(m.n_words), pa.array(n_hit), pa.array(longest), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "n_hit", "longest", "spans", "items"],
+                [batch.column("doc_id"), pa.array(m.n_words), pa.array(n_hit), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *(pa.array([x[k] for x in longest], t) for _, t, k in columns)],
+                ["doc_id", "n_words", "n_hit", "spans", "items", "longest", "longest_at", "longest_item", "longest_item_at"],
             )
 
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_RESULT}")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    out = docs
-    for block in benchmark_blocks(benchmark, window, block_bytes):
-        out = out.mapInArrow(_remover(sc.broadcast(block)), docs.schema)
-    return out
-
+    shared = _sent(benchmark, window, block_bytes)
 
-def _remover(shared):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(Match(batch.column("text"), shared.value).n_hit == 0))
+            yield batch.filter(pa.array(_search(shared, batch.column("text"), window).n_hit() == 0))
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

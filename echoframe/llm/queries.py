@@ -67,12 +67,13 @@ SQL: dict[str, str] = {
     "op6_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-s AS (SELECT item_id, w, least(10, len(w)) AS n, UNNEST(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM s),
+s AS (SELECT row_number() OVER () AS item, item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+windows AS (SELECT item, item_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS g FROM (SELECT *, UNNEST(range(1, len(w) - n + 2)) AS j FROM s)),
 places AS (SELECT doc_id, n, w, UNNEST(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
-hits AS (SELECT p.doc_id, p.k, p.n, v.item_id FROM places p JOIN windows v ON v.n = p.n AND v.g = array_to_string(p.w[p.k : p.k + p.n - 1], ' ')),
+hits AS (SELECT p.doc_id, p.k, p.n, v.item, v.item_id, v.j FROM places p JOIN windows v ON v.n = p.n AND v.g = array_to_string(p.w[p.k : p.k + p.n - 1], ' ')),
 hit_words AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, UNNEST(range(k, k + n)) AS pos FROM hits)),
-runs AS (SELECT doc_id, count(*) AS length FROM (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hit_words) GROUP BY doc_id, run),
+sides AS (SELECT doc_id, item, n, k - j AS side, k - row_number() OVER (PARTITION BY doc_id, item, k - j ORDER BY k) AS run FROM hits),
+runs AS (SELECT doc_id, count(*) + min(n) - 1 AS length FROM sides GROUP BY doc_id, item, side, run),
 items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS i FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce((SELECT count(*) FROM hit_words h WHERE h.doc_id = d.doc_id), 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
 sha256(coalesce(items.i, '')) AS items_sha256, items.n IS NOT NULL AS contaminated, coalesce((SELECT max(length) FROM runs r WHERE r.doc_id = d.doc_id), 0)::BIGINT AS longest_match

@@ -395,14 +395,37 @@ def contamination(rows, items, window=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1500])
+def test_longest_match_follows_one_item(spark):
+    item = lambda n: " ".join(f"i{n}w{k}" for k in range(14))
+    items = spark.createDataFrame([(1, item(1)), (2, item(2)), (3, item(1) + " more words of it")], "item_id bigint, text string")
+    both = " ".join(item(1).split()[:10] + item(2).split()[:10])
+    rows = spark.createDataFrame([(1, both), (2, "x " + item(1) + " more words y " + item(1)), (3, "i1w0 " * 30)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(rows, items).collect()}
+    assert (got[1].n_hit, got[1].longest, got[3].longest, got[3].longest_item) == (20, 10, 0, None)
+    assert (got[2].longest, got[2].longest_at, got[2].longest_item, got[2].longest_item_at) == (16, 1, "3", 0)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1500, 100])
 def test_decontamination(spark, docs, benchmark, edges, empty, block):
     more = spark.createDataFrame([(900, "again and"), (901, ""), (902, None), (None, "few words again"), (903, "One"), (900, "again and")], "item_id bigint, text string")
     items = benchmark.select("item_id", "text").unionByName(more)
-    found = decontaminate.find_contamination(docs, items, 10, block)
+    if block == 100:  # more blocks than a worker keeps
+        assert len(decontaminate._sent(items, 10, block)) > decontaminate.KEEP
+    found = decontaminate.find_contamination(docs.withColumn("n_words", F.lit("clash")), items, 10, block)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digests(found).collect())
     expected = contamination(text_of(docs), [(r.item_id, r.text) for r in items.collect()])
     assert got == expected
+    lines, pattern = [(("" if r.item_id is None else str(r.item_id)), re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))) for r in items.collect()], re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for r in found.join(docs.select("doc_id", "text").distinct(), "doc_id").filter("longest > 0 or n_words < 400").collect():
+        w, best = pattern.findall(lower(r.text)), 0
+        for _, item in lines:
+            ends = [0] * (len(item) + 1)
+            for x in w:  # longest common runs that end here
+                ends = [0, *(ends[k] + 1 if x == item[k] else 0 for k in range(len(item)))]
+                best = max(best, max((e for e in ends if e >= min(10, len(item))), default=0))
+        assert r.longest == best
+        if best:
+            assert any(i == r.longest_item and item[r.longest_item_at : r.longest_item_at + best] == w[r.longest_at : r.longest_at + best] for i, item in lines)
     left = decontaminate.remove_contaminated(edges, items, 10, block)
     assert left.columns == edges.columns and left.count() == sum(not x[-1] for x in contamination(text_of(edges), [(r.item_id, r.text) for r in items.collect()]))
     assert decontaminate.find_contamination(empty, items).count() == 0
