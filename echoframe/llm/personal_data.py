@@ -9,8 +9,11 @@ a span that would overlap a base span of its kind isn't added.
 
 Array operations over whole buffers leave out the texts in which neither a base
 detector nor a transducer can find anything; that filter lets through every text that
-a transducer would rewrite into a span.  Offsets are code points, ends exclusive.  A
-null text is an empty one.
+a transducer would rewrite into a span.  Offsets are code points, ends exclusive.
+
+Defined results: a null text is an empty one, without spans; an empty table gives an
+empty result; very long texts are read whole; repeated rows give repeated results;
+doc_id may be of any type, and further columns are not read.
 """
 
 from __future__ import annotations
@@ -156,6 +159,13 @@ _SPELLED_PART = re.compile(rf"plus|\+|{_WORD_DIGITS}|[0-9]+|{DOT_WORDS}", re.IGN
 _DOT = re.compile(rf"(?:(?<!\s)\s+)?[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9])\s+(?:{DOT_WORDS}|\.)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 _AT_BRACKETS = re.compile(r"(?:(?<!\s)\s+)?[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]\s*", re.IGNORECASE)
 _AT_APART = re.compile(r"(?<=[A-Za-z0-9])(?:\s+@\s*|@\s+)(?=[A-Za-z0-9])")
+#: An address of figures with spelled dots; letters one by one before an @.
+_IP_WORDS = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\s+(?:{DOT_WORDS})\s+|\.)[0-9]{{1,3}}){{3}}(?![\w.])", re.IGNORECASE)
+_LETTERS = re.compile(r"(?<!\S)(?:[A-Za-z0-9]\s){2,}[A-Za-z0-9](?=\s*@)")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+#: What makes "name at host.tld" an address: a name that is no plain word, or one of these words before it (fixed values).
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+$")
+_CUE = re.compile(r"(?<!\w)(?:e-?mails?|mail(?:to)?|contact|write|reach|address|correo|courriel|adresse?|kontakt)(?!\w)", re.IGNORECASE)
 _AT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 
 
@@ -176,20 +186,39 @@ def read_spelled_digits(tape: Tape) -> None:
         tape.rewrite(edits)
 
 
+def join_letters(tape: Tape) -> None:
+    """Single letters with blanks between them before an @: to one word."""
+    if "@" not in tape.text:
+        return
+    edits = []
+    for m in _LETTERS.finditer(tape.text):
+        edits += [(k, k + 2, [(tape.text[k], k, k + 1)]) for k in range(m.start(), m.end() - 1, 2)]
+    if edits:
+        tape.rewrite(edits)
+
+
 def read_at_and_dot(tape: Tape) -> None:
-    """Bracketed at and dot; bare words only where both occur in one address (name at host dot com)."""
-    dots = [(m.start(), m.end(), "." , m[0].strip()[:1] in "([{<") for m in _DOT.finditer(tape.text)]
+    """Bracketed at and dot; blanks around an @; bare words where both occur in one address (name at host dot com), where the host has its dots and what stands before tells an address, and in addresses of figures."""
+    figures = [m.span() for m in _IP_WORDS.finditer(tape.text)]
+    inside = lambda a: any(x < a < y for x, y in figures)
+    dots = [(m.start(), m.end(), ".", m[0].strip()[:1] in "([{<" or inside(m.start())) for m in _DOT.finditer(tape.text)]
     ats = [(m.start(), m.end(), "@", True) for m in _AT_BRACKETS.finditer(tape.text)]
     bare = [(m.start(), m.end(), "@", False) for p in (_AT_WORD, _AT_APART) for m in p.finditer(tape.text)]
-    ends = {}
-    for a, b, _, _ in dots:
-        ends[a] = b
-
-    def host_follows(at: int) -> bool:
-        m = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*").match(tape.text, at)
-        return bool(m) and (m.end() in ends or tape.text[at - 1 : at].isspace() and "@" in tape.text[max(0, at - 3) : at] and "." in m[0])
-
-    ats += [x for x in bare if host_follows(x[1])]
+    ends = {a for a, _, _, _ in dots}
+
+    def host_follows(a: int, b: int) -> bool:
+        m = _HOST.match(tape.text, b)
+        if not m or m.end() in ends:
+            return bool(m)
+        if "." not in m[0]:
+            return False
+        if "@" in tape.text[a:b]:
+            return True
+        name = _NAME.search(tape.text, max(0, a - 64), a)
+        told = name and (re.search("[0-9._%+]", name[0]) or _CUE.search(tape.text, max(0, name.start() - 24), name.start()))
+        return bool(told) and m[0].rsplit(".", 1)[1].lower() in TLDS
+
+    ats += [x for x in bare if host_follows(x[0], x[1])]
     signs = sorted({b for _, b, _, _ in ats})
     edits, busy = [], -1
     for a, b, sign, sure in sorted([*dots, *ats]):
@@ -207,6 +236,7 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     tape = Tape(text)
     fold_lookalikes(tape)
     read_spelled_digits(tape)
+    join_letters(tape)
     read_at_and_dot(tape)
     if not tape.rewritten:
         return []
@@ -243,6 +273,8 @@ _FIGURE = np.zeros(256, dtype=bool)
 _FIGURE[range(0x30, 0x3A)] = True
 _PLAIN = _FIGURE.copy()
 _PLAIN[0x40] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _BRACKET = np.zeros(256, dtype=bool)
 _BRACKET[list(b"([{<")] = True
 
@@ -266,9 +298,9 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Texts that may hold base spans, and texts that may hold disguised ones.
 
     Without a strange character, a text is rewritten only if it has three digit words,
-    dot words or numbers of any length in a row with a digit word among them; a bracket
-    with an at or dot behind it; an @ beside a blank; or a dot word or a dot between
-    blanks together with an at or @.
+    dot words or numbers of any length in a row with a digit or dot word among them; a bracket
+    with an at or dot behind it; an @ beside a blank; a dot word or a dot between
+    blanks together with an at or @; or an at together with a dot before a letter.
     """
     w = words(data, offsets, ALNUM)
     in_texts = lambda flags: _any_by_text(flags, offsets)
@@ -278,7 +310,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     part = spelled | dot_word | (figures[w.end] - figures[w.start] == w.end - w.start)
     run = np.zeros(len(part), dtype=bool)
     if len(part) > 2:
-        run[:-2] = part[:-2] & part[1:-1] & part[2:] & (spelled[:-2] | spelled[1:-1] | spelled[2:])
+        read = spelled | dot_word
+        run[:-2] = part[:-2] & part[1:-1] & part[2:] & (read[:-2] | read[1:-1] | read[2:])
     blank = data <= 0x20
     before, after = np.append(True, blank[:-1])[: len(data)], np.append(blank[1:], True)[: len(data)]
     behind = np.append(False, _BRACKET[data[:-1]])[: len(data)]
@@ -288,6 +321,9 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     disguised = in_texts(_strange(data)) | _any_by_text(run, w.first) | in_texts(sign & (before | after))
     disguised |= in_texts(_BRACKET[data]) & (at | dots | in_texts(dot & (before | behind)))
     disguised |= at & (dots | in_texts(dot & before & after))
+    # a host with its dots behind a spelled at
+    letter = _LETTER[data]
+    disguised |= _any_by_text(member(_AT_HASHES), w.first) & in_texts(dot & np.append(letter[1:], False)[: len(data)])
     return in_texts(_PLAIN[data]), disguised
 
 

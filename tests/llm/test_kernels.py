@@ -156,6 +156,8 @@ def test_base_spans():
         ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"), ("call plus four nine one seven zero five five five one two three", "phone", "plus four nine one seven zero five five five one two three"),
         ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"), ("x vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins x", "card", None),
         ("a​b@x​.com", "email", "a​b@x​.com"), ("write john @ mail . com today", "email", "john @ mail . com"), ("write john @ mail.com today", "email", "john @ mail.com"),
+        ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"), ("host 192 punkt 168.0 DOT 1, up", "ip", "192 punkt 168.0 DOT 1"), ("write john @example.com today", "email", "john @example.com"), ("mail john at example.com today", "email", "john at example.com"),
+        ("see john.smith at example.org", "email", "john.smith at example.org"), ("to j o h n @ example.com now", "email", "j o h n @ example.com"), ("to j o h n@example . com now", "email", "j o h n@example . com"),
         ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"), ("card 4111\u20131111\u20131111\u20131111 ok", "card", "4111\u20131111\u20131111\u20131111"), ("tel +٤٩ ١٧٠ ٥٥٥١٢٣", "phone", "+٤٩ ١٧٠ ٥٥٥١٢٣"),
     ],
 )
@@ -168,7 +170,7 @@ def test_disguises(text, kind, part):
 
 MIXED = [
     "call +1 202 555 five zero 12 now", "+49 170 555 null eins 23", "card 4111 1111 1111 one one 11", "john@example . com", "john at example . com", "john ( @ ) example ( . ) com",
-    "host 192 ( . ) 168 ( . ) 0 ( . ) 1 up", "tel +49 170 FÜNF 555 ZÉRO 123", "tel +49\x85170\x85fünf\x85555\x85123", "card 4111 ×four×1 1 1111 1111 1111", "tel +៤៩ ១៧០ ៥៥៥១២៣", "jᵒhn@exam​ple.com", "jᴼhn＠example.com", "write\u3000john\u3000@ mail.com",
+    "host 192 ( . ) 168 ( . ) 0 ( . ) 1 up", "tel +49 170 FÜNF 555 ZÉRO 123", "tel +49\x85170\x85fünf\x85555\x85123", "card 4111 ×four×1 1 1111 1111 1111", "tel +៤៩ ១៧០ ៥៥៥១២៣", "jᵒhn@exam​ple.com", "mail john at example.com", "j o h n @ example.com", "10 dot 0 dot 0 dot 7", "a.b at x.com", "jᴼhn＠example.com", "write\u3000john\u3000@ mail.com",
 ]
 
 
@@ -181,7 +183,7 @@ def test_mixed_disguises_pass_the_filter(text):
 
 def test_the_filter_lets_through_whatever_is_rewritten():
     rng = random.Random(8)
-    parts = [*personal_data.DIGIT_WORDS, "FÜNF", "Zéro", *"0123456789", "12", "4111", " ", " ", " ", " ", "-", ", ", "+", "plus ", ".", " . ", "@", " @ ", " at ", "arroba", " dot ", "punkt", "(", "[", ")", "]", "< ", "ab", "x.com", "é", "×", "_", "\x1c", "\x85", "ｊ", "ᵒ", "٤", "¹", "。", "“"]
+    parts = [*personal_data.DIGIT_WORDS, "FÜNF", "Zéro", *"0123456789", "12", "4111", " ", " ", " ", " ", "-", ", ", "+", "plus ", ".", " . ", "@", " @ ", " at ", "arroba", " dot ", "punkt", "(", "[", ")", "]", "< ", "ab", "x.com", "mail ", "a.b", "10", "é", "×", "_", "\x1c", "\x85", "ｊ", "ᵒ", "٤", "¹", "。", "“"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(30000)] + MIXED + [None, ""]
     plain, disguised = personal_data.suspects(*buffers(pa.array(texts, pa.large_string())))
     found = 0
@@ -191,7 +193,7 @@ def test_the_filter_lets_through_whatever_is_rewritten():
         assert (p or not base) and (d or not added), text
         if not d:
             tape = personal_data.Tape(text or "")
-            for step in (personal_data.fold_lookalikes, personal_data.read_spelled_digits, personal_data.read_at_and_dot):
+            for step in (personal_data.fold_lookalikes, personal_data.read_spelled_digits, personal_data.join_letters, personal_data.read_at_and_dot):
                 step(tape)
             assert not getattr(tape, "rewritten", any(getattr(tape, "new", ()))), text
     assert found > 100
@@ -201,12 +203,24 @@ def test_the_filter_lets_through_whatever_is_rewritten():
         assert tape.text == chr(c)
 
 
+def test_every_digit_and_lookalike_passes_the_filter():
+    import sys
+    import unicodedata
+
+    zeros = [chr(c) for c in range(0x80, sys.maxunicode + 1) if chr(c).isdecimal() and unicodedata.decimal(chr(c)) == 0]
+    texts = ["tel +" + "".join(chr(ord(z) + int(c)) for c in "491705551234") for z in zeros] + ["mail " + "john@example.com".replace(plain, c, 1) for c, plain in personal_data.LOOKALIKES.items() if plain in "jonexamplec"]
+    assert len(texts) > 70
+    plain, disguised = personal_data.suspects(*buffers(pa.array(texts)))
+    for text, d in zip(texts, disguised):
+        assert d and len(personal_data.find_personal_data(text)[1]) == 1, text
+
+
 def test_long_runs_of_blanks_and_dots_cost_linear_time():
     assert personal_data.find_personal_data("a" + " " * 300000 + "x [at] y" + " ." * 50000)[0] == []
 
 
 def test_plain_text_is_left_alone():
-    for text in ("we met at noon on the dot at the point of no return", "un deux trois", "look at example.com dot", "a (b) at [c]"):
+    for text in ("we met at noon on the dot at the point of no return", "un deux trois", "look at example.com dot", "meet me at example.com", "1 dot 2 dot 3", "a (b) at [c]"):
         assert personal_data.find_personal_data(text) == ([], [])
 
 
