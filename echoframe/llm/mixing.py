@@ -10,9 +10,12 @@ Chunks of about 64 documents are rounded side by side; what each leaves (one
 fractional document) meets the leftovers of 63 other chunks on the next level of a
 reduction tree, up to one leftover a source.
 
-Random numbers are hashes of doc_id, so reruns agree whatever the partitions.
+Random numbers are hashes of doc_id, text and a number of equal rows, so reruns agree
+whatever the partitions.
 Defined results: null text has size 0; documents of size 0 are kept once and take 0
-words; a null source is a source of its own, last in order.
+words; a null source is a source of its own, last in order; equal rows are rounded one by
+one; an empty table gives an empty result; further columns are not read
+(mixed_documents returns them as they are).
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 CHUNK = 64
+#: Equal rows that are numbered in one go, and parts in which they are joined to their copies.
+RUN, PARTS = 10_000, 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: A probability this near to 0 or 1 is integral.
@@ -32,8 +37,19 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each document."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, h): words of each document, and a hash of its text."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """sizes() of docs with n, which numbers equal rows: they are counted before they are shuffled, and dealt out again in runs of RUN, so that no task holds all of them."""
+    key = ["doc_id", "source", "size", "h"]
+    counted = written(sizes(docs).withColumn("doc_id", F.col("doc_id").cast("long")).groupBy(*key).agg(F.count("*").alias("rows")), "sizes")
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RUN))))
+    if counted.filter(F.col("rows") > RUN).limit(1).count():
+        runs = runs.repartition(*key, "run")
+    last = F.least(F.col("rows"), (F.col("run") + 1) * RUN) - 1
+    return runs.select(*key, F.explode(F.sequence(F.col("run") * RUN, last)).alias("n"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -112,20 +128,20 @@ def _level(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), one row per row of docs; doc_id is an integer column."""
-    sized = written(sizes(docs).withColumn("doc_id", F.col("doc_id").cast("long")), "sizes")
+    sized = numbered(docs)
     goal = written(targets(sized, weights, cap), "targets")
     most = goal.agg(F.max("documents")).first()[0] or 0
     # goal has one row a source; Spark broadcasts it only below its own size limit and else splits skewed sources
     s, g = sized.alias("s"), goal.alias("g")
     share = F.least(F.lit(cap), F.when(F.col("g.source_size") > 0, F.col("target") / F.col("g.source_size")).otherwise(F.lit(0.0)))
-    rows = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.doc_id", "s.source", "s.size", "g.source_size", "target", "documents", share.alias("share"))
+    rows = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.doc_id", "s.source", "s.size", "s.h", "s.n", "g.source_size", "target", "documents", share.alias("share"))
     whole = F.when(F.col("share") - F.floor("share") > 1 - NEAR, F.floor("share") + 1).otherwise(F.floor("share"))
     rows = rows.withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("share") - F.col("whole")))
     fractional = (F.col("size") > 0) & (F.col("p") > NEAR)
     settled = rows.filter(~fractional).select("doc_id", "source", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(1)).cast("long").alias("copies"))
     chunks = F.ceil(F.col("documents") / CHUNK)
     leaf = rows.filter(fractional).select(
-        "source", F.pmod(F.xxhash64("doc_id", "size"), chunks).alias("chunk"), _uniform("doc_id", "size", F.lit(0)).alias("u"), "doc_id", "size", "p"
+        "source", F.pmod(F.xxhash64("doc_id", "size", "h", "n"), chunks).alias("chunk"), _uniform("doc_id", "size", "h", "n", F.lit(0)).alias("u"), "doc_id", "size", "p"
     )
     done = []
     level, width = 0, -(-most // CHUNK)
@@ -153,20 +169,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """docs with all their columns, each row as often as the mix takes it.
 
-    Rows that agree in doc_id, source and size share their copies evenly, the first
-    of them (in the order of the text's hash) the odd ones.
+    Rows that agree in doc_id, source and size share their copies evenly; which of them
+    have the odd ones follows from their places in the table.
     """
     key = ["_id", "_source", "_size"]
     plan = mix(docs, weights, cap).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").groupBy(key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     plan = written(plan, "plan")
     inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
+    repeated = bool(plan.filter("_rows > 1").limit(1).count())
+    if repeated:
+        inside = inside.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)))
     # the plan has a row a document, so it is never a table to broadcast
     a, b = inside.alias("a"), plan.alias("b").hint("merge")
-    joined = a.join(b, [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._source").eqNullSafe(F.col("b._source")), F.col("a._size") == F.col("b._size")]).select("_row", "a._id", "a._source", "a._size", "_copies", "_rows")
+    joined = a.join(b, [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._source").eqNullSafe(F.col("b._source")), F.col("a._size") == F.col("b._size")]).select("a.*", "_copies", "_rows")
     take = F.col("_copies")
-    if plan.filter("_rows > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row.text")))
-        joined = joined.withColumn("_n", first)
+    if repeated:
+        # numbered within PARTS of a key's rows, so that no task sorts all of them
+        parts = inside.groupBy(*key, "_part").agg(F.count("*").alias("_k"))
+        before = F.sum("_k").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        j, p = joined.alias("j"), parts.withColumn("_before", F.coalesce(before, F.lit(0))).alias("p").hint("merge")
+        same = [F.col(f"j.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*key, "_part")]
+        joined = j.join(p, same).select("j.*", "_before").withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.xxhash64("_row.text"))) + F.col("_before"))
         take = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     out = joined.withColumn("_take", take.cast("int")).filter("_take > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_take"))).alias("_"))
     return out.select("_row.*")
