@@ -8,7 +8,10 @@ of equal ones), until no sequence has a pair; the surviving symbols are counted,
 characters outside the vocabulary as their UTF-8 bytes.  Sequences of more than
 LONG symbols, where rounds would be many, go through the same rule with a heap.
 
-A null text is an empty one and has no tokens.
+Defined results: a null text is an empty one and has no tokens; an empty table gives an
+empty result; very long texts are counted whole; repeated rows give repeated results;
+doc_id may be of any type, and further columns are not read.  Models that cut or
+normalise texts in another way than byte-fallback BPE with a mark in front are refused.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Cache, Ragged, hash_spans
-from .shared import small_batches
+from .shared import pieces
 from .text import buffers
 
 LONG = 128
@@ -178,12 +181,21 @@ class MergeTable:
         return int(self.weigh(left).sum())
 
 
+#: Texts that other normalisers, prefixes, piece types or byte rules would count in another way.
+_PROBES = ("", " ", "a", "  two  blanks ", "a\tb\n\nc", "ＡＢ ﬁ ① ½", "e\u0301 é", "日本語 😀 \u0000", "don't 12345 x1y2", "<s> </s> <unk>", "▁a", "AbC zzzzzzzzqqqq")
+
+
 class Counter:
     """Token counts of texts, with each distinct chunk merged once."""
 
     def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
         self.table = MergeTable(path)
         self.cache = Cache()
+        model = SentencePieceProcessor(model_file=path)
+        if self.count(*buffers(pa.array(_PROBES, pa.large_string()))).tolist() != [len(model.encode(t)) for t in _PROBES]:
+            raise ValueError(f"{path}: its normaliser or pieces are not those that these rules count")
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         docs = len(offsets) - 1
@@ -221,7 +233,6 @@ _counters: dict[str, Counter] = {}
 
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs; model is a file of public_tokenizers or a path."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import public_tokenizers
@@ -229,7 +240,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
         path = model if os.path.sep in model else public_tokenizers.path(model)
         if path not in _counters:
             _counters[path] = Counter(path)
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = buffers(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(_counters[path].count(data, offsets))], ["doc_id", "n_bytes", "n_tokens"])
 
