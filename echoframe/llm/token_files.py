@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import Encoder
-from .shared import shared_folder, small_batches
+from .shared import WRITING, pieces, settings, shared_folder
 from .text import buffers
 
 MAGIC, VERSION = b"EFTK", 1
@@ -62,7 +62,7 @@ def id_arrays(batch: pa.RecordBatch, tokenizer: str, end_id: int) -> list[np.nda
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     """A zstandard dictionary from the first SAMPLE_DOCS documents by a hash of doc_id and text."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = id_arrays(batch, tokenizer, end_id)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(f"<u{width}").tobytes()[: SAMPLE_BYTES // 64] for x in ids], pa.binary())], ["ids"])
 
@@ -117,15 +117,22 @@ def read_document(blob: bytes, number: int, dictionary: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=f"<u{width}")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, width: int = 2) -> None:
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id: two where all ids of the tokenizer and the end id fit, else four."""
+    most = max(max(encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values(), default=0), end_id)
+    return 2 if most < 1 << 16 else 4
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
     """Encode docs and write them under path (containers/, dictionary/) in ascending doc_id order.
 
     Null ids come last, equal ids in the order of a hash of their texts; a null text
-    is an empty one and has the end id alone.  width is the bytes of an id (2 below
-    65,536 ids).
+    is an empty one and has the end id alone; an empty table gives files without
+    documents; repeated rows are written each; a very long text is one frame.  doc_id is
+    an integer column, and further columns are not read.
     """
+    width = id_bytes(tokenizer, end_id)
     spark = docs.sparkSession
-    small_batches(spark)
     raw = train_dictionary(docs, tokenizer, end_id, width)
     digest = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(digest, bytearray(raw))], "dict_hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -143,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             seq, before, count, size, held = seq + 1, before + count, 0, 0, []
             return row
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), id_arrays(batch, tokenizer, end_id)):
                 frame = press.compress(ids.astype(f"<u{width}").tobytes())
                 held.append((doc_id, len(ids), frame))
@@ -156,13 +163,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    ordered.mapInArrow(run, "part int, seq int, before long, dict_hash string, blob binary").write.option("compression", "none").parquet(f"{path}/containers")
+    with settings(spark, WRITING):
+        ordered.mapInArrow(run, "part int, seq int, before long, dict_hash string, blob binary").write.option("compression", "none").parquet(f"{path}/containers")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files; ids_crc32 is of 32-bit little-endian ids."""
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # containers of 4 MB
     containers = spark.read.schema("part int, seq int, before long, dict_hash string, blob binary").parquet(f"{path}/containers")
     raw = bytes(spark.read.parquet(f"{path}/dictionary").first()["bytes"])
     digest = hashlib.sha256(raw).hexdigest()
