@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from . import word_counts
 from .pieces import Ragged
 from .quality import held_out
-from .shared import forget, small_batches, written
+from .shared import forget, pieces, written
 from .text import LOWER, U64, buffers, mix64, words
 from .word_counts import GRAMS, WORDS, Ranges
 
@@ -496,7 +496,7 @@ def _boxer(batches):
         seq, held, size = seq + 1, [], 0
         return row
 
-    for batch in batches:
+    for batch in pieces(batches):
         if batch.num_rows:
             if held and size + batch.nbytes > GROUP_BYTES:
                 yield group()
@@ -632,7 +632,6 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     spread like others.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     bits = min(60, SPARE_BITS + math.ceil(math.log2(total + 2)))

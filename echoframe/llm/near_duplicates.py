@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, small_batches, written
+from .shared import forget, pieces, written
 from .text import U64, buffers, mix64, shingles, words
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -111,7 +111,7 @@ def estimate(equal: np.ndarray) -> np.ndarray:
 
 def _sketcher(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = distinct_shingles(*buffers(batch.column("text")), size)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate([np.zeros(0, U64), *sets])
@@ -140,7 +140,7 @@ def _bander(batches):
 def _set_maker(size: int, bitmap):
     def run(batches):
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             spot = batch.column("spot").to_numpy()
             batch = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7)) & 1 == 1))
             if batch.num_rows:
@@ -392,7 +392,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     doc_id is an integer column; documents link when 100 * intersection >= percent *
     union of their sets of word shingles.
     """
-    small_batches(docs.sparkSession)
     sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(shingle), "doc_id long, n long, s1 long, s2 long, reg binary"), "sketch")
     usable = sketch.filter("n > 0 and doc_id is not null")
     reps = written(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("reg").alias("reg")), "classes")

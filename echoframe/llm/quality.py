@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .moments import matrix, rows, summed
-from .shared import small_batches, written
+from .shared import pieces, written
 from .statistics import NAMES, document_statistics
 from .text import buffers
 
@@ -60,7 +60,7 @@ class Discriminant:
 
 
 def _measure(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), rows(document_statistics(*buffers(batch.column("text"))))], ["doc_id", "x"])
 
 
@@ -82,7 +82,6 @@ def fit(features: DataFrame, labels: DataFrame, label: str, mod: int, rest: int)
 
 def score_quality(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> DataFrame:
     """(doc_id, score) for every row of docs."""
-    small_batches(docs.sparkSession)
     features = written(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<float>"), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(features, labels, "quality", mod, rest))
 
@@ -99,13 +98,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: i
     Texts aren't shuffled: statistics are made of all of them to train on those with a
     label, and again where the texts lie to filter them.
     """
-    small_batches(docs.sparkSession)
     # written: else a small table of labels would put two Python workers side by side in each task
     features = written(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<float>"), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(features, labels, "quality", mod, rest))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             scores = model.value.scores(document_statistics(*buffers(batch.column("text"))))
             yield batch.filter(pa.array(scores >= threshold))
 

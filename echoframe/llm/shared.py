@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 #: Drops a statement's shuffle files when it has ended; what is written needs them no more.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+WRITING = {_TIDY: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
 
 @contextmanager
@@ -46,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back; cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, {_TIDY: "true"}):
+    with settings(spark, WRITING):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
@@ -63,10 +67,12 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and about 4 MB, so that Python workers hold little at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+def pieces(batches):
+    """Arrow batches cut to at most 1,000 rows and about 4 MB (or one row), so that array code over texts holds little at once."""
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .moments import matrix, rows, summed
 from .quality import held_out
-from .shared import small_batches, written
+from .shared import pieces, written
 from .text import ALNUM, LOWER, buffers, hash_words, words
 
 # Insults and words of contempt in four languages.
@@ -143,13 +143,12 @@ def choose_stems(found: list[tuple[int, int, int, int]], toxic: int, clean: int)
 
 def find_stems(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int) -> list[tuple[int, int]]:
     """Stems from the first SAMPLE_ROWS labelled rows of each label, by a hash of doc_id, that are not held out."""
-    small_batches(docs.sparkSession)
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("y in (0, 1)").filter(~held_out(F.col("doc_id"), mod, rest))
     order = F.xxhash64("doc_id")
     y = y.filter("y = 1").orderBy(order, "doc_id").limit(SAMPLE_ROWS).union(y.filter("y = 0").orderBy(order, "doc_id").limit(SAMPLE_ROWS))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = buffers(batch.column("text"))
             w = words(data, offsets, ALNUM)
             begin, size = _beginnings(data, w), w.end - w.start
@@ -257,11 +256,10 @@ def _newton(features: DataFrame, label_model: LabelModel, steps: int = 6, ridge:
 def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2) -> DataFrame:
     """(doc_id, score) for every row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
     stems = find_stems(docs, labels, "toxic", mod, rest)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), rows(measure(batch.column("text"), stems))], ["doc_id", "x"])
 
     features = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>"), "votes")

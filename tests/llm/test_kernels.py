@@ -208,7 +208,7 @@ def test_every_digit_and_lookalike_passes_the_filter():
     import unicodedata
 
     zeros = [chr(c) for c in range(0x80, sys.maxunicode + 1) if chr(c).isdecimal() and unicodedata.decimal(chr(c)) == 0]
-    texts = ["tel +" + "".join(chr(ord(z) + int(c)) for c in "491705551234") for z in zeros] + ["mail " + "john@example.com".replace(plain, c, 1) for c, plain in personal_data.LOOKALIKES.items() if plain in "jonexamplec"]
+    texts = ["tel +" + "".join(chr(ord(z) + int(c)) for c in "491705551234") for z in zeros] + ["mail john@" + "example.com".replace(plain, c, 1) for c, plain in personal_data.LOOKALIKES.items() if plain in "exampl"]
     assert len(texts) > 70
     plain, disguised = personal_data.suspects(*buffers(pa.array(texts)))
     for text, d in zip(texts, disguised):

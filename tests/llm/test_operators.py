@@ -318,6 +318,25 @@ def test_mixing(spark, docs, edges, empty):
     assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("run", [mixing.RUN, 7])
+def test_mixing_of_repeated_rows(spark, run, monkeypatch):
+    """A row that is there 500 times, null ids of one size: whole, near the target, in chunks of like size."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    rows = [(1, "four words are here", "a", 5)] * 500 + [(None, f"t{k} u v", "b", k) for k in range(90)] + [(k + 10, "x " * (k % 9 + 1), "c", 1) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int")
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(lambda: [0, 0.0])
+    for r in got:
+        by[r.source][0] += r.size * r.copies
+        by[r.source][1] = r.target
+    assert all(abs(taken - goal) <= 5 for taken, goal in by.values())
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns and out.count() == sum(r.copies for r in got)
+    again = mixing.mix(d.repartition(7)).collect()
+    assert Counter((r.doc_id, r.size, r.copies) for r in got) == Counter((r.doc_id, r.size, r.copies) for r in again)
+
+
 # 3
 def test_token_counts(docs, empty):
     import sentencepiece
@@ -373,6 +392,39 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.token_output(empty).count() == 0
 
 
+def test_ids_of_large_vocabularies_take_four_bytes(spark, edges, tmp_path, monkeypatch):
+    assert token_files.id_bytes("byte_bpe_50k.json", 0) == 2 and token_files.id_bytes("byte_bpe_50k.json", 70000) == 4
+    path = f"file://{tmp_path}/wide"
+    token_files.write_tokens(edges, path, end_id=70000)
+    got = {r.doc_id: r for r in token_files.read_tokens(spark, path).collect()}
+    assert len(got) + 1 == edges.count() and got[9001].ids_crc32 == zlib.crc32(np.array([70000], dtype="<u4").tobytes())
+    blob = spark.read.parquet(f"{path}/containers").orderBy("part", "seq").first().blob
+    assert token_files.unpack(blob)[0] == 4
+
+
+def test_session_settings_stay(spark, edges):
+    keys = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in keys]
+    token_counts.count_tokens(edges).collect()
+    near_duplicates.near_duplicates(edges).collect()
+    token_files.token_output(edges).collect()
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_other_models_are_refused(monkeypatch):
+    monkeypatch.setattr(token_counts.Counter, "count", lambda self, data, offsets: np.zeros(len(offsets) - 1, dtype=int))
+    with pytest.raises(ValueError):
+        token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_clashing_columns_are_not_read(edges, benchmark):
+    """Operators that return digests look at doc_id and text only."""
+    plain = edges.select("doc_id", "text", "source")
+    for f in (token_counts.count_tokens, personal_data.find_all, token_files.token_output, fingerprints.compare_neighbours, lambda d: decontaminate.digests(decontaminate.find_contamination(d, benchmark)), mixing.mix):
+        a, b = (Counter(map(str, f(d).collect())) for d in (edges, plain))
+        assert a == b and a.total() == edges.count()
+
+
 # 6
 def contamination(rows, items, window=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -519,6 +571,9 @@ def test_near_duplicates(spark, docs, edges, empty, sizes, monkeypatch):
 
 # 8
 def test_fingerprints(docs, empty):
+    whole = fingerprints.compare_neighbours(docs).collect()
+    assert len(whole) == docs.count() and sum(r.doc_id == 9003 for r in whole) == 2
+    assert sorted(r.near_next for r in whole if r.doc_id == 9003)[1] == 1 and len({r.fingerprint for r in whole if r.doc_id == 9003}) == 1
     got = fingerprints.compare_neighbours(docs.filter("doc_id is null or doc_id != 9003")).collect()
     rows = sorted(text_of(docs.filter("doc_id is null or doc_id != 9003")), key=lambda r: (r[0] is None, -(r[0] or 0)))
     by = {r.doc_id: r for r in got}
@@ -553,6 +608,10 @@ def test_classifiers(spark, small, edges, labels, empty):
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark, small, labels):
+    held = quality.held_out(F.col("doc_id"), 4, 2)
+    other = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = ({r.doc_id: r.score for r in toxicity.score_toxicity(small, x).collect()} for x in (labels, other))
+    assert a == b
     other = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id"), 5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = ({r.doc_id: r.score for r in quality.score_quality(small, x).collect()} for x in (labels, other))
     assert a == b
