@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echoframe.llm import decontaminate, mixing, near_duplicates, quality, token_files
-from echoframe.llm.shared import small_batches, table, written
+from echoframe.llm.shared import forget, table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,6 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -56,5 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written as Parquet and read again for the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)
+    return out
