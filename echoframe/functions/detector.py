@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from .spectra import FLOOR, band_pass, hop, magnitudes, to_db, window
-from .tracks import Kalman, centroid, clock, kalman_track, kernel_mask, line_fit, quad_peak, sample_at, smooth, turn, up_sample
+from .tracks import Kalman, centroid, clock, decayed, kalman_track, kernel_mask, line_fit, quad_peak, sample_at, smooth, turn, up_sample
 
 FEATURES = (
     "starting_time", "duration", "freq_max_amp", "freq_max", "freq_min", "bandwidth", "freq_start", "freq_center", "freq_end", "freq_knee", "fc", "freq_bw_knee_fc", "bin_max_amp",
@@ -101,7 +101,7 @@ def find_peaks(samples: np.ndarray, sample_rate: int, s: Settings) -> list[tuple
         if not open_ or held > s.duration_thr:
             floor.add(x)
         level = snr(x, noise)
-        ceiling = level if ceiling == -np.inf else max(level, s.EDG * ceiling + (1 - s.EDG) * level)
+        ceiling = level if ceiling == -np.inf else decayed(level, ceiling, s.EDG)
         open_ = open_ or (level >= threshold and level >= ceiling)
         if open_:
             held += 1000 * step / sample_rate

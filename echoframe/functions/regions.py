@@ -106,7 +106,8 @@ class Labeller:
         self.dark = [v >= WHITE for v in self.value]
         self.label = [self.UNSET] * len(self.value)
         h = self.height
-        # neighbours from the one below, counter-clockwise
+        # Neighbours from the one below, counter-clockwise, and the directions in which contours start (linear-time
+        # component labelling by contour tracing; Chang, Chen and Lu, 2004).
         self.around = (1, h + 1, h, h - 1, -1, -h - 1, -h, -h + 1)
         self.inner_start = 3 if compat == "reference" else 1
         self.regions: dict[int, Region] = {}

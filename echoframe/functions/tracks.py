@@ -61,19 +61,52 @@ def turn(track: list[float]) -> float:
     return float(abs(np.degrees(np.arctan(r - m) - np.arctan(m - l))))
 
 
-def sample_at(x: np.ndarray, y: float) -> float:
-    """x at the share y of its length: cubic inside, linear at the edges."""
-    position = min(max(y, 0.0), 1.0) * (len(x) - 1)
-    i = int(position)
-    f = position - i
-    if 0 < i < len(x) - 2:
-        a, b, c, d = x[i - 1 : i + 3]
-        return float(f**3 * (3 * b - a - 3 * c + d) / 6 + f**2 * ((a + c) / 2 - b) + f * (c - (2 * a + d + 3 * b) / 6) + b)
-    return float(x[i] if i + 1 >= len(x) else x[i] + f * (x[i + 1] - x[i]))
+def decayed(level: float, ceiling: float, edg: float) -> float:
+    """The next value of a maximum that decays exponentially towards the level."""
+    return max(level, edg * ceiling + (1 - edg) * level)
+
+
+def decaying_maximum(x, edg: float) -> np.ndarray:
+    """decayed() over a series; the first value starts it."""
+    out = []
+    for v in np.asarray(x, dtype=float).tolist():
+        out.append(decayed(v, out[-1], edg) if out else v)
+    return np.array(out)
+
+
+def _lagrange() -> np.ndarray:
+    """Powers 0 to 3 of the place between the inner two of four neighbours -> their weights: the cubic that goes through all four."""
+    return np.linalg.inv(np.vander([-1.0, 0.0, 1.0, 2.0], increasing=True)).T
+
+
+_CUBIC = _lagrange()
+
+
+def interpolation(size: int, shares) -> np.ndarray:
+    """Weights of a track of `size` values at shares of its length: cubic inside, linear at the edges; one row a share."""
+    shares = np.clip(np.asarray(shares, dtype=float), 0, 1) * (size - 1)
+    left = shares.astype(int)
+    part = shares - left
+    out = np.zeros((len(shares), size))
+    rows = np.arange(len(shares))
+    inside = (left > 0) & (left < size - 2)
+    weights = (part[:, None] ** np.arange(4)) @ _CUBIC.T
+    for k in range(4):
+        out[rows[inside], left[inside] + k - 1] = weights[inside, k]
+    edge = ~inside
+    out[rows[edge], left[edge]] = 1 - part[edge]
+    out[rows[edge], np.minimum(left[edge] + 1, size - 1)] += np.where(left[edge] + 1 < size, part[edge], 0)
+    return out
+
+
+def sample_at(x: np.ndarray, share: float) -> float:
+    """A track's value at a share of its length."""
+    return float((interpolation(len(x), [share]) @ x)[0])
 
 
 def up_sample(x: np.ndarray, size: int) -> np.ndarray:
-    return np.array([sample_at(x, k / (size - 1)) for k in range(size)])
+    """A track stretched to `size` values."""
+    return interpolation(len(x), np.arange(size) / (size - 1)) @ np.asarray(x, dtype=float)
 
 
 def quad_peak(x: np.ndarray, i: int) -> float:

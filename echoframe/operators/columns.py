@@ -84,19 +84,6 @@ def gini(x: Column) -> Column:
     return let(total(x), lambda s: F.when(s > EPSILON, 1 - total(F.transform(x, lambda v: (v / s) * (v / s)))).otherwise(1.0))
 
 
-def running_sum(x: Column) -> Column:
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(x, start, lambda a, v: F.struct((a["s"] + v).alias("s"), F.concat(a["out"], F.array(a["s"] + v)).alias("out")), lambda a: a["out"])
-
-
-def quantile_bins(x: Column, shares: tuple[float, ...]) -> Column:
-    """First bins where the running sum reaches each share of the total."""
-    def first(run, q):
-        return F.array_min(F.filter(F.transform(run, lambda v, i: F.when(v >= q * F.element_at(run, -1), i)), lambda i: i.isNotNull()))
-
-    return let(running_sum(x), lambda run: F.array(*[first(run, q) for q in shares]))
-
-
 def argmax(x: Column) -> Column:
     """0-based first place of the maximum."""
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
@@ -129,79 +116,12 @@ def contrast_boost(x: Column, boost: float) -> Column:
     return let(edges, lambda z: let(total(z), lambda s: boosted(z, s)))
 
 
-def fold(x: Column, start: list[tuple[str, Column]], step, out: str = "out") -> Column:
-    """A recurrence over an array: step(state, value, index) gives the new state by name and the value to put out."""
-    first = F.struct(*[c.cast("double").alias(n) for n, c in start], F.lit(0).alias("i"), F.array().cast("array<double>").alias(out))
-
-    def merge(a, v):
-        return let(F.struct(*[c.alias(n) for n, c in step(a, v, a["i"]).items()]), lambda n: F.struct(*[n[k].cast("double").alias(k) for k, _ in start], (a["i"] + 1).alias("i"), F.concat(a[out], F.array(n["put"].cast("double"))).alias(out)))
-
-    return F.aggregate(x, first, merge, lambda a: a[out])
-
-
-def background_subtract(x: Column, factor: float) -> Column:
-    def step(a, v, i):
-        z = v - factor * a["m"]
-        return {"m": F.when(i == 0, 0.0).otherwise(a["m"] + (z - a["m"]) / F.greatest(i, F.lit(1))), "put": F.when(i == 0, v).otherwise(F.greatest(z, F.lit(0.0)))}
-
-    return fold(x, [("m", F.lit(0.0))], step)
-
-
-def post_mask(x: Column, edg: float) -> Column:
-    def step(a, v, i):
-        level = F.greatest(v, edg * a["t"] + (1 - edg) * v)
-        return {"t": level, "put": F.when(2 * v < level, 0.0).otherwise(v)}
-
-    return fold(x, [("t", F.lit(0.0))], step)
-
-
-def decaying_maximum(x: Column, edg: float) -> Column:
-    def step(a, v, i):
-        return {"f": (f := F.when(i == 0, v).otherwise(F.greatest(v, edg * a["f"] + (1 - edg) * v))), "put": f}
-
-    return fold(x, [("f", F.lit(0.0))], step)
-
-
-def kalman(x: Column, q: float, r: float) -> Column:
-    """Filtered values; the first is the seed, without error."""
-    def step(a, v, i):
-        predicted = a["p"] + q
-        gain = predicted / (predicted + r)
-        state = F.when(i == 0, v).otherwise(a["s"] + gain * (v - a["s"]))
-        return {"p": F.when(i == 0, 0.0).otherwise((1 - gain) * predicted), "s": state, "put": state}
-
-    return fold(x, [("p", F.lit(0.0)), ("s", F.lit(0.0))], step)
-
-
-def smooth(x: Column, gain: float) -> Column:
-    """One-pole smoothing, backward, then forward."""
-    def one(y):
-        return fold(y, [("y", F.lit(0.0))], lambda a, v, i: {"y": (w := F.when(i == 0, v).otherwise((1 - gain) * v + gain * a["y"])), "put": w})
-
-    return one(F.reverse(one(F.reverse(x))))
-
-
 def snr(x: Column, noise: Column) -> Column:
     """Decibels of signal over noise over the elements above the noise."""
     above = F.filter(F.arrays_zip(x.alias("x"), noise.alias("n")), lambda p: p["x"] > p["n"])
     return to_db(total(F.transform(above, lambda p: p["x"])) / F.greatest(total(F.transform(above, lambda p: p["n"])), F.lit(FLOOR)))
 
 
-def sample_at(x: Column, y: Column) -> Column:
-    """x at the share y of its length: cubic inside, linear at the edges."""
-    def value(i, f):
-        a, b, c, d = (F.get(x, (i + k).cast("int")) for k in (-1, 0, 1, 2))
-        cubic = f * f * f * (3 * b - a - 3 * c + d) / 6 + f * f * ((a + c) / 2 - b) + f * (c - (2 * a + d + 3 * b) / 6) + b
-        return F.when((i > 0) & (i < F.size(x) - 2), cubic).otherwise(F.coalesce(b + f * (c - b), b))
-
-    place = F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)) * (F.size(x) - 1)
-    return let(place, lambda p: value(F.floor(p), p - F.floor(p)))
-
-
-def up_sample(x: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: sample_at(x, k / float(size - 1)))
-
-
 def clock(seconds: Column) -> Column:
     """HH:MM:SS.mmm, truncated."""
     ms = F.floor(seconds * 1000)

@@ -52,19 +52,19 @@ def _limits(s, sample_rate: int):
 
 
 def _run(recordings: DataFrame, which: str, work, schema: str, columns: list[str]) -> DataFrame:
-    """A detector for each recording where it lies: no shuffle; Arrow batches of a few rows, as rows are large."""
-    recordings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    """A detector for each recording where it lies: no shuffle. Its metadata travel with it where they are asked for."""
+    guano = "guano" in columns
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, name, rate, samples in zip(batch.recording_id, batch.filename, batch.sample_rate, batch.samples):
-                for e in work(np.asarray([] if samples is None else samples, dtype=np.int64), int(rate)):
-                    rows.append({"recording_id": i, "filename": name, **e})
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            for k in range(len(batch)):
+                i, name, rate, bits, samples = (batch[c].iloc[k] for c in ("recording_id", "filename", "sample_rate", "bit_depth", "samples"))
+                known = {"recording_id": i, "filename": name} | ({"guano": dict(batch["guano"].iloc[k] or {})} if guano else {})
+                rows = [known | e for e in work(np.asarray([] if samples is None else samples, dtype=np.int64), int(rate), int(bits or 16))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
-    return recordings.select("recording_id", "filename", "sample_rate", channel(which).alias("samples")).mapInPandas(run, schema)
+    return recordings.select("recording_id", "filename", "sample_rate", "bit_depth", channel(which).alias("samples"), *(["guano"] if guano else [])).mapInPandas(run, schema)
 
 
 def threshold_detection(recordings: DataFrame, channel: str = "left", acoustic_feat: bool = True, settings: bool = False, metadata: bool = False, **parameters) -> DataFrame:
@@ -75,37 +75,39 @@ def threshold_detection(recordings: DataFrame, channel: str = "left", acoustic_f
     """
     s = detector.Settings(**parameters)
 
-    def work(samples, rate):
+    def work(samples, rate, bits):
         own = _limits(s, rate)
         for e in detector.detect(samples, rate, own):
             f = detector.extract(e, rate, own)
-            reference = 2.0 ** 15
+            reference = 2.0 ** (bits - 1)
             f["amp_track"] = [float(v) for v in np.maximum(20 * np.log10(np.maximum(np.array(f["amp_track"]), 1e-300) / reference), -6000)]
             yield f | {"_from": f["event_start"] * 1000 / rate, "_to": f["event_end"] * 1000 / rate}
 
     columns = ["recording_id", "filename", *detector.FEATURES, "event_start", "event_end", "amp_track", "freq_track", "_from", "_to"]
-    found = _run(recordings, channel, work, THRESHOLD, columns)
+    found = _run(recordings, channel, work, *_with_metadata(THRESHOLD, columns, metadata))
     kept = spacing_filter(found, F.col("_from"), F.col("_to"), s.min_TBE, s.max_TBE, ["recording_id"], [F.col("event_start"), F.col("event_end")]).drop("_from", "_to")
     if not acoustic_feat:
-        kept = kept.select("recording_id", "filename", "starting_time", "duration", "event_start", "event_end")
-    return _attach(kept, recordings, s if settings else None, metadata)
+        kept = kept.select("recording_id", "filename", "starting_time", "duration", "event_start", "event_end", *(["guano"] if metadata else []))
+    return _attach(kept, s if settings else None)
 
 
 def blob_detection(recordings: DataFrame, channel: str = "left", acoustic_feat: bool = True, settings: bool = False, metadata: bool = False, **parameters) -> DataFrame:
     """Events of the image-style region detector, with 26 features."""
     s = regions.Settings(**parameters)
-    found = _run(recordings, channel, lambda samples, rate: regions.detect(samples, rate, _limits(s, rate)), REGION, ["recording_id", "filename", *regions.FEATURES, "first", "last"])
+    found = _run(recordings, channel, lambda samples, rate, bits: regions.detect(samples, rate, _limits(s, rate)), *_with_metadata(REGION, ["recording_id", "filename", *regions.FEATURES, "first", "last"], metadata))
     kept = spacing_filter(found, F.col("first") * 1000, F.col("last") * 1000, s.min_TBE, s.max_TBE, ["recording_id"], [F.col("first"), F.col("last")])
-    kept = kept.drop("first", "last") if acoustic_feat else kept.select("recording_id", "filename", "starting_time", "duration")
-    return _attach(kept, recordings, s if settings else None, metadata)
+    kept = kept.drop("first", "last") if acoustic_feat else kept.select("recording_id", "filename", "starting_time", "duration", *(["guano"] if metadata else []))
+    return _attach(kept, s if settings else None)
 
 
-def _attach(events: DataFrame, recordings: DataFrame, settings, metadata: bool) -> DataFrame:
-    """Settings as a struct column, metadata of the recording as a map column."""
+def _with_metadata(schema: str, columns: list[str], metadata: bool) -> tuple[str, list[str]]:
+    return (f"{schema}, guano map<string,string>", [*columns, "guano"]) if metadata else (schema, columns)
+
+
+def _attach(events: DataFrame, settings) -> DataFrame:
+    """Settings as a struct column."""
     if settings is not None:
         events = events.withColumn("settings", F.struct(*[F.lit(v).alias(k) for k, v in asdict(settings).items()]))
-    if metadata:
-        events = events.join(recordings.select("recording_id", "guano"), "recording_id", "left")
     return events
 
 

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..operators import columns as C
 from ..operators import events as E
 from ..operators import frames as R
+from ..operators import series as K
+from ..functions import detector, regions
 from ..sources import recordings as S
+from ..sources.guano import parse_guano
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,8 +130,8 @@ _QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
 SELECT vec_id, {', '.join(f"(min(i) FILTER (c >= {q} * t))::BIGINT AS q{k}" for k, q in enumerate(_QUANTILES))},
 (min(i) FILTER (c >= 0.975 * t) - min(i) FILTER (c >= 0.025 * t))::BIGINT AS ci_95, (min(i) FILTER (c >= 0.75 * t) - min(i) FILTER (c >= 0.25 * t))::BIGINT AS ci_75 FROM r GROUP BY vec_id""")
 def spectral_quantiles(spark, sf_dir):
-    q = spectra(spark, sf_dir).withColumn("q", C.quantile_bins(F.col("x"), _QUANTILES))
-    q = q.select("vec_id", *[F.get("q", F.lit(k)).cast("long").alias(f"q{k}") for k in range(5)])
+    q = K.over_arrays(spectra(spark, sf_dir), "vec_id", "x", lambda x: regions.quantile_bins(x, _QUANTILES))
+    q = q.select("vec_id", *[F.get("x", F.lit(k)).cast("long").alias(f"q{k}") for k in range(5)])
     return q.withColumn("ci_95", F.col("q4") - F.col("q0")).withColumn("ci_75", F.col("q3") - F.col("q1"))
 
 
@@ -172,29 +175,29 @@ SELECT s.user_id, s.i, s.x, {step} FROM r JOIN s ON s.user_id = r.user_id AND s.
 
 @query(_fold("0.0::DOUBLE AS m, x AS y", f"r.m + (s.x - {1 / 3!r}::DOUBLE * r.m - r.m) / s.i, greatest(s.x - {1 / 3!r}::DOUBLE * r.m, 0)", "y", "x"))
 def background_subtract(spark, sf_dir):
-    return spread(tracks(spark, sf_dir).withColumn("b", C.background_subtract(F.col("x"), 1 / 3)), "user_id", "b", "x")
+    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.background_subtract(x, 1 / 3)), "user_id", "x", "x")
 
 
 @query(_fold("greatest(x, (1 - 0.9) * x) AS t", "greatest(s.x, 0.9 * r.t + (1 - 0.9) * s.x)", "CASE WHEN 2 * x < t THEN 0 ELSE x END", "x"))
 def post_mask(spark, sf_dir):
-    return spread(tracks(spark, sf_dir).withColumn("b", C.post_mask(F.col("x"), 0.9)), "user_id", "b", "x")
+    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.post_mask(x, 0.9)), "user_id", "x", "x")
 
 
 @query(_fold("x AS f", "greatest(s.x, 0.996 * r.f + (1 - 0.996) * s.x)", "f", "level"))
 def edg_mask(spark, sf_dir):
-    return spread(tracks(spark, sf_dir).withColumn("b", C.decaying_maximum(F.col("x"), 0.996)), "user_id", "b", "level")
+    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.decaying_maximum(x, 0.996)), "user_id", "x", "level")
 
 
 @query(_fold("0.0::DOUBLE AS p, x AS y", "(1 - (r.p + 1e-5) / (r.p + 1e-5 + 1e-5)) * (r.p + 1e-5), r.y + (r.p + 1e-5) / (r.p + 1e-5 + 1e-5) * (s.x - r.y)", "y", "state"))
 def kalman(spark, sf_dir):
-    return spread(tracks(spark, sf_dir).withColumn("b", C.kalman(F.col("x"), 1e-5, 1e-5)), "user_id", "b", "state")
+    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.kalman(x, 1e-5, 1e-5)), "user_id", "x", "state")
 
 
 @query(f"""WITH RECURSIVE {_P}, b AS (SELECT vec_id, i, n, x AS y FROM p WHERE i = n - 1 UNION ALL SELECT p.vec_id, p.i, p.n, 0.75 * p.x + 0.25 * b.y FROM b JOIN p ON p.vec_id = b.vec_id AND p.i = b.i - 1),
 f AS (SELECT vec_id, i, y FROM b WHERE i = 0 UNION ALL SELECT b.vec_id, b.i, 0.75 * b.y + 0.25 * f.y FROM f JOIN b ON b.vec_id = f.vec_id AND b.i = f.i + 1)
 SELECT vec_id, i::BIGINT AS i, round(y, 6) + 0.0 AS x FROM f""")
 def smooth_spectrum(spark, sf_dir):
-    return spread(spectra(spark, sf_dir).withColumn("b", C.smooth(F.col("x"), 0.25)), "vec_id", "b", "x")
+    return spread(K.over_arrays(spectra(spark, sf_dir), "vec_id", "x", lambda x: K.smooth(x, 0.25)), "vec_id", "x", "x")
 
 
 @query(f"WITH {_S} SELECT user_id, i::BIGINT AS i, round((x + coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY i), x)) / 2, 6) + 0.0 AS x FROM s")
@@ -333,7 +336,7 @@ SELECT q.vec_id, q.k::BIGINT AS i, round(CASE WHEN q.i > 0 AND q.i < q.n - 2 THE
 ELSE coalesce(b.x + f * (c.x - b.x), b.x) END, 6) + 0.0 AS x FROM q LEFT JOIN p a ON a.vec_id = q.vec_id AND a.i = q.i - 1 LEFT JOIN p b ON b.vec_id = q.vec_id AND b.i = q.i
 LEFT JOIN p c ON c.vec_id = q.vec_id AND c.i = q.i + 1 LEFT JOIN p d ON d.vec_id = q.vec_id AND d.i = q.i + 2""")
 def upsample_cubic(spark, sf_dir):
-    return spread(spectra(spark, sf_dir).withColumn("u", C.up_sample(F.col("x"), 128)), "vec_id", "u", "x")
+    return spread(K.over_arrays(spectra(spark, sf_dir), "vec_id", "x", lambda x: K.up_sample(x, 128)), "vec_id", "x", "x")
 
 
 @query("""SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS starting_time
@@ -351,8 +354,26 @@ def extension_dispatch(spark, sf_dir):
 
 @query("""SELECT event_id, trim(split_part(props, ':', 1), ' {"') AS key, try_cast(regexp_extract(props, ':\\s*"?([^",}]*)', 1) AS DOUBLE) AS value FROM events WHERE props IS NOT NULL""")
 def kv_metadata(spark, sf_dir):
-    key = F.trim(F.split("props", ":").getItem(0), F.lit(' {"'))
-    return table(spark, sf_dir, "events").filter("props is not null").select("event_id", key.alias("key"), F.regexp_extract("props", ':\\s*"?([^",}]*)', 1).try_cast("double").alias("value"))
+    """The GUANO reader over lines of `key: value`."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            found = [next(iter(parse_guano(p.strip("{}").replace('"', "")).items()), (None, None)) for p in batch.props]
+            yield pd.DataFrame({"event_id": batch.event_id, "key": [k for k, _ in found], "value": [v for _, v in found]})
+
+    lines = table(spark, sf_dir, "events").filter("props is not null").select("event_id", "props").mapInPandas(run, "event_id bigint, key string, value string")
+    return lines.withColumn("value", F.col("value").try_cast("double"))
+
+
+@query("""SELECT event_id, (user_id * 1000)::INT AS rate, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 7 END)::INT AS te, round(value, 3) AS humidity, (value - 50)::DOUBLE AS latitude, -value::DOUBLE AS longitude, event_type AS species FROM events""")
+def guano_fields(spark, sf_dir):
+    """GUANO texts written from rows, read, and typed."""
+    te = F.when(F.col("event_id") % 3 == 0, "").otherwise((F.col("event_id") % 7).cast("string"))
+    number = lambda c: c.cast("double").cast("string")
+    text = F.concat_ws("\n", F.concat(F.lit("Samplerate: "), F.col("user_id") * 1000), F.concat(F.lit("TE:"), te), F.concat(F.lit("Humidity: "), number(F.round("value", 3))), F.concat(F.lit("Loc Position: "), number(F.col("value") - 50), F.lit(" "), number(-F.col("value"))), F.concat(F.lit("Species: "), F.col("event_type")))
+    g = S.guano_columns(S.parsed_guano(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "event_id", "text"))
+    return g.select("event_id", F.col("Samplerate").alias("rate"), F.col("TE").alias("te"), F.col("Humidity").alias("humidity"), F.col("Loc Position Lat").alias("latitude"), F.col("Loc Position Lon").alias("longitude"), F.col("guano").getItem("Species").alias("species"))
 
 
 @query("""SELECT CASE WHEN starts_with(event_type, 'p') THEN 'p' ELSE 'other' END AS label, count(*)::BIGINT AS events, round(avg(value), 6) + 0.0 AS mean_duration FROM events GROUP BY 1""")
@@ -369,15 +390,30 @@ def channel_select(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT vec_id, round(sum(s), 6) + 0.0 AS total, count(*)::BIGINT AS samples FROM e WHERE i + 1 BETWEEN greatest(1, floor(0.1 * 64)) AND least(n, ceil(0.7 * 64)) GROUP BY vec_id")
 def time_slice(spark, sf_dir):
-    part = F.slice("x", max(1, math.floor(0.1 * 64)), min(64, math.ceil(0.7 * 64)) - max(1, math.floor(0.1 * 64)) + 1)
-    return frames(spark, sf_dir).withColumn("p", part).select("vec_id", rounded(C.total(F.col("p"))).alias("total"), F.size("p").cast("long").alias("samples"))
+    r = frames(spark, sf_dir).select("vec_id", F.col("x").alias("left"), F.array().cast("array<double>").alias("right"), F.lit(64).alias("sample_rate"))
+    return R.time_slice(r, (0.1, 0.7)).select("vec_id", rounded(C.total(F.col("left"))).alias("total"), F.size("left").cast("long").alias("samples"))
 
 
-@query(f"""WITH {_P}, m AS (SELECT avg(x) + stddev_samp(x) AS t FROM p) SELECT vec_id, count(*) FILTER (x < t)::BIGINT AS low FROM p, m GROUP BY vec_id""")
+@query("""WITH p AS (SELECT label, vec_id, UNNEST(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, avg(x) + stddev_samp(x) AS t FROM p GROUP BY label)
+SELECT vec_id, count(*) FILTER (x < t)::BIGINT AS low, round(sum(CASE WHEN x < t THEN -120 ELSE x END), 5) + 0.0 AS total FROM p JOIN m USING (label) GROUP BY vec_id""")
 def below_mean_sd(spark, sf_dir):
-    p = spectra(spark, sf_dir).select("vec_id", F.explode("x").alias("x"))
-    limit = p.agg((F.avg("x") + F.stddev_samp("x")).alias("t"))  # one row
-    return p.join(F.broadcast(limit)).groupBy("vec_id").agg(F.count_if(F.col("x") < F.col("t")).alias("low"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("recording_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").cast("array<double>").alias("mag"))
+    f = R.without_background(e)
+    return f.select(F.col("frame_idx").alias("vec_id"), F.size(F.filter("mag", lambda v: v == -120)).cast("long").alias("low"), rounded(C.total(F.col("mag")), 5).alias("total"))
+
+
+@query("""SELECT label::VARCHAR AS recording_id, part::BIGINT AS part, row::BIGINT AS row, count(*)::BIGINT AS n, round(sum(v * (rank + 1)), 4) + 0.0 AS weighted FROM (
+SELECT label, vec_id // 100 AS part, 63 - i AS row, v, row_number() OVER (PARTITION BY label, vec_id // 100, i ORDER BY vec_id) - 1 AS rank FROM (SELECT label, vec_id, UNNEST(range(0, 64)) AS i, UNNEST(embedding)::DOUBLE AS v FROM embeddings)) GROUP BY ALL""")
+def rotated_frames(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("recording_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").cast("array<double>").alias("mag"))
+    r = R.rotated(e, 100)
+    return r.select("recording_id", "part", "row", F.size("values").cast("long").alias("n"), rounded(C.total(F.transform("values", lambda v, i: v * (i + 1))), 4).alias("weighted"))
+
+
+@query("""SELECT event_id, round(CASE WHEN value * 2000 < 125000 AND value * 2000 > 16000 THEN value * 2000 END, 6) + 0.0 AS freq_hz, round(event_id / 1e6, 9) AS seconds FROM events WHERE event_id / 1e6 BETWEEN 0.0001 AND 0.9""")
+def zc_display(spark, sf_dir):
+    dots = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("time_us"), (F.col("value") * 2000.0).alias("freq_hz"))
+    return S.zc_display(dots, LPF=125000, HPF=16000, tlim=(0.0001, 0.9)).select("event_id", rounded(F.col("freq_hz")).alias("freq_hz"), F.round("seconds", 9).alias("seconds"))
 
 
 @query(f"""WITH {_S}, t AS (SELECT user_id, i, (sum(greatest(floor(x * 3), 0)) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS time_us FROM s),
@@ -409,14 +445,113 @@ def blob_detection(spark, sf_dir):
     return E.blob_detection(recordings(spark, sf_dir), HPF=200, min_dur=1, max_dur=1e6, min_area=5, min_TBE=-1e9, max_TBE=1e9, FFT_size=64, bg_substract=1, contrast_boost=1)
 
 
-@query()
+def _spectrum_sql(low: int, high: int, value: str) -> str:
+    """SQL of hann frames of 64 every 32 samples of recordings(), bins low to high, real parts with the next bin's imaginary part."""
+    return f"""WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS t, round(v * 1000)::INT AS x FROM (SELECT label, vec_id, UNNEST(range(0, len(embedding))) AS i, UNNEST(embedding) AS v FROM embeddings)),
+f AS (SELECT label, UNNEST(range(0, (n + 31) // 32)) AS frame FROM (SELECT label, count(*) AS n FROM s GROUP BY label)),
+h AS (SELECT sum(0.5 * (1 - cos(j * {2 * math.pi / 63!r}))) AS h FROM (SELECT UNNEST(range(0, 64)) AS j)),
+w AS (SELECT label, frame, j, x * (0.5 * (1 - cos(j * {2 * math.pi / 63!r}))) AS y FROM (SELECT f.label, f.frame, s.t - f.frame * 32 AS j, s.x FROM f JOIN (SELECT label, t, x, UNNEST([t // 32, t // 32 - 1]) AS frame FROM s) s ON s.label = f.label AND s.frame = f.frame)),
+d AS (SELECT label, frame, k, sum(y * cos({_TURN!r} * k * j)) AS re, sum(y * sin({_TURN!r} * k * j)) AS im FROM w, (SELECT UNNEST(range({low}, {high + 2})) AS k) GROUP BY ALL),
+m AS (SELECT a.label, a.frame, a.k, 20 * log10(sqrt(a.re * a.re + CASE WHEN a.k < 31 THEN c.im * c.im ELSE c.re * c.re END) / h.h) AS db FROM d a JOIN d c ON c.label = a.label AND c.frame = a.frame AND c.k = a.k + 1, h)
+SELECT 'label' || label AS recording_id, frame::BIGINT AS frame_idx, (frame * 32)::BIGINT AS seek, (k - {low})::BIGINT AS i, round({value}, 4) + 0.0 AS db FROM m"""
+
+
+def _long_frames(f: DataFrame) -> DataFrame:
+    return f.select("recording_id", "frame_idx", "seek", F.posexplode("mag").alias("i", "v")).select("recording_id", "frame_idx", "seek", F.col("i").cast("long").alias("i"), rounded(F.col("v"), 4).alias("db"))
+
+
+@query(_spectrum_sql(2, 24, "db"))
 def fspec(spark, sf_dir):
-    return R.fspec(recordings(spark, sf_dir), FFT_size=64, FFT_overlap=0.5, HPF=500, LPF=6000)
+    return _long_frames(R.fspec(recordings(spark, sf_dir), FFT_size=64, FFT_overlap=0.5, HPF=500, LPF=6000))
 
 
-@query()
+@query(_spectrum_sql(0, 31, "greatest(db - max(db) OVER (PARTITION BY label), -120)"))
 def spectro(spark, sf_dir):
-    return R.spectro(recordings(spark, sf_dir), FFT_size=64, FFT_overlap=0.5)
+    return _long_frames(R.spectro(recordings(spark, sf_dir), FFT_size=64, FFT_overlap=0.5))
+
+
+_RATE, _SIZE = 48000, 256
+
+
+@query(f"""WITH RECURSIVE {_S}, g AS (SELECT user_id, i, x AS f, abs(x - 50) + 1 AS a, x / 2 AS h, count(*) OVER (PARTITION BY user_id) AS n FROM s),
+r AS (SELECT user_id, i, n, f, a, h, 0.0::DOUBLE AS p, (0.0 + 1e-5) / (0.0 + 1e-5 + 1e-5)::DOUBLE AS gain FROM g WHERE i = 0 UNION ALL
+SELECT g.user_id, g.i, g.n, r.f + r.gain * (g.f - r.f), r.a + r.gain * (g.a - r.a), r.h + r.gain * (g.h - r.h), (1 - r.gain) * (r.p + 1e-5), ((1 - r.gain) * (r.p + 1e-5) + 1e-5) / ((1 - r.gain) * (r.p + 1e-5) + 2e-5) FROM r JOIN g ON g.user_id = r.user_id AND g.i = r.i + 1),
+t AS (SELECT user_id, i, n, f * {_RATE / _SIZE} AS f, a, h FROM r),
+d AS (SELECT *, abs(f - lag(f) OVER w) AS d, f - 2 * lag(f) OVER w + lag(f, 2) OVER w AS bend FROM t WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+c AS (SELECT *, avg(d) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS calm FROM d),
+e AS (SELECT user_id, n, min(f) AS low, max(f) AS high, max(a) AS loud, max(d) AS jump, min(calm) FILTER (i > n * 0.6) AS calm, regr_slope(f, i) AS b, regr_intercept(f, i) AS base, sum(h) / sum(a) AS harmonic, coalesce(sum(abs(bend)), 0) AS smoothness FROM c GROUP BY user_id, n),
+k AS (SELECT c.user_id, min(i) FILTER (f = high) AS high_at, min(i) FILTER (f = low) AS low_at, min(i) FILTER (a = loud) AS loud_at, coalesce(min(i) FILTER (d = jump AND jump > 0), 0) AS knee, coalesce(min(i) FILTER (c.calm = e.calm AND i > c.n * 0.6 AND e.calm < 128000), 0) AS flat,
+sum(greatest(f - base - b * i, 0)) AS neg, sum(least(f - base - b * i, 0)) FILTER (i < c.n // 2) AS pos1, sum(least(f - base - b * i, 0)) FILTER (i >= c.n // 2) AS pos2,
+sum(f * CASE WHEN c.n % 2 = 1 THEN CASE WHEN i = c.n // 2 THEN 1 ELSE 0 END WHEN i IN (c.n // 2 - 1, c.n // 2) THEN 0.5625 WHEN i IN (c.n // 2 - 2, c.n // 2 + 1) THEN -0.0625 ELSE 0 END) AS middle FROM c JOIN e USING (user_id) GROUP BY c.user_id),
+z AS (SELECT e.*, k.*, e.n * 1000.0 * 32 / {_RATE} AS duration, 1000.0 * 32 / {_RATE} AS frame FROM e JOIN k USING (user_id))
+SELECT z.user_id, printf('%02d:%02d:%02d.%03d', z.user_id * 1000 // {_RATE} // 3600, z.user_id * 1000 // {_RATE} // 60 % 60, z.user_id * 1000 // {_RATE} % 60, floor(z.user_id * 1000 * 1000 / {_RATE} + 1e-9)::BIGINT % 1000) AS starting_time, z.user_id * 1000 + 1 AS event_start, z.user_id * 1000 + z.n * 32 AS event_end,
+{', '.join(f"round({v}, 4) + 0.0 AS {n}" for n, v in dict(
+    duration="duration", freq_max_amp="m.f", freq_max="high", freq_min="low", bandwidth="high - low", freq_start="t0.f", freq_center="tc.f", freq_end="t1.f", freq_knee="tk.f", fc="tf.f", freq_bw_knee_fc="tk.f - tf.f",
+    bin_max_amp=f"(10 + z.user_id % 100 + 0.5 / 3) * {_RATE} / 1024", pc_freq_max_amp="100.0 * loud_at / z.n", pc_freq_max="100.0 * high_at / z.n", pc_freq_min="100.0 * low_at / z.n", pc_knee="100.0 * knee / z.n",
+    temp_bw_knee_fc="(knee - flat) * frame", slope="(high - low) / duration", kalman_slope="-b * (z.n - 1) / duration", curve_neg="neg", curve_pos_start="pos1", curve_pos_end="pos2",
+    mid_offset="base + b * (z.n - 1) / 2 - middle", snr="20 * log10(greatest(3.0 * z.n / greatest(2.0, 1e-6), 1e-6))", hd="20 * log10(greatest(harmonic, 1e-6))", smoothness="smoothness").items())}
+FROM z JOIN t t0 ON t0.user_id = z.user_id AND t0.i = 0 JOIN t t1 ON t1.user_id = z.user_id AND t1.i = z.n - 1 JOIN t tc ON tc.user_id = z.user_id AND tc.i = z.n // 2 JOIN t m ON m.user_id = z.user_id AND m.i = loud_at
+JOIN t tk ON tk.user_id = z.user_id AND tk.i = knee JOIN t tf ON tf.user_id = z.user_id AND tf.i = flat""")
+def event_features(spark, sf_dir):
+    """The detector's own feature extraction over events whose tracks are the users' series."""
+    import numpy as np
+    import pandas as pd
+
+    names = [*detector.FEATURES, "event_start", "event_end"]
+    s = detector.Settings(FFT_size=_SIZE, LPF=_RATE / 2)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for user, x in zip(batch.user_id, batch.x):
+                x, spectrum = np.asarray(x, dtype=float), np.zeros(512)
+                top = 10 + user % 100
+                spectrum[top - 1 : top + 2] = 1, 2, 1.5
+                e = K.track_event(x, np.abs(x - 50) + 1, x / 2, user * 1000, user * 1000 + len(x) * 32 - 1, 3.0 * len(x), 2.0, spectrum)
+                rows.append({"user_id": user} | {k: v for k, v in detector.extract(e, _RATE, s).items() if k in names})
+            yield pd.DataFrame(rows, columns=["user_id", *names])
+
+    kinds = {"starting_time": "string", "event_start": "bigint", "event_end": "bigint"}
+    f = tracks(spark, sf_dir).mapInPandas(run, "user_id bigint, " + ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names))
+    return f.select("user_id", *[F.col(n) if n in kinds else rounded(F.col(n), 4).alias(n) for n in names])
+
+
+def _moments_sql(name: str, source: str) -> str:
+    """SQL of (vec_id, i, x) -> weighted moments from 1, and Gini impurity."""
+    return f"""{name}_w AS (SELECT vec_id, i + 1 AS k, x / sum(x) OVER (PARTITION BY vec_id) AS w FROM {source}), {name}_c AS (SELECT *, sum(w * k) OVER (PARTITION BY vec_id) AS c FROM {name}_w),
+{name} AS (SELECT vec_id, min(c) AS centroid, sqrt(sum(w * (k - c) ** 2)) AS sd, sum(w * (k - c) ** 3) AS m3, sum(w * (k - c) ** 4) AS m4, 1 - sum(w * w) AS gini FROM {name}_c GROUP BY vec_id)"""
+
+
+@query(f"""WITH {_E}, s AS (SELECT vec_id, i // 16 AS c, 15 - i % 16 AS y, abs(s) * 10 AS x FROM e),
+o AS (SELECT vec_id, c, min(y) AS top FROM (SELECT *, max(x) OVER (PARTITION BY vec_id, c) AS t FROM s) WHERE x = t GROUP BY ALL),
+q AS (SELECT s.vec_id, s.c, s.y, CASE WHEN y > top + 8 OR y BETWEEN 1 AND top - 9 THEN 0 ELSE x END AS x FROM s JOIN o ON o.vec_id = s.vec_id AND o.c = s.c),
+v AS (SELECT vec_id, c, floor(sum(x * y) / sum(x) + 0.5)::BIGINT AS peak FROM q WHERE y BETWEEN 1 AND 14 GROUP BY ALL),
+power AS (SELECT vec_id, y AS i, sum(CASE WHEN y BETWEEN 1 AND 14 THEN x ELSE 0 END) AS x FROM q GROUP BY ALL), envelope AS (SELECT vec_id, c AS i, sum(x) AS x FROM s GROUP BY ALL),
+jumps AS (SELECT a.vec_id, a.peak - b.peak + 16 + q.y - a.peak AS i, sum(q.x) AS x FROM v a JOIN v b ON b.vec_id = a.vec_id AND b.c = a.c - 1 JOIN q ON q.vec_id = a.vec_id AND q.c = a.c AND q.y BETWEEN a.peak - 1 AND a.peak + 1
+WHERE a.peak > 0 AND b.peak > 0 AND a.peak - b.peak + 16 + q.y - a.peak BETWEEN 0 AND 31 GROUP BY ALL),
+{_moments_sql("freq", "power")}, {_moments_sql("temp", "envelope")}, {_moments_sql("grad", "jumps")},
+run AS (SELECT vec_id, i, sum(x) OVER (PARTITION BY vec_id ORDER BY i) AS c, sum(x) OVER (PARTITION BY vec_id) AS t FROM power),
+quant AS (SELECT vec_id, {', '.join(f"250.0 * min(i) FILTER (c >= {p} * t) AS q{k}" for k, p in enumerate(_QUANTILES))} FROM run GROUP BY vec_id),
+area AS (SELECT vec_id, count(*) AS area FROM q WHERE y BETWEEN 1 AND 14 AND x > 1e-5 GROUP BY vec_id)
+SELECT area.vec_id, round(area, 4) + 0.0 AS area, {', '.join(f"round(250 * {p}.centroid, 4) + 0.0 AS {p}_centroid, round(250 * {p}.sd, 4) + 0.0 AS {p}_bandwith, round(250 * {p}.m3 / {p}.sd ** 3, 4) + 0.0 AS {p}_skew, round(250 * ({p}.m4 / {p}.sd ** 4 - 3), 4) + 0.0 AS {p}_kurtosis, round({p}.gini, 4) + 0.0 AS {p}_gini" for p in ("freq", "temp"))},
+CASE WHEN grad.sd > 1e-9 THEN round(250 * grad.m3 / grad.sd ** 3, 2) + 0.0 ELSE 0 END AS grad_skew, round(250 * grad.centroid, 4) + 0.0 AS grad_centroid, round(250 * grad.sd, 4) + 0.0 AS grad_bandwith, round(grad.gini, 4) + 0.0 AS grad_gini,
+round(250 * freq.centroid / greatest(freq.sd, 1), 4) + 0.0 AS q, {', '.join(f"q{k} + 0.0 AS quant_{k}" for k in range(5))}, q4 - q0 + 0.0 AS freq_bw_95_ci, q3 - q1 + 0.0 AS freq_bw_75_ci
+FROM area JOIN freq USING (vec_id) JOIN temp USING (vec_id) JOIN grad USING (vec_id) JOIN quant USING (vec_id)""")
+def region_features(spark, sf_dir):
+    """The region detector's own features over segments of 16 bins and 4 frames."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = [{"vec_id": v} | regions.features(np.asarray(x, dtype=float).reshape(4, 16).T, 16000, 64) for v, x in zip(batch.vec_id, batch.x)]
+            yield pd.DataFrame(rows)[["vec_id", *names]].rename(columns=dict(zip(names, plain)))
+
+    names = [n for n in regions.FEATURES if n not in ("starting_time", "duration", "grad_kurtosis")]
+    quant = [n for n in names if n.startswith("quant")]
+    plain = [f"quant_{quant.index(n)}" if n in quant else n for n in names]
+    f = spectra(spark, sf_dir).mapInPandas(run, "vec_id bigint, " + ", ".join(f"{n} double" for n in plain))
+    return f.select("vec_id", *[rounded(F.col(n), 2 if n == "grad_skew" else 4).alias(n) for n in plain])
 
 
 _WAV = "SELECT 'label' || label AS recording_id, count(*)::BIGINT AS n_samples, sum(v)::BIGINT AS total FROM (SELECT label, round(UNNEST(embedding) * 1000)::INT AS v FROM embeddings) GROUP BY label"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .guano import guano_text, parse_guano
+from .guano import DOUBLES, INTS, guano_text, parse_guano
 from .wac import read_wac
 from .wav import read_wav, write_wav
 from .zc import read_zc
@@ -110,16 +110,34 @@ def zc_frequency(dots: DataFrame, ratio: Column) -> DataFrame:
     return dots.withColumn("freq_hz", F.when(ok, F.floor(ratio * 1000000 / gap).cast("double")))
 
 
+def zc_display(dots: DataFrame, LPF: float = 125000, HPF: float = 16000, tlim: tuple[float, float] = (0, float("inf"))) -> DataFrame:
+    """Dots as a zero-crossing picture shows them: those from LPF up or HPF down lose their frequency; times in seconds, cut to tlim."""
+    seconds = F.col("time_us") / 1e6
+    shown = dots.withColumn("freq_hz", F.when((F.col("freq_hz") < LPF) & (F.col("freq_hz") > HPF), F.col("freq_hz")))
+    return shown.withColumn("seconds", seconds).filter((F.col("seconds") >= float(tlim[0])) & (F.col("seconds") <= float(tlim[1])))
+
+
+def parsed_guano(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, guano): a map for each GUANO text."""
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "guano": [parse_guano(t) for t in batch[text]]})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, guano map<string,string>")
+
+
+def guano_columns(df: DataFrame) -> DataFrame:
+    """df with a column for each typed GUANO key, named as the key, from its map `guano`."""
+    kinds = {**dict.fromkeys(DOUBLES, "double"), **dict.fromkeys(INTS, "int"), "Loc Position Lat": "double", "Loc Position Lon": "double"}
+    value = lambda k: F.col("guano").getItem(k)
+    return df.select("*", *[value(k).try_cast(t).alias(k) for k, t in kinds.items()], guano_timestamp(value("Timestamp")).alias("Timestamp"))
+
+
 def metadata(df: DataFrame) -> DataFrame:
     """Metadata of recordings (GUANO, rate, depth) or of zero-crossing files (header, GUANO)."""
     if "metadata" in df.columns:
         return df.select("path", "filename", "metadata", "guano")
-    number = lambda key, kind: F.col("guano").getItem(key).try_cast(kind)
-    return df.select(
-        "path", "filename", "sample_rate", "bit_depth", "guano", number("Samplerate", "int").alias("guano_samplerate"), number("TE", "int").alias("guano_te"),
-        number("Length", "double").alias("guano_length"), number("Loc Position Lat", "double").alias("latitude"), number("Loc Position Lon", "double").alias("longitude"),
-        guano_timestamp(F.col("guano").getItem("Timestamp")).alias("guano_timestamp"),
-    )
+    return guano_columns(df.select("path", "filename", "sample_rate", "bit_depth", "guano"))
 
 
 def wav_bytes(recordings: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def test_reading_through_spark(spark, tmp_path):
     assert [(x.format, x.segment_idx, x.n_samples) for x in rows] == [("wav", 0, 100), ("wac", 0, 256), ("wac", 1, 256)]
     assert rows[0].sample_rate == 16000 and rows[0].guano["TE"] == "10"
     m = S.metadata(r.filter("format = 'wav'")).first()
-    assert m.guano_te == 10 and m.guano_timestamp is not None
+    assert m.TE == 10 and m.Timestamp is not None
     z = S.read_zero_crossings(spark, str(tmp_path / "*.zc"))
     from pyspark.sql import functions as F
 
