@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .guano import DOUBLES, INTS, guano_text, parse_guano
+from .mp3 import mp3_header
 from .wac import read_wac
 from .wav import read_wav, write_wav
 from .zc import read_zc
@@ -39,7 +41,8 @@ def guano_timestamp(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), None).otherwise(F.try_to_timestamp(plain))
 
 
-def _decode(path: str, raw: bytes, time_exp: float, start: float | None, stop: float | None) -> list[dict]:
+def decode(path: str, raw: bytes, time_exp: float = 1, start: float | None = None, stop: float | None = None, mp3=None) -> list[dict]:
+    """Rows of a file; mp3 gives (rate, bit depth, left, right or None) of MP3 bytes, for which this package has no decoder."""
     name = os.path.basename(path)
     kind = name.lower().rpartition(".")[2]
     common = dict(path=path, filename=name, format=kind, time_exp=float(time_exp), recorded_at=None, guano={}, segment_idx=0, trigger_sample=0)
@@ -52,18 +55,23 @@ def _decode(path: str, raw: bytes, time_exp: float, start: float | None, stop: f
         common |= dict(sample_rate=int(w["sample_rate"] * time_exp), bit_depth=16, channels=w["channels"], recorded_at=when and when[1])
         parts = [common | dict(segment_idx=k, trigger_sample=at, left=left, right=right) for k, (at, left, right) in enumerate(w["segments"])]
     elif kind == "mp3":
-        raise ValueError(f"{name}: MP3 needs a decoder, and none is installed; convert it to WAV")
+        if mp3 is None:
+            h = mp3_header(raw)
+            raise ValueError(f"{name} ({h['sample_rate']} Hz, {h['channels']} channels): MP3 needs a decoder, and none is given (mp3=)")
+        rate, bits, left, right = mp3(raw)
+        left, right = np.asarray(left, dtype=np.int32), None if right is None else np.asarray(right, dtype=np.int32)
+        parts = [common | dict(sample_rate=int(rate * time_exp), bit_depth=bits, channels=1 if right is None else 2, left=left, right=right)]
     else:
         raise ValueError(f"{name}: the file type must be wav, wac or mp3")
     for p in parts:
-        p |= dict(recording_id=f"{path}#{p['segment_idx']}", n_samples=len(p["left"]), left=p["left"].tolist(), right=[] if p["right"] is None else p["right"].tolist())
+        p |= dict(recording_id=f"{path}#{p['segment_idx']}", n_samples=len(p["left"]), left=p["left"], right=np.zeros(0, np.int32) if p["right"] is None else p["right"])
     return parts
 
 
-def read_audio(spark: SparkSession, path: str | list[str], time_exp: float = 1, start: float | None = None, stop: float | None = None) -> DataFrame:
-    """Recordings of WAV and WAC files; start and stop in seconds (WAV only).
+def read_audio(spark: SparkSession, path: str | list[str], time_exp: float = 1, start: float | None = None, stop: float | None = None, mp3=None) -> DataFrame:
+    """Recordings of WAV and WAC files, and of MP3 files where a decoder is given (see decode); start and stop in seconds (WAV only).
 
-    Filters on path and filename that are applied to the result's path column before
+    Samples go to Spark as arrays of their type, without a Python object each.  Filters on path and filename that are applied to the result's path column before
     decoding belong in `path` (globs), as Spark can't push them below the decoder.
     """
     if start is not None and stop is not None and start > stop:
@@ -73,7 +81,7 @@ def read_audio(spark: SparkSession, path: str | list[str], time_exp: float = 1,
     def run(batches):
         for batch in batches:
             for p, raw in zip(batch.path, batch.content):
-                rows = _decode(p, raw, time_exp, start, stop)
+                rows = decode(p, raw, time_exp, start, stop, mp3)
                 if rows:
                     yield pd.DataFrame(rows)[[c.split()[0] for c in RECORDING.split(", ")]]
 
@@ -148,3 +156,9 @@ def wav_bytes(recordings: DataFrame) -> DataFrame:
             yield pd.DataFrame(dict(recording_id=batch.recording_id, filename=batch.filename, content=content))
 
     return recordings.select("recording_id", "filename", "sample_rate", "channels", "bit_depth", "left", "right").mapInPandas(run, "recording_id string, filename string, content binary")
+
+
+def mp3_to_wav(spark: SparkSession, path: str | list[str], mp3) -> DataFrame:
+    """(recording_id, filename, content): MP3 files as the bytes of WAV files; the sources stay. Write them with format("wav") of datasource, or as they are."""
+    out = wav_bytes(read_audio(spark, path, mp3=mp3))
+    return out.withColumn("filename", F.regexp_replace("filename", r"(?i)\.mp3$", ".wav"))

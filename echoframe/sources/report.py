@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def png(grey: np.ndarray) -> bytes:
@@ -39,6 +40,42 @@ def zc_png(time_us, freq_hz, hpf: float = 16000, lpf: float = 125000, width: int
     return png(out)
 
 
+def event_pictures(recordings: DataFrame, events: DataFrame, time_scale: float = 0.1, ticks: bool = True, size: int = 256, margin: float = 0.25, HPF: float = 0, LPF: float | None = None) -> DataFrame:
+    """(recording_id, event_start, picture): a PNG of each event, made where its recording lies.
+
+    events have recording_id, event_start and event_end (samples, from 1); time_scale is
+    milliseconds a pixel; a margin of the event's length is shown on both sides; ticks
+    marks its start and end.
+    """
+    import pandas as pd
+
+    from ..functions.spectra import bin_range, magnitudes, to_db, window
+
+    def picture(samples: np.ndarray, rate: int, first: int, last: int) -> bytes:
+        step = max(int(rate * time_scale / 1000), 1)
+        more = int((last - first) * margin)
+        a, b = max(first - 1 - more, 0), min(last + more, len(samples))
+        seeks = np.arange(a, max(b, a + 1), step)
+        low, high = bin_range(rate, size, HPF, LPF)
+        db = to_db(magnitudes(samples, seeks - size // 2, size, window("hann", size), "textbook")[:, low : high + 1])
+        grey = 255 * np.clip((db - db.max()) / -120, 0, 1).T[::-1]
+        if ticks:
+            for at in (first - 1, last):
+                grey[:, min(np.searchsorted(seeks, at), len(seeks) - 1)] = 0
+        return png(grey)
+
+    def draw(batches):
+        for batch in batches:
+            rows = []
+            for i, rate, samples, found in zip(batch.recording_id, batch.sample_rate, batch.left, batch.found):
+                samples = np.asarray(samples)
+                rows += [(i, e["event_start"], picture(samples, int(rate), e["event_start"], e["event_end"])) for e in found]
+            yield pd.DataFrame(rows, columns=["recording_id", "event_start", "picture"])
+
+    found = events.groupBy("recording_id").agg(F.collect_list(F.struct("event_start", "event_end")).alias("found"))  # the events of one recording
+    return recordings.select("recording_id", "sample_rate", "left").join(found, "recording_id").mapInPandas(draw, "recording_id string, event_start bigint, picture binary")
+
+
 def write_report(events: DataFrame, spectra: DataFrame, folder: str, columns: list[str]) -> str:
     """One picture a recording and an index of its events; the path of the index. Nothing is opened.
 

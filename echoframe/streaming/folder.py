@@ -19,7 +19,7 @@ def watch_recordings(spark: SparkSession, folder: str, files_per_trigger: int =
     def run(batches):
         for batch in batches:
             for path, raw in zip(batch.path, batch.content):
-                rows = S._decode(path, raw, 1, None, None)
+                rows = S.decode(path, raw)
                 if rows:
                     yield pd.DataFrame(rows)[columns]
 

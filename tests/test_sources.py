@@ -173,3 +173,47 @@ def test_reading_through_spark(spark, tmp_path):
     assert S.metadata(z).first().metadata["DIVRAT"] == "8"
     with pytest.raises(ValueError):
         S.read_audio(spark, str(tmp_path / "a.wav"), start=2, stop=1)
+
+
+def test_data_sources(spark, tmp_path):
+    from echoframe.sources import datasource
+
+    datasource.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = [(f"r{k}", f"r{k}.wav", 8000, 2, 16, list(range(k, k + 50)), [-v for v in range(50)]) for k in range(3)]
+    folder = str(tmp_path / "out")
+    for _ in range(2):  # a second run replaces the first one's files
+        spark.createDataFrame(rows, datasource.WAV_ROW).write.format("wav").mode("append").save(folder)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["r0.wav", "r1.wav", "r2.wav"]
+    (tmp_path / "out/bad.wav").write_bytes(b"never opened")
+    read = spark.read.format("recordings").option("start", 0.001).load(f"{folder}/*.wav")
+    got = read.filter("filename = 'r1.wav'").collect()
+    assert [(r.filename, r.channels, r.left) for r in got] == [("r1.wav", 2, list(range(9, 51)))]
+    raw = zc(131, bytes([1, 2]))
+    spark.createDataFrame([("a.zc", bytearray(raw), {"SPECIES": "Nyctalus"})], datasource.ZC_ROW).write.format("zero_crossing").mode("append").save(folder)
+    assert read_zc((tmp_path / "out/a.zc").read_bytes())["metadata"]["SPECIES"] == "Nyctalus"
+
+
+def test_mp3(spark, tmp_path):
+    from echoframe.sources.mp3 import mp3_header
+
+    raw = b"ID3\3\0\0\0\0\0\5hello" + bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(60)
+    assert mp3_header(raw) == dict(sample_rate=44100, channels=2, kbits=128)
+    (tmp_path / "x.MP3").write_bytes(raw)
+    with pytest.raises(ValueError, match="44100 Hz"):
+        S.decode("x.MP3", raw)
+    out = S.mp3_to_wav(spark, str(tmp_path / "x.MP3"), lambda b: (22050, 16, [1, 2, 3], None)).collect()
+    assert [r.filename for r in out] == ["x.wav"] and read_wav(bytes(out[0].content))["left"].tolist() == [1, 2, 3]
+
+
+def test_amplitudes_follow_the_bit_depth(spark):
+    from echoframe.operators import events as E
+    from tests.test_kernels import chirps
+    from tests.test_queries import recording
+
+    from pyspark.sql import functions as F
+
+    x, rate = chirps(count=2)
+    r = recording(spark, x, rate)
+    a, b = (E.threshold_detection(r.withColumn("bit_depth", F.lit(bits)), compat="textbook").select("amp_track").collect() for bits in (16, 24))
+    assert np.allclose(np.array(a[0][0]) - np.array(b[0][0]), 20 * np.log10(2.0**8))

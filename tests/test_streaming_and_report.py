@@ -35,3 +35,6 @@ def test_pictures(spark, tmp_path):
     events = spark.createDataFrame([("a", "00:00:00.000", 1.0)], "recording_id string, starting_time string, duration double")
     index = report.write_report(events, R.spectro(r, FFT_size=64), str(tmp_path / "r"), ["starting_time", "duration"])
     assert "recording0.png" in open(index).read() and (tmp_path / "r/recording0.png").stat().st_size > 100
+
+    pictures = report.event_pictures(r, spark.createDataFrame([("a", 100, 900), ("a", 1500, 1990)], "recording_id string, event_start bigint, event_end bigint"), time_scale=1, size=64).collect()
+    assert sorted(p.event_start for p in pictures) == [100, 1500] and all(bytes(p.picture)[:4] == b"\x89PNG" for p in pictures)
