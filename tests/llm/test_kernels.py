@@ -245,5 +245,56 @@ def test_statistics_are_finite():
     assert (x[4] == x[5]).all()
 
 
+def test_discriminant_equals_densities():
+    """Log densities of both classes by plain formulas: shrunken covariances, determinants and solved systems."""
+    from echoframe.llm import quality
+
+    rng = np.random.default_rng(7)
+    w = quality.WIDTH
+    y = rng.random(400) < 0.7
+    x = rng.normal(size=(400, w)) @ rng.normal(size=(w, w)) / 3 + y[:, None] * rng.normal(size=w)
+    sums = {k: np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).reshape(-1)]) for k in (0, 1) if len(z := x[y == k])}
+    got = quality.Discriminant(sums).scores(x[:50])
+    cov = {k: np.cov(x[y == k].T, bias=True) for k in (0, 1)}
+    both = ((~y).sum() * cov[0] + y.sum() * cov[1]) / len(y)
+    scale = np.sqrt(np.diag(both))
+    for row, g in zip(x[:50], got):
+        density = {}
+        for k in (0, 1):
+            c = (0.5 * cov[k] + 0.5 * both) / np.outer(scale, scale)
+            c = 0.95 * c + 0.05 * np.eye(w) * np.trace(c) / w
+            d = (row - x[y == k].mean(axis=0)) / scale
+            density[k] = np.log((y == k).mean()) - 0.5 * d @ np.linalg.solve(c, d) - 0.5 * np.linalg.slogdet(c)[1]
+        assert g == pytest.approx(1 / (1 + np.exp(density[0] - density[1])), abs=1e-6)
+
+
+def test_label_model_equals_slow_loops():
+    """Strengths from triplets of voters, evidence discounted by what remains between two of them."""
+    from echoframe.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    hidden = rng.random(5000) < 0.2
+    votes = np.stack([rng.random(5000) < np.where(hidden, hit, miss) for hit, miss in ((0.8, 0.05), (0.7, 0.1), (0.6, 0.02), (0.5, 0.1), (0.1, 0.1))], axis=1).astype(float)
+    votes[:, 3] = np.maximum(votes[:, 3], votes[:, 2])
+    n = len(votes)
+    model = toxicity.LabelModel(n, votes.sum(axis=0), votes.T @ votes, 0.2)
+    r = np.corrcoef(votes.T)
+    strength = []
+    for i in range(5):
+        friends = [j for j in sorted(range(5), key=lambda j: -r[i, j] if j != i else 0) if j != i and r[i, j] > 0.05]
+        guesses = [r[i, j] * r[i, k] / r[j, k] for a, j in enumerate(friends) for k in friends[a + 1 :] if r[j, k] > 0.05]
+        strength.append(min(np.sqrt(min(max(np.median(guesses), 0), 0.9)), 0.95) if len(guesses) >= 3 else 0.0)
+    assert model.strength.tolist() == pytest.approx(strength)
+    fired = []
+    for i in range(5):
+        extra = sum(max(rest, 0) for j in range(5) if j != i and abs(rest := r[i, j] - strength[i] * strength[j]) > 0.1)
+        mean, sd = votes[:, i].mean(), votes[:, i].std()
+        gap = strength[i] * sd / np.sqrt(0.2 * 0.8)
+        clip = lambda p: min(max(p, 1e-4), 0.999)
+        fired.append(np.log(clip(mean + 0.8 * gap) / clip(mean - 0.2 * gap)) / (1 + extra))
+    assert model.fired.tolist() == pytest.approx(fired)
+    assert ((model.posterior(votes) > 0.5) == hidden).mean() > 0.9
+
+
 def test_counter_is_exact():
     assert Counter(lower("Ab aB")) == Counter("ab ab")
