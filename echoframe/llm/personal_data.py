@@ -294,13 +294,27 @@ def _strange(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dotted_hosts(data: np.ndarray, w, at_word: np.ndarray, dot: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """Texts with an at as a word and a dot before a letter in what follows up to the next blank."""
+    out = np.zeros(len(w.first) - 1, dtype=bool)
+    spots = np.flatnonzero(at_word[:-1])
+    if len(spots):
+        edges = np.append(np.flatnonzero(blank), len(data))
+        begin = w.start[spots + 1]
+        end = edges[np.searchsorted(edges, begin)]
+        total = np.concatenate([[0], np.cumsum(dot & np.append(_LETTER[data[1:]], False))])
+        found = spots[total[end] > total[begin]]
+        out[np.searchsorted(w.first, found, side="right") - 1] = True
+    return out
+
+
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts that may hold base spans, and texts that may hold disguised ones.
 
     Without a strange character, a text is rewritten only if it has three digit words,
     dot words or numbers of any length in a row with a digit or dot word among them; a bracket
     with an at or dot behind it; an @ beside a blank; a dot word or a dot between
-    blanks together with an at or @; or an at together with a dot before a letter.
+    blanks together with an at or @; or an at before a word with a dot before a letter in it.
     """
     w = words(data, offsets, ALNUM)
     in_texts = lambda flags: _any_by_text(flags, offsets)
@@ -321,10 +335,7 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     disguised = in_texts(_strange(data)) | _any_by_text(run, w.first) | in_texts(sign & (before | after))
     disguised |= in_texts(_BRACKET[data]) & (at | dots | in_texts(dot & (before | behind)))
     disguised |= at & (dots | in_texts(dot & before & after))
-    # a host with its dots behind a spelled at
-    letter = _LETTER[data]
-    disguised |= _any_by_text(member(_AT_HASHES), w.first) & in_texts(dot & np.append(letter[1:], False)[: len(data)])
-    return in_texts(_PLAIN[data]), disguised
+    return in_texts(_PLAIN[data]), disguised | _dotted_hosts(data, w, member(_AT_HASHES), dot, blank)
 
 
 def find_all(docs: DataFrame) -> DataFrame:
