@@ -6,9 +6,14 @@ registers borrow from a fixed sequence of others (densification), so that short
 documents have 128 comparable registers too.  Bands of four registers give
 candidates: at a similarity of 0.8 all 32 bands miss with probability 5e-8 if
 registers are independent.  Those of very small sets are not, as borrowed registers
-repeat: pairs of 4 and 5 shingles were missed more often (3.5e-4 in a review).
-
-1. Equal shingle sets form classes, represented by the smallest doc_id.
+repeat (bands miss 6e-4 of pairs of 4 and 5 shingles).  But where a union is so small
+that the threshold leaves room for one missing shingle only (below 10 shingles at 0.8),
+linked sets are equal or one is the other less a shingle: such sets also carry
+the keys of what is left without each of their shingles, and a join on these keys
+gives every such pair.
+
+1. Equal shingle sets form classes, represented by the smallest doc_id.  Links of small
+   sets come from their keys first.
 2. Each bucket has its smallest member as leader.  In rounds, every class is held
    against one leader of its buckets that isn't in its component yet: by the
    collision-corrected estimate, then on full shingle sets.  A round is linear in the
@@ -23,7 +28,7 @@ repeat: pairs of 4 and 5 shingles were missed more often (3.5e-4 in a review).
    that it doesn't exclude on their full sets.  What leaves it is which components are
    one, at most a row a member.
 
-So no link is lost after banding, and none is followed before it is confirmed.  In a
+So no link of small sets is lost, no other one after banding, and none is followed before it is confirmed.  In a
 team of M texts that are alike but not linked, comparisons grow with the square of M
 and what is sent with M * M / 14,000 (for sets of 450): nothing is sent more than once
 below that.
@@ -54,6 +59,9 @@ SIGMAS, LOOSE = 5, 32
 #: Bits of the bitmap that marks documents, for each of them, and its bounds.
 BITMAP_SPREAD, BITMAP_LEAST, BITMAP_MOST = 8, 1 << 20, 1 << 27
 ROUNDS, TINY, SMALL = 3, 8, 256
+#: Sets of more shingles carry no keys, whatever the threshold; their registers differ enough.
+MOST_KEYS = 32
+SALTS = (0x1234567, 0x89ABCDEF01)
 #: Bytes of shingle sets in a slice of a team; members compared at once; where counting by matrix products beats pair by pair.
 BLOCK_BYTES, TILE, DENSE = 48 << 20, 1024, 512
 
@@ -109,19 +117,29 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return np.maximum(0, (equal / REGISTERS - COLLISION) / (1 - COLLISION))
 
 
-def _sketcher(size: int):
+def carries_keys(n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set of n shingles may be linked with itself less one, and with no set that differs by two."""
+    return (n * (100 - percent) >= 100) & (n * (100 - percent) < 200) & (n <= MOST_KEYS)
+
+
+def _sketcher(size: int, percent: int):
     def run(batches):
         for batch in pieces(batches):
             sets = distinct_shingles(*buffers(batch.column("text")), size)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate([np.zeros(0, U64), *sets])
             at = np.concatenate([[0], np.cumsum(n)])
-            sums = []
-            for salt in (0x1234567, 0x89ABCDEF01):
-                total = np.concatenate([[U64(0)], np.cumsum(mix64(flat ^ U64(salt)), dtype=U64)])
-                sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+            few = carries_keys(n, percent)
+            keyed, places = np.repeat(few, n), np.concatenate([[0], np.cumsum(np.where(few, n, 0))]).astype(np.int32)
+            sums, left = [], []
+            for salt in SALTS:
+                mixed = mix64(flat ^ U64(salt))
+                total = np.concatenate([[U64(0)], np.cumsum(mixed, dtype=U64)])
+                total = total[at[1:]] - total[at[:-1]]
+                sums.append(total.view(np.int64))
+                left.append(pa.ListArray.from_arrays(pa.array(places), pa.array((np.repeat(total[few], n[few]) - mixed[keyed]).view(np.int64))))
             regs = registers(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), *map(pa.array, sums), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "s1", "s2", "reg"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), *map(pa.array, sums), *left, pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "s1", "s2", "left1", "left2", "reg"])
 
     return run
 
@@ -346,12 +364,21 @@ def _block_links(percent: int):
     return run
 
 
-def _stars(members: DataFrame, label: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+def _one_apart(reps: DataFrame) -> DataFrame:
+    """(a, b): small classes b and the classes a that are b less one shingle.
+
+    A row of reps has at most MOST_KEYS keys, and a class is the only one with its own
+    (n, s1, s2), so a pair comes out once a key.
+    """
+    less = reps.filter(F.size("left1") > 0).select(F.col("rep").alias("b"), (F.col("n") - 1).alias("n"), F.explode(F.arrays_zip("left1", "left2")).alias("left"))
+    less = less.select("b", "n", F.col("left.left1").alias("s1"), F.col("left.left2").alias("s2"))
+    return less.join(reps.select("n", "s1", "s2", F.col("rep").alias("a")), ["n", "s1", "s2"]).select("a", "b")
+
+
+def _stars(members: DataFrame, label: DataFrame, tested: DataFrame | None) -> DataFrame:
     """(a, b): for each class b the smallest leader a of its buckets that it wasn't held against and that is in another component."""
-    rows = members
-    if label is not None:
-        near = label.toDF("leader", "near")
-        rows = rows.join(label.toDF("rep", "comp"), "rep", "left").join(near, "leader", "left").filter(F.coalesce("comp", "rep") != F.coalesce("near", "leader"))
+    near = label.toDF("leader", "near")
+    rows = members.join(label.toDF("rep", "comp"), "rep", "left").join(near, "leader", "left").filter(F.coalesce("comp", "rep") != F.coalesce("near", "leader"))
     if tested is not None:
         rows = rows.join(tested, "rep", "left").filter("last is null or leader > last")
     return rows.groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b"))
@@ -392,14 +419,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     doc_id is an integer column; documents link when 100 * intersection >= percent *
     union of their sets of word shingles.
     """
-    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(shingle), "doc_id long, n long, s1 long, s2 long, reg binary"), "sketch")
+    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(shingle, percent), "doc_id long, n long, s1 long, s2 long, left1 array<long>, left2 array<long>, reg binary"), "sketch")
     usable = sketch.filter("n > 0 and doc_id is not null")
-    reps = written(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("reg").alias("reg")), "classes")
-    bands = reps.mapInArrow(_bander, "band long, rep long")
+    reps = written(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("reg", "left1", "left2"))), "classes")
+    apart = written(_one_apart(reps), "apart")
+    bands = reps.select("rep", "reg").mapInArrow(_bander, "band long, rep long")
     leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("k")).filter("k > 1").select("band", "leader")
     members = written(bands.join(leaders, "band").filter("rep != leader"), "members")
-    sets = sets_of(docs, members.select(F.explode(F.array("leader", "rep")).alias("doc_id")).distinct(), shingle)
-    links, label, tested, old = None, None, None, []
+    compared = members.select(F.explode(F.array("leader", "rep")).alias("doc_id")).union(apart.select(F.explode(F.array("a", "b"))))
+    sets = sets_of(docs, compared.distinct(), shingle)
+    links = confirmed(apart, reps, sets, percent)
+    label, tested, old = components(links), None, [apart, links]
     for _ in range(ROUNDS):
         stars = written(_stars(members, label, tested), "stars")
         found = confirmed(stars, reps, sets, percent)
@@ -407,9 +437,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         last = stars.select(F.col("b").alias("rep"), F.col("a").alias("last"))
         tested = last if tested is None else tested.unionByName(last).groupBy("rep").agg(F.max("last").alias("last"))
         old.append(found)
-        links = found if links is None else links.unionByName(found)
-        if label is not None:
-            forget(label)
+        links = links.unionByName(found)
+        forget(label)
         label = components(links)
     more = _blocks(members, label, reps, sets, percent)
     forget(members, sets)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from echoframe.llm import decontaminate, fingerprints, language_model, mixing, near_duplicates, personal_data, quality, token_counts, token_files, toxicity, word_counts
+from echoframe.llm.text import buffers
 
 from .conftest import SF, lower, text_of
 from .test_kernels import MIXED
@@ -569,6 +570,25 @@ def test_near_duplicates(spark, docs, edges, empty, sizes, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(two).collect()} == {(5, 5), (7, 5), (9, 5)}
 
 
+def test_small_sets_that_all_bands_miss_are_linked(spark):
+    """Texts of 7 words and the same with one more, before or after: 4 and 5 shingles, 4 in common."""
+    first = [[f"a{k}_{j}" for j in range(7)] for k in range(4000)]
+    second = [["more", *w] if k % 2 else [*w, "more"] for k, w in enumerate(first)]
+    texts = pa.array([" ".join(w) for w in first + second])
+    keys = near_duplicates.band_keys(near_duplicates.registers(near_duplicates.distinct_shingles(*buffers(texts), 4)))
+    missed = np.flatnonzero(~(keys[:4000] == keys[4000:]).any(axis=1))
+    assert len(missed)
+    rows = [(int(k), " ".join(first[k])) for k in missed] + [(int(k) + 10000, " ".join(second[k])) for k in missed]
+    # one short text with many others that are it and a word: each is linked with it, none of them with each other
+    rows += [(20000, "p q r s t u v"), *((20001 + k, f"p q r s t u v x{k}") for k in range(600))]
+    # 3 of 4 shingles are below the threshold; a permutation has no shingle in common
+    rows += [(30000, "k l m n o p"), (30001, "k l m n o p q"), (30002, "q p o n m l k"), (30003, "k l m n o p q r")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    expected = duplicate_groups(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert all(expected[int(k) + 10000][1] == k for k in missed) and expected[20600][1] == 20000 and expected[30001][1] == 30001
+
+
 # 8
 def test_fingerprints(docs, empty):
     whole = fingerprints.compare_neighbours(docs).collect()
