@@ -5,11 +5,13 @@ digit-disguised spelling), stem voters (word beginnings that mark toxic rows of
 bounded sample of labelled rows) and pattern voters.  A generative label model
 explains their second moments over all documents: off the diagonal the covariance
 of voters that are independent given the label is rank one, so triplets of voters
-give each one's strength (its correlation with the hidden label), together with
-its correlation with the labels of rows that are not held out; what remains between
-two voters is their own correlation, by which their evidence is discounted.  The
-label model's posteriors then train a linear classifier (ridge-penalised logistic
-regression, Newton steps over all documents).
+give each one's strength (its correlation with the hidden label) without any label.
+A voter without three triplets (one that never fires beside two others, such as the
+only stem of a language) can't be told this way; there the labels of rows that are
+not held out are the other two voters, as their strength is 1: its strength is its
+correlation with them.  What remains between two voters is their own correlation, by
+which their evidence is discounted.  The label model's posteriors then train a linear
+classifier (ridge-penalised logistic regression, Newton steps over all documents).
 
 Defined results: null texts are empty; without usable labels the share of toxic
 documents is 0.1 and there are no stem voters; where no voter fires, the classifier
@@ -179,7 +181,10 @@ def find_stems(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: i
 
 
 class LabelModel:
-    """Class-conditional firing rates of the voters, from first and second moments over all documents and correlations with known labels."""
+    """Class-conditional firing rates of the voters, from first and second moments over all documents.
+
+    `known` are correlations with known labels, for voters that triplets don't determine (without it, these have no say).
+    """
 
     def __init__(self, count: float, first: np.ndarray, second: np.ndarray, prior: float, known: np.ndarray | None = None):
         mean = first / max(count, 1)
@@ -194,8 +199,7 @@ class LabelModel:
             friends = friends[r[i, friends] > 0.05]
             guesses = [r[i, j] * r[i, k] / r[j, k] for a, j in enumerate(friends) for k in friends[a + 1 :] if r[j, k] > 0.05]
             if len(guesses) >= 3:
-                triplet = np.sqrt(np.clip(np.median(guesses), 0, 0.9))
-                strength[i] = triplet if known is None else (triplet + strength[i]) / 2
+                strength[i] = np.sqrt(np.clip(np.median(guesses), 0, 0.9))
         strength = np.clip(strength, -0.9, 0.95)
         rest = r - np.outer(strength, strength)
         np.fill_diagonal(rest, 0)

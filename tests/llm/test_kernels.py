@@ -294,6 +294,10 @@ def test_label_model_equals_slow_loops():
         fired.append(np.log(clip(mean + 0.8 * gap) / clip(mean - 0.2 * gap)) / (1 + extra))
     assert model.fired.tolist() == pytest.approx(fired)
     assert ((model.posterior(votes) > 0.5) == hidden).mean() > 0.9
+    # labels speak for the voters that triplets can't determine, and for no others
+    known = np.linspace(0.1, 0.5, 5)
+    helped = toxicity.LabelModel(n, votes.sum(axis=0), votes.T @ votes, 0.2, known)
+    assert helped.strength.tolist() == pytest.approx([s or k for s, k in zip(strength, known)]) and strength[4] == 0 < strength[0]
 
 
 def test_counter_is_exact():
