@@ -10,8 +10,10 @@ texts have equal fingerprints.  The fingerprint is a string
 
 (root 16, section and paragraph 8 hexadecimal digits; four base64 signs a leaf), so
 that two of them show where texts differ, and the share of common leaves (Dice, with
-repetitions) is their likeness.  A null text is an empty one; two texts without
-leaves are alike (1).
+repetitions) is their likeness.  Trees of two versions of a text also locate the edit:
+from the roots down, the first and last children that differ lead to the leaves between
+which all differences lie.  A null text is an empty one; two texts without leaves are
+alike (1); equal texts have no edit (nulls).
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class Forest:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         docs = len(offsets) - 1
+        self.data, self.offsets = data, offsets
         w = words(data, offsets, NOT_SPACE, IDENTITY)
         n = np.diff(w.first)
         # a phrase starts after a word with the right hash, at a line break, after LONGEST words, and with each text
@@ -124,6 +127,55 @@ def likeness(a: Forest, b: Forest, rows_a: np.ndarray, rows_b: np.ndarray) -> np
     return np.where(same, 1.0, 2 * shared / np.maximum(na + nb, 1))
 
 
+def _shared_leaves(a: Forest, i: int, b: Forest, j: int, back: bool) -> int:
+    """Leaves that text i of a and text j of b share at the front (or back), by descent into the first (last) children that differ."""
+    at = [(a.section_at[i], a.section_at[i + 1]), (b.section_at[j], b.section_at[j + 1])]
+    for level, first in (("section", "section_first"), ("paragraph", "paragraph_first"), ("leaf", None)):
+        x, y = (getattr(t, level)[lo:hi][:: -1 if back else 1] for t, (lo, hi) in zip((a, b), at))
+        n = min(len(x), len(y))
+        other = np.flatnonzero(x[:n] != y[:n])
+        k = int(other[0]) if len(other) else n
+        child = [hi - k - 1 if back else lo + k for lo, hi in at]
+        edge = at[0][1] - k if back else at[0][0] + k
+        if first is None:
+            break
+        bounds = [np.append(getattr(t, first), len(t.paragraph if level == "section" else t.leaf)) for t in (a, b)]
+        if k == n:  # one of them has no more children
+            edge = bounds[0][edge]
+            if level == "section":
+                edge = np.append(a.paragraph_first, len(a.leaf))[edge]
+            break
+        at = [(c[m], c[m + 1]) for c, m in zip(bounds, child)]
+    return int(a.leaf_at[i + 1] - edge if back else edge - a.leaf_at[i])
+
+
+def _characters(data: np.ndarray) -> int:
+    return int(np.count_nonzero((data & 0xC0) != 0x80))
+
+
+def edits(a: Forest, b: Forest, rows_a: np.ndarray, rows_b: np.ndarray) -> list[tuple[int, int, int] | None]:
+    """(start, end, new end) pair by pair, in code points: text[start:end] of a became text[start:new end] of b, and all else is equal.
+
+    The bounds are those of leaves; None where the roots agree.
+    """
+    out: list[tuple[int, int, int] | None] = []
+    for i, j in zip(rows_a.tolist(), rows_b.tolist()):
+        if a.root[i] == b.root[j]:
+            out.append(None)
+            continue
+        n = [int(t.leaf_at[r + 1] - t.leaf_at[r]) for t, r in ((a, i), (b, j))]
+        front = _shared_leaves(a, i, b, j, False)
+        back = min(_shared_leaves(a, i, b, j, True), min(n) - front)
+        ends, start = [], 0
+        for t, r, size in ((a, i, n[0]), (b, j, n[1])):
+            where = np.append(t.starts, len(t.data))
+            lo, mid, hi = t.offsets[r], where[t.leaf_at[r] + front], where[t.leaf_at[r] + size - back]
+            start = _characters(t.data[lo:mid])
+            ends.append(start + _characters(t.data[mid:hi]))
+        out.append((start, ends[0], ends[1]))
+    return out
+
+
 def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
     """(root, [(section, [(paragraph, [leaf])])]) of a fingerprint."""
     root, rest = fingerprint.split("/", 1)
@@ -153,6 +205,29 @@ def differing_branches(a: str, b: str) -> list[tuple[int, int]]:
     return [(i, j) for i, (h, ps) in enumerate(tree_a) if not sections[h] for j, (p, _) in enumerate(ps) if not paragraphs[p]]
 
 
+def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, edit_start, edit_end, edit_new_end) of every doc_id of both tables, in code points; nulls where texts are equal.
+
+    A doc_id that one table lacks, or a null one, gives no row; repeated ones give a row for each pair.
+    """
+
+    def run(batches):
+        for batch in pieces(batches):
+            every = np.arange(batch.num_rows)
+            found = edits(*(Forest(*buffers(batch.column(k))) for k in ("text", "edited")), every, every)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_edit_columns(found)], ["doc_id", *EDIT])
+
+    both = before.select("doc_id", "text").join(after.select("doc_id", F.col("text").alias("edited")), "doc_id")
+    return both.mapInArrow(run, f"doc_id {both.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in EDIT))
+
+
+EDIT = ("edit_start", "edit_end", "edit_new_end")
+
+
+def _edit_columns(found) -> list[pa.Array]:
+    return [pa.array([e and e[k] for e in found], pa.int64()) for k in range(3)]
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, fingerprint) for every row of docs."""
 
@@ -208,7 +283,7 @@ def _with_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint and that of its edited text, and their likeness.
+    """Each document's fingerprint and that of its edited text, their likeness, and where their trees say that the edit lies.
 
     The edited text has the last third of its code points replaced by the first as
     many (or all) of the next document in descending doc_id; the first follows the
@@ -236,8 +311,9 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 [
                     pa.array([rows[i][2] for i in use], pa.int64()), pa.array([len(texts[i]) for i in use], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
                     pa.array([prints[i] for i in use]), pa.array(other.fingerprints()), pa.array(likeness(own, other, at, np.arange(len(use)))), pa.array(likeness(own, own, at, at + 1)),
+                    *_edit_columns(edits(own, other, at, np.arange(len(use)))),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *EDIT],
             )
 
-    return _with_neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _with_neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long, edit_end long, edit_new_end long")

@@ -239,6 +239,81 @@ def test_fingerprints():
     assert leaves == both.leaf_at[1]
 
 
+def test_edits_are_located_from_the_roots_down():
+    rng = random.Random(5)
+    pick = lambda n: "".join(rng.choices(["alpha ", "béta ", "γ ", "delta\n", "\n", "x" * 30 + " ", "😀 "], k=n))
+    pairs = [("", ""), ("", "x"), ("x", ""), ("a b", "a b"), ("same " * 50, "same " * 49), ("\n\n", "\n")]
+    for _ in range(300):
+        text = pick(rng.randint(0, 300))
+        i, j = sorted(rng.randint(0, len(text)) for _ in range(2))
+        pairs.append((text, text[:i] + pick(rng.randint(0, 20)) + text[min(j, i + 40) :]))
+        pairs.append((text, pick(rng.randint(0, 300))))
+    a, b = (fingerprints.Forest(*buffers(pa.array(list(x)))) for x in zip(*pairs))
+    every = np.arange(len(pairs))
+    narrow = 0
+    for (x, y), e in zip(pairs, fingerprints.edits(a, b, every, every)):
+        assert (e is None) == (x == y)
+        if e is not None:
+            start, end, new = e
+            assert 0 <= start <= end <= len(x) and start <= new <= len(y)
+            assert x[:start] + y[start:new] + x[end:] == y and (end > start or new > start)
+            narrow += end - start < len(x) // 2
+    assert narrow > 200
+
+
+def slow_root(text):
+    """The root of a text's tree by loops over its words, lines and children."""
+    import re
+
+    from echoframe.llm.pieces import hash_spans
+    from echoframe.llm.text import hash_words, mix64
+
+    fp = fingerprints
+    raw = text.encode()
+    ws = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    h = [int(hash_words([raw[a:b].decode()])[0][0]) for a, b in ws]
+    salted = lambda v: int(mix64(np.array([v ^ int(fp._SALT)], dtype=np.uint64))[0])
+    cuts = {0} | {k + 1 for k, c in enumerate(raw) if c == 10 and k + 1 < len(raw)}
+    for k in range(1, len(ws)):
+        if len(ws) < 2 * fp.PHRASE or salted(h[k - 1]) % fp.PHRASE == 0:
+            cuts.add(ws[k][0])
+    run, before = 0, 0
+    for a, _ in ws:
+        run = 0 if any(before < c <= a for c in cuts) else run
+        if run and run % fp.LONGEST == 0:
+            cuts.add(a)
+        run, before = run + 1, a
+    starts = sorted(cuts)
+    leaf = [int(hash_spans(np.frombuffer(raw, np.uint8), np.array([s]), np.array([e]))[0]) for s, e in zip(starts, starts[1:] + [len(raw)])]
+
+    def fold(children):
+        total = sum(int(mix64(np.array([c], np.uint64) ^ mix64(np.array([k], np.uint64) + fp._SALT))[0]) for k, c in enumerate(children))
+        return int(mix64(np.array([(total + len(children)) % 2**64], np.uint64))[0])
+
+    paragraphs: list[list[int]] = []
+    texts = []
+    for s, v in zip(starts, leaf):
+        if s == 0 or raw[s - 1] == 10:
+            paragraphs.append([])
+            texts.append(raw[s:].split(b"\n")[0])
+        paragraphs[-1].append(v)
+    sections: list[list[int]] = []
+    fresh = True
+    for k, p in enumerate(paragraphs):
+        if fresh:
+            sections.append([])
+        sections[-1].append(fold(p))
+        fresh = texts[k] == b"" or salted(fold(p)) % fp.SECTION == 0
+    return fold([fold(s) for s in sections])
+
+
+def test_roots_equal_slow_trees():
+    rng = random.Random(9)
+    texts = ["x", " \n", "one two\n\nthree", ] + [f"{w} " * 100 for w in "word term sign note page line".split()] + ["".join(rng.choices(["alpha ", "béta ", "γ ", "delta\n", "\n", "rare%d " % k], k=rng.randint(1, 90))) for k in range(40)]
+    roots = fingerprints.Forest(*buffers(pa.array(texts))).root
+    assert [slow_root(t) for t in texts] == roots.tolist()
+
+
 def test_statistics_are_finite():
     x = statistics.document_statistics(*buffers(pa.array(TEXTS)))
     assert x.shape == (len(TEXTS), len(statistics.NAMES)) and np.isfinite(x).all()

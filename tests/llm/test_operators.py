@@ -602,12 +602,25 @@ def test_fingerprints(docs, empty):
         t, after = t or "", rows[(k + 1) % len(rows)]
         n = len(t) // 3
         assert by[i].n_chars == len(t) and by[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + (after[1] or "")[:n]).encode()).hexdigest()
+        y = t[: len(t) - n] + (after[1] or "")[:n]
+        a, b, c = (by[i][k] for k in fingerprints.EDIT)
+        assert (a is None) == (t == y) and (a is None or t[:a] + y[a:c] + t[b:] == y)
         assert by[i].near_next == pytest.approx(fingerprints.likeness_of(by[i].fingerprint, by[after[0]].fingerprint))
         assert by[i].near_edited == pytest.approx(fingerprints.likeness_of(by[i].fingerprint, by[i].edited_fingerprint))
     assert fingerprints.compare_neighbours(empty).count() == 0
     assert fingerprints.fingerprint(docs).count() == docs.count()
 
 
+def test_edits_between_tables(edges, empty):
+    after = edges.withColumn("text", F.concat(F.lit("so "), F.col("text"))).withColumn("edited", F.lit("clash"))
+    got = [tuple(r) for r in fingerprints.locate_edits(edges, after).collect()]
+    assert len(got) == edges.filter("doc_id is not null").count() + 2  # the repeated row meets both of its kind
+    at = {r[0]: r[1:] for r in got}
+    assert at[9000] == (None, None, None) and at[9001] == (0, 0, 3) and all(r[1] == 0 and r[3] == r[2] + 3 for r in got if r[1] is not None)
+    assert {r[1:] for r in (tuple(r) for r in fingerprints.locate_edits(edges.filter("doc_id != 9003"), edges).collect())} == {(None, None, None)}
+    assert fingerprints.locate_edits(edges, empty).count() == fingerprints.locate_edits(empty, edges).count() == 0
+
+
 # 9 and 10
 def test_classifiers(spark, small, edges, labels, empty):
     big = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
