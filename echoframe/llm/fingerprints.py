@@ -83,6 +83,8 @@ class Forest:
         self.section_first = np.flatnonzero(head)
         self.section = self._fold(self.paragraph, self.section_first)
         self.section_at = np.searchsorted(self.section_first, self.paragraph_at)
+        # bounds of the children of each section and paragraph, and of the bytes of each leaf
+        self.bounds = {"section": np.append(self.section_first, len(self.paragraph)), "paragraph": np.append(self.paragraph_first, len(self.leaf)), "leaf": np.append(self.starts, len(data))}
         first = self.section_at[:-1][np.diff(self.section_at) > 0]
         self.root = np.full(docs, U64(0))
         self.root[np.diff(self.section_at) > 0] = self._fold(self.section, first)
@@ -130,22 +132,17 @@ def likeness(a: Forest, b: Forest, rows_a: np.ndarray, rows_b: np.ndarray) -> np
 def _shared_leaves(a: Forest, i: int, b: Forest, j: int, back: bool) -> int:
     """Leaves that text i of a and text j of b share at the front (or back), by descent into the first (last) children that differ."""
     at = [(a.section_at[i], a.section_at[i + 1]), (b.section_at[j], b.section_at[j + 1])]
-    for level, first in (("section", "section_first"), ("paragraph", "paragraph_first"), ("leaf", None)):
+    for level in ("section", "paragraph", "leaf"):
         x, y = (getattr(t, level)[lo:hi][:: -1 if back else 1] for t, (lo, hi) in zip((a, b), at))
         n = min(len(x), len(y))
-        other = np.flatnonzero(x[:n] != y[:n])
-        k = int(other[0]) if len(other) else n
-        child = [hi - k - 1 if back else lo + k for lo, hi in at]
+        other = (x[:n] != y[:n]).argmax() if n else 0
+        k = int(other) if n and x[other] != y[other] else n
         edge = at[0][1] - k if back else at[0][0] + k
-        if first is None:
+        if k == n or level == "leaf":  # one of them has no more children, or leaves differ
+            for below in ("section", "paragraph")[("section", "paragraph", "leaf").index(level) :]:
+                edge = a.bounds[below][edge]
             break
-        bounds = [np.append(getattr(t, first), len(t.paragraph if level == "section" else t.leaf)) for t in (a, b)]
-        if k == n:  # one of them has no more children
-            edge = bounds[0][edge]
-            if level == "section":
-                edge = np.append(a.paragraph_first, len(a.leaf))[edge]
-            break
-        at = [(c[m], c[m + 1]) for c, m in zip(bounds, child)]
+        at = [(t.bounds[level][m], t.bounds[level][m + 1]) for t, m in zip((a, b), (hi - k - 1 if back else lo + k for lo, hi in at))]
     return int(a.leaf_at[i + 1] - edge if back else edge - a.leaf_at[i])
 
 
@@ -168,7 +165,7 @@ def edits(a: Forest, b: Forest, rows_a: np.ndarray, rows_b: np.ndarray) -> list[
         back = min(_shared_leaves(a, i, b, j, True), min(n) - front)
         ends, start = [], 0
         for t, r, size in ((a, i, n[0]), (b, j, n[1])):
-            where = np.append(t.starts, len(t.data))
+            where = t.bounds["leaf"]
             lo, mid, hi = t.offsets[r], where[t.leaf_at[r] + front], where[t.leaf_at[r] + size - back]
             start = _characters(t.data[lo:mid])
             ends.append(start + _characters(t.data[mid:hi]))
