@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_model, mixing, near_duplicates, personal_data, quality, token_counts, token_files, toxicity
+from . import decontaminate, fingerprints, importance, language_model, mixing, near_duplicates, periodic_runs, personal_data, piece_codec, quality, token_counts, token_files, toxicity
 from .shared import table
 
 
@@ -56,8 +56,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 4, 2), 4, 2)
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    coded = piece_codec.encode_and_decode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), piece_codec.digest_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy score and rank of every document in a draw of 5 % towards the benchmark's distribution."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All periodic runs of 12 words or more of every document, some with a planted one: their number, the longest one, digests."""
+    found = periodic_runs.collapse_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")), 12)
+    d = found.withColumn("top", periodic_runs.longest(F.col("runs"))).withColumn("length", -F.col("top.length"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), "length", F.col("top.period").alias("period"),
+        F.expr("length * 1000 div top.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_model, op2_mixing, op3_token_counts, op4_personal_data, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_fingerprints, op9_quality_classifier, op10_toxicity)
+    f.__name__: f for f in (op1_language_model, op2_mixing, op3_token_counts, op4_personal_data, op5_token_output, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_fingerprints, op9_quality_classifier, op10_toxicity, op11_piece_codec, op12_importance_resampling, op13_periodic_runs)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
