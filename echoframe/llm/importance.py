@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import forget, pieces, written
+from .shared import WRITING, forget, pieces, settings, written
 from .text import ALNUM, LOWER, buffers, words
 
 BUCKETS, RUN = 10_000, 3
@@ -162,8 +162,10 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total[filled])], ["bucket", "n"])
 
     out = np.zeros(buckets, dtype=np.int64)
-    for bucket, n in matrix.select("pointers", "gaps", "counts").mapInArrow(add, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
+    sums = matrix.select("pointers", "gaps", "counts").mapInArrow(add, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n"))
+    with settings(matrix.sparkSession, WRITING):  # a block is about a megabyte: few to a batch
+        for bucket, n in sums.collect():
+            out[bucket] = n
     return out
 
 
