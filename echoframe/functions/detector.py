@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from .spectra import FLOOR, band_pass, hop, magnitudes, to_db, window
-from .tracks import Kalman, centroid, clock, decayed, kalman_track, kernel_mask, line_fit, quad_peak, sample_at, smooth, turn, up_sample
+from .tracks import Kalman, centroid, clock, decayed, kalman_track, kernel_mask, line_fit, quad_peak, smooth, turn, up_sample, value_at
 
 FEATURES = (
     "starting_time", "duration", "freq_max_amp", "freq_max", "freq_min", "bandwidth", "freq_start", "freq_center", "freq_end", "freq_knee", "fc", "freq_bw_knee_fc", "bin_max_amp",
@@ -52,20 +54,93 @@ def snr(x: np.ndarray, noise: np.ndarray) -> float:
     return float(to_db(x[above].sum() / max(noise[above].sum(), FLOOR)))
 
 
+def snrs(x: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """snr() of rows."""
+    above = x > noise
+    return to_db(np.where(above, x, 0).sum(axis=1) / np.maximum(np.where(above, noise, 0).sum(axis=1), FLOOR))
+
+
 class NoiseFloor:
     """Moving mean of spectra: growing until `length` of them are held, then over the last `length`."""
 
     def __init__(self, first: np.ndarray, length: int):
-        self.mean, self.length, self.ring, self.at = first.copy(), length, [], 0
+        self.mean, self.length, self.ring = first.copy(), length, deque(maxlen=length)
 
     def add(self, x: np.ndarray) -> None:
-        if len(self.ring) < self.length:
-            self.ring.append(x)
-            self.mean = self.mean + (x - self.mean) / len(self.ring)
+        self.mean = self.mean + ((x - self.mean) / (len(self.ring) + 1) if len(self.ring) < self.length else (x - self.ring[0]) / self.length)
+        self.ring.append(x)
+
+    def after(self, x: np.ndarray) -> np.ndarray:
+        """The means after each of the rows of x, as if each was added; the ring must be full."""
+        old = np.concatenate([np.stack(list(self.ring)[: len(x)]), x])[: len(x)]
+        return self.mean + np.cumsum((x - old) / self.length, axis=0)
+
+    def add_all(self, x: np.ndarray, mean: np.ndarray) -> None:
+        """Rows whose last mean is known."""
+        self.ring.extend(x)
+        self.mean = mean
+
+
+class Trigger:
+    """The state of the trigger from frame to frame: noise floor (frozen while open), decaying maximum, open or closed."""
+
+    def __init__(self, first: np.ndarray, length: int, threshold: int, edg: float, frame_ms: float, longest_ms: float):
+        self.floor, self.noise = NoiseFloor(first, length), first
+        self.threshold, self.edg, self.frame_ms, self.longest_ms = threshold, edg, frame_ms, longest_ms
+        self.open, self.held, self.best, self.place, self.ceiling = False, 0.0, -120.0, 0, -np.inf
+
+    def step(self, at: int, x: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """Takes the next frame; (place of the maximum, noise floor) where the trigger closes."""
+        if not self.open or self.held > self.longest_ms:
+            self.floor.add(x)
+        found = self._level(at, snr(x, self.noise))
+        self.noise = self.floor.mean
+        return found
+
+    def _level(self, at: int, level: float) -> tuple[int, np.ndarray] | None:
+        self.ceiling = level if self.ceiling == -np.inf else decayed(level, self.ceiling, self.edg)
+        self.open = self.open or (level >= self.threshold and level >= self.ceiling)
+        if not self.open:
+            return None
+        self.held += self.frame_ms
+        if level > self.best:
+            self.place, self.best = at, level
+        if level >= self.threshold:
+            return None
+        self.open, self.held, self.best = False, 0.0, -120.0
+        return self.place, self.noise
+
+    def quiet(self, x: np.ndarray) -> int:
+        """Takes those of the first rows of x that leave a closed trigger with a full ring closed; how many they are."""
+        if self.open or len(self.floor.ring) < self.floor.length:
+            return 0
+        means = self.floor.after(x)
+        levels = snrs(x, np.concatenate([self.noise[None, :], means[:-1]])).tolist()
+        taken = 0
+        for level in levels:
+            if level >= self.threshold:  # it may open here
+                break
+            self.ceiling = level if self.ceiling == -np.inf else decayed(level, self.ceiling, self.edg)
+            taken += 1
+        if taken:
+            self.floor.add_all(x[:taken], means[taken - 1])
+            self.noise = self.floor.mean
+        return taken
+
+
+def triggered(spectra: np.ndarray, places: np.ndarray, trigger: Trigger) -> list[tuple[int, np.ndarray]]:
+    """(place, noise floor) where the trigger closes; quiet stretches are taken in blocks that grow while it stays closed."""
+    peaks, k, block = [], 0, 8
+    while k < len(spectra):
+        taken = trigger.quiet(spectra[k : k + min(block, trigger.floor.length)])
+        if taken:
+            block = min(2 * block, 1024)
         else:
-            self.mean = self.mean - self.ring[self.at] / self.length + x / self.length
-            self.ring[self.at] = x
-            self.at = (self.at + 1) % self.length
+            found, taken, block = trigger.step(int(places[k]), spectra[k]), 1, 8
+            if found:
+                peaks.append(found)
+        k += taken
+    return peaks
 
 
 def find_peaks(samples: np.ndarray, sample_rate: int, s: Settings) -> list[tuple[int, np.ndarray]]:
@@ -92,26 +167,8 @@ def find_peaks(samples: np.ndarray, sample_rate: int, s: Settings) -> list[tuple
     resolution = sample_rate / size
     threshold = int(s.threshold)
     spectra = band_pass(magnitudes(samples, np.concatenate([[first], seeks]), size, window("blackman7", size), s.compat), int(s.LPF), int(s.HPF), resolution)
-    floor = NoiseFloor(spectra[0], length)
-    before, noise = spectra[0], spectra[0]
-    open_, held, best, place, ceiling, peaks = False, 0.0, -120.0, 0, -np.inf, []
-    for seek, now in zip(seeks.tolist(), spectra[1:]):
-        x = (now + before) / 2
-        before = now
-        if not open_ or held > s.duration_thr:
-            floor.add(x)
-        level = snr(x, noise)
-        ceiling = level if ceiling == -np.inf else decayed(level, ceiling, s.EDG)
-        open_ = open_ or (level >= threshold and level >= ceiling)
-        if open_:
-            held += 1000 * step / sample_rate
-            if level > best:
-                place, best = max(seek - step, 0), level
-            if level < threshold:
-                peaks.append((place, noise))
-                open_, held, best = False, 0.0, -120.0
-        noise = floor.mean
-    return peaks
+    trigger = Trigger(spectra[0], length, threshold, s.EDG, 1000 * step / sample_rate, s.duration_thr)
+    return triggered((spectra[1:] + spectra[:-1]) / 2, np.maximum(seeks - step, 0), trigger)
 
 
 @dataclass
@@ -124,9 +181,9 @@ class Event:
     signal: float = 0.0
     amp_peak: float = 0.0
     spectrum: np.ndarray | None = None
-    amp: list[float] = field(default_factory=list)
-    freq: list[float] = field(default_factory=list)
-    harmonic: list[float] = field(default_factory=list)
+    amp: deque = field(default_factory=deque)
+    freq: deque = field(default_factory=deque)
+    harmonic: deque = field(default_factory=deque)
 
     @property
     def frames(self) -> int:
@@ -145,68 +202,71 @@ class Frame:
 
 
 class Grower:
-    """Follows one peak forwards and backwards."""
+    """Follows peaks forwards and backwards; frames are analysed ahead, AHEAD of them at a time."""
+
+    AHEAD = 16
 
-    def __init__(self, samples: np.ndarray, sample_rate: int, s: Settings, noise: np.ndarray):
+    def __init__(self, samples: np.ndarray, sample_rate: int, s: Settings):
         self.samples, self.s = samples, s
         self.step = hop(s.FFT_size, s.FFT_overlap)
-        self.noise = smooth(noise)
         self.window = window("blackman7", s.FFT_size)
         # the reference divides integers here
         self.resolution = sample_rate // s.FFT_size if s.compat == "reference" else sample_rate / s.FFT_size
 
-    def frame(self, seek: int) -> Frame:
-        x = magnitudes(self.samples, np.array([seek]), self.s.FFT_size, self.window, self.s.compat)
-        x = smooth(band_pass(x, int(self.s.LPF), int(self.s.HPF), self.resolution)[0])
-        above = x > self.noise
-        signal, noise = float(x[above].sum()), float(self.noise[above].sum())
-        x = np.maximum(x - self.noise, 0)
-        peak = int(x.argmax())
-        mask = kernel_mask(peak, x, self.s.compat)
-        middle = centroid(mask)
-        return Frame(signal, noise, float(mask.sum()), middle, float(x[peak]), float(x[min(int(np.floor(2 * middle + 0.5)), len(x) - 1)]), mask)
+    def frames(self, seeks: range) -> Iterator[tuple[int, Frame]]:
+        """The positions and their analysed frames, one after the other."""
+        for a in range(0, len(seeks), self.AHEAD):
+            some = seeks[a : a + self.AHEAD]
+            x = magnitudes(self.samples, np.array(some), self.s.FFT_size, self.window, self.s.compat)
+            x = smooth(band_pass(x, int(self.s.LPF), int(self.s.HPF), self.resolution))
+            above = x > self.noise
+            signal, noise = np.where(above, x, 0).sum(axis=1), np.where(above, self.noise, 0).sum(axis=1)
+            x = np.maximum(x - self.noise, 0)
+            for k, (seek, peak) in enumerate(zip(some, x.argmax(axis=1).tolist())):
+                mask = kernel_mask(peak, x[k], self.s.compat)
+                middle = centroid(mask)
+                yield seek, Frame(float(signal[k]), float(noise[k]), float(mask.sum()), middle, float(x[k, peak]), float(x[k, min(int(np.floor(2 * middle + 0.5)), x.shape[1] - 1)]), mask)
 
     def keep(self, event: Event, f: Frame, front: bool) -> None:
-        at = 0 if front else event.frames
-        event.amp.insert(at, f.amp)
-        event.freq.insert(at, f.centroid)
-        event.harmonic.insert(at, f.harmonic)
+        for track, value in ((event.amp, f.amp), (event.freq, f.centroid), (event.harmonic, f.harmonic)):
+            track.appendleft(value) if front else track.append(value)
         event.signal, event.noise, event.amp_peak = event.signal + f.signal, event.noise + f.noise, max(event.amp_peak, f.energy)
         event.spectrum = f.mask.copy() if event.spectrum is None else event.spectrum + f.mask
 
-    def over(self, event: Event, f: Frame, track: list[float], recent: list[float], kalman: Kalman, drop: float) -> bool:
+    def over(self, event: Event, f: Frame, track: deque, recent: deque, kalman: Kalman, drop: float) -> bool:
         """Whether a frame is no longer part of the event."""
         track.append(kalman.next(f.centroid))
         recent.append(float(to_db(f.signal / max(f.noise, FLOOR))))
         fall = float(to_db(event.amp_peak) - to_db(f.energy))
-        return fall > drop or turn(track) > self.s.angle_thr or np.mean(recent[-RECENT:]) < self.s.SNR_thr
+        return fall > drop or turn(list(track)) > self.s.angle_thr or sum(recent) / len(recent) < self.s.SNR_thr
 
-    def grow(self, peak: int) -> Event:
-        """Where a scan runs into the end of the recording the event ends with its last frame (or the last sample); at the beginning it starts with its first frame."""
+    def grow(self, peak: int, noise: np.ndarray) -> Event:
+        """The event around a peak over this noise floor.
+
+        Where a scan runs into the end of the recording the event ends with its last frame
+        (or the last sample); at the beginning it starts with its first frame.
+        """
         event, s, step, n = Event(), self.s, self.step, len(self.samples)
-        first = f = self.frame(peak)
+        self.noise = smooth(noise)
+        _, first = _, f = next(self.frames(range(peak, peak + 1)))
         self.keep(event, f, False)
-        kalman, track, recent = Kalman(s.KPE, s.KME, f.centroid), [], []
-        seek, event.end = peak + step, min(peak + step - 1, n - 1)
-        for k in range(max((n - seek) // step, 0)):
-            f = self.frame(seek)
-            seek += step
+        kalman, track, recent = Kalman(s.KPE, s.KME, f.centroid), deque(maxlen=3), deque(maxlen=RECENT)
+        event.end = min(peak + step - 1, n - 1)
+        for k, (seek, f) in enumerate(self.frames(range(peak + step, n - step + 1, step))):
             if self.over(event, f, track, recent, kalman, s.end_thr) and k > 1:
-                event.end = seek - step - 1
+                event.end = seek - 1
                 break
             self.keep(event, f, False)
-            event.end = min(seek - 1, n - 1)
+            event.end = min(seek + step - 1, n - 1)
         # the reference restarts from the last frame that it looked at
-        kalman, track, recent = Kalman(s.KPE, s.KME, f.centroid if s.compat == "reference" else first.centroid), [], []
-        event.start, seek = peak, peak - step
-        while seek >= 0:
-            f = self.frame(seek)
-            seek -= step
+        kalman, track, recent = Kalman(s.KPE, s.KME, f.centroid if s.compat == "reference" else first.centroid), deque(maxlen=3), deque(maxlen=RECENT)
+        event.start = peak
+        for seek, f in self.frames(range(peak - step, -1, -step)):
             if self.over(event, f, track, recent, kalman, s.start_thr):
-                event.start = seek + 2 * step
+                event.start = seek + step
                 break
             self.keep(event, f, True)
-            event.start = seek + step
+            event.start = seek
         return event
 
 
@@ -219,10 +279,11 @@ def detect(samples: np.ndarray, sample_rate: int, s: Settings) -> list[Event]:
     step_ms = 1000 * s.FFT_size * (1 - s.FFT_overlap) / sample_rate
     events: list[Event] = []
     end = frames = 0
+    grower = Grower(samples, sample_rate, s)
     for place, noise in find_peaks(samples, sample_rate, s):
         if place < end:
             continue
-        event = Grower(samples, sample_rate, s, noise).grow(place)
+        event = grower.grow(place, noise)
         if not s.min_dur <= step_ms * event.frames <= s.max_dur:
             continue
         if event.start < end and event.frames > frames and events:
@@ -255,8 +316,8 @@ def extract(e: Event, sample_rate: int, s: Settings) -> dict:
         starting_time=clock(e.start / sample_rate), duration=duration, freq_max_amp=freq[loud], freq_max=freq[high], freq_min=freq[low], bandwidth=width,
         freq_start=freq[0], freq_center=freq[n // 2], freq_end=freq[-1], freq_knee=freq[knee], fc=freq[flat], freq_bw_knee_fc=freq[knee] - freq[flat],
         bin_max_amp=quad_peak(spectrum, int(spectrum.argmax())) * sample_rate / 1024, pc_freq_max_amp=percent(loud), pc_freq_max=percent(high), pc_freq_min=percent(low), pc_knee=percent(knee),
-        temp_bw_knee_fc=(knee - flat) * per_frame, slope=width / duration, kalman_slope=(sample_at(fit, 0) - sample_at(fit, 1)) / duration,
-        curve_neg=np.maximum(rest, 0).sum(), curve_pos_start=below[: n // 2].sum(), curve_pos_end=below[n // 2 :].sum(), mid_offset=sample_at(fit, 0.5) - sample_at(freq, 0.5),
+        temp_bw_knee_fc=(knee - flat) * per_frame, slope=width / duration, kalman_slope=(value_at(fit, 0) - value_at(fit, 1)) / duration,
+        curve_neg=np.maximum(rest, 0).sum(), curve_pos_start=below[: n // 2].sum(), curve_pos_end=below[n // 2 :].sum(), mid_offset=value_at(fit, 0.5) - value_at(freq, 0.5),
         snr=to_db(e.signal / max(e.noise, FLOOR)), hd=to_db(harmonic.sum() / max(amp.sum(), FLOOR)), smoothness=np.abs(np.diff(freq, 2)).sum() if n > 2 else 0.0,
     )
     values = {k: v if isinstance(v, str) else float(v) for k, v in values.items()}

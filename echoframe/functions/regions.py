@@ -186,10 +186,10 @@ def gini(x: np.ndarray) -> float:
     return float(1 - ((x / total) ** 2).sum()) if total > EPSILON else 1.0
 
 
-def quantile_bins(x: np.ndarray, shares=(0.025, 0.25, 0.5, 0.75, 0.975)) -> list[int]:
-    """First bins where the running sum reaches each share."""
-    run = np.cumsum(x)
-    return [int(np.argmax(run >= q * run[-1])) for q in shares]
+def quantile_bins(x: np.ndarray, shares=(0.025, 0.25, 0.5, 0.75, 0.975)) -> np.ndarray:
+    """First bins where the running sum reaches each share, of a spectrum or of the rows of many."""
+    run = np.cumsum(x, axis=-1)
+    return np.stack([np.argmax(run >= q * run[..., -1:], axis=-1) for q in shares], axis=-1)
 
 
 def features(segment: np.ndarray, sample_rate: int, size: int, compat: str = "reference", low: int = 0) -> dict[str, float]:
@@ -229,7 +229,7 @@ def features(segment: np.ndarray, sample_rate: int, size: int, compat: str = "re
             out[f"{name}_{k}"] = float(v)
         out[f"{name}_gini"] = gini(x)
     out["q"] = out["freq_centroid"] / max(out["freq_bandwith"] / scale, 1.0)
-    bins = [b * scale for b in quantile_bins(power)]
+    bins = [float(b * scale) for b in quantile_bins(power)]
     out |= dict(zip(("quant_2.5", "quant_25", "quant_50", "quant_75", "quant_97.5"), bins))
     out |= {"freq_bw_95_ci": bins[4] - bins[0], "freq_bw_75_ci": bins[3] - bins[1]}
     if compat == "textbook":

@@ -39,11 +39,17 @@ def to_db_ref(x, ref: float = 1.0):
 
 
 def frames_at(samples: np.ndarray, seeks: np.ndarray, size: int) -> np.ndarray:
-    """Rows of `size` samples from each position; zeros outside the signal."""
-    samples = np.asarray(samples, dtype=np.float64)
-    padded = np.concatenate([np.zeros(size), samples, np.zeros(size)])
-    start = np.clip(np.asarray(seeks) + size, 0, len(samples) + size)
-    return padded[start[:, None] + np.arange(size)[None, :]]
+    """Rows of `size` samples from each position; zeros outside the signal. Only the samples asked for are touched."""
+    samples, seeks, n = np.asarray(samples), np.asarray(seeks), len(samples)
+    out = np.zeros((len(seeks), size))
+    inside = (seeks >= 0) & (seeks + size <= n)
+    if inside.any():
+        out[inside] = np.lib.stride_tricks.sliding_window_view(samples, size)[seeks[inside]]
+    for k in np.flatnonzero(~inside):  # at the two ends
+        a, b = max(int(seeks[k]), 0), min(int(seeks[k]) + size, n)
+        if a < b:
+            out[k, a - seeks[k] : b - seeks[k]] = samples[a:b]
+    return out
 
 
 def magnitudes(samples: np.ndarray, seeks: np.ndarray, size: int, win: np.ndarray, compat: str = "reference") -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # Binomial kernel of order 12, times 4096.
@@ -9,13 +11,19 @@ KERNEL = np.array([1, 12, 66, 220, 495, 792, 924, 792, 495, 220, 66, 12, 1]) / 4
 
 
 def smooth(x: np.ndarray, gain: float = 0.25) -> np.ndarray:
-    """One-pole smoothing, backward, then forward."""
-    y = x.tolist()
-    for k in range(len(y) - 2, -1, -1):
-        y[k] = (1 - gain) * y[k] + gain * y[k + 1]
-    for k in range(1, len(y)):
-        y[k] = (1 - gain) * y[k] + gain * y[k - 1]
-    return np.array(y)
+    """One-pole smoothing, backward, then forward, of a spectrum or of the rows of many."""
+    return np.asarray(x, dtype=float) @ _smoothing(np.shape(x)[-1], gain)
+
+
+@lru_cache(maxsize=32)
+def _smoothing(n: int, gain: float) -> np.ndarray:
+    """The weights of smooth(): it is linear, so its rows are the smoothed unit vectors."""
+    out = np.eye(n)
+    for k in range(n - 2, -1, -1):
+        out[:, k] = (1 - gain) * out[:, k] + gain * out[:, k + 1]
+    for k in range(1, n):
+        out[:, k] = (1 - gain) * out[:, k] + gain * out[:, k - 1]
+    return out
 
 
 def kernel_mask(peak: int, x: np.ndarray, compat: str = "reference") -> np.ndarray:
@@ -49,8 +57,9 @@ class Kalman:
 
 def kalman_track(values, q: float, r: float) -> np.ndarray:
     """Filtered values; the first is the seed and starts without error."""
-    k = Kalman(q, r, float(values[0]), 0.0)
-    return np.array([k.state, *(k.next(float(v)) for v in values[1:])])
+    values = [float(v) for v in values]
+    k = Kalman(q, r, values[0], 0.0)
+    return np.array([k.state, *(k.next(v) for v in values[1:])])
 
 
 def turn(track: list[float]) -> float:
@@ -99,14 +108,15 @@ def interpolation(size: int, shares) -> np.ndarray:
     return out
 
 
-def sample_at(x: np.ndarray, share: float) -> float:
+def value_at(x: np.ndarray, share: float) -> float:
     """A track's value at a share of its length."""
     return float((interpolation(len(x), [share]) @ x)[0])
 
 
 def up_sample(x: np.ndarray, size: int) -> np.ndarray:
-    """A track stretched to `size` values."""
-    return interpolation(len(x), np.arange(size) / (size - 1)) @ np.asarray(x, dtype=float)
+    """A track (or the rows of many) stretched to `size` values."""
+    x = np.asarray(x, dtype=float)
+    return x @ interpolation(x.shape[-1], np.arange(size) / (size - 1)).T
 
 
 def quad_peak(x: np.ndarray, i: int) -> float:

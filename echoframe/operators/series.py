@@ -1,4 +1,4 @@
-"""The detectors' own kernels over array columns, for series of any length: one Arrow pass, linear in the series."""
+"""The detectors' own kernels over columns of frames: array operations on all frames of an Arrow batch that are equally long."""
 
 from __future__ import annotations
 
@@ -8,33 +8,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions import detector, regions, tracks
+from ..functions import detector, tracks
 
 
-def over_arrays(df: DataFrame, key: str, column: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, column): kernel over each array; null arrays stay null, empty ones empty."""
+def over_frames(df: DataFrame, key: str, column: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, column): kernel over the rows of a matrix of frames; null arrays stay null, empty ones empty."""
     def run(batches):
         for batch in batches:
-            out = []
-            for x in batch.column(column):
-                values = None if not x.is_valid else np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=float)
-                out.append(values if values is None or not len(values) else np.asarray(kernel(values), dtype=float))
+            frames = batch.column(column)
+            at, flat, null = frames.offsets.to_numpy(), frames.flatten().to_numpy(zero_copy_only=False), ~frames.is_valid().to_numpy(zero_copy_only=False)
+            size, start = np.where(null, 0, np.diff(at)), at[:-1] - at[0]
+            out: list = [None if gone else np.zeros(0) for gone in null]
+            for n in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == n)
+                for k, values in zip(rows.tolist(), np.asarray(kernel(flat[start[rows][:, None] + np.arange(n)].astype(float)), dtype=float)):
+                    out[k] = values
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64()))], [key, column])
 
     return df.select(key, column).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {column} array<double>")
 
 
-def background_subtract(x: np.ndarray, factor: float) -> np.ndarray:
-    """A row of the picture operator of that name."""
-    return regions.background_subtract(x[None, :], factor)[0]
-
-
-def post_mask(x: np.ndarray, edg: float) -> np.ndarray:
-    """A row of the picture operator of that name."""
-    return regions.post_mask(x[None, :], edg)[0]
-
-
-decaying_maximum, kalman, smooth, up_sample = tracks.decaying_maximum, tracks.kalman_track, tracks.smooth, tracks.up_sample
+smooth, up_sample = tracks.smooth, tracks.up_sample
 
 
 def track_event(freq: list[float], amp: list[float], harmonic: list[float], start: int, end: int, signal: float, noise: float, spectrum: np.ndarray) -> detector.Event:

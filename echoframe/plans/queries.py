@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import columns as C
 from ..operators import events as E
 from ..operators import frames as R
+from ..operators import scans as N
 from ..operators import series as K
 from ..functions import detector, regions
 from ..sources import recordings as S
@@ -64,6 +65,12 @@ def tracks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(packed.alias("s")).select("user_id", F.col("s.x").alias("x"))
 
 
+def scanned(spark, sf_dir, recurrence: N.Recurrence, name: str) -> DataFrame:
+    """(user_id, i, name): a recurrence over each user's series."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("x"))
+    return N.scan(e, ["user_id"], ["ts", "event_id"], "x", recurrence).select("user_id", "i", rounded(F.col("x")).alias(name))
+
+
 def spread(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     """One row an element."""
     return df.select(key, F.posexplode(column).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), rounded(F.col("v")).alias(name))
@@ -130,7 +137,7 @@ _QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
 SELECT vec_id, {', '.join(f"(min(i) FILTER (c >= {q} * t))::BIGINT AS q{k}" for k, q in enumerate(_QUANTILES))},
 (min(i) FILTER (c >= 0.975 * t) - min(i) FILTER (c >= 0.025 * t))::BIGINT AS ci_95, (min(i) FILTER (c >= 0.75 * t) - min(i) FILTER (c >= 0.25 * t))::BIGINT AS ci_75 FROM r GROUP BY vec_id""")
 def spectral_quantiles(spark, sf_dir):
-    q = K.over_arrays(spectra(spark, sf_dir), "vec_id", "x", lambda x: regions.quantile_bins(x, _QUANTILES))
+    q = K.over_frames(spectra(spark, sf_dir), "vec_id", "x", lambda x: regions.quantile_bins(x, _QUANTILES))
     q = q.select("vec_id", *[F.get("x", F.lit(k)).cast("long").alias(f"q{k}") for k in range(5)])
     return q.withColumn("ci_95", F.col("q4") - F.col("q0")).withColumn("ci_75", F.col("q3") - F.col("q1"))
 
@@ -175,29 +182,29 @@ SELECT s.user_id, s.i, s.x, {step} FROM r JOIN s ON s.user_id = r.user_id AND s.
 
 @query(_fold("0.0::DOUBLE AS m, x AS y", f"r.m + (s.x - {1 / 3!r}::DOUBLE * r.m - r.m) / s.i, greatest(s.x - {1 / 3!r}::DOUBLE * r.m, 0)", "y", "x"))
 def background_subtract(spark, sf_dir):
-    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.background_subtract(x, 1 / 3)), "user_id", "x", "x")
+    return scanned(spark, sf_dir, N.background_subtract(1 / 3), "x")
 
 
 @query(_fold("greatest(x, (1 - 0.9) * x) AS t", "greatest(s.x, 0.9 * r.t + (1 - 0.9) * s.x)", "CASE WHEN 2 * x < t THEN 0 ELSE x END", "x"))
 def post_mask(spark, sf_dir):
-    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.post_mask(x, 0.9)), "user_id", "x", "x")
+    return scanned(spark, sf_dir, N.post_mask(0.9), "x")
 
 
 @query(_fold("x AS f", "greatest(s.x, 0.996 * r.f + (1 - 0.996) * s.x)", "f", "level"))
 def edg_mask(spark, sf_dir):
-    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.decaying_maximum(x, 0.996)), "user_id", "x", "level")
+    return scanned(spark, sf_dir, N.decaying_maximum(0.996), "level")
 
 
 @query(_fold("0.0::DOUBLE AS p, x AS y", "(1 - (r.p + 1e-5) / (r.p + 1e-5 + 1e-5)) * (r.p + 1e-5), r.y + (r.p + 1e-5) / (r.p + 1e-5 + 1e-5) * (s.x - r.y)", "y", "state"))
 def kalman(spark, sf_dir):
-    return spread(K.over_arrays(tracks(spark, sf_dir), "user_id", "x", lambda x: K.kalman(x, 1e-5, 1e-5)), "user_id", "x", "state")
+    return scanned(spark, sf_dir, N.kalman(1e-5, 1e-5), "state")
 
 
 @query(f"""WITH RECURSIVE {_P}, b AS (SELECT vec_id, i, n, x AS y FROM p WHERE i = n - 1 UNION ALL SELECT p.vec_id, p.i, p.n, 0.75 * p.x + 0.25 * b.y FROM b JOIN p ON p.vec_id = b.vec_id AND p.i = b.i - 1),
 f AS (SELECT vec_id, i, y FROM b WHERE i = 0 UNION ALL SELECT b.vec_id, b.i, 0.75 * b.y + 0.25 * f.y FROM f JOIN b ON b.vec_id = f.vec_id AND b.i = f.i + 1)
 SELECT vec_id, i::BIGINT AS i, round(y, 6) + 0.0 AS x FROM f""")
 def smooth_spectrum(spark, sf_dir):
-    return spread(K.over_arrays(spectra(spark, sf_dir), "vec_id", "x", lambda x: K.smooth(x, 0.25)), "vec_id", "x", "x")
+    return spread(K.over_frames(spectra(spark, sf_dir), "vec_id", "x", lambda x: K.smooth(x, 0.25)), "vec_id", "x", "x")
 
 
 @query(f"WITH {_S} SELECT user_id, i::BIGINT AS i, round((x + coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY i), x)) / 2, 6) + 0.0 AS x FROM s")
@@ -336,7 +343,7 @@ SELECT q.vec_id, q.k::BIGINT AS i, round(CASE WHEN q.i > 0 AND q.i < q.n - 2 THE
 ELSE coalesce(b.x + f * (c.x - b.x), b.x) END, 6) + 0.0 AS x FROM q LEFT JOIN p a ON a.vec_id = q.vec_id AND a.i = q.i - 1 LEFT JOIN p b ON b.vec_id = q.vec_id AND b.i = q.i
 LEFT JOIN p c ON c.vec_id = q.vec_id AND c.i = q.i + 1 LEFT JOIN p d ON d.vec_id = q.vec_id AND d.i = q.i + 2""")
 def upsample_cubic(spark, sf_dir):
-    return spread(K.over_arrays(spectra(spark, sf_dir), "vec_id", "x", lambda x: K.up_sample(x, 128)), "vec_id", "x", "x")
+    return spread(K.over_frames(spectra(spark, sf_dir), "vec_id", "x", lambda x: K.up_sample(x, 128)), "vec_id", "x", "x")
 
 
 @query("""SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS starting_time

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from .wav import chunks
+import io
+import struct
+from typing import BinaryIO
 
 # Keys with numbers.
 DOUBLES = ("Filter HP", "Filter LP", "Humidity", "Length", "Loc Elevation", "Temperature Ext", "Temperature Int")
 INTS = ("Loc Accuracy", "Samplerate", "TE")
 
 
-def guano_text(raw: bytes) -> str | None:
-    """The text of the guan chunk; both readings of odd chunk sizes are tried."""
-    for pad in (True, False):
-        for name, at, size in chunks(raw, pad):
+def guano_text(raw: bytes | BinaryIO) -> str | None:
+    """The text of the guan chunk of a file or its bytes; both readings of odd chunk sizes are tried, and other chunks are passed over unread."""
+    f = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+    total = f.seek(0, io.SEEK_END)
+    for pad in (1, 0):
+        at = 12
+        while at + 8 <= total:
+            f.seek(at)
+            name, size = struct.unpack("<4sI", f.read(8))
             if name == b"guan":
-                return raw[at : at + size].decode("utf-8", "replace").rstrip("\0")
+                return f.read(size).decode("utf-8", "replace").rstrip("\0")
+            at += 8 + size + (size & pad)
     return None
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,21 @@ def guano_timestamp(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), None).otherwise(F.try_to_timestamp(plain))
 
 
+def segment_name(name: str, number: int, seconds: float) -> dict:
+    """filename and recorded_at of a segment that starts so many seconds into a WAC file.
+
+    A name that ends in _YYYYMMDD_HHMMSS (with or without $) gives the time: the segment's
+    own, to the millisecond, stands in its place.  Other names get the number of the segment.
+    """
+    stem = name.rpartition(".")[0].replace("$", "")
+    try:
+        when = datetime.strptime(stem[-15:], "%Y%m%d_%H%M%S") + timedelta(milliseconds=int(seconds * 1000 + 1e-6))
+    except ValueError:
+        return dict(filename=f"{stem}_{number}.wav", recorded_at=None)
+    at = f"{when:%Y%m%d_%H%M%S}_{when.microsecond // 1000:03d}"
+    return dict(filename=f"{stem[:-15]}{at}.wav", recorded_at=at)
+
+
 def decode(path: str, raw: bytes, time_exp: float = 1, start: float | None = None, stop: float | None = None, mp3=None) -> list[dict]:
     """Rows of a file; mp3 gives (rate, bit depth, left, right or None) of MP3 bytes, for which this package has no decoder."""
     name = os.path.basename(path)
@@ -51,9 +66,8 @@ def decode(path: str, raw: bytes, time_exp: float = 1, start: float | None = Non
         parts = [common | {k: w[k] for k in ("sample_rate", "bit_depth", "channels", "left", "right")} | {"guano": parse_guano(guano_text(raw))}]
     elif kind == "wac":
         w = read_wac(raw)
-        when = re.search(r"(\d{8}_\d{6})\.\w+$", name.replace("$", ""))
-        common |= dict(sample_rate=int(w["sample_rate"] * time_exp), bit_depth=16, channels=w["channels"], recorded_at=when and when[1])
-        parts = [common | dict(segment_idx=k, trigger_sample=at, left=left, right=right) for k, (at, left, right) in enumerate(w["segments"])]
+        common |= dict(sample_rate=int(w["sample_rate"] * time_exp), bit_depth=16, channels=w["channels"])
+        parts = [common | segment_name(name, k, at / (w["sample_rate"] * time_exp)) | dict(segment_idx=k, trigger_sample=at, left=left, right=right) for k, (at, left, right) in enumerate(w["segments"])]
     elif kind == "mp3":
         if mp3 is None:
             h = mp3_header(raw)

@@ -65,8 +65,8 @@ def test_kalman_gain_tends_to_the_golden_ratio():
 def test_line_and_samples():
     y = np.arange(10) * 2.0 + 1
     assert np.allclose(tracks.line_fit(y), y)
-    assert tracks.sample_at(y, 0.5) == pytest.approx(10.0)
-    assert tracks.sample_at(np.array([3.0]), 0.7) == 3.0
+    assert tracks.value_at(y, 0.5) == pytest.approx(10.0)
+    assert tracks.value_at(np.array([3.0]), 0.7) == 3.0
     assert np.allclose(tracks.up_sample(y, 19), np.arange(19) + 1)
     assert tracks.clock(3661.2345) == "01:01:01.234"
 

@@ -161,6 +161,7 @@ def test_reading_through_spark(spark, tmp_path):
     r = S.read_audio(spark, [str(tmp_path / "*.wav"), str(tmp_path / "*.wac")], time_exp=2)
     rows = sorted(r.collect(), key=lambda x: x.recording_id)
     assert [(x.format, x.segment_idx, x.n_samples) for x in rows] == [("wav", 0, 100), ("wac", 0, 256), ("wac", 1, 256)]
+    assert [x.filename for x in rows] == ["a.wav", "b_20200102_030405_002.wav", "b_20200102_030405_008.wav"]
     assert rows[0].sample_rate == 16000 and rows[0].guano["TE"] == "10"
     m = S.metadata(r.filter("format = 'wav'")).first()
     assert m.TE == 10 and m.Timestamp is not None
@@ -175,25 +176,6 @@ def test_reading_through_spark(spark, tmp_path):
         S.read_audio(spark, str(tmp_path / "a.wav"), start=2, stop=1)
 
 
-def test_data_sources(spark, tmp_path):
-    from echoframe.sources import datasource
-
-    datasource.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    rows = [(f"r{k}", f"r{k}.wav", 8000, 2, 16, list(range(k, k + 50)), [-v for v in range(50)]) for k in range(3)]
-    folder = str(tmp_path / "out")
-    for _ in range(2):  # a second run replaces the first one's files
-        spark.createDataFrame(rows, datasource.WAV_ROW).write.format("wav").mode("append").save(folder)
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["r0.wav", "r1.wav", "r2.wav"]
-    (tmp_path / "out/bad.wav").write_bytes(b"never opened")
-    read = spark.read.format("recordings").option("start", 0.001).load(f"{folder}/*.wav")
-    got = read.filter("filename = 'r1.wav'").collect()
-    assert [(r.filename, r.channels, r.left) for r in got] == [("r1.wav", 2, list(range(9, 51)))]
-    raw = zc(131, bytes([1, 2]))
-    spark.createDataFrame([("a.zc", bytearray(raw), {"SPECIES": "Nyctalus"})], datasource.ZC_ROW).write.format("zero_crossing").mode("append").save(folder)
-    assert read_zc((tmp_path / "out/a.zc").read_bytes())["metadata"]["SPECIES"] == "Nyctalus"
-
-
 def test_mp3(spark, tmp_path):
     from echoframe.sources.mp3 import mp3_header
 
