@@ -17,6 +17,7 @@ from ..operators import events as E
 from ..operators import frames as R
 from ..operators import scans as N
 from ..operators import series as K
+from ..operators import triggers as T
 from ..functions import detector, regions
 from ..sources import recordings as S
 from ..sources.guano import parse_guano
@@ -231,6 +232,23 @@ def spectrum_snr(spark, sf_dir):
     return a.join(b, "vec_id").select("vec_id", rounded(C.snr(F.col("x"), F.col("noise"))).alias("snr"))
 
 
+_TRIGGER = dict(threshold=6, window=8, edg=0.9, longest=5)
+
+
+@query(f"""WITH RECURSIVE {_S}, r AS (SELECT user_id, i, []::DOUBLE[] AS ring, x AS noise, NULL::DOUBLE AS ceiling, false AS open, 0 AS held, -120.0::DOUBLE AS best, 0::BIGINT AS begun, 0::BIGINT AS peak, false AS ends FROM s WHERE i = 0 UNION ALL
+SELECT user_id, i, ring, list_sum(ring) / len(ring), ceiling, open, held, best, begun, peak, open AND level < 6 FROM (SELECT *, CASE WHEN open AND level > known THEN i ELSE spot END AS peak, CASE WHEN open THEN greatest(level, known) ELSE known END AS best FROM (
+SELECT *, was OR (level >= 6 AND level >= ceiling) AS open, CASE WHEN was THEN since WHEN level >= 6 AND level >= ceiling THEN i ELSE 0 END AS begun, CASE WHEN was OR (level >= 6 AND level >= ceiling) THEN long + 1 ELSE 0 END AS held FROM (
+SELECT *, CASE WHEN top IS NULL THEN level ELSE greatest(level, 0.9 * top + (1 - 0.9) * level) END AS ceiling FROM (
+SELECT s.user_id, s.i, CASE WHEN r.open AND NOT r.ends AND r.held > 5 OR NOT r.open OR r.ends THEN list_append(r.ring, s.x)[-8:] ELSE r.ring END AS ring, CASE WHEN s.x > r.noise THEN 20 * log10(greatest(s.x / greatest(r.noise, 1e-6), 1e-6)) ELSE -120.0 END AS level,
+r.ceiling AS top, r.open AND NOT r.ends AS was, CASE WHEN r.ends THEN 0 ELSE r.held END AS long, CASE WHEN r.ends THEN -120.0 ELSE r.best END AS known, CASE WHEN r.ends THEN 0 ELSE r.begun END AS since, CASE WHEN r.ends THEN 0 ELSE r.peak END AS spot FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)))))
+SELECT user_id, begun::BIGINT AS start, i::BIGINT AS stop, peak::BIGINT AS peak, round(best, 6) + 0.0 AS level FROM r WHERE ends""")
+def trigger_spans(spark, sf_dir):
+    """The detector's trigger over each user's series, its noise floor frozen while open, in chunks."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("x"))
+    spans = T.trigger_spans(e, ["user_id"], ["ts", "event_id"], "x", T.Settings(**_TRIGGER))
+    return spans.withColumn("level", rounded(F.col("level")))
+
+
 _ISLANDS = f"""{_S}, a AS (SELECT user_id, i, x, x >= 60 AS loud FROM s), g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS island FROM a WHERE loud),
 v AS (SELECT user_id, min(i) AS start, max(i) AS stop, count(*) AS frames, max(x) AS peak FROM g GROUP BY user_id, island)"""
 

@@ -136,7 +136,7 @@ def test_gini_moments_quantiles():
     assert regions.gini(np.zeros(8)) == 1
     c, sd, skew, _ = regions.moments(np.array([1.0, 2, 3, 2, 1]), 1.0)
     assert c == pytest.approx(3) and skew == pytest.approx(0) and sd == pytest.approx(math.sqrt(12 / 9))
-    assert regions.quantile_bins(np.array([1.0, 1, 1, 1]), (0.25, 0.5, 1.0)) == [0, 1, 3]
+    assert regions.quantile_bins(np.array([1.0, 1, 1, 1]), (0.25, 0.5, 1.0)).tolist() == [0, 1, 3]
 
 
 def chirps(rate=250000, count=6, gap=0.1, length=0.008):
