@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import columns as C
 from ..operators import events as E
 from ..operators import frames as R
+from ..operators import pixels as P
 from ..operators import scans as N
 from ..operators import series as K
 from ..operators import triggers as T
@@ -579,6 +580,16 @@ def region_features(spark, sf_dir):
     return f.select("vec_id", *[rounded(F.col(n), 2 if n == "grad_skew" else 4).alias(n) for n in plain])
 
 
+@query(f"""WITH RECURSIVE {_P}, d AS (SELECT vec_id, i, x FROM p WHERE x >= 1.8), r AS (SELECT vec_id, i, vec_id * 65536 + i AS m FROM d UNION
+SELECT d.vec_id, d.i, r.m FROM r JOIN d ON d.vec_id BETWEEN r.vec_id - 1 AND r.vec_id + 1 AND d.i BETWEEN r.i - 1 AND r.i + 1),
+c AS (SELECT vec_id, i, min(m) AS region FROM r GROUP BY ALL)
+SELECT region::BIGINT AS region, count(*)::BIGINT AS pixels, round(sum(x), 5) + 0.0 AS total, min(vec_id)::BIGINT AS first_frame, max(vec_id)::BIGINT AS last_frame, min(i)::BIGINT AS low, max(i)::BIGINT AS high FROM c JOIN d USING (vec_id, i) GROUP BY region""")
+def pixel_regions(spark, sf_dir):
+    """Connected regions of the picture of all frames one after the other, labelled in strips of 64 frames."""
+    f = spectra(spark, sf_dir).select(F.lit("all").alias("recording_id"), F.col("vec_id").alias("frame_idx"), F.col("x").alias("mag"))
+    return P.pixel_regions(f, 1.8, 64).drop("recording_id").withColumn("total", rounded(F.col("total"), 5))
+
+
 _WAV = "SELECT 'label' || label AS recording_id, count(*)::BIGINT AS n_samples, sum(v)::BIGINT AS total FROM (SELECT label, round(UNNEST(embedding) * 1000)::INT AS v FROM embeddings) GROUP BY label"
 
 
