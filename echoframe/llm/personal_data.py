@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
@@ -106,8 +107,8 @@ class Tape:
         """Replace [a, b) by characters, each standing for [from, to) of this text; edits are in order and apart."""
         if not self.rewritten:  # most texts never are
             n, self.rewritten = len(self.text), True
-            self.start, self.end, self.new = list(range(n)), list(range(1, n + 1)), [False] * n
-        text, start, end, new, done = [], [], [], [], 0
+            self.start, self.end, self.new = array("i", range(n)), array("i", range(1, n + 1)), bytearray(n)
+        text, start, end, new, done = [], array("i"), array("i"), bytearray(), 0
         gaps = []
         for a, b, characters in [*edits, (len(self.text), len(self.text), [])]:
             text.append(self.text[done:a])
@@ -200,7 +201,12 @@ def join_letters(tape: Tape) -> None:
 def read_at_and_dot(tape: Tape) -> None:
     """Bracketed at and dot; blanks around an @; bare words where both occur in one address (name at host dot com), where the host has its dots and what stands before tells an address, and in addresses of figures."""
     figures = [m.span() for m in _IP_WORDS.finditer(tape.text)]
-    inside = lambda a: any(x < a < y for x, y in figures)
+    opened, closed = [a for a, _ in figures], [b for _, b in figures]
+
+    def inside(a: int) -> bool:
+        k = bisect_left(opened, a) - 1
+        return k >= 0 and a < closed[k]
+
     dots = [(m.start(), m.end(), ".", m[0].strip()[:1] in "([{<" or inside(m.start())) for m in _DOT.finditer(tape.text)]
     ats = [(m.start(), m.end(), "@", True) for m in _AT_BRACKETS.finditer(tape.text)]
     bare = [(m.start(), m.end(), "@", False) for p in (_AT_WORD, _AT_APART) for m in p.finditer(tape.text)]
@@ -240,13 +246,17 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     read_at_and_dot(tape)
     if not tape.rewritten:
         return []
+    # spans of a kind are in order and apart
+    known = {kind: ([a for k, a, _ in base if k == kind], [b for k, _, b in base if k == kind]) for kind in KINDS}
     out = []
     for kind, a, b in base_spans(tape.text):
         if any(tape.new[a:b]):
             x, y = tape.start[a], tape.end[b - 1]
             if kind == "email" and not re.search(r"[@(\[{<]", text[x:y]) and tape.text[a:b].rsplit(".", 1)[1].lower() not in TLDS:
                 continue  # bare words; "look at the dot on it" is no address
-            if not any(k == kind and s < y and x < e for k, s, e in base):
+            starts, ends = known[kind]
+            last = bisect_left(starts, y) - 1
+            if last < 0 or ends[last] <= x:
                 out.append((kind, x, y))
     return out
 

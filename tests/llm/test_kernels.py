@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -174,6 +175,28 @@ MIXED = [
 ]
 
 
+def test_long_texts_full_of_disguises():
+    """Every unit of a long text gives the spans that it gives alone, in time in proportion to the text."""
+    units = [
+        "write to ann{k} (at) example (dot) com and bob{k}@host.org now. ", "server 10 dot {k} dot 3 dot 4 or 10.1.2.{k} up. ", "call plus one two oh two five five five zero one 7 nine eight. ", "john{k} @ example . com or mary at mail.example.com ",
+        "card 4111 1111 1111 1111 and \uff14111 1111 1111 1111; ",
+    ]
+    seconds = []
+    for times in (400, 3200):
+        text, base, added = "", [], []
+        for k in range(times):
+            unit = units[k % len(units)].format(k=k % 250) + "\n" * 90
+            known, more = personal_data.find_personal_data(unit)
+            base += [(kind, a + len(text), b + len(text)) for kind, a, b in known]
+            added += [(kind, a + len(text), b + len(text)) for kind, a, b in more]
+            text += unit
+        began = time.process_time()
+        got = personal_data.find_personal_data(text)
+        seconds.append(time.process_time() - began)
+        assert sorted(got[0]) == sorted(base) and sorted(got[1]) == sorted(added) and len(added) >= times // 2
+    assert seconds[1] < 24 * seconds[0] + 0.5
+
+
 @pytest.mark.parametrize("text", MIXED)
 def test_mixed_disguises_pass_the_filter(text):
     plain, disguised = personal_data.suspects(*buffers(pa.array([text])))
