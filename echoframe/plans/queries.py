@@ -19,7 +19,9 @@ from ..operators import pixels as P
 from ..operators import scans as N
 from ..operators import series as K
 from ..operators import triggers as T
+from ..operators.storage import new_folder
 from ..functions import detector, regions
+from ..sources import datasource as D
 from ..sources import recordings as S
 from ..sources.guano import parse_guano
 
@@ -233,20 +235,22 @@ def spectrum_snr(spark, sf_dir):
     return a.join(b, "vec_id").select("vec_id", rounded(C.snr(F.col("x"), F.col("noise"))).alias("snr"))
 
 
+_LONG = "s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, k) - 1 AS i, abs(v) * 10 AS x FROM (SELECT label, vec_id, UNNEST(range(0, len(embedding))) AS k, UNNEST(embedding)::DOUBLE AS v FROM embeddings))"
 _TRIGGER = dict(threshold=6, window=8, edg=0.9, longest=5)
 
 
-@query(f"""WITH RECURSIVE {_S}, r AS (SELECT user_id, i, []::DOUBLE[] AS ring, x AS noise, NULL::DOUBLE AS ceiling, false AS open, 0 AS held, -120.0::DOUBLE AS best, 0::BIGINT AS begun, 0::BIGINT AS peak, false AS ends FROM s WHERE i = 0 UNION ALL
-SELECT user_id, i, ring, list_sum(ring) / len(ring), ceiling, open, held, best, begun, peak, open AND level < 6 FROM (SELECT *, CASE WHEN open AND level > known THEN i ELSE spot END AS peak, CASE WHEN open THEN greatest(level, known) ELSE known END AS best FROM (
+@query(f"""WITH RECURSIVE {_LONG}, r AS (SELECT label, i, []::DOUBLE[] AS ring, x AS noise, NULL::DOUBLE AS ceiling, false AS open, 0 AS held, -120.0::DOUBLE AS best, 0::BIGINT AS begun, 0::BIGINT AS peak, false AS ends FROM s WHERE i = 0 UNION ALL
+SELECT label, i, ring, list_sum(ring) / len(ring), ceiling, open, held, best, begun, peak, open AND level < 6 FROM (SELECT *, CASE WHEN open AND level > known THEN i ELSE spot END AS peak, CASE WHEN open THEN greatest(level, known) ELSE known END AS best FROM (
 SELECT *, was OR (level >= 6 AND level >= ceiling) AS open, CASE WHEN was THEN since WHEN level >= 6 AND level >= ceiling THEN i ELSE 0 END AS begun, CASE WHEN was OR (level >= 6 AND level >= ceiling) THEN long + 1 ELSE 0 END AS held FROM (
 SELECT *, CASE WHEN top IS NULL THEN level ELSE greatest(level, 0.9 * top + (1 - 0.9) * level) END AS ceiling FROM (
-SELECT s.user_id, s.i, CASE WHEN r.open AND NOT r.ends AND r.held > 5 OR NOT r.open OR r.ends THEN list_append(r.ring, s.x)[-8:] ELSE r.ring END AS ring, CASE WHEN s.x > r.noise THEN 20 * log10(greatest(s.x / greatest(r.noise, 1e-6), 1e-6)) ELSE -120.0 END AS level,
-r.ceiling AS top, r.open AND NOT r.ends AS was, CASE WHEN r.ends THEN 0 ELSE r.held END AS long, CASE WHEN r.ends THEN -120.0 ELSE r.best END AS known, CASE WHEN r.ends THEN 0 ELSE r.begun END AS since, CASE WHEN r.ends THEN 0 ELSE r.peak END AS spot FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)))))
-SELECT user_id, begun::BIGINT AS start, i::BIGINT AS stop, peak::BIGINT AS peak, round(best, 6) + 0.0 AS level FROM r WHERE ends""")
+SELECT s.label, s.i, CASE WHEN r.open AND NOT r.ends AND r.held > 5 OR NOT r.open OR r.ends THEN list_append(r.ring, s.x)[-8:] ELSE r.ring END AS ring, CASE WHEN s.x > r.noise THEN 20 * log10(greatest(s.x / greatest(r.noise, 1e-6), 1e-6)) ELSE -120.0 END AS level,
+r.ceiling AS top, r.open AND NOT r.ends AS was, CASE WHEN r.ends THEN 0 ELSE r.held END AS long, CASE WHEN r.ends THEN -120.0 ELSE r.best END AS known, CASE WHEN r.ends THEN 0 ELSE r.begun END AS since, CASE WHEN r.ends THEN 0 ELSE r.peak END AS spot FROM r JOIN s ON s.label = r.label AND s.i = r.i + 1)))))
+SELECT label, begun::BIGINT AS start, i::BIGINT AS stop, peak::BIGINT AS peak, round(best, 6) + 0.0 AS level FROM r WHERE ends""")
 def trigger_spans(spark, sf_dir):
-    """The detector's trigger over each user's series, its noise floor frozen while open, in chunks."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("x"))
-    spans = T.trigger_spans(e, ["user_id"], ["ts", "event_id"], "x", T.Settings(**_TRIGGER))
+    """The detector's trigger over the series of each label, its noise floor frozen while open, in chunks."""
+    x = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("k", "v"))
+    x = x.select("label", "vec_id", "k", (F.abs(F.col("v").cast("double")) * 10).alias("x"))
+    spans = T.trigger_spans(x, ["label"], ["vec_id", "k"], "x", T.Settings(**_TRIGGER))
     return spans.withColumn("level", rounded(F.col("level")))
 
 
@@ -590,6 +594,21 @@ def pixel_regions(spark, sf_dir):
     return P.pixel_regions(f, 1.8, 64).drop("recording_id").withColumn("total", rounded(F.col("total"), 5))
 
 
+@query("""WITH s AS (SELECT vec_id // 256 AS file, row_number() OVER (PARTITION BY vec_id // 256 ORDER BY vec_id, k) - 1 AS t, round(v * 1000)::INT AS v FROM (SELECT vec_id, UNNEST(range(0, len(embedding))) AS k, UNNEST(embedding) AS v FROM embeddings))
+SELECT 'f' || file || '.wav' AS filename, greatest(t // 1024 * 1024, 4000)::BIGINT AS sample_offset, count(*)::BIGINT AS n_samples, sum(v)::BIGINT AS total FROM s WHERE t >= 4000 AND t < 12000 GROUP BY ALL""")
+def wav_ranges(spark, sf_dir):
+    """A quarter to three quarters of a second of WAV files of 256 vectors each, written by the sink and read by byte ranges."""
+    D.register(spark)
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 256).alias("file"), "vec_id", "embedding")
+    left = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"])), lambda v: F.round(v * 1000).cast("int"))
+    name = F.concat(F.lit("f"), F.col("file"), F.lit(".wav"))
+    files = e.groupBy("file").agg(left.alias("left")).select(name.alias("recording_id"), name.alias("filename"), F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"), F.lit(16).alias("bit_depth"), "left", F.array().cast("array<int>").alias("right"))
+    folder = new_folder(spark, "wav")
+    files.write.format("wav").mode("append").save(folder)
+    read = spark.read.format("samples").option("start", 0.25).option("stop", 0.75).option("block", 1024).load(f"{folder}/*.wav")
+    return read.select("filename", "sample_offset", F.col("n_samples").cast("long").alias("n_samples"), F.aggregate("left", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
 _WAV = "SELECT 'label' || label AS recording_id, count(*)::BIGINT AS n_samples, sum(v)::BIGINT AS total FROM (SELECT label, round(UNNEST(embedding) * 1000)::INT AS v FROM embeddings) GROUP BY label"
 
 

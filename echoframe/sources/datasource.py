@@ -4,9 +4,8 @@
 that one long file is read by many tasks.  Both plan partitions by bytes: files are cut
 into pieces of PARTITION_BYTES at most (`samples` only) and small ones are packed together.
 `start` and `stop` (seconds) become byte ranges, so other samples are neither read nor
-planned; filters on path, filename and (of `samples`) sample_offset are pushed down where
-spark.sql.python.filterPushdown.enabled is true.  Rows come as Arrow batches.  Files of
-object stores are read with recordings.read_audio.
+planned; filters on path, filename and (of `samples`) sample_offset are pushed down.  Rows
+come as Arrow batches.  Files of object stores are read with recordings.read_audio.
 
 The sinks write a file a row into a folder beside the last place and move them when the job
 commits.  A name is that of the row with the format's extension; rows of different
@@ -303,5 +302,7 @@ class ZeroCrossingFiles(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the four formats known to the session and turns on filter pushdown for Python sources, without which Spark refuses readers that take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Recordings, Samples, WavFiles, ZeroCrossingFiles):
         spark.dataSource.register(source)

@@ -17,7 +17,6 @@ from tests.test_sources import wac, wave, zc
 @pytest.fixture(scope="module")
 def sources(spark):
     D.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
