@@ -34,7 +34,7 @@ from .text import ALNUM, U64, buffers, hash_words, words
 BLOCK_BYTES = 8 << 20
 #: Blocks that a worker keeps at once; beyond them each is loaded again when its turn comes.
 KEEP = 16
-#: Pairs of a document's place and an item's that are followed at once.
+#: Pairs of a document's place (or window) and an item's that are held at once.
 PAIRS = 1 << 20
 
 
@@ -64,9 +64,11 @@ class Windows:
         order = np.argsort(keys, kind="stable")
         self.keys, first = np.unique(keys, return_index=True)
         self.lengths = lengths[first]
-        #: items and places (in all items, one after the other) of each window
-        self.owner_at = np.append(np.searchsorted(keys[order], self.keys), len(keys))
-        self.owner, self.start = owners[order], starts[order]
+        #: places (in all items, one after the other) and items of each window
+        self.start_at = np.append(np.searchsorted(keys[order], self.keys), len(keys))
+        self.start = starts[order]
+        both = np.unique(np.searchsorted(self.keys, keys) * max(len(self.ids), 1) + owners)
+        self.owner_at, self.owner = np.searchsorted(both // max(len(self.ids), 1), np.arange(len(self.keys) + 1)), both % max(len(self.ids), 1)
         self.begin = np.array(self.begin, dtype=np.int64)
         #: every window starts with one of these runs of `lead` words
         self.lead = int(min(3, self.lengths.min())) if len(self.lengths) else 0
@@ -88,6 +90,21 @@ def _lead_number(numbers: np.ndarray) -> np.ndarray:
     return out
 
 
+def _each(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many entries each of the rows has, and all of them one after the other."""
+    n = bounds[rows + 1] - bounds[rows]
+    return n, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[rows], n)
+
+
+def _parts(sizes: np.ndarray) -> Iterator[slice]:
+    """Stretches whose sizes add up to PAIRS at most (or that are one element)."""
+    done, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(done, done[a] - sizes[a] + PAIRS, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 class Shard:
     """The words of a batch, and what of the benchmark's blocks is found in them."""
 
@@ -142,39 +159,58 @@ class Shard:
         owner_of = np.full(self.length, -1)
         owner_of[self.place] = self.doc_of
         pairs = np.unique(owner_of[at].astype(np.int64) * len(block.keys) + window)
-        for doc, k in zip((pairs // len(block.keys)).tolist(), (pairs % len(block.keys)).tolist()):
-            self.items.setdefault(doc, set()).update(block.ids[x] for x in block.owner[block.owner_at[k] : block.owner_at[k + 1]].tolist())
-        # document by document, in parts of bounded size: matches that go on side by side
+        doc, held = pairs // len(block.keys), pairs % len(block.keys)
+        for part in _parts(np.diff(block.owner_at)[held]):
+            n, x = _each(block.owner_at, held[part])
+            found = np.unique(np.repeat(doc[part], n) * len(block.ids) + block.owner[x])
+            for d, k in zip((found // len(block.ids)).tolist(), (found % len(block.ids)).tolist()):
+                self.items.setdefault(d, set()).add(block.ids[k])
         order = np.argsort(at, kind="stable")
         at, window = at[order], window[order]
-        times = np.diff(block.owner_at)[window]
-        done = np.cumsum(times)
-        doc = owner_of[at]
-        edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-        a = 0
-        while a < len(edges) - 1:
-            base = done[edges[a]] - times[edges[a]]
-            b = max(a + 1, int(np.searchsorted(done[edges[1:] - 1], base + PAIRS, side="right")))
-            self._follow(slice(edges[a], edges[b]), at, window, times, block, owner_of)
-            a = b
-
-    def _follow(self, part: slice, at, window, times, block: Windows, owner_of) -> None:
-        """Longest matches of some documents from all places of their windows in items: those of equal distance, one after the other, are one match."""
-        at, window, times = at[part], window[part], times[part]
-        q = block.start[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(block.owner_at[window], times)]
-        p, size = np.repeat(at, times), np.repeat(block.lengths[window], times)
+        live = (np.zeros(0, np.int64),) * 4
+        for part in _parts(np.diff(block.start_at)[window]):
+            live = self._follow(at[part], window[part], live, block, owner_of)
+        self._keep(*live[:3], block, owner_of)
+
+    def _follow(self, at, window, live, block: Windows, owner_of):
+        """Matches at some places in order, given those that may go on there (side, first place, length, last place); those that may go on behind them.
+
+        A match is a pair of a place here and one in the items; pairs of equal distance (side),
+        one after the other, are one longer match.
+        """
+        n, x = _each(block.start_at, window)
+        p, q, size = np.repeat(at, n), block.start[x], np.repeat(block.lengths[window], n)
         order = np.lexsort((p, p - q))
         p, q, size = p[order], q[order], size[order]
-        new = np.append(True, (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1))
-        start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(p))) - 1 + size[start]
-        row = np.searchsorted(block.begin, q[start], side="right") - 1
-        doc = owner_of[p[start]]
-        best = np.lexsort((q[start], p[start], -length, doc))
+        start = np.flatnonzero(np.append(True, (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)))
+        side, first, last = (p - q)[start], p[start], p[np.append(start[1:], len(p)) - 1]
+        length = last - first + size[start]
+        # an earlier match goes on where the first pair of its side is the one behind its last
+        head = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
+        on = head[np.minimum(np.searchsorted(side[head], live[0]), len(head) - 1)]
+        goes_on = (side[on] == live[0]) & (first[on] == live[3] + 1)
+        on = on[goes_on]
+        length[on] += first[on] - live[1][goes_on]
+        first[on] = live[1][goes_on]
+        ends = ~goes_on & (live[3] < at[-1])
+        self._keep(*(v[ends] for v in live[:3]), block, owner_of)
+        waits = ~goes_on & ~ends
+        open_ = last == at[-1]
+        self._keep(side[~open_], first[~open_], length[~open_], block, owner_of)
+        return tuple(np.concatenate([v[open_], w[waits]]) for v, w in zip((side, first, length, last), live))
+
+    def _keep(self, side, first, length, block: Windows, owner_of) -> None:
+        """Of finished matches the longest of each document."""
+        if not len(side):
+            return
+        q = first - side
+        row = np.searchsorted(block.begin, q, side="right") - 1
+        doc = owner_of[first]
+        best = np.lexsort((q, first, -length, doc))
         best = best[np.append(True, doc[best][1:] != doc[best][:-1])]
         for k in best.tolist():
             d = int(doc[k])
-            found = (int(length[k]), int(p[start[k]] - self.first[d]), block.names[row[k]], int(q[start[k]] - block.begin[row[k]]))
+            found = (int(length[k]), int(first[k] - self.first[d]), block.names[row[k]], int(q[k] - block.begin[row[k]]))
             if d not in self.longest or (-found[0], found[1], found[2]) < (-self.longest[d][0], self.longest[d][1], self.longest[d][2]):
                 self.longest[d] = found
 

@@ -458,6 +458,52 @@ def test_longest_match_follows_one_item(spark):
     assert (got[2].longest, got[2].longest_at, got[2].longest_item, got[2].longest_item_at) == (16, 1, "3", 0)
 
 
+def longest_common(doc, items, size=10):
+    """(length, first word, item, first word in it) of the longest run that holds a window, by all pairs of places."""
+    best = None
+    for name, w in items:
+        least = min(size, len(w))
+        for i in range(len(doc)):
+            for j in range(len(w)):
+                if i and j and doc[i - 1] == w[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(doc) and j + n < len(w) and doc[i + n] == w[j + n]:
+                    n += 1
+                if least and n >= least:
+                    best = min(best, (-n, i, name, j)) if best else (-n, i, name, j)
+    return best
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 100, 1 << 20])
+def test_longest_match_in_parts(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = np.random.default_rng(9)
+    items = [("a", "x " * 30), ("b", "x y " * 12), ("c", "short one"), ("d", "x x x z"), ("b", "x y " * 12), ("e", " ".join(rng.choice(list("xy"), 40)))]
+    docs = ["x " * 45, "y " + "x y " * 9 + "z", "a short one x x x z", " ".join(rng.choice(list("xyz"), 60)), "", "x x x z " * 3 + "x " * 12]
+    shard = decontaminate.Shard(pa.array(docs), 10)
+    shard.look_up(decontaminate.Windows(items, 10))
+    for d, text in enumerate(docs):
+        best = longest_common(text.split(), [(i, t.split()) for i, t in items])
+        got = shard.longest.get(d)
+        assert (got is None) == (best is None) and (got is None or (got[0], got[1]) == (-best[0], best[1])), (d, got, best)
+        assert shard.items.get(d, set()) == {i for i, t in items if longest_common(text.split(), [(i, t.split())])}
+
+
+def test_long_runs_of_one_word_take_bounded_memory():
+    import tracemalloc
+
+    block = decontaminate.Windows([("i", "w " * 5000), ("j", "v")], 10)
+    column = pa.array(["w " * 20_000])
+    tracemalloc.start()
+    shard = decontaminate.Shard(column, 10)
+    shard.look_up(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shard.longest[0] == (5000, 0, "i", 0) and shard.items[0] == {"i"} and shard.n_hit()[0] == 20_000
+    assert peak < 300e6
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1500, 100])
 def test_decontamination(spark, docs, benchmark, edges, empty, block):
     more = spark.createDataFrame([(900, "again and"), (901, ""), (902, None), (None, "few words again"), (903, "One"), (900, "again and")], "item_id bigint, text string")
