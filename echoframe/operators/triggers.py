@@ -56,8 +56,8 @@ class State:
     best: float = -120.0
 
     def packed(self) -> bytes:
-        """Equal states have equal bytes."""
-        return _HEAD.pack(self.open, self.held, self.best, self.begun, self.peak, self.ceiling, self.seed) + struct.pack(f"<{len(self.ring)}d", *self.ring)
+        """Equal states have equal bytes; the first value is forgotten when the ring holds another."""
+        return _HEAD.pack(self.open, self.held, self.best, self.begun, self.peak, self.ceiling, 0.0 if self.ring else self.seed) + struct.pack(f"<{len(self.ring)}d", *self.ring)
 
     @classmethod
     def unpacked(cls, raw: bytes) -> State:
