@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import columns as C
 from ..operators import events as E
 from ..operators import frames as R
+from ..operators import joins as J
 from ..operators import pixels as P
 from ..operators import scans as N
 from ..operators import series as K
@@ -609,6 +610,38 @@ def wav_ranges(spark, sf_dir):
     return read.select("filename", "sample_offset", F.col("n_samples").cast("long").alias("n_samples"), F.aggregate("left", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
+@query("""WITH i AS (SELECT label, vec_id, vec_id * 10 + floor(abs(embedding[1]) * 100)::BIGINT AS a, floor(abs(embedding[2]::DOUBLE) ** 3 * 400000)::BIGINT AS n FROM embeddings)
+SELECT x.label, x.vec_id AS event, y.vec_id AS annotation, (least(x.a + x.n, y.a + y.n) - greatest(x.a, y.a))::BIGINT AS shared FROM i x JOIN i y ON x.label = y.label AND x.a <= y.a + y.n AND y.a <= x.a + x.n WHERE x.vec_id % 2 = 0 AND y.vec_id % 7 = 0""")
+def overlap_join(spark, sf_dir):
+    """Intervals of even vectors with those of every seventh one of the same label that overlap them."""
+    value = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    i = table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.col("vec_id") * 10 + F.floor(F.abs(F.get("embedding", F.lit(0))) * 100)).alias("a"), F.floor(F.pow(F.abs(value(1)), 3) * 400000).alias("n"))
+    x = i.filter("vec_id % 2 = 0").select("label", F.col("vec_id").alias("event"), F.col("a").alias("xa"), (F.col("a") + F.col("n")).alias("xb"))
+    y = i.filter("vec_id % 7 = 0").select("label", F.col("vec_id").alias("annotation"), F.col("a").alias("ya"), (F.col("a") + F.col("n")).alias("yb"))
+    pairs = J.overlap_join(x, y, ["label"], ("xa", "xb"), ("ya", "yb"))
+    return pairs.select("label", "event", "annotation", (F.least("xb", "yb") - F.greatest("xa", "ya")).alias("shared"))
+
+
+@query("""SELECT e.vec_id, e.label, r.vec_id AS reading, r.v AS value FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 5 > 0) e
+ASOF LEFT JOIN (SELECT vec_id, label, embedding[1]::DOUBLE AS v FROM embeddings WHERE vec_id % 5 = 0) r ON e.label = r.label AND e.vec_id >= r.vec_id""")
+def as_of_join(spark, sf_dir):
+    """Each vector with the last one of its label whose number five divides."""
+    e = table(spark, sf_dir, "embeddings")
+    events = e.filter("vec_id % 5 > 0").select("vec_id", "label")
+    readings = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("reading"), "label", F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    return J.as_of_join(events, readings, ["label"], "vec_id", "reading", ["reading", "value"])
+
+
+@query("""WITH s AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS new FROM events),
+b AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS bout FROM s)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS stop, count(*)::BIGINT AS events FROM b GROUP BY user_id, bout""")
+def bouts(spark, sf_dir):
+    """Bouts of each user's events that lie less than six hours apart."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return J.bouts(e, ["user_id"], "ts", "6 hours").select("user_id", text("start").alias("start"), text("end").alias("stop"), "events")
+
+
 _WAV = "SELECT 'label' || label AS recording_id, count(*)::BIGINT AS n_samples, sum(v)::BIGINT AS total FROM (SELECT label, round(UNNEST(embedding) * 1000)::INT AS v FROM embeddings) GROUP BY label"
 
 
