@@ -85,6 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 in SQL: its table from the reversed polynomial, and the value of a list of bytes.
+_CRC_TABLE = "t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT UNNEST(range(256)) AS i))"
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {data}), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295)"
+
+
 #: Whole tables in plain SQL; the other operators are trained, random or need a library, and are tested against brute force.
 SQL: dict[str, str] = {
     "op6_benchmark_decontamination": f"""
@@ -111,4 +119,34 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS v, doc_id AS m FROM d UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, g.m AS component_id, g.m = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(m) AS m FROM r GROUP BY v) g ON g.v = d.doc_id""",
+    "op12_importance_resampling": f"""
+WITH {_CRC_TABLE},
+a AS (SELECT true AS own, row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+UNION ALL SELECT false, row_number() OVER (), NULL, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+f AS (SELECT own, r, array_to_string(w[j : j + k - 1], ' ') AS f FROM (SELECT own, r, w, k, UNNEST(range(1, len(w) - k + 2)) AS j FROM a, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+e AS (SELECT f, {_crc("list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::BIGINT)")} % 10000 AS b FROM (SELECT DISTINCT f FROM f), t),
+c AS (SELECT own, r, b, count(*) AS n FROM f JOIN e USING (f) GROUP BY ALL),
+s AS (SELECT b, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM c GROUP BY b),
+z AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM s),
+g AS (SELECT b, floor(1000 * ln(((s.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE) / ((s.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE)))::BIGINT AS gain FROM s, z),
+w AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN g USING (b) WHERE own GROUP BY r),
+d AS (SELECT a.r, doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM a LEFT JOIN w USING (r) WHERE own),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM d WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END::BIGINT AS rank FROM d LEFT JOIN k USING (r)""",
+    "op13_periodic_runs": f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} AS h FROM documents, t),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 % greatest(len(w), 1) AS a, 3 + h // 10 % 8 AS k FROM d),
+v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // k) + 1])) ELSE w END AS w FROM g),
+u AS (SELECT doc_id, n, UNNEST(range(n)) AS i, UNNEST(w) AS word FROM v),
+m AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM u x JOIN u y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND y.i - x.i <= x.n // 2),
+s AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS side FROM m),
+f AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM s GROUP BY doc_id, p, side HAVING count(*) + p >= greatest(12, 2 * p)),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM f GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min([start, length, period], [-length, start, period]) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+x AS (SELECT DISTINCT doc_id, UNNEST(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN x ON x.doc_id = u.doc_id AND x.i = u.i GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top[1]::BIGINT AS start, top[2]::BIGINT AS length, top[3]::BIGINT AS period, (top[2] * 1000 // top[3])::BIGINT AS exponent_milli,
+sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
 }

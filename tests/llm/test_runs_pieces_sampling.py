@@ -276,3 +276,15 @@ def test_runs_query(spark):
         best = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=None)
         assert r.n_runs == len(runs) and (r.start, r.length, r.period, r.exponent_milli) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
         assert r.runs_sha256 == sha("".join(f"{a},{n},{p}\n" for a, n, p in runs)) and r.collapsed_sha256 == sha(collapsed(w, runs))
+
+
+@pytest.mark.parametrize("name", ["op12_importance_resampling", "op13_periodic_runs"])
+def test_sql_twins(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.sql(entry.oracle_sql()[name])
+    got = entry.queries()[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
