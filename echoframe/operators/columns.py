@@ -41,16 +41,18 @@ def hann(x: Column, n: int) -> Column:
 
 
 def dft(x: Column, n: int, pairing: str = "textbook") -> Column:
-    """n/2 magnitudes of n samples; 'reference' pairs real parts with the next bin's imaginary part."""
-    def part(k, wave):
-        angle = k * (2 * math.pi / n)
-        return F.aggregate(F.transform(x, lambda v, j: v * wave(angle * j)), F.lit(0.0), lambda a, v: a + v)
-
-    bins = F.sequence(F.lit(0), F.lit(n // 2 - 1))
-    if pairing == "textbook":
-        return F.transform(bins, lambda k: F.sqrt(F.pow(part(k, F.cos), F.lit(2)) + F.pow(part(k, F.sin), F.lit(2))))
-    last = part(F.lit(n // 2), F.cos)
-    return F.transform(bins, lambda k: F.sqrt(F.pow(part(k, F.cos), F.lit(2)) + F.pow(F.when(k < n // 2 - 1, part(k + 1, F.sin)).otherwise(last), F.lit(2))))
+    """n/2 magnitudes of n samples; 'reference' pairs real parts with the next bin's imaginary part. The waves are literals: a multiplication and a sum for each bin and sample."""
+    def waves(bins: list[tuple]) -> Column:
+        rows = (",".join(f"{wave(2 * math.pi * k * j / n)!r}D" for j in range(n)) for wave, k in bins)
+        return F.expr(f"array({','.join(f'array({r})' for r in rows)})")
+
+    def parts(bins: list[tuple]) -> Column:
+        products = lambda w: F.zip_with(F.slice(x, 1, n), w, lambda v, c: F.coalesce(v * c, F.lit(0.0)))
+        return F.transform(waves(bins), lambda w: F.aggregate(products(w), F.lit(0.0), lambda a, v: a + v))
+
+    half = n // 2
+    other = [(math.sin, k) for k in range(half)] if pairing == "textbook" else [*((math.sin, k + 1) for k in range(half - 1)), (math.cos, half)]
+    return F.zip_with(parts([(math.cos, k) for k in range(half)]), parts(other), lambda a, b: F.sqrt(a * a + b * b))
 
 
 def band_pass(x: Column, lpf: float, hpf: float, resolution: float) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectra
 from .events import channel as channel_of
+from .storage import stored
 
 FRAMES = "recording_id string, frame_idx bigint, seek bigint, mag array<double>"
 
@@ -54,8 +55,8 @@ def fspec(recordings: DataFrame, channel: str = "left", FFT_size: int = 256, FFT
 
 def spectro(recordings: DataFrame, floor: float = -120.0, **parameters) -> DataFrame:
     """fspec with a hann window, against each recording's maximum, not below floor: ready to draw."""
-    f = fspec(recordings, **(parameters | {"FFT_win": "hann", "to_dB": True}))
-    # one number a recording: no task holds all frames of one
+    # written once, as its largest value is needed before it; one number a recording, so no task holds all frames of one
+    f = stored(fspec(recordings, **(parameters | {"FFT_win": "hann", "to_dB": True})), "spectra")
     most = f.groupBy("recording_id").agg(F.max(F.array_max("mag")).alias("_most"))
     return f.join(most, "recording_id").withColumn("mag", F.transform("mag", lambda x: F.greatest(x - F.col("_most"), F.lit(floor)))).drop("_most")
 

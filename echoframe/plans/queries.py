@@ -19,9 +19,11 @@ from ..operators import joins as J
 from ..operators import pixels as P
 from ..operators import scans as N
 from ..operators import series as K
+from ..operators import table_functions as U
 from ..operators import triggers as T
 from ..operators.storage import new_folder
 from ..functions import detector, regions
+from ..functions.spectra import WINDOWS
 from ..sources import datasource as D
 from ..sources import recordings as S
 from ..sources.guano import parse_guano
@@ -291,6 +293,36 @@ def tbe_filter(spark, sf_dir):
     return _longs(E.spacing_filter(islands(spark, sf_dir), F.col("start"), F.col("stop"), 2, 4, ["user_id"], [F.col("start")]), "start", "stop")
 
 
+@query(f"WITH {_ISLANDS}, b AS (SELECT *, coalesce(start - lag(stop) OVER w < 2 OR start - lag(stop) OVER w > 4, false) AS bad FROM v WINDOW w AS (PARTITION BY user_id ORDER BY start)),\nc AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY user_id ORDER BY start), false) AS follows FROM b) SELECT user_id, start::BIGINT AS start, stop::BIGINT AS stop, frames::BIGINT AS frames FROM c WHERE NOT bad AND NOT follows")
+def spaced_in_sql(spark, sf_dir):
+    """The spacing filter as a table function."""
+    U.register(spark)
+    _longs(islands(spark, sf_dir), "start", "stop", "frames").createOrReplaceTempView("echoframe_islands")
+    return spark.sql("SELECT * FROM spaced(TABLE(echoframe_islands), keys => 'user_id', start => 'start', stop => 'stop', low => 2, high => 4)")
+
+
+def _cosines(terms: tuple[float, ...]) -> str:
+    """SQL of a cosine-sum window of 64 at j."""
+    return " + ".join(f"{(-1) ** k * a!r} * cos({2 * math.pi * k / 63!r} * j)" for k, a in enumerate(terms))
+
+
+_WINDOWS = {n: WINDOWS[n] for n in ("blackman4", "blackman7")}
+
+
+@query(f"""WITH h(win, j, h) AS ({' UNION ALL '.join(f"SELECT '{n}', j, {_cosines(t)} FROM (SELECT UNNEST(range(0, 64)) AS j)" for n, t in _WINDOWS.items())}),
+{_E}, s AS (SELECT vec_id, i - 32 * f AS j, f, s FROM e, (VALUES (0), (1)) v(f) WHERE i >= 32 * f),
+d AS (SELECT vec_id, win, f, k, sum(s * h * cos({_TURN!r} * k * j)) AS re, sum(s * h * sin({_TURN!r} * k * j)) AS im FROM s JOIN h USING (j), (SELECT UNNEST(range(0, 32)) AS k) GROUP BY ALL),
+w AS (SELECT win, sum(h) AS total FROM h GROUP BY win)
+SELECT vec_id, win, f::BIGINT AS frame_idx, k::BIGINT AS i, round(sqrt(re * re + im * im) / total, 6) + 0.0 AS magnitude FROM d JOIN w USING (win)""")
+def window_frames(spark, sf_dir):
+    """Frames of both Blackman-Harris windows as a table function over recordings of one vector each."""
+    U.register(spark)
+    frames(spark, sf_dir).withColumnRenamed("x", "left").createOrReplaceTempView("echoframe_vectors")
+    call = lambda n: f"SELECT *, '{n}' AS win FROM spectral_frames(TABLE(echoframe_vectors), size => 64, overlap => 0.5, win => '{n}', compat => 'textbook')"
+    f = spark.sql(" UNION ALL ".join(map(call, _WINDOWS)))
+    return f.select("vec_id", "win", "frame_idx", F.posexplode("mag").alias("i", "v")).select("vec_id", "win", "frame_idx", F.col("i").cast("long").alias("i"), rounded(F.col("v")).alias("magnitude"))
+
+
 @query(f"""WITH {_S}, m AS (SELECT *, max(x) OVER w AS hi, min(x) OVER w AS lo, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY user_id))
 SELECT user_id, n::BIGINT AS frames, round(max(x) FILTER (i = 0), 6) + 0.0 AS freq_start, round(max(x) FILTER (i = n // 2), 6) + 0.0 AS freq_center, round(max(x) FILTER (i = n - 1), 6) + 0.0 AS freq_end,
 round(max(hi), 6) + 0.0 AS freq_max, round(max(lo), 6) + 0.0 AS freq_min, round(max(hi) - max(lo), 6) + 0.0 AS bandwidth,
@@ -565,7 +597,7 @@ run AS (SELECT vec_id, i, sum(x) OVER (PARTITION BY vec_id ORDER BY i) AS c, sum
 quant AS (SELECT vec_id, {', '.join(f"250.0 * min(i) FILTER (c >= {p} * t) AS q{k}" for k, p in enumerate(_QUANTILES))} FROM run GROUP BY vec_id),
 area AS (SELECT vec_id, count(*) AS area FROM q WHERE y BETWEEN 1 AND 14 AND x > 1e-5 GROUP BY vec_id)
 SELECT area.vec_id, round(area, 4) + 0.0 AS area, {', '.join(f"round(250 * {p}.centroid, 4) + 0.0 AS {p}_centroid, round(250 * {p}.sd, 4) + 0.0 AS {p}_bandwith, round(250 * {p}.m3 / {p}.sd ** 3, 4) + 0.0 AS {p}_skew, round(250 * ({p}.m4 / {p}.sd ** 4 - 3), 4) + 0.0 AS {p}_kurtosis, round({p}.gini, 4) + 0.0 AS {p}_gini" for p in ("freq", "temp"))},
-CASE WHEN grad.sd > 1e-9 THEN round(250 * grad.m3 / grad.sd ** 3, 2) + 0.0 ELSE 0 END AS grad_skew, round(250 * grad.centroid, 4) + 0.0 AS grad_centroid, round(250 * grad.sd, 4) + 0.0 AS grad_bandwith, round(grad.gini, 4) + 0.0 AS grad_gini,
+CASE WHEN grad.sd > 1e-9 THEN round(250 * grad.m3 / grad.sd ** 3, 4) + 0.0 ELSE 0 END AS grad_skew, CASE WHEN grad.sd > 1e-9 THEN round(250 * (grad.m4 / grad.sd ** 4 - 3), 4) + 0.0 ELSE 0 END AS grad_kurtosis, round(250 * grad.centroid, 4) + 0.0 AS grad_centroid, round(250 * grad.sd, 4) + 0.0 AS grad_bandwith, round(grad.gini, 4) + 0.0 AS grad_gini,
 round(250 * freq.centroid / greatest(freq.sd, 1), 4) + 0.0 AS q, {', '.join(f"q{k} + 0.0 AS quant_{k}" for k in range(5))}, q4 - q0 + 0.0 AS freq_bw_95_ci, q3 - q1 + 0.0 AS freq_bw_75_ci
 FROM area JOIN freq USING (vec_id) JOIN temp USING (vec_id) JOIN grad USING (vec_id) JOIN quant USING (vec_id)""")
 def region_features(spark, sf_dir):
@@ -578,11 +610,11 @@ def region_features(spark, sf_dir):
             rows = [{"vec_id": v} | regions.features(np.asarray(x, dtype=float).reshape(4, 16).T, 16000, 64) for v, x in zip(batch.vec_id, batch.x)]
             yield pd.DataFrame(rows)[["vec_id", *names]].rename(columns=dict(zip(names, plain)))
 
-    names = [n for n in regions.FEATURES if n not in ("starting_time", "duration", "grad_kurtosis")]
+    names = [n for n in regions.FEATURES if n not in ("starting_time", "duration")]
     quant = [n for n in names if n.startswith("quant")]
     plain = [f"quant_{quant.index(n)}" if n in quant else n for n in names]
     f = spectra(spark, sf_dir).mapInPandas(run, "vec_id bigint, " + ", ".join(f"{n} double" for n in plain))
-    return f.select("vec_id", *[rounded(F.col(n), 2 if n == "grad_skew" else 4).alias(n) for n in plain])
+    return f.select("vec_id", *[rounded(F.col(n), 4).alias(n) for n in plain])
 
 
 @query(f"""WITH RECURSIVE {_P}, d AS (SELECT vec_id, i, x FROM p WHERE x >= 1.8), r AS (SELECT vec_id, i, vec_id * 65536 + i AS m FROM d UNION
