@@ -13,7 +13,9 @@ that two of them show where texts differ, and the share of common leaves (Dice,
 repetitions) is their likeness.  Trees of two versions of a text also locate the edit:
 from the roots down, the first and last children that differ lead to the leaves between
 which all differences lie.  A null text is an empty one; two texts without leaves are
-alike (1); equal texts have no edit (nulls).
+alike (1); equal texts have no edit (nulls).  doc_id is cast to a long; an empty table gives an
+empty result; very long texts are cut whole; repeated rows are rows of their own; further
+columns are not read.
 """
 
 from __future__ import annotations

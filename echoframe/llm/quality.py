@@ -5,7 +5,11 @@ pooled one and towards its own mean variance; scores from the difference of the
 classes' log densities, computed from Cholesky factors that are made once.
 
 Defined results: a null text is an empty one; without usable labels of both classes
-every score is the share of label 1 (0.5 without labels).
+every score is the share of label 1 (0.5 without labels).  A document with several rows in
+labels counts once for each of them, so contradicting rows count for both classes.  doc_id
+is cast to a long, and an id that is no number is an error.  An empty table gives an empty
+result; repeated rows are scored each; very long texts are read whole; further
+columns are not read (keep_good returns them as they are).
 """
 
 from __future__ import annotations

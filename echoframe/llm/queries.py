@@ -12,30 +12,37 @@ from .shared import table
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they are more than 4,096."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the plain spans, and all spans."""
     return personal_data.find_all(table(spark, sf_dir, "documents"))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as read back from the token files."""
     return token_files.token_output(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of the benchmark, and the items."""
     return decontaminate.digests(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by four-word shingles at a similarity of 0.8."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under the mixing model, and of a smoothed unigram model, learned from six of seven documents."""
     return language_model.score_documents(table(spark, sf_dir, "documents"), 7, 2)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
@@ -45,14 +52,17 @@ def _scored(scores: DataFrame, mod: int, rest: int) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four of five labelled rows."""
     return _scored(quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0), 5, 0)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of three of four rows are used."""
     return _scored(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 4, 2), 4, 2)
 
 

@@ -15,7 +15,10 @@ classifier (ridge-penalised logistic regression, Newton steps over all documents
 
 Defined results: null texts are empty; without usable labels the share of toxic
 documents is 0.1 and there are no stem voters; where no voter fires, the classifier
-gives the same low score to texts of the same length.
+gives the same low score to texts of the same length.  A document with several rows in
+labels counts once for each of them.  doc_id is cast to a long, and an id that
+is no number is an error.  An empty table gives an empty result; repeated rows are
+scored each; very long texts are read whole; further columns are not read.
 """
 
 from __future__ import annotations

@@ -720,3 +720,12 @@ def test_pipeline(spark):
 def test_every_query_is_registered(spark):
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_labels_that_repeat_count_once_each(small, labels):
+    """Every label twice is the same classifier; a contradicting label is one more row of the other class."""
+    score = lambda y: {r.doc_id: r.score for r in quality.score_quality(small, y).collect()}
+    once, twice = score(labels), score(labels.unionByName(labels))
+    assert once.keys() == twice.keys() and all(once[k] == pytest.approx(twice[k], abs=1e-3) for k in once)
+    other = labels.limit(3).select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic")
+    assert len(score(labels.unionByName(other))) == len(once)
