@@ -1,4 +1,4 @@
-"""Data sources on a file system that all executors mount: spark.read.format("recordings" | "samples"), df.write.format("wav" | "zero_crossing").
+"""Data sources on a file system that all executors mount: spark.read.format("recordings" | "samples"), df.write.format("wav" | "zero_crossing" | "event_report").
 
 `recordings` gives a row a recording, `samples` a row a block of a WAV file's samples, so
 that one long file is read by many tasks.  Both plan partitions by bytes: files are cut
@@ -20,6 +20,7 @@ import filecmp
 import glob
 import hashlib
 import heapq
+import json
 import os
 import re
 import shutil
@@ -38,11 +39,13 @@ from pyspark.sql.datasource import (
 
 from .guano import guano_text, parse_guano
 from .recordings import RECORDING, decode
+from .report import index_page
 from .wav import layout, samples, write_wav
 from .zc import write_zc
 
 SAMPLES = "recording_id string, path string, filename string, sample_rate int, bit_depth int, channels int, sample_offset bigint, n_samples int, left array<int>, right array<int>"
 WAV_ROW = "recording_id string, filename string, sample_rate int, channels int, bit_depth int, left array<int>, right array<int>"
+REPORT_ROW = "recording_id string, event_start bigint, cells array<string>, picture binary"
 ZC_ROW = "filename string, content binary, metadata map<string,string>"
 #: Bytes of a partition at most, what opening a file counts as, and samples of a row of `samples`.
 PARTITION_BYTES, OPEN_BYTES, BLOCK = 8 << 20, 64 << 10, 1 << 16
@@ -301,8 +304,79 @@ class ZeroCrossingFiles(DataSource):
         return FileWriter(self.options["path"], ".zc", r"(zc|[0-9]{2}#)$", lambda r: write_zc(bytes(r.content), dict(r.metadata)), overwrite)
 
 
+class ReportWriter(DataSourceWriter):
+    """Tasks write pictures and a sorted part of the index each; the commit merges the parts, line by line, and moves the pictures."""
+
+    def __init__(self, folder: str, columns: list[str], overwrite: bool):
+        self.folder, self.columns, self.overwrite = _local(folder), columns, overwrite
+        self.staging = os.path.join(self.folder, f"_writing-{uuid.uuid4().hex}")
+
+    def write(self, rows) -> _Written:
+        os.makedirs(self.staging, exist_ok=True)
+        part, lines = os.path.join(self.staging, uuid.uuid4().hex), []
+        for r in rows:
+            name = f"{hashlib.sha256(r.recording_id.encode()).hexdigest()[:12]}_{r.event_start}.png"
+            with open(f"{part}-{name}", "wb") as f:
+                f.write(bytes(r.picture))
+            lines.append((r.recording_id, r.event_start, name, list(r.cells)))
+        with open(part, "w") as f:
+            f.writelines(json.dumps(x) + "\n" for x in sorted(lines))
+        return _Written([(part, "", "")])
+
+    def commit(self, messages) -> None:
+        parts = [part for m in messages if m for part, _, _ in m.files]
+
+        def lines(part: str):
+            with open(part) as f:
+                for line in f:
+                    yield (*json.loads(line), part)
+
+        def entries():
+            last = None
+            for recording, start, name, cells, part in heapq.merge(*map(lines, parts)):
+                if name == last:
+                    raise ValueError(f"two events of {recording} start at {start}")
+                last = name
+                names.add(name)
+                os.replace(f"{part}-{name}", os.path.join(moved, name))
+                yield recording, name, cells
+
+        names: set[str] = set()
+        moved = os.path.join(self.staging, "done")
+        try:
+            if not self.overwrite and os.path.exists(os.path.join(self.folder, "index.html")):
+                raise FileExistsError("there is a report already; mode overwrite replaces it")
+            os.makedirs(moved, exist_ok=True)
+            with open(os.path.join(moved, "index.html"), "w") as f:
+                f.writelines(x + "\n" for x in index_page(self.columns, entries()))
+            for name in os.listdir(self.folder):  # an earlier report's pictures
+                if re.fullmatch(r"[0-9a-f]{12}_\d+\.png", name) and name not in names:
+                    os.remove(os.path.join(self.folder, name))
+            for name in [*names, "index.html"]:
+                os.replace(os.path.join(moved, name), os.path.join(self.folder, name))
+        finally:
+            shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+
+class EventReports(DataSource):
+    """A report of the rows of REPORT_ROW; option columns: a JSON list of the names of cells."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "event_report"
+
+    def schema(self) -> str:
+        return REPORT_ROW
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ReportWriter(self.options["path"], json.loads(self.options.get("columns", "[]")), overwrite)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the four formats known to the session and turns on filter pushdown for Python sources, without which Spark refuses readers that take filters."""
+    """Makes the five formats known to the session and turns on filter pushdown for Python sources, without which Spark refuses readers that take filters."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (Recordings, Samples, WavFiles, ZeroCrossingFiles):
+    for source in (Recordings, Samples, WavFiles, ZeroCrossingFiles, EventReports):
         spark.dataSource.register(source)

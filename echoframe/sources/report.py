@@ -1,11 +1,12 @@
-"""Pictures of spectrograms and zero-crossing dots, and an HTML index of events (driver side, row by row)."""
+"""Pictures of spectrograms, events and zero-crossing dots, and reports of events: pictures with an HTML index."""
 
 from __future__ import annotations
 
 import html
-import os
+import json
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -76,22 +77,29 @@ def event_pictures(recordings: DataFrame, events: DataFrame, time_scale: float =
     return recordings.select("recording_id", "sample_rate", "left").join(found, "recording_id").mapInPandas(draw, "recording_id string, event_start bigint, picture binary")
 
 
-def write_report(events: DataFrame, spectra: DataFrame, folder: str, columns: list[str]) -> str:
-    """One picture a recording and an index of its events; the path of the index. Nothing is opened.
+def event_report(recordings: DataFrame, events: DataFrame, folder: str, columns: list[str], **picture) -> None:
+    """A picture of each event, and index.html with these columns of the events by recording and start, in a mounted folder.
 
-    spectra is what spectro() returns; recordings and events come to the driver one after the other.
+    picture: parameters of event_pictures.  One job draws where the recordings lie and
+    writes (format "event_report"); nothing is opened.
     """
-    os.makedirs(folder, exist_ok=True)
-    parts = []
-    for n, (recording,) in enumerate(events.select("recording_id").distinct().orderBy("recording_id").toLocalIterator()):
-        frames = [r.mag for r in spectra.filter(spectra.recording_id == recording).orderBy("frame_idx").select("mag").toLocalIterator()]
-        name = f"recording{n}.png"
-        with open(os.path.join(folder, name), "wb") as f:
-            f.write(spectrogram_png(np.array(frames)))
-        rows = events.filter(events.recording_id == recording).select(*columns).toLocalIterator()
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-        parts.append(f"<h2>{html.escape(recording)}</h2><img src='{name}'><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in columns)}</tr>{body}</table>")
-    path = os.path.join(folder, "index.html")
-    with open(path, "w") as f:
-        f.write("<!doctype html><meta charset='utf-8'><title>Events</title>" + "".join(parts))
-    return path
+    from .datasource import register
+
+    register(recordings.sparkSession)
+    drawn = event_pictures(recordings, events, **picture)
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("cells")
+    rows = events.select("recording_id", F.col("event_start").cast("long").alias("event_start"), cells).join(drawn, ["recording_id", "event_start"])
+    rows.write.format("event_report").option("columns", json.dumps(columns)).mode("overwrite").save(folder)
+
+
+def index_page(columns: list[str], rows: Iterator[tuple[str, str, list[str]]]) -> Iterator[str]:
+    """The lines of the index of (recording, picture's name, cells), which are sorted by recording."""
+    yield "<!doctype html><meta charset='utf-8'><title>Events</title>"
+    last = None
+    for recording, name, cells in rows:
+        if recording != last:
+            yield ("" if last is None else "</table>") + f"<h2>{html.escape(recording)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in columns)}<th></th></tr>"
+            last = recording
+        yield "<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in cells) + f"<td><img src='{name}' loading='lazy'></td></tr>"
+    if last is not None:
+        yield "</table>"
