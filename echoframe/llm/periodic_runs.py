@@ -152,7 +152,7 @@ def collapse(shortest: int = 12):
             found = words(data, offsets, NOT_SPACE, IDENTITY)
             length = found.end - found.start
             ends = np.cumsum(length)
-            letters = Ragged(data, np.append(found.start, len(data))).flat[NOT_SPACE[data]]
+            letters = data[NOT_SPACE[data]]
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(letters)])
             number = text.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             runs, stays = [], np.ones(len(number), dtype=bool)
