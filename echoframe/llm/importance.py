@@ -87,13 +87,16 @@ def features(data: np.ndarray, offsets: np.ndarray, run: int = RUN) -> tuple[np.
     return np.concatenate(docs), np.concatenate(crcs), counts
 
 
-def _split(values: np.ndarray, kind: str) -> bytes:
-    """Numbers byte plane by byte plane, which compresses well."""
-    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+def _split(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs (told by the first byte), byte plane by byte plane, which compresses well."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _joined(raw: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0].astype(np.int64)
+def _joined(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}")[:, 0].astype(np.int64)
 
 
 class Block:
@@ -115,13 +118,13 @@ class Block:
         gaps = np.diff(self.columns, prepend=0)
         first = self.pointers[:-1][self.pointers[1:] > self.pointers[:-1]]
         gaps[first] = self.columns[first]
-        return _split(self.pointers, "<u4"), _split(gaps, "<u4"), _split(self.counts, "<u4")
+        return _split(self.pointers), _split(gaps), _split(self.counts)
 
     @classmethod
     def read(cls, pointers: bytes, gaps: bytes, counts: bytes) -> Block:
-        at = _joined(pointers, "<u4")
-        total = np.append(0, np.cumsum(_joined(gaps, "<u4")))
-        return cls(at, total[1:] - np.repeat(total[at[:-1]], np.diff(at)), _joined(counts, "<u4"))
+        at = _joined(pointers)
+        total = np.append(0, np.cumsum(_joined(gaps)))
+        return cls(at, total[1:] - np.repeat(total[at[:-1]], np.diff(at)), _joined(counts))
 
     def rows(self, values: np.ndarray) -> np.ndarray:
         """Sums by row of one value an entry."""
