@@ -43,7 +43,7 @@ def test_sql_twin(spark, duck, name):
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
-@pytest.mark.parametrize("name", ["fspec", "spectro", "wav_ranges"])
+@pytest.mark.parametrize("name", ["fspec", "spectro", "wav_ranges", "wav_round_trip"])
 def test_samples_beside_a_half(spark, tmp_path, name, ansi):
     """Values whose product with 1000 lies beside a half, which floats can't hold: samples are those of exact products in SQL and query, whatever the session's rules of types."""
     import duckdb
