@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from ..functions import detector, regions
 _EVENTS = ", ".join(f"`{k}` {'string' if k == 'starting_time' else 'double'}" for k in detector.FEATURES)
 THRESHOLD = f"recording_id string, filename string, {_EVENTS}, event_start bigint, event_end bigint, amp_track array<double>, freq_track array<double>, _from double, _to double"
 _REGIONS = ", ".join(f"`{k}` {'string' if k == 'starting_time' else 'double'}" for k in regions.FEATURES)
+#: Events that a detector gives to Spark at once.
+ROWS = 1000
 REGION = f"recording_id string, filename string, {_REGIONS}, first double, last double"
 
 
@@ -60,8 +63,8 @@ def _run(recordings: DataFrame, which: str, work, schema: str, columns: list[str
             for k in range(len(batch)):
                 i, name, rate, bits, samples = (batch[c].iloc[k] for c in ("recording_id", "filename", "sample_rate", "bit_depth", "samples"))
                 known = {"recording_id": i, "filename": name} | ({"guano": dict(batch["guano"].iloc[k] or {})} if guano else {})
-                rows = [known | e for e in work(np.asarray([] if samples is None else samples, dtype=np.int64), int(rate), int(bits or 16))]
-                if rows:
+                events = iter(work(np.asarray([] if samples is None else samples, dtype=np.int64), int(rate), int(bits or 16)))
+                while rows := [known | e for e in islice(events, ROWS)]:
                     yield pd.DataFrame(rows, columns=columns)
 
     return recordings.select("recording_id", "filename", "sample_rate", "bit_depth", channel(which).alias("samples"), *(["guano"] if guano else [])).mapInPandas(run, schema)
@@ -94,7 +97,7 @@ def threshold_detection(recordings: DataFrame, channel: str = "left", acoustic_f
 def blob_detection(recordings: DataFrame, channel: str = "left", acoustic_feat: bool = True, settings: bool = False, metadata: bool = False, **parameters) -> DataFrame:
     """Events of the image-style region detector, with 26 features."""
     s = regions.Settings(**parameters)
-    found = _run(recordings, channel, lambda samples, rate, bits: regions.detect(samples, rate, _limits(s, rate)), *_with_metadata(REGION, ["recording_id", "filename", *regions.FEATURES, "first", "last"], metadata))
+    found = _run(recordings, channel, lambda samples, rate, bits: regions.found(samples, rate, _limits(s, rate)), *_with_metadata(REGION, ["recording_id", "filename", *regions.FEATURES, "first", "last"], metadata))
     kept = spacing_filter(found, F.col("first") * 1000, F.col("last") * 1000, s.min_TBE, s.max_TBE, ["recording_id"], [F.col("first"), F.col("last")])
     kept = kept.drop("first", "last") if acoustic_feat else kept.select("recording_id", "filename", "starting_time", "duration", *(["guano"] if metadata else []))
     return _attach(kept, s if settings else None)

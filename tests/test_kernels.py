@@ -200,3 +200,42 @@ def test_region_features_in_both_readings():
     solid = np.pad(np.ones((5, 5)), 2)
     labels = regions.Labeller(solid)
     assert [(r.visits, labels.pixels_of(r)) for r in labels.run()] == [(26, 25)]
+
+
+def busy(n):
+    """A recording whose picture is dark in two fifths of its pixels, with holes and regions in them."""
+    return np.random.default_rng(5).normal(0, 100, n).astype(int)
+
+
+BUSY = dict(HPF=200, LPF=8000, min_dur=1, max_dur=1e6, min_area=5, FFT_size=64, bg_substract=1, contrast_boost=1)
+
+
+@pytest.mark.parametrize("compat", ["reference", "textbook"])
+def test_regions_of_parts_are_those_of_the_whole_picture(monkeypatch, compat):
+    x, s = busy(16000), regions.Settings(**BUSY, compat=compat)
+    p = spectra.spectrogram(x, 64, 0.875, "blackman4", 0, 31, compat).T[::-1]
+    p = regions.contrast_boost(regions.post_mask(regions.background_subtract(regions.blur(p, s.blur), s.bg_substract), s.EDG), s.contrast_boost)
+    whole = regions.Labeller(p, compat)
+    want = [(r.first, r.last, r.visits, r.magnitude, whole.pixels_of(r)) for r in whole.run()]
+    for block in (64, 333, 1999, 10**6):  # 1999: the last of the 2,000 frames would be alone
+        monkeypatch.setattr(regions, "BLOCK", block)
+        got = []
+        for first, part in regions.pictures(x, s, 0, 31):
+            labels, before = regions.Labeller(part, compat), (first - 1) * len(part)
+            got += [(before + r.first, before + r.last, r.visits, r.magnitude, labels.pixels_of(r)) for r in labels.run()]
+        assert got == want and len(want) > 300
+
+
+def test_memory_of_regions_is_not_that_of_the_recording(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(regions, "BLOCK", 128, raising=False)
+    s, peak = regions.Settings(**BUSY), []
+    for n in (8000, 64000):
+        x = busy(n) * (np.arange(n) // 2000 % 2)  # every second stretch is silent
+        tracemalloc.start()
+        for _ in getattr(regions, "found", regions.detect)(x, 16000, s):
+            pass
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 3 * peak[0], peak  # eight times the samples
