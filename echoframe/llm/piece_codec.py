@@ -42,9 +42,13 @@ from .token_counts import MergeTable
 
 _MARK = "▁"
 #: Distinct chunks that a worker remembers.
-DISTINCT = 1_500_000
+DISTINCT = 500_000
+#: Chunks, and ids of whole texts, that the library checks at once; it holds more than a hundred bytes an id meanwhile.
+CHECKED, CHECKED_IDS = 20_000, 1 << 16
 #: Symbols that are worked on together (or one longer chunk), and symbols of a chunk from which on its pairs are taken one by one.
-TOGETHER, LONG = 1 << 18, 64
+TOGETHER, LONG = 1 << 16, 64
+#: Bytes of text that are worked on together (or one text).
+BYTES = 1 << 20
 _GONE, _WALL = -(1 << 31), -(1 << 31) + 1
 _BITS = 40
 _PLACE, _LAST, _NO_RANK = (1 << _BITS) - 1, (1 << 62), 2**31 - 1
@@ -248,15 +252,17 @@ class Codec:
         return Ragged(out, at[rows.at])
 
     def _checked(self, chunks: list[bytes], ids: Ragged) -> None:
-        """New chunks against the library, in one text in which a wall stands before each."""
+        """New chunks against the library, in texts in which a wall stands before each."""
         if self.wall is None:
             raise ValueError("every character joins with others in some piece, so chunks can't be checked")
-        want = np.array(self.model.encode(self.wall + self.wall.join(c.decode() for c in chunks)), dtype=np.int32)
         wall = self.byte[ord(self.wall)]
-        at = ids.at[:-1] + np.arange(len(chunks))
-        got = np.insert(ids.flat, ids.at[:-1], wall)
-        if len(want) != len(got) + 1 or (want[1:] != got).any() or (got[at] != wall).any():
-            raise ValueError("the agenda's ids are not those of the library")
+        for a in range(0, len(chunks), CHECKED):
+            some = chunks[a : a + CHECKED]
+            want = np.array(self.model.encode(self.wall + self.wall.join(c.decode() for c in some)), dtype=np.int32)
+            starts = ids.at[a : a + len(some)] - ids.at[a]
+            got = np.insert(ids.flat[ids.at[a] : ids.at[a + len(some)]], starts, wall)
+            if len(want) != len(got) + 1 or (want[1:] != got).any() or (got[starts + np.arange(len(some))] != wall).any():
+                raise ValueError("the agenda's ids are not those of the library")
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Ragged:
         """Ids of each text of a buffer, without begin and end."""
@@ -310,9 +316,13 @@ class Codec:
                     text = self._mended(ids.flat[ids.at[k] : ids.at[k + 1]])[cut:]
             out.append(text)
         if self.check:
-            flat, bounds = ids.flat.tolist(), ids.at.tolist()
-            if out != [x.encode() for x in self.model.decode([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], num_threads=1)]:
-                raise ValueError("the decoded texts are not those of the library")
+            k = 0
+            while k < len(out):
+                upto = max(k + 1, int(np.searchsorted(ids.at, ids.at[k] + CHECKED_IDS, side="right")) - 1)
+                some = [ids.flat[a:b].tolist() for a, b in zip(ids.at[k:upto], ids.at[k + 1 : upto + 1])]
+                if out[k:upto] != [x.encode() for x in self.model.decode(some, num_threads=1)]:
+                    raise ValueError("the decoded texts are not those of the library")
+                k = upto
         return out
 
     def _mended(self, ids: np.ndarray) -> bytes:
@@ -358,17 +368,24 @@ def codec(model: str, check: bool = True) -> Codec:
     return _codecs[path, check]
 
 
-def encode_and_decode(docs: DataFrame, model: str = "piece_bpe_32k.model", check: bool = True) -> DataFrame:
-    """(doc_id, ids, decoded) of every row of docs: its ids between the begin and end ids, and the text that they decode to."""
+def encode_and_decode(docs: DataFrame, model: str = "piece_bpe_32k.model", check: bool = True, packed: bool = False) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of docs: its ids between the begin and end ids, and the text that they decode to.
+
+    packed gives the ids as bytes: little-endian unsigned 32-bit integers one after the other.
+    """
 
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, BYTES):
             own = codec(model, check)
             ids = own.framed(own.encode(*buffers(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ids.at.astype(np.int32)), pa.array(ids.flat)), pa.array(own.decode(ids), pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
+            if packed:
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids.at) - 1, [None, pa.py_buffer(4 * ids.at.astype(np.int64)), pa.py_buffer(ids.flat.astype("<i4"))]).cast(pa.binary())
+            else:
+                column = pa.ListArray.from_arrays(pa.array(ids.at.astype(np.int32)), pa.array(ids.flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(own.decode(ids), pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids {'binary' if packed else 'array<int>'}, decoded string")
 
 
 def _digests(ids: pa.Array) -> pa.Array:

@@ -77,6 +77,36 @@ def test_a_wrong_merge_is_noticed(own):
         broken.encode(*buffers(pa.array(["words that nobody has seen: qwertzuiop"], pa.large_string())))
 
 
+def test_the_library_checks_in_parts(own, library, monkeypatch):
+    """However many chunks are new, the library has few at once; and the last part is checked, too."""
+    monkeypatch.setattr(piece_codec, "CHECKED", 50, raising=False)
+    monkeypatch.setattr(piece_codec, "CHECKED_IDS", 200, raising=False)
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    most, texts = [], [f"{word(k)} of {word(7919 * k)}" for k in range(300)]
+    fresh = piece_codec.Codec(MODEL)
+
+    class Recorder:
+        def encode(self, text):
+            most.append(text.count(fresh.wall))
+            return library.encode(text)
+
+        def decode(self, rows, **options):
+            assert len(rows) == 1 or sum(map(len, rows)) <= 200
+            return library.decode(rows, **options)
+
+    fresh.model = Recorder()
+    ids = fresh.encode(*buffers(pa.array(texts, pa.large_string())))
+    assert [ids.flat[a:b].tolist() for a, b in zip(ids.at[:-1], ids.at[1:])] == library.encode(texts)
+    assert len(most) > 3 and max(most) <= 50
+    assert [x.decode() for x in fresh.decode(ids)] == texts
+    chunks = [f" {word(k)}".encode() for k in range(120)]
+    right = fresh._ids(chunks)
+    wrong = Ragged(np.append(right.flat[:-1], right.flat[-1] + 1).astype(np.int32), right.at)
+    fresh._checked(chunks, right)
+    with pytest.raises(ValueError, match="library"):
+        fresh._checked(chunks, wrong)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 31999) | st.integers(0, 400), max_size=30), min_size=1, max_size=4))
 def test_decoding_any_ids(own, library, rows):
@@ -95,6 +125,12 @@ def test_piece_codec_over_a_table(spark, docs, empty, library):
     assert piece_codec.encode_and_decode(empty).count() == 0
 
 
+def test_packed_ids_are_the_bytes_of_the_ids(docs, empty):
+    plain = sorted((r.doc_id or -1, struct.pack(f"<{len(r.ids)}I", *r.ids), r.decoded) for r in piece_codec.encode_and_decode(docs).collect())
+    assert sorted((r.doc_id or -1, bytes(r.ids), r.decoded) for r in piece_codec.encode_and_decode(docs, packed=True).collect()) == plain
+    assert piece_codec.encode_and_decode(empty, packed=True).count() == 0
+
+
 def test_piece_codec_query(spark, library):
     rows = {r.doc_id: r for r in entry.queries()["op11_piece_codec"](spark, SF).collect()}
     for i, t in text_of(spark.read.parquet(f"{SF}/documents.parquet")):
